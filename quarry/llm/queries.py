@@ -8,20 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, tune
 from .fingerprints import edit_likeness
+from .media import media_features
+from .packing import pack_documents
 from .pieces import encode_documents
 from .tokenizer_files import tokenizer_path
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(table(tune(spark), sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(tune(spark), sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(tune(spark), sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(table(tune(spark), sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media": op2_media,
     "op3_sentencepiece": op3_sentencepiece,
+    "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
 }
 
