@@ -12,6 +12,7 @@ from .media import media_features
 from .packing import pack_documents
 from .pieces import encode_documents
 from .tokenizer_files import tokenizer_path
+from .toxicity import score_documents
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +31,17 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(table(tune(spark), sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op3_sentencepiece": op3_sentencepiece,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
