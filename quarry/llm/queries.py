@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table, tune
 from .fingerprints import edit_likeness
 from .media import media_features
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .pieces import encode_documents
 from .tokenizer_files import tokenizer_path
@@ -23,6 +24,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(tune(spark), sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(tune(spark), sf_dir, "documents"), width=3, percent=85)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(tune(spark), sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -39,6 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op3_sentencepiece": op3_sentencepiece,
+    "op5_minhash": op5_minhash,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
