@@ -189,24 +189,121 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links, _ = written(confirm(stars, sets, percent), "star-links")
     groups = components(links)
 
-    # pairs of one bucket that are still apart, but for those with the bucket's centre, which were compared
-    placed = members.join(groups.withColumnsRenamed({"node": "class", "component": "at"}), "class", "left").withColumn("at", F.coalesce("at", "class"))
+    # bucket mates that are still apart
+    grouped = components(members.select(F.col("class").alias("a"), F.col("centre").alias("b"))).withColumnsRenamed({"node": "class", "component": "cluster"})
+    placed = grouped.join(groups.withColumnsRenamed({"node": "class", "component": "at"}), "class", "left").withColumn("at", F.coalesce("at", "class"))
     placed, _ = written(placed, "placed")
-    apart = placed.groupBy("band").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("band")
-    mixed = placed.where("class <> centre").join(apart, "band", "left_semi")
-    home = placed.where("class = centre").select("band", F.col("at").alias("home"))
-    strays = mixed.join(home, "band").where("at <> home").select("band", F.col("class").alias("a"), F.col("at").alias("at_a"))
-    left = strays.join(signatures.select(F.col("class").alias("a"), F.col("signature").alias("sa")), "a")
-    right = mixed.select("band", F.col("class").alias("b"), F.col("at").alias("at_b")).join(signatures.select(F.col("class").alias("b"), F.col("signature").alias("sb")), "b")
-    rest = left.join(right, "band").where((F.col("at_a") != F.col("at_b")) & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest, _ = written(rest, "rest")
-    if rest.limit(1).count():
-        more, _ = written(confirm(rest, sets, percent), "more-links")
+    homes = placed.groupBy("cluster", "at").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("at", F.struct("n", "at")).alias("home"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = placed.join(homes.select("cluster", "home"), "cluster").join(sets, "class").withColumn("stray", F.col("at") != F.col("home"))
+    mixed, _ = written(mixed, "mixed")
+    if mixed.limit(1).count():
+        more, _ = written(compare_blocks(mixed, percent), "more-links")
         if more.limit(1).count():
             groups = components(links.unionByName(more))
     return _result(sketch, heads, groups)
 
 
+#: Sets, and bytes of sets, that one side of a block pair holds (on average: classes are dealt by a hash).
+BLOCK_SETS, BLOCK_BYTES = 512, 8 << 20
+
+
+def compare_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that join the strays of each cluster with any of its classes.
+
+    ``rows``: (cluster, class, at, stray, shingles). Both sides are cut into blocks; each pair of blocks is one group of
+    rows, compared in memory, and gives the links of a spanning forest.
+    """
+    size = F.octet_length("shingles")
+
+    def blocks(n: Column, total: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK_SETS), F.ceil(total / BLOCK_BYTES), F.lit(1)).cast("int")
+
+    counts = rows.groupBy("cluster").agg(
+        blocks(F.count("*"), F.sum(size)).alias("n_right"), blocks(F.sum(F.col("stray").cast("int")), F.sum(F.when(F.col("stray"), size))).alias("n_left")
+    )
+    rows = rows.join(counts, "cluster")
+    own = F.xxhash64("class")
+    left = rows.where("stray").select("cluster", F.pmod(own, "n_left").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_right") - 1)).alias("j"), F.lit(0).alias("side"), "class", "at", "shingles")
+    right = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("i"), F.pmod(own, "n_right").cast("int").alias("j"), F.lit(1).alias("side"), "class", "at", "shingles")
+    dealt = left.unionByName(right).repartition(tasks_for(rows.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "class")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, sides = None, ([], [])
+        for batch in batches:
+            for cluster, i, j, side, cls, at, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cluster, i, j) != name:
+                    yield from _block_links(sides, percent)
+                    name, sides = (cluster, i, j), ([], [])
+                sides[side].append((cls, at, np.frombuffer(s, np.uint64)))
+        yield from _block_links(sides, percent)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each left set shares with each right set."""
+
+    def entries(sets):
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        return values[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+
+    lv, lo = entries(left)
+    rv, ro = entries(right)
+    out = np.zeros(len(left) * len(right), np.int64)
+    both = np.intersect1d(lv, rv)
+    la, lb = np.searchsorted(lv, both, "left"), np.searchsorted(lv, both, "right")
+    ra, rb = np.searchsorted(rv, both, "left"), np.searchsorted(rv, both, "right")
+    nl, nr = lb - la, rb - ra
+    rare = nl * nr <= 256
+
+    def flat(start, count):
+        """Positions start, start + 1, ... of each stretch."""
+        return np.arange(count.sum()) + np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+
+    at = np.flatnonzero(rare)
+    for k in range(0, len(at), 20_000):  # few pairs each: added up one by one
+        c = at[k : k + 20_000]
+        r = flat(ra[c], nr[c])
+        of = np.repeat(nl[c], nr[c])
+        pairs = lo[flat(np.repeat(la[c], nr[c]), of)] * len(right) + np.repeat(ro[r], of)
+        out += np.bincount(pairs, minlength=len(out))
+    dense = out.reshape(len(left), len(right)).astype(np.float32)
+    at = np.flatnonzero(~rare)
+    for k in range(0, len(at), 2048):  # many pairs each: as a product of matrices
+        c = at[k : k + 2048]
+        a, b = np.zeros((len(left), len(c)), np.float32), np.zeros((len(right), len(c)), np.float32)
+        a[lo[flat(la[c], nl[c])], np.repeat(np.arange(len(c)), nl[c])] = 1
+        b[ro[flat(ra[c], nr[c])], np.repeat(np.arange(len(c)), nr[c])] = 1
+        dense += a @ b.T
+    return dense
+
+
+def _block_links(sides: tuple[list, list], percent: int) -> Iterator[pa.RecordBatch]:
+    left, right = sides
+    if not left or not right:
+        return
+    common = common_counts([s for _, _, s in left], [s for _, _, s in right])
+    sizes = np.add.outer([len(s) for _, _, s in left], [len(s) for _, _, s in right])
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(100 * common >= percent * (sizes - common)), strict=True):
+        a, b = find(left[x][1]), find(right[y][1])  # by component: what is joined already needs no link
+        if a != b:
+            parent[a] = b
+            out.append((left[x][0], right[y][0]))
+    if out:
+        a, b = zip(*out, strict=True)
+        yield pa.RecordBatch.from_pydict({"a": list(a), "b": list(b)})
+
+
 def _result(sketch: DataFrame, heads: DataFrame, groups: DataFrame) -> DataFrame:
     """Documents with the least id of their component."""
     at = heads.select("class", "doc_id").join(groups.withColumnsRenamed({"node": "class"}), "class", "left")
