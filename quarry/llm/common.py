@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -62,9 +63,16 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, s
     path = new_path(spark, name)
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
+    release(spark)
     return spark.read.schema(schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that nothing holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text)`` alone: other columns, whatever their names, play no part; null text is empty."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -12,6 +12,7 @@ from .media import media_features
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .pieces import encode_documents
+from .suffixes import removed_bytes
 from .tokenizer_files import tokenizer_path
 from .toxicity import score_documents
 
@@ -28,6 +29,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(tune(spark), sf_dir, "documents"), width=3, percent=85)
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_bytes(table(tune(spark), sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(tune(spark), sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_minhash": op5_minhash,
+    "op7_suffixes": op7_suffixes,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
