@@ -12,6 +12,7 @@ from .media import media_features
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .pieces import encode_documents
+from .pii import find_personal_data
 from .suffixes import removed_bytes
 from .tokenizer_files import tokenizer_path
 from .toxicity import score_documents
@@ -25,6 +26,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(tune(spark), sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(tune(spark), sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(tune(spark), sf_dir, "documents"), width=3, percent=85)
 
@@ -49,6 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_pii": op4_pii,
     "op5_minhash": op5_minhash,
     "op7_suffixes": op7_suffixes,
     "op8_packing": op8_packing,
