@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import format_conversations
 from .common import table, tune
 from .fingerprints import edit_likeness
 from .media import media_features
@@ -13,11 +14,17 @@ from .neardup import near_duplicates
 from .packing import pack_documents
 from .pieces import encode_documents
 from .pii import find_personal_data
+from .sharding import SQL as SHARDING_SQL
+from .sharding import compacted_documents
 from .suffixes import removed_bytes
 from .tokenizer_files import tokenizer_path
 from .toxicity import score_documents
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compacted_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(tune(spark), sf_dir, "documents"))
 
@@ -34,6 +41,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(tune(spark), sf_dir, "documents"), width=3, percent=85)
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(table(tune(spark), sf_dir, "conversations"))
+
+
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_bytes(table(tune(spark), sf_dir, "documents"))
 
@@ -52,14 +63,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_media": op2_media,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_pii": op4_pii,
     "op5_minhash": op5_minhash,
+    "op6_chat": op6_chat,
     "op7_suffixes": op7_suffixes,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": SHARDING_SQL}
