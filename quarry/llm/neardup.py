@@ -313,3 +313,16 @@ def _result(sketch: DataFrame, heads: DataFrame, groups: DataFrame) -> DataFrame
     out = sketch.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each component the one with the least id.
+
+    Of rows that repeat id and text one stays. Rows without an id stay if any of them does.
+    """
+    found, _ = written(near_duplicates(docs, width, percent).select("doc_id", "kept"), "kept")
+    stay = found.where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    out = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    if found.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out

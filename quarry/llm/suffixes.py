@@ -330,3 +330,27 @@ def character_spans(text: str, cut: list[int]) -> str:
         at = y
     kept.append(raw[at:])
     return b"".join(kept).decode("utf-8", "surrogatepass")
+
+
+def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs``, all columns, with repeated passages removed from the text (whole characters) and ``n_chars`` set anew.
+
+    Null texts stay null.
+    """
+    id_ = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-"))
+    key = F.xxhash64(id_, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    spans = repeated_spans(docs).withColumnsRenamed({"key": "__key", "spans": "__spans"})
+    rows = docs.withColumn("__key", key).join(spans, "__key", "left").select(*docs.columns, "__spans")
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans_ = b.column(b.num_columns - 1).to_pylist()
+            ts = [character_spans(t, merged(s)) if t and s else t for t, s in zip(b.column(at).to_pylist(), spans_, strict=True)]
+            cols = [pa.array(ts, b.schema.field(at).type) if k == at else b.column(k) for k in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
+
+    out = rows.mapInArrow(run, docs.schema)
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return out

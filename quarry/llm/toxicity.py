@@ -284,3 +284,20 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "held_out": b.column(2), "score": pa.array(s, pa.float64()), "predicted": pa.array([int(x >= THRESHOLD) for x in s], pa.int32())})
 
     return rows.mapInArrow(run, SCORES)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below the threshold; all of them if no model can be learnt."""
+    model = fit(texts(docs, id_col, text_col), labels)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value.tables, "02")
+        for b in batches:
+            s = shared.value.scores(scorer, [t or "" for t in b.column(at).to_pylist()])
+            yield b.filter(pa.array([x < THRESHOLD for x in s], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
