@@ -47,8 +47,8 @@ def spearman(df: DataFrame, a: str, b: str, keys: list[str], out: str = "rho") -
     """Pearson correlation of average ranks over rows where both are finite; null for constants and fewer than two rows."""
     rows = df.where(finite(a).isNotNull() & finite(b).isNotNull())
     rows = average_ranks(average_ranks(rows, a, keys, "__ra"), b, keys, "__rb")
-    g = rows.groupBy(*keys).agg(F.corr("__ra", "__rb").alias("__c"), F.stddev_pop("__ra").alias("__sa"), F.stddev_pop("__rb").alias("__sb"), F.count("*").alias("n"))
-    return g.select(*keys, "n", F.when((F.col("n") > 1) & (F.col("__sa") > 0) & (F.col("__sb") > 0), F.col("__c")).alias(out))
+    g = rows.groupBy(*keys).agg(F.covar_pop("__ra", "__rb").alias("__c"), F.stddev_pop("__ra").alias("__sa"), F.stddev_pop("__rb").alias("__sb"), F.count("*").alias("n"))
+    return g.select(*keys, "n", F.when((F.col("n") > 1) & (F.col("__sa") > 0) & (F.col("__sb") > 0), F.col("__c") / (F.col("__sa") * F.col("__sb"))).alias(out))  # corr() raises for constants
 
 
 def consensus(df: DataFrame, fields: list[str], keys: list[str], pose: str, method: str = "rank", weights: dict[str, float] | None = None) -> DataFrame:

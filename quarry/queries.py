@@ -346,7 +346,7 @@ def ef_at(spark, sf_dir):
     return rounded(evalstats.ef_at(scored(spark, sf_dir), "n_chars", "quality", ["lang"], "doc_id", 0.05), "ef")
 
 
-AUC_SQL = "(SELECT lang, (sum(r) FILTER (quality = 1) - sum(quality) * (sum(quality) + 1) / 2::DOUBLE) / (sum(quality)::DOUBLE * count(*) FILTER (quality = 0)) AS auc FROM (SELECT *, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2::DOUBLE AS r FROM scored) GROUP BY lang)"
+AUC_SQL = "(SELECT lang, (sum(r) FILTER (quality = 1) - sum(quality) * (sum(quality) + 1) / 2::DOUBLE) / nullif(sum(quality)::DOUBLE * count(*) FILTER (quality = 0), 0) AS auc FROM (SELECT *, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2::DOUBLE AS r FROM scored) GROUP BY lang)"
 
 
 @query(SCORED + f"SELECT lang, round(auc, 6) AS auc FROM {AUC_SQL}")
@@ -354,7 +354,7 @@ def auc(spark, sf_dir):
     return rounded(evalstats.auc(scored(spark, sf_dir), "n_chars", "quality", ["lang"]), "auc")
 
 
-BEDROC_SQL = """(SELECT lang, greatest(0, least(1, 0.5::DOUBLE + 0.5::DOUBLE * (f / a - rand) / (best / a - rand))) AS bedroc FROM (SELECT lang, sum(w) FILTER (quality = 1) AS f, avg(w) AS rand, sum(w) FILTER (i <= a) AS best, max(a) AS a FROM (SELECT *, exp(-20 * (i - 0.5::DOUBLE) / n) AS w FROM
+BEDROC_SQL = """(SELECT lang, CASE WHEN a > 0 AND a < n THEN greatest(0, least(1, 0.5::DOUBLE + 0.5::DOUBLE * (f / a - rand) / (best / a - rand))) END AS bedroc FROM (SELECT lang, sum(w) FILTER (quality = 1) AS f, avg(w) AS rand, sum(w) FILTER (i <= a) AS best, max(a) AS a, max(n) AS n FROM (SELECT *, exp(-20 * (i - 0.5::DOUBLE) / n) AS w FROM
 (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n, sum(quality) OVER (PARTITION BY lang) AS a FROM scored)) GROUP BY lang))"""
 
 
