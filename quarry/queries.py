@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quarry.functions import filters as rules
 from quarry.functions import metrics as m
 from quarry.functions import similarity as sim
-from quarry.operators import evalstats, library, ranking, rollups, simjoin, spatial
+from quarry.operators import evalstats, library, ranking, rollups, simjoin, spatial, structure
 from quarry.sources import records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -592,3 +592,96 @@ def json_records(spark, sf_dir):
 @query("SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
 def split_lines(spark, sf_dir):
     return records.lines_of(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
+# -- structures ------------------------------------------------------------------------------------------
+
+
+def atoms(spark, sf_dir) -> DataFrame:
+    element = F.element_at(F.array(*[F.lit(e) for e in "CNOC"]), (F.pmod("atom", F.lit(4)) + 1).cast("int"))
+    return points(spark, sf_dir).withColumn("element", element).withColumn("radius", m.radius_of(F.col("element")))
+
+
+ATOMS = POINTS + """, atoms AS (SELECT *, ['C', 'N', 'O', 'C'][CAST(atom % 4 + 1 AS INTEGER)] AS element, [1.7, 1.55, 1.52, 1.7][CAST(atom % 4 + 1 AS INTEGER)]::DOUBLE AS radius FROM points),
+near AS (SELECT a.label, a.atom AS a, b.atom AS b, a.element AS ea, b.element AS eb, a.charge * b.charge AS qq, a.radius + b.radius AS rr, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d
+  FROM atoms a JOIN atoms b ON a.label = b.label AND a.atom % 5 = 0 AND b.atom % 5 <> 0), kinds AS (
+SELECT label, a, b, d, 'hbond' AS kind FROM near WHERE ea IN ('N', 'O') AND eb IN ('N', 'O') AND d <= 3.5 UNION ALL SELECT label, a, b, d, 'salt' FROM near WHERE qq < 0 AND d <= 4 UNION ALL SELECT label, a, b, d, 'hydrophobic' FROM near WHERE ea = 'C' AND eb = 'C' AND d <= 4
+UNION ALL SELECT label, a, b, d, 'clash' FROM near WHERE NOT (ea IN ('N', 'O') AND eb IN ('N', 'O') AND d <= 3.5) AND d <= 0.75::DOUBLE * rr)
+"""
+
+
+def _contacts(spark, sf_dir):
+    a = atoms(spark, sf_dir)
+    return structure.contacts(a.where("atom % 5 = 0"), a.where("atom % 5 <> 0"), ["label"])
+
+
+@query(ATOMS + "SELECT label, a, b, kind, round(d, 5) AS distance FROM kinds")
+def profile_interactions(spark, sf_dir):
+    return rounded(_contacts(spark, sf_dir), "distance", places=5)
+
+
+@query(ATOMS + "SELECT a, [count(*) FILTER (kind = 'clash'), count(*) FILTER (kind = 'hbond'), count(*) FILTER (kind = 'hydrophobic'), count(*) FILTER (kind = 'salt')]::VARCHAR AS counts FROM kinds GROUP BY a")
+def interaction_fingerprint(spark, sf_dir):
+    v = structure.contact_vector(_contacts(spark, sf_dir), "a", ["clash", "hbond", "hydrophobic", "salt"], F.col("kind"))
+    return v.select("a", F.concat(F.lit("["), F.array_join(F.transform("counts", lambda c: c.cast("string")), ", "), F.lit("]")).alias("counts"))
+
+
+@query(ATOMS + ", g AS (SELECT label, kind, count(DISTINCT a) AS poses FROM kinds GROUP BY ALL) SELECT kind, count(DISTINCT label) AS poses FROM kinds GROUP BY kind HAVING count(DISTINCT label) >= 0.5 * (SELECT count(DISTINCT label) FROM kinds)")
+def frequent_features(spark, sf_dir):
+    return structure.frequent_features(_contacts(spark, sf_dir), "label", "kind")
+
+
+@query("""SELECT p_partkey, CASE WHEN occ >= 0.8 AND shift <= 1 THEN 'conserved' WHEN occluded THEN 'displaced' WHEN occ >= 0.8 THEN 'moved' WHEN occ > 0 THEN 'transient' ELSE 'absent' END AS class
+FROM (SELECT p_partkey, (p_partkey % 11) / CAST(10 AS DOUBLE) AS occ, p_size % 3 = 0 AS occluded, p_size / CAST(20 AS DOUBLE) AS shift FROM part)""")
+def water_classification(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumns({"occupancy": F.pmod("p_partkey", F.lit(11)) / 10.0, "occluded": F.col("p_size") % 3 == 0, "shift": F.col("p_size") / 20.0})
+    return p.select("p_partkey", structure.water_class().alias("class"))
+
+
+@query(PAIRS + "SELECT bin, count(*) AS n, round(avg(v), 6) AS mean FROM (SELECT CASE WHEN d < 2 THEN 0 WHEN d < 4 THEN 1 WHEN d < 8 THEN 2 END AS bin, abs(qa * qb) AS v FROM (SELECT sqrt(d2) AS d, qa, qb FROM pairs WHERE a < b)) WHERE bin IS NOT NULL GROUP BY bin")
+def distance_profile(spark, sf_dir):
+    p = points(spark, sf_dir)
+    near = spatial.range_join(p, p, 8.0, ["label"]).where("a_atom < b_atom").select(F.sqrt("d2").alias("d"), (F.col("a_charge") * F.col("b_charge")).alias("v"))
+    return rounded(structure.distance_profile(near, "d", "v", [0.0, 2.0, 4.0, 8.0]), "mean")
+
+
+def _posed(spark, sf_dir):
+    return points(spark, sf_dir).select("label", F.col("atom").alias("id"), "x", "y", "z", F.col("charge").alias("energy"), F.pmod("atom", F.lit(7)).cast("int").alias("step"))
+
+
+@query()
+def cluster_poses(spark, sf_dir):
+    return structure.linkage_clusters(_posed(spark, sf_dir), ["label"], 2.0)
+
+
+@query()
+def water_sites(spark, sf_dir):
+    return structure.leader_sites(_posed(spark, sf_dir), ["label"], 1.5)
+
+
+@query()
+def output_container(spark, sf_dir):
+    return structure.bounded_poses(_posed(spark, sf_dir), ["label"], 1.0, 9)
+
+
+@query()
+def elastic_modes(spark, sf_dir):
+    return structure.elastic_modes(_posed(spark, sf_dir).where("id < 400"), ["label"])
+
+
+@query()
+def strongest_couplings(spark, sf_dir):
+    return structure.strongest_couplings(structure.cross_correlation(_posed(spark, sf_dir).where("id < 400"), ["label"]), ["label"])
+
+
+@query()
+def match_decoys(spark, sf_dir):
+    d = molecules(spark, sf_dir).select(F.col("ligand").alias("id"), "MW", "LogP", "HBD")
+    return structure.match_decoys(d.where("id % 50 = 0"), d.where("id % 50 <> 0"), {"MW": 25.0, "LogP": 0.5, "HBD": 1.0}, 5)
+
+
+@query()
+def align_sequences(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_name", "n_regionkey")
+    pairs = n.alias("a").join(n.alias("b"), F.col("a.n_regionkey") == F.col("b.n_regionkey")).where("a.n_name < b.n_name").select(F.col("a.n_name").alias("first"), F.col("b.n_name").alias("second"))
+    return structure.align(pairs, "first", "second")

@@ -185,3 +185,21 @@ def test_query_equals_sql(spark, tables, name):
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE_SQL)))
 def test_query_without_sql_has_rows(spark, name):
     assert Q.QUERIES[name](spark, SF).count() > 0
+
+
+def test_structures(spark):
+    from quarry.operators import structure
+
+    assert structure.global_alignment("GATTACA", "GATTACA") == (14.0, 7)
+    assert structure.global_alignment("AC", "A") == (0.0, 1)
+    line = [("s", k, float(x), 0.0, 0.0, float(e), k) for k, (x, e) in enumerate([(0, 5), (1, 4), (2, 3), (9, 1), (9.5, 2)])]
+    df = spark.createDataFrame(line, "k string, id long, x double, y double, z double, energy double, step int")
+    got = {r["id"]: (r["cluster"], r["representative"]) for r in structure.linkage_clusters(df, ["k"], 1.0).collect()}
+    assert got == {0: (2, 2), 1: (2, 2), 2: (2, 2), 3: (1, 3), 4: (1, 3)}
+    assert {r["id"]: r["site"] for r in structure.leader_sites(df, ["k"], 1.0).collect()} == {0: 0, 1: 0, 2: 1, 3: 2, 4: 2}
+    assert [r["id"] for r in structure.bounded_poses(df, ["k"], 0.6, 2).orderBy("place").collect()] == [3, 2]
+    edges = spark.createDataFrame([("s", 1, 2, 1.0), ("s", 2, 3, 1.0), ("s", 1, 3, 5.0), ("t", 1, 2, 1.0)], "k string, i int, j int, cost double")
+    assert [(r["k"], r["nodes"], r["cost"]) for r in structure.shortest_paths(edges, ["k"], 1, 3).collect()] == [("s", [1, 2, 3], 2.0)]
+    a = spark.createDataFrame([(1, 1.0), (2, 1.1)], "id int, w double")
+    b = spark.createDataFrame([(7, 1.0), (8, 1.3), (9, 5.0)], "id int, w double")
+    assert {(r["active"], r["decoy"]) for r in structure.match_decoys(a, b, {"w": 0.5}, 1).collect()} == {(1, 7), (2, 8)}
