@@ -1,14 +1,14 @@
 """Near-duplicates by b-bit MinHash.
 
-Each document's set of distinct word shingles gets 128 minima; their low four bits, packed, are its signature, and 32
-bands of four minima give candidates. Documents with equal sets are one class from the start. In each bucket every
-class is compared with the bucket's least class: signatures estimate the similarity from bit
-counts, corrected for chance collisions, and what may reach the threshold is confirmed on the full sets. Buckets that
-still hold classes of several components then compare the remaining pairs across components, so no link
-inside a bucket is lost and no group's pairs are ever all emitted. Components follow the links.
+Each document's set of distinct word shingles gets 128 minima; their low four bits, packed, are its signature, and bands of
+four minima give candidates. Documents with equal sets are one class from the start. Classes that buckets join form a weak
+cluster. Inside it, signatures estimate the similarity of pairs from bit counts, corrected for chance collisions; pairs
+that may reach the threshold join classes to a cluster, whose pairs are compared on the full sets. Both comparisons go
+block by block: a pair of blocks holds a bounded number of classes and sends on the links of a spanning forest, so no link between
+bucket mates is lost, no group is gathered and no group's pairs are emitted. Components follow the links.
 
-At the default threshold a linked pair shares no bucket with a probability below 1e-7; the estimate
-rejects a linked pair only beyond five standard deviations.
+There are as many bands as leave a pair at the threshold without a common bucket with a probability below 1e-7; the
+estimate rejects such a pair only beyond five standard deviations.
 
 Null and empty texts, and texts of white space, have empty sets and are linked with nothing: each is its own
 component. Documents with fewer words than a shingle have one shingle, the whole sequence. Repeated rows
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +31,16 @@ from .common import map_rows, tasks_for, texts, written
 from .graph import components
 from .hashing import mix, shingle_sets
 
-BANDS, ROWS, BITS = 32, 4, 4
-MINIMA = BANDS * ROWS
+MINIMA, ROWS, BITS = 128, 4, 4
+BANDS = MINIMA // ROWS
+#: Probability with which a pair at the threshold may miss all buckets.
+MISSED = 1e-7
 WORDS_OF_SIGNATURE = MINIMA * BITS // 64
 _RNG = np.random.Generator(np.random.PCG64(77))
 _A = _RNG.integers(1, 1 << 63, MINIMA, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 
-SKETCH = "doc_id long, n_shingles long, class long, bands array<long>, signature array<long>"
+SKETCH = "doc_id long, n_shingles long, class long, bands array<long>, signature binary"
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -56,21 +58,26 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return mix(least)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
+def bands_for(threshold: float) -> int:
+    """The fewest bands that a pair at the threshold hardly ever misses."""
+    return min(BANDS, math.ceil(math.log(MISSED) / math.log(1 - threshold**ROWS)))
+
+
+def band_keys(least: np.ndarray, bands: int) -> np.ndarray:
     """A 64-bit key for each band; bands have keys of their own."""
-    h = np.arange(BANDS, dtype=np.uint64)
+    h = np.arange(bands, dtype=np.uint64)
     for k in range(ROWS):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + least[k::ROWS])
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + least[: bands * ROWS][k::ROWS])
     return h.view(np.int64)
 
 
 def pack(least: np.ndarray) -> np.ndarray:
     """The low four bits of each minimum, sixteen to a 64-bit word."""
     low = (least & np.uint64(15)).reshape(-1, 16)
-    return (low << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
+    return (low << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64)
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
+def sketches(docs: DataFrame, width: int, bands: int) -> DataFrame:
     def factory():
         def work(ids, ts):
             sets = shingle_sets(ts, width)
@@ -79,8 +86,8 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 "doc_id": pa.array(ids, pa.int64()),
                 "n_shingles": [len(s) for s in sets],
                 "class": pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                "bands": pa.array([None if m is None else band_keys(m) for m in mins], pa.list_(pa.int64())),
-                "signature": pa.array([None if m is None else pack(m) for m in mins], pa.list_(pa.int64())),
+                "bands": pa.array([None if m is None else band_keys(m, bands) for m in mins], pa.list_(pa.int64())),
+                "signature": pa.array([None if m is None else pack(m).tobytes() for m in mins], pa.binary()),
             }
 
         return work
@@ -88,16 +95,15 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return map_rows(texts(docs), factory, SKETCH)
 
 
-def same_minima(x: str, y: str) -> Column:
-    """How many of the packed minima agree, by bit counts."""
-    total = None
+def same_minima(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the packed minima agree, for all pairs of two blocks of signatures, by bit counts."""
+    out = np.zeros((len(x), len(y)), np.int16)
     for k in range(WORDS_OF_SIGNATURE):
-        d = F.col(x)[k].bitwiseXOR(F.col(y)[k])
-        for s in (1, 2):  # any differing bit of four shows in the lowest
-            d = d.bitwiseOR(F.shiftrightunsigned(d, s))
-        n = 16 - F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
-        total = n if total is None else total + n
-    return total
+        d = x[:, None, k] ^ y[None, :, k]
+        d |= d >> np.uint64(2)  # any differing bit of four shows in the lowest
+        d |= d >> np.uint64(1)
+        out += 16 - np.bitwise_count(d & np.uint64(0x1111111111111111)).astype(np.int16)
+    return out
 
 
 def least_agreeing(threshold: float) -> int:
@@ -106,140 +112,115 @@ def least_agreeing(threshold: float) -> int:
     return max(0, math.floor(MINIMA * p - 5 * math.sqrt(MINIMA * p * (1 - p))))
 
 
-def estimate(x: str, y: str) -> Column:
-    """Similarity from the packed signatures, corrected for chance collisions."""
+def estimate(agreeing: np.ndarray) -> np.ndarray:
+    """Similarity from the number of agreeing minima, corrected for chance collisions."""
     chance = 1 / (1 << BITS)
-    return F.greatest(F.lit(0.0), (same_minima(x, y) / F.lit(float(MINIMA)) - F.lit(chance)) / F.lit(1 - chance))
+    return np.maximum(0.0, (agreeing / MINIMA - chance) / (1 - chance))
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether 100 * intersection >= percent * union, for sorted distinct sets."""
-    small, large = sorted((len(a), len(b)))
-    if 100 * small < percent * large:
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (len(a) + len(b) - common)
+#: Bits of the filter that says which ids may be wanted: of fixed size, so it is sent to all executors.
+FILTER_BITS = 1 << 23
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough.
+def _slots(ids: Column) -> Column:
+    return F.pmod(F.xxhash64(ids), F.lit(FILTER_BITS))
 
-    Pairs of one ``a`` are dealt over as many groups as they need; the set of ``a`` goes to each group once and
-    stands before the others, so a task holds two sets at a time.
-    """
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int").alias("salt"))
-    first = salted.select("a", "salt").distinct().join(sets.select(F.col("class").alias("a"), "shingles"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
-    rest = salted.join(sets.select(F.col("class").alias("b"), "shingles"), "b").select("a", "salt", "b", "shingles")
-    dealt = first.unionByName(rest).repartition(tasks_for(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+
+def possible(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose id may be among the wanted: a bitmap of fixed size, read before any text moves. A full bitmap keeps all rows."""
+    words = wanted.select(_slots(F.col("doc_id")).alias("s")).groupBy(F.floor(F.col("s") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = held = None
-        for batch in batches:
-            out = []
-            for a, _, b, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = np.frombuffer(s, np.uint64)
-                if b is None:
-                    name, held = a, s
-                elif name == a and linked(held, s, percent):
-                    out.append((a, b))
-            if out:
-                x, y = zip(*out, strict=True)
-                yield pa.RecordBatch.from_pydict({"a": list(x), "b": list(y)})
+        bits = shared.value.view(np.uint64)
+        for b in batches:
+            s = b.column(2).to_numpy().astype(np.uint64)
+            yield b.filter(pa.array((bits[s // np.uint64(64)] >> (s % np.uint64(64))) & np.uint64(1) == 1)).select([0, 1])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return docs.withColumn("s", _slots(F.col("doc_id"))).mapInArrow(run, "doc_id long, text string")
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """``(class, shingles)`` of the wanted ``(class, doc_id)``."""
-    wanted = classes.where("doc_id is not null").select("doc_id").distinct()
-    rows = texts(docs).join(wanted, "doc_id", "left_semi")
+    rows = texts(docs)
+    named = classes.where("doc_id is not null")
+    found = possible(rows.where("doc_id is not null"), named).join(named, "doc_id").select("class", "text")
     if classes.where("doc_id is null").limit(1).count():  # of rows without an id, any may hold a wanted set
-        rows = rows.unionByName(texts(docs).where("doc_id is null"))
+        found = found.unionByName(rows.where("doc_id is null").select(F.lit(None).cast("long").alias("class"), "text"))
 
-    def factory():
-        def work(ids, ts):
-            sets = [s for s in shingle_sets(ts, width) if len(s)]
-            return {"class": pa.array([class_of(s) for s in sets], pa.int64()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = {}
+            for want, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), width), strict=True):
+                c = class_of(s) if len(s) else None
+                if c is not None and (want is None or c == want):  # of repeated ids, the row that has the set
+                    out[c] = s.tobytes()
+            if out:
+                yield pa.RecordBatch.from_pydict({"class": pa.array(list(out), pa.int64()), "shingles": pa.array(list(out.values()), pa.binary())})
 
-        return work
+    return found.mapInArrow(run, "class long, shingles binary")
 
-    found = map_rows(rows, factory, "class long, shingles binary")
-    return found.join(classes.select("class"), "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles"))
 
+#: Classes, and bytes, that one side of a block pair holds (on average: classes are dealt by a hash).
+BLOCK_SETS, BLOCK_BYTES = 256, 8 << 20
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``: component_id is the least id that links lead to."""
-    sketch, _ = written(sketches(docs, width), "sketches")
-    heads, _ = written(sketch.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
-    buckets, _ = written(heads.select(F.explode("bands").alias("band"), "class"), "buckets")
-    centres = buckets.groupBy("band").agg(F.min("class").alias("centre"), F.max("class").alias("other")).where("centre < other")
-    members = buckets.join(centres.select("band", "centre"), "band")
-    members, _ = written(members, "members")  # only buckets with several classes
-    signatures = heads.select("class", "signature")
-    enough = same_minima("sa", "sb") >= least_agreeing(percent / 100)
-
-    def promising(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(signatures.select(F.col("class").alias("a"), F.col("signature").alias("sa")), "a")
-        with_b = with_a.join(signatures.select(F.col("class").alias("b"), F.col("signature").alias("sb")), "b")
-        return with_b.where(enough).select("a", "b")
-
-    stars, _ = written(promising(members.where("class <> centre").select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()), "stars")
-    asked = members.select("class").distinct()
-    sets, _ = written(full_sets(docs, heads.join(asked, "class", "left_semi").select("class", "doc_id"), width), "sets")
-    links, _ = written(confirm(stars, sets, percent), "star-links")
-    groups = components(links)
-
-    # bucket mates that are still apart
-    grouped = components(members.select(F.col("class").alias("a"), F.col("centre").alias("b"))).withColumnsRenamed({"node": "class", "component": "cluster"})
-    placed = grouped.join(groups.withColumnsRenamed({"node": "class", "component": "at"}), "class", "left").withColumn("at", F.coalesce("at", "class"))
-    placed, _ = written(placed, "placed")
-    homes = placed.groupBy("cluster", "at").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("at", F.struct("n", "at")).alias("home"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = placed.join(homes.select("cluster", "home"), "cluster").join(sets, "class").withColumn("stray", F.col("at") != F.col("home"))
-    mixed, _ = written(mixed, "mixed")
-    if mixed.limit(1).count():
-        more, _ = written(compare_blocks(mixed, percent), "more-links")
-        if more.limit(1).count():
-            groups = components(links.unionByName(more))
-    return _result(sketch, heads, groups)
-
-
-#: Sets, and bytes of sets, that one side of a block pair holds (on average: classes are dealt by a hash).
-BLOCK_SETS, BLOCK_BYTES = 512, 8 << 20
-
-
-def compare_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` that join the strays of each cluster with any of its classes.
-
-    ``rows``: (cluster, class, at, stray, shingles). Both sides are cut into blocks; each pair of blocks is one group of
-    rows, compared in memory, and gives the links of a spanning forest.
+
+def block_links(rows: DataFrame, compare: Callable[[list, list], np.ndarray]) -> DataFrame:
+    """``rows``: (cluster, class, payload) -> links ``(a, b)`` that join what ``compare`` finds alike in each cluster.
+
+    A cluster is cut into blocks; each pair of blocks is one group of rows, compared in memory, and gives the links of a
+    spanning forest. Rows that repeat a class are harmless.
     """
-    size = F.octet_length("shingles")
-
-    def blocks(n: Column, total: Column) -> Column:
-        return F.greatest(F.ceil(n / BLOCK_SETS), F.ceil(total / BLOCK_BYTES), F.lit(1)).cast("int")
-
-    counts = rows.groupBy("cluster").agg(
-        blocks(F.count("*"), F.sum(size)).alias("n_right"), blocks(F.sum(F.col("stray").cast("int")), F.sum(F.when(F.col("stray"), size))).alias("n_left")
-    )
-    rows = rows.join(counts, "cluster")
-    own = F.xxhash64("class")
-    left = rows.where("stray").select("cluster", F.pmod(own, "n_left").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_right") - 1)).alias("j"), F.lit(0).alias("side"), "class", "at", "shingles")
-    right = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("i"), F.pmod(own, "n_right").cast("int").alias("j"), F.lit(1).alias("side"), "class", "at", "shingles")
+    size = F.octet_length("payload").cast("long")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int")
+    counts = rows.groupBy("cluster").agg(blocks.alias("n"), F.count("*").alias("members")).where("members > 1").drop("members")
+    own = rows.join(counts, "cluster").withColumn("p", F.pmod(F.xxhash64("class"), F.col("n")).cast("int"))
+    keep = ["class", "payload"]
+    left = own.select("cluster", F.col("p").alias("i"), F.explode(F.sequence(F.col("p"), F.col("n") - 1)).alias("j"), F.lit(0).alias("side"), *keep)
+    right = own.where("p > 0").select("cluster", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), F.col("p").alias("j"), F.lit(1).alias("side"), *keep)
     dealt = left.unionByName(right).repartition(tasks_for(rows.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, sides = None, ([], [])
         for batch in batches:
-            for cluster, i, j, side, cls, at, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for cluster, i, j, side, cls, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (cluster, i, j) != name:
-                    yield from _block_links(sides, percent)
+                    yield from _forest(name, sides, compare)
                     name, sides = (cluster, i, j), ([], [])
-                sides[side].append((cls, at, np.frombuffer(s, np.uint64)))
-        yield from _block_links(sides, percent)
+                sides[side].append((cls, payload))
+        yield from _forest(name, sides, compare)
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _forest(name, sides: tuple[list, list], compare) -> Iterator[pa.RecordBatch]:
+    """Links from the least class of each piece to the others of it."""
+    if name is None:
+        return
+    left = sides[0]
+    right = left if name[1] == name[2] else sides[1]
+    if not left or not right:
+        return
+    parent = {c: c for c, _ in (*left, *right)}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(*(k.tolist() for k in np.nonzero(compare([p for _, p in left], [p for _, p in right]))), strict=True):
+        a, b = find(left[x][0]), find(right[y][0])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    out = [(find(c), c) for c in parent if find(c) != c]
+    if out:
+        a, b = zip(*out, strict=True)
+        yield pa.RecordBatch.from_pydict({"a": list(a), "b": list(b)})
+
+
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many elements each left set shares with each right set."""
 
@@ -279,29 +260,44 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return dense
 
 
-def _block_links(sides: tuple[list, list], percent: int) -> Iterator[pa.RecordBatch]:
-    left, right = sides
-    if not left or not right:
-        return
-    common = common_counts([s for _, _, s in left], [s for _, _, s in right])
-    sizes = np.add.outer([len(s) for _, _, s in left], [len(s) for _, _, s in right])
-    parent: dict[int, int] = {}
+def alike_signatures(least: int) -> Callable[[list, list], np.ndarray]:
+    """Pairs of packed signatures that agree in enough minima."""
 
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def compare(left: list, right: list) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(-1, WORDS_OF_SIGNATURE) for s in (left, right))
+        return same_minima(x, y) >= least
 
-    out = []
-    for x, y in zip(*np.nonzero(100 * common >= percent * (sizes - common)), strict=True):
-        a, b = find(left[x][1]), find(right[y][1])  # by component: what is joined already needs no link
-        if a != b:
-            parent[a] = b
-            out.append((left[x][0], right[y][0]))
-    if out:
-        a, b = zip(*out, strict=True)
-        yield pa.RecordBatch.from_pydict({"a": list(a), "b": list(b)})
+    return compare
+
+
+def alike_sets(percent: int) -> Callable[[list, list], np.ndarray]:
+    """Pairs of sets with 100 * intersection >= percent * union."""
+
+    def compare(left: list, right: list) -> np.ndarray:
+        x, y = ([np.frombuffer(s, np.uint64) for s in sets] for sets in (left, right))
+        common = common_counts(x, y)
+        return 100 * common >= percent * (np.add.outer([len(s) for s in x], [len(s) for s in y]) - common)
+
+    return compare
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)``: component_id is the least id that links lead to."""
+    threshold = percent / 100
+    sketch, _ = written(sketches(docs, width, bands_for(threshold)), "sketches")
+    heads = sketch.where("class is not null").groupBy("class").agg(F.min_by(F.struct("bands", "signature"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("h"), F.min("doc_id").alias("doc_id"))
+    heads, _ = written(heads.select("class", "doc_id", "h.bands", "h.signature"), "classes")
+    buckets = heads.select(F.explode("bands").alias("band"), "class")
+    centres = buckets.groupBy("band").agg(F.min("class").alias("centre"), F.max("class").alias("other")).where("centre < other").select("band", "centre")
+    mates, _ = written(buckets.join(centres, "band").where("class <> centre").select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct(), "mates")
+    weak = components(mates).withColumnsRenamed({"node": "class", "component": "cluster"})
+    signed = weak.join(heads.select("class", F.col("signature").alias("payload")), "class")
+    likely, _ = written(block_links(signed, alike_signatures(least_agreeing(threshold))), "likely")
+    clusters, _ = written(components(likely).withColumnsRenamed({"node": "class", "component": "cluster"}), "clusters")
+    sets = full_sets(docs, heads.join(clusters, "class", "left_semi").select("class", "doc_id"), width)
+    sized, _ = written(clusters.join(sets, "class").select("cluster", "class", F.col("shingles").alias("payload")), "sets")
+    links, _ = written(block_links(sized, alike_sets(percent)), "links")
+    return _result(sketch, heads, components(links))
 
 
 def _result(sketch: DataFrame, heads: DataFrame, groups: DataFrame) -> DataFrame:
