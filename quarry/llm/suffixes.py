@@ -139,8 +139,9 @@ def splitters(rows: DataFrame, n: int) -> np.ndarray:
     """``n - 1`` sampled splitters; the sample is bounded by the number of ranges."""
     documents = rows.count()
     wanted = min(SAMPLED * n, SAMPLED_MOST)
-    # about forty units to a document, whatever their lengths: the share only needs the right order of size
-    share = min(1.0, max(wanted / 20.0, 200.0) / max(documents, 1))
+    # units are sampled from sixteen times the documents that would do (some twenty units each): a passage that repeats inside
+    # few sampled documents would else be split at few places
+    share = min(1.0, 16 * max(wanted / 20.0, 200.0) / max(documents, 1))
     sample = suffixes(rows.where(F.pmod(F.col("key"), F.lit(1_000_000)) < int(share * 1_000_000) + 1))
     got = sample.orderBy(F.xxhash64("t1", "key", "first")).limit(wanted).toArrow()
     table = np.stack([got[c].to_numpy().astype(np.int64) for c in ("t0", "t1", "key", "first")], 1) if got.num_rows else np.zeros((0, 4), np.int64)
