@@ -13,6 +13,7 @@ other. Results depend on ids and lengths only, not on partitions.
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
 from collections.abc import Iterator
@@ -31,54 +32,100 @@ SHARD_PIECES, ISLANDS, EPOCHS, POPULATION, CHILDREN = 8192, 2, 2, 4, 8
 #: A bin is full, and settled, from this share of its capacity on.
 SETTLED = 0.999
 #: Chunks whose ids a task keeps.
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 700_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
+def plain(chunk: str) -> str:
+    """The chunk as a single word of the tokenizer if it has Latin letters alone, else nothing."""
+    low = chunk.lower()
+    return low if low.isalpha() and max(low) < "\u0250" else ""
+
+
 class ChunkIds(dict):
     """Ids of what stands between two spaces, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and no token spans it, so chunks are independent. A word and the
-    end mark behind it are separate words of the tokenizer as well.
+    end mark behind it are separate words of the tokenizer as well. New words are encoded together; the tokens
+    that close a word tell them apart.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
         self.tok = Tokenizer.from_file(path)
-
-    def __missing__(self, chunk: str) -> bytes:
-        word = chunk[:-1].lower()  # plain Latin letters alone; others may fold to marks that join what follows
-        if chunk[-1] in ".,;:!?" and word.isalpha() and max(word) < "\u0250":
-            ids = self[chunk[:-1]] + self[chunk[-1]]
-        elif chunk.isascii() and chunk.isalpha() and not chunk.islower():
-            ids = self[chunk.lower()]
-        else:
-            ids = np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        self[chunk] = ids
-        return ids
-
-    def document(self, text: str) -> bytes:
-        if len(self) > CHUNKS_KEPT:
-            self.clear()
-            self[""] = b""
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) + END_ID.to_bytes(4, "little")
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def encode(self, chunk: str) -> bytes:
+        return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, chunks: set[str]) -> None:
+        """Adds the ids of chunks that are not known yet."""
+        split = {}
+        for c in chunks:
+            word, mark = plain(c), ""
+            if not word and c[-1] in ".,;:!?":
+                word, mark = plain(c[:-1]), c[-1]
+            if word:
+                split[c] = word, mark
+            else:
+                self[c] = self.encode(c)
+        words = list({w for w, _ in split.values() if w not in self})
+        if words:
+            ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(words):
+                raise ValueError("words and tokens that close one differ in number")
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(words, (4 * ends).tolist(), strict=True):
+                self[w], at = raw[at:end], end
+        for m in {m for _, m in split.values() if m and m not in self}:
+            self[m] = self.encode(m)
+        for c, (w, m) in split.items():
+            self[c] = self[w] + self[m] if m else self[w]
+
+    def documents(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids, closed by the end id."""
+        end = END_ID.to_bytes(4, "little")
+        for a in range(0, len(texts), 64):
+            split = [t.replace("\n", " ").split(" ") for t in texts[a : a + 64]]
+            new = {c for c in set().union(*split) if c not in self}
+            if len(self) + len(new) > CHUNKS_KEPT:
+                self.clear()
+                self[""] = b""
+                new = {c for c in set().union(*split) if c not in self}
+            if new:
+                self.learn(new)
+            for chunks in split:
+                yield b"".join(map(self.__getitem__, chunks)) + end
+
+
+_chunks: dict[str, ChunkIds] = {}
+
+
+def chunks_of(path: str) -> ChunkIds:
+    """The tokenizer and its chunks, kept for all tasks of a Python worker."""
+    if path not in _chunks:
+        _chunks[path] = ChunkIds(path)
+    return _chunks[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Each document's ids and the end id, cut into pieces of ``capacity`` tokens; the last may be shorter."""
 
     def factory():
-        chunks = ChunkIds(tokenizer)
+        chunks = chunks_of(tokenizer)
 
         def work(ids, ts):
             rows = []
-            for doc, t in zip(ids, ts, strict=True):
-                enc = chunks.document(t)
+            for doc, enc in zip(ids, chunks.documents(ts), strict=True):
                 for k, a in enumerate(range(0, len(enc), 4 * capacity)):
                     part = enc[a : a + 4 * capacity]
                     rows.append((doc, k, a // 4, len(part) // 4, zlib.crc32(part)))
