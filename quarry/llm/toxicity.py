@@ -19,16 +19,18 @@ scores are 0. Repeated documents and rows with null ids are scored like any othe
 
 from __future__ import annotations
 
+import io
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import new_path, texts, written
 
 ORDER = 5
 SLOTS = 1 << 19
@@ -54,47 +56,57 @@ def _mix(columns: list[np.ndarray]) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Word numbers, and for each predicted character the identities of its n-grams and contexts.
-
-    ``g5`` .. ``g1`` are the characters' n-grams, ``h4`` .. ``h1`` the contexts before them.
-    """
+def codes_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers and characters: a row for each predicted character, with the four before it (0 before the word)."""
     flat = np.frombuffer("".join([f"\x02{w}\x03" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     ends = np.cumsum(sizes)
     word = np.repeat(np.arange(len(words)), sizes)
     within = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
     at = np.flatnonzero(within)
-    back = []
+    codes = np.zeros((ORDER, len(at)), np.uint64)
+    codes[-1] = flat[at]
     for k in range(1, ORDER):
-        back.append(np.where(within[at] >= k, flat[np.maximum(at - k, 0)], np.uint64(0)))
-    c = flat[at]
+        codes[-1 - k] = np.where(within[at] >= k, flat[np.maximum(at - k, 0)], np.uint64(0))
+    return word[at], codes
+
+
+def grams(codes: np.ndarray) -> dict[str, np.ndarray]:
+    """Identities of the n-grams ``g5`` .. ``g1`` that end in each character, and of the contexts ``h4`` .. ``h1`` before it."""
     ids = {}
     for n in range(1, ORDER + 1):
-        ids[f"g{n}"] = _mix([*back[: n - 1][::-1], c])
+        ids[f"g{n}"] = _mix(list(codes[ORDER - n :]))
         if n < ORDER:
-            ids[f"h{n}"] = _mix([np.full(len(c), 7 + n, np.uint64), *back[:n][::-1]])
-    return word[at], ids
+            ids[f"h{n}"] = _mix([np.full(codes.shape[1], 7 + n, np.uint64), *codes[ORDER - 1 - n : ORDER - 1]])
+    return ids
 
 
 KEYS = ["g5", "h4", "g4", "h3", "g3", "h2", "g2", "h1", "g1"]
-COUNTED = ", ".join(f"{k} long" for k in KEYS) + ", o0 double, t0 double, o2 double, t2 double"
+SUMS = ["o0", "t0", "o2", "t2"]
+#: Distinct 5-grams that a task holds before it sends its partial counts on.
+GRAMS_KEPT = 1_000_000
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic, fold) -> partial counts of 5-grams by fold and class."""
     counts: dict[str, list[int]] = {}
-
-    def flush():
-        words = list(counts)
-        weights = np.array(list(counts.values()), np.float64)
-        word, ids = grams(words)
-        _, first, inverse = np.unique(ids["g5"], return_index=True, return_inverse=True)
-        sums = [np.bincount(inverse, weights[word, k], len(first)) for k in range(4)]
-        for a in range(0, len(first), 20_000):
-            part = first[a : a + 20_000]
-            cols = [pa.array(ids[k][part].view(np.int64)) for k in KEYS] + [pa.array(s[a : a + 20_000]) for s in sums]
-            yield pa.RecordBatch.from_arrays(cols, [*KEYS, "o0", "t0", "o2", "t2"])
+    held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # identities, characters, sums
+
+    def gathered():
+        word, codes = codes_of(list(counts))
+        weights = np.array(list(counts.values()), np.int64)[word]
+        ids = _mix(list(codes))
+        if held is not None:
+            ids, codes, weights = np.concatenate([held[0], ids]), np.concatenate([held[1], codes], 1), np.concatenate([held[2], weights])
+        ids, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
+        sums = np.stack([np.bincount(inverse, weights[:, k], len(ids)) for k in range(4)], 1).astype(np.int64)
+        return ids, codes[:, first], sums
+
+    def rows():
+        _, codes, sums = held
+        names = np.ascontiguousarray(np.maximum(codes, 1).astype("<u4").T).view(f"<U{ORDER}")[:, 0]
+        for a in range(0, len(names), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 20_000].tolist()), *[pa.array(sums[a : a + 20_000, k]) for k in range(4)]], ["gram", *SUMS])
 
     for b in batches:
         for text, toxic, fold in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -102,10 +114,27 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w, n in Counter(WORD.findall(text.lower())).items():
                 counts.setdefault(w, [0, 0, 0, 0])[k] += n
         if len(counts) > WORDS_KEPT:
-            yield from flush()
+            held = gathered()
             counts.clear()
+            if len(held[0]) > GRAMS_KEPT:
+                yield from rows()
+                held = None
     if counts:
-        yield from flush()
+        held = gathered()
+    if held is not None:
+        yield from rows()
+
+
+def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, sums) -> identities of the gram and its parts, and the sums."""
+    for b in batches:
+        if b.num_rows:
+            codes = np.frombuffer("".join(b.column(0).to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, ORDER).T.astype(np.uint64)
+            ids = grams(np.where(codes == 1, np.uint64(0), codes))
+            yield pa.RecordBatch.from_arrays([*[pa.array(ids[k].view(np.int64)) for k in KEYS], *b.columns[1:]], [*KEYS, *SUMS])
+
+
+_loaded: dict[str, Tables] = {}
 
 
 class Tables:
@@ -113,7 +142,7 @@ class Tables:
 
     def __init__(self, rows: dict[str, tuple[np.ndarray, np.ndarray]]):
         width = {"top": 4, "context": 10}
-        self.of = {}
+        self.of: dict[str, np.ndarray] = {}
         for kind in ("top", "context", *(f"{x}{n}" for n in range(1, ORDER) for x in "csd")):
             dense = np.zeros((SLOTS, width.get(kind, 1)), np.float32)
             if kind in rows:
@@ -122,9 +151,34 @@ class Tables:
             self.of[kind] = dense
         self.total = float(self.of["c1"].sum())
 
+    def save(self, uri: str) -> str:
+        """Writes the tables once, to a folder that driver and executors share; returns the file's address."""
+        fs, path = pafs.FileSystem.from_uri(uri)
+        packed = io.BytesIO()
+        np.savez_compressed(packed, **self.of)
+        fs.create_dir(path, recursive=True)
+        with fs.open_output_stream(f"{path}/tables.npz") as out:
+            out.write(packed.getvalue())
+        return uri
+
+    @staticmethod
+    def load(uri: str) -> Tables:
+        """The tables of an address; a Python worker keeps the last ones for its tasks."""
+        if uri not in _loaded:
+            fs, path = pafs.FileSystem.from_uri(uri)
+            with fs.open_input_stream(f"{path}/tables.npz") as f:
+                arrays = np.load(io.BytesIO(f.read()))
+                found = Tables({})
+                found.of = {k: arrays[k] for k in arrays.files}
+            found.total = float(found.of["c1"].sum())
+            _loaded.clear()
+            _loaded[uri] = found
+        return _loaded[uri]
+
     def word_scores(self, words: list[str], folds: str) -> np.ndarray:
         """Each word's toxic minus ordinary log-likelihood. folds: whose counts are used ("0", "2" or "02")."""
-        word, ids = grams(words)
+        word, codes = codes_of(words)
+        ids = grams(codes)
         slot = {k: (v & np.uint64(SLOTS - 1)).astype(np.int64) for k, v in ids.items()}
         p = (self.of["c1"][slot["g1"], 0] + 0.1) / (self.total + 0.1 * SLOTS)
         for n in range(2, ORDER):
@@ -174,15 +228,16 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     crc = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     y = y.where(crc != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return texts(docs).where(crc != 1).join(y, "doc_id").withColumn("fold", (crc == 2).cast("int"))
+    # sorted and merged whatever the labels' size, so that a small corpus behaves like a large one
+    return texts(docs).where(crc != 1).join(y.hint("merge"), "doc_id").withColumn("fold", (crc == 2).cast("int"))
 
 
 def count_tables(training: DataFrame) -> Tables:
     """Counts over all training rows; what reaches the driver is bounded by ``SLOTS`` for each kind."""
-    spark = training.sparkSession
-    partial = training.select("text", "toxic", "fold").mapInArrow(_count_words, COUNTED)
-    sums = ["o0", "t0", "o2", "t2"]
-    g5, _ = written(partial.groupBy("g5").agg(*[F.first(k).alias(k) for k in KEYS[1:]], *[F.sum(s).alias(s) for s in sums]), "grams")
+    sums = SUMS
+    partial = training.select("text", "toxic", "fold").mapInArrow(_count_words, "gram string, " + ", ".join(f"{s} long" for s in SUMS))
+    counted = partial.groupBy("gram").agg(*[F.sum(s).alias(s) for s in sums])
+    g5, _ = written(counted.mapInArrow(_identities, ", ".join(f"{c} long" for c in [*KEYS, *SUMS])), "grams")
 
     def slot(k):
         return F.col(k).bitwiseAND(F.lit(SLOTS - 1)).alias("slot")
@@ -231,10 +286,13 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Tables and logistic weights."""
+    """Where the tables are, and logistic weights."""
+
+    def __init__(self, uri: str, weights: np.ndarray):
+        self.uri, self.weights = uri, weights
 
-    def __init__(self, tables: Tables, weights: np.ndarray):
-        self.tables, self.weights = tables, weights
+    def scorer(self) -> Scorer:
+        return Scorer(Tables.load(self.uri), "02")
 
     def scores(self, scorer: Scorer, ts: list[str]) -> list[float]:
         x = np.array(scorer.batch(ts)).reshape(len(ts), FEATURES)
@@ -247,13 +305,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     by_class = {r["toxic"]: r["n"] for r in training.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(by_class) < 2:
         return None
-    tables = count_tables(training)
+    uri = count_tables(training).save(new_path(docs.sparkSession, "toxic-tables"))
     share = min(1.0, fit_rows / sum(by_class.values()))
     sample = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        other = {0: Scorer(shared.value, "2"), 1: Scorer(shared.value, "0")}  # counts of the fold it is not in
+        tables = Tables.load(uri)
+        other = {0: Scorer(tables, "2"), 1: Scorer(tables, "0")}  # counts of the fold it is not in
         for b in batches:
             ts, ys, folds = (b.column(k).to_pylist() for k in (1, 2, 3))
             for f in (0, 1):
@@ -265,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     y = got["y"].to_numpy().astype(float)
     if len(y) == 0 or y.min() == y.max():
         return None
-    return Model(tables, logistic(np.array(got["x"].to_pylist()), y))
+    return Model(uri, logistic(np.array(got["x"].to_pylist()), y))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -275,12 +333,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = texts(docs).select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out"))
     if model is None:
         return rows.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value.tables, "02")
+        scorer = model.scorer()
         for b in batches:
-            s = shared.value.scores(scorer, b.column(1).to_pylist())
+            s = model.scores(scorer, b.column(1).to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "held_out": b.column(2), "score": pa.array(s, pa.float64()), "predicted": pa.array([int(x >= THRESHOLD) for x in s], pa.int32())})
 
     return rows.mapInArrow(run, SCORES)
@@ -291,13 +348,12 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     model = fit(texts(docs, id_col, text_col), labels)
     if model is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value.tables, "02")
+        scorer = model.scorer()
         for b in batches:
-            s = shared.value.scores(scorer, [t or "" for t in b.column(at).to_pylist()])
+            s = model.scores(scorer, [t or "" for t in b.column(at).to_pylist()])
             yield b.filter(pa.array([x < THRESHOLD for x in s], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
