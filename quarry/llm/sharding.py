@@ -16,6 +16,7 @@ name; Spark commits only one.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,6 +29,8 @@ TARGET_BYTES = 32 << 20
 TIER_BYTES, FANOUT, TIERS = 256 << 10, 4, 12
 #: Rows of an arrival in the query.
 ARRIVAL_ROWS = 250
+#: Up to so many moves of shards are sent to all executors; more are joined by a shuffle.
+BROADCAST_SHARDS = 100_000
 #: Groups that rows without an id are dealt into.
 NULL_ARRIVALS = 64
 OWN = ("__arrival", "__shard", "__version")
@@ -61,6 +64,13 @@ def plan(shards: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     return small.unionByName(tiered.where(F.col("bytes") >= target).withColumn("merged", F.col("__shard")))
 
 
+def settle(spark: SparkSession) -> None:
+    """Gives Spark's cleaner the time to remove the shuffle files of the write before, so that disk holds one copy less."""
+    for _ in range(3):
+        release(spark)
+        time.sleep(0.5)
+
+
 class ShardStore:
     """A folder with ``data/__version=N/__shard=NAME/`` and ``manifest/N.json``."""
 
@@ -131,6 +141,7 @@ class ShardStore:
         named = named.withColumn("__shard", F.concat_ws("-", F.lit(f"a{version}"), F.col("__arrival").cast("string")))
         at = self._write(named.repartition(tasks_for(self.spark), "__arrival"), version)
         new = [s | {"at": at} for s in self._sizes(self._read_at(at, named))]
+        settle(self.spark)
         return self.commit(head["version"], head["shards"] + new, rows.schema.json())
 
     def _read_at(self, at: str, like: DataFrame) -> DataFrame:
@@ -169,7 +180,9 @@ class ShardStore:
         names = sorted(set(merged.values()))
         number = {n: k for k, n in enumerate(names)}
         moves = self.spark.createDataFrame([(a, f"{b}-v{version}", number[b]) for a, b in merged.items()], "__shard string, __to string, __number int")
-        rows = self.read().where(F.col("__shard").isin(list(merged))).join(moves, "__shard")
+        if len(merged) <= BROADCAST_SHARDS:  # a name and a number for each shard
+            moves = F.broadcast(moves)
+        rows = self.read().join(moves, "__shard")
         like = rows.drop("__number", "__shard").withColumnRenamed("__to", "__shard")
         dealt = rows.repartitionById(len(names), F.col("__number")).drop("__number", "__shard").withColumnRenamed("__to", "__shard")
         at = self._write(dealt, version)
