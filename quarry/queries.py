@@ -502,7 +502,7 @@ def coulomb_energy(spark, sf_dir):
 
 @query()
 def atom_sasa(spark, sf_dir):
-    p = points(spark, sf_dir).where("atom < 2000").withColumn("radius", m.radius_of(F.element_at(F.array(*[F.lit(e) for e in "CNOS"]), (F.pmod("atom", F.lit(4)) + 1).cast("int"))))
+    p = points(spark, sf_dir).withColumn("radius", m.radius_of(F.element_at(F.array(*[F.lit(e) for e in "CNOS"]), (F.pmod("atom", F.lit(4)) + 1).cast("int"))))
     return spatial.sasa(p.select("label", "atom", "x", "y", "z", "radius"), ["label"])
 
 
@@ -666,12 +666,12 @@ def output_container(spark, sf_dir):
 
 @query()
 def elastic_modes(spark, sf_dir):
-    return structure.elastic_modes(_posed(spark, sf_dir).where("id < 400"), ["label"])
+    return structure.elastic_modes(_posed(spark, sf_dir), ["label"])
 
 
 @query()
 def strongest_couplings(spark, sf_dir):
-    return structure.strongest_couplings(structure.cross_correlation(_posed(spark, sf_dir).where("id < 400"), ["label"]), ["label"])
+    return structure.strongest_couplings(structure.cross_correlation(_posed(spark, sf_dir), ["label"]), ["label"])
 
 
 @query()
