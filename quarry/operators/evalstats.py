@@ -17,6 +17,7 @@ from .ranking import average_ranks
 
 EF_FRACTIONS = (0.01, 0.05)
 BEDROC_ALPHA = 20.0
+BOOTSTRAP_SAMPLES = 1000
 
 
 def ef_at(df: DataFrame, score: str, label: str, keys: list[str], item: str, fraction: float) -> DataFrame:
@@ -80,7 +81,7 @@ def resampled(df: DataFrame, keys: list[str], item: str, samples: int, seed: int
     return df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("w", draws).where("w > 0")
 
 
-def bootstrap_mean(df: DataFrame, value: str, keys: list[str], item: str, samples: int = 200, level: float = 0.95, seed: int = 20240101) -> DataFrame:
+def bootstrap_mean(df: DataFrame, value: str, keys: list[str], item: str, samples: int = BOOTSTRAP_SAMPLES, level: float = 0.95, seed: int = 20240101) -> DataFrame:
     """Percentile interval of a mean."""
     means = resampled(df, keys, item, samples, seed).groupBy(*keys, "b").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("m"))
     tail = (1 - level) / 2
@@ -95,7 +96,7 @@ def weighted_auc(rows: DataFrame, score: str, label: str, keys: list[str]) -> Da
     return g.select(*keys, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u") / (F.col("p").cast("double") * F.col("q"))).alias("auc"))
 
 
-def paired_difference(df: DataFrame, a: str, b: str, label: str, keys: list[str], item: str, samples: int = 100, level: float = 0.95, seed: int = 20240101) -> DataFrame:
+def paired_difference(df: DataFrame, a: str, b: str, label: str, keys: list[str], item: str, samples: int = BOOTSTRAP_SAMPLES, level: float = 0.95, seed: int = 20240101) -> DataFrame:
     """Interval of the difference of two scores' ROC areas on the same resamples."""
     drawn = resampled(df, keys, item, samples, seed)
     x = weighted_auc(drawn, a, label, [*keys, "b"]).withColumnRenamed("auc", "x")

@@ -382,7 +382,7 @@ def bootstrap_interval(spark, sf_dir):
 @query()
 def paired_difference(spark, sf_dir):
     d = scored(spark, sf_dir).withColumn("other", -F.col("doc_id"))
-    return evalstats.paired_difference(d, "n_chars", "other", "quality", ["lang"], "doc_id", samples=40)
+    return evalstats.paired_difference(d, "n_chars", "other", "quality", ["lang"], "doc_id")
 
 
 @query(SCORED.rstrip() + " SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS position FROM documents")

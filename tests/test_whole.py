@@ -32,3 +32,16 @@ def test_networks_have_all_nodes(spark):
     want = {(r["label"], r["mode"]): r["eigenvalue"] for r in Q.structure.elastic_modes(Q._posed(spark, SF), ["label"]).collect()}
     got = {(r["label"], r["mode"]): r["eigenvalue"] for r in Q.QUERIES["elastic_modes"](spark, SF).collect()}
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("name", ["bootstrap_interval", "paired_difference"])
+def test_bootstraps_draw_a_thousand_resamples(spark, monkeypatch, name):
+    drawn, draw = [], Q.evalstats.resampled
+
+    def noted(df, keys, item, samples, seed):
+        drawn.append(samples)
+        return draw(df, keys, item, samples, seed)
+
+    monkeypatch.setattr(Q.evalstats, "resampled", noted)
+    Q.QUERIES[name](spark, SF)
+    assert drawn == [1000]
