@@ -69,6 +69,11 @@ def matrix(cells: DataFrame, row: str, column: str, value: str, values: list) ->
     return cells.groupBy(row).pivot(column, values).agg(F.avg(value))
 
 
+def cells_by_row(cells: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """Cells as one array for each row, by column; however many columns there are."""
+    return cells.groupBy(row).agg(F.array_sort(F.collect_list(F.struct(column, value))).alias("cells"))
+
+
 def study_diff(first: DataFrame, second: DataFrame, top: int = 10) -> DataFrame:
     """Two studies ``(name, best)`` by member: change, ranks, change of rank, kind of movement, top list entered or left."""
 

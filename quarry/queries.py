@@ -156,6 +156,12 @@ def panel_matrix(spark, sf_dir):
     return out.select("ligand", *[F.round(F.col(f"`{k}`"), 9).alias(f"r{k}") for k in (1, 2, 3, 4)])
 
 
+@query()
+def panel_matrix_all(spark, sf_dir):
+    """``panel_matrix`` over all receptors."""
+    return rollups.cells_by_row(rounded(rollups.panel_cells(results(spark, sf_dir)), "affinity", places=9), "ligand", "receptor", "affinity")
+
+
 @query(RESULTS + ", r AS (SELECT *, min(affinity) OVER (PARTITION BY receptor) AS b FROM results) SELECT receptor, run, round(affinity, 6) AS affinity FROM r WHERE affinity <= b + 0.5")
 def within_energy_range(spark, sf_dir):
     return rounded(rollups.within_best(results(spark, sf_dir), ["receptor"], "affinity", 0.5).select("receptor", "run", "affinity"), "affinity")
@@ -576,6 +582,15 @@ def pending_jobs(spark, sf_dir):
     return library.pending(jobs, results(spark, sf_dir), ["receptor", "ligand"]).select("receptor", "ligand")
 
 
+@query()
+def pending_jobs_all(spark, sf_dir):
+    """``pending_jobs`` over all ligands."""
+    ligands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ligand"))
+    receptors = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("receptor"))
+    jobs = library.job_table(ligands, receptors, [0]).drop("seed")
+    return library.pending(jobs, results(spark, sf_dir), ["receptor", "ligand"]).select("receptor", "ligand")
+
+
 @query("""SELECT vec_id, 'ATOM' AS record, CAST(vec_id % 100000 AS INTEGER) AS serial, 'C' AS name, 'LIG' AS res_name, 'A' AS chain, label AS res_id, round(CAST(embedding[1] AS DOUBLE) * 20, 3) AS x, round(CAST(embedding[2] AS DOUBLE) * 20, 3) AS y, round(CAST(embedding[3] AS DOUBLE) * 20, 3) AS z, round(CAST((vec_id % 5) - 2 AS DOUBLE), 3) AS charge, 'OA' AS ad_type FROM embeddings""")
 def atom_records(spark, sf_dir):
     p = points(spark, sf_dir)

@@ -1,5 +1,6 @@
 """Queries take all of their input: none leaves rows out."""
 
+import duckdb
 import pytest
 
 from quarry import queries as Q
@@ -45,3 +46,21 @@ def test_bootstraps_draw_a_thousand_resamples(spark, monkeypatch, name):
     monkeypatch.setattr(Q.evalstats, "resampled", noted)
     Q.QUERIES[name](spark, SF)
     assert drawn == [1000]
+
+
+def plain(sql):
+    con = duckdb.connect()
+    for t in ("lineitem", "part", "supplier"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con.sql(sql).fetchall()
+
+
+def test_panel_has_all_receptors(spark):
+    got = {(r["ligand"], c["receptor"]): c["affinity"] for r in Q.QUERIES["panel_matrix_all"](spark, SF).collect() for c in r["cells"]}
+    want = {(r[0], r[1]): r[2] for r in plain(Q.CELLS + "SELECT ligand, receptor, affinity FROM cells")}
+    assert got == pytest.approx(want)
+
+
+def test_pending_jobs_have_all_ligands(spark):
+    got = sorted(tuple(r) for r in Q.QUERIES["pending_jobs_all"](spark, SF).collect())
+    assert got == sorted(plain("SELECT s_suppkey, p_partkey FROM supplier, part WHERE (s_suppkey, p_partkey) NOT IN (SELECT l_suppkey, l_partkey FROM lineitem)"))
