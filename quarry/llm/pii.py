@@ -1,9 +1,10 @@
-"""Personal data: base patterns, and information-theoretic sanitisation of what stands near them.
+"""Personal data: base patterns, and information-theoretic sanitisation of what discloses them.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Each is a protected entity. From the corpus come
-the share of documents with an entity, with a term, and with the term close to the entity. A term discloses an entity by
-the share of the entity's information that it carries: PMI(term; entity) / IC(entity). Terms at or above a
-threshold are added as spans of kind ``term``; sanitising generalises them, or removes those that say nearly all.
+the share of documents with an entity, with a term, and with both, wherever in the text they stand. A term discloses an
+entity by the share of the entity's information that it carries: PMI(term; entity) / IC(entity). Every occurrence, in any
+document, of a term at or above a threshold is added as a span of kind ``term``; sanitising generalises them, or removes
+those that say nearly all.
 
 All of it is DataFrame functions. Offsets count code points, ends are exclusive. Null and empty texts have no spans.
 Texts of any length are searched whole. Repeated rows get equal spans and count as several documents in the statistics.
@@ -29,8 +30,8 @@ PATTERNS = {
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM = "term"
 WORD = r"\p{L}+"
-#: Code points on either side of an entity whose words are close to it.
-CONTEXT = 48
+#: Terms that are too frequent to disclose anything and are set aside before rows move; a bound on that list alone.
+FREQUENT = 4096
 #: Share of an entity's information from which a term is added, and from which it is removed outright.
 DISCLOSURE, REMOVAL = 0.8, 0.95
 MARKS = {k: f"<{k.upper()}>" for k in (*KINDS, TERM)}
@@ -106,68 +107,98 @@ def row_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text"))
 
 
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text: hashes of its words in lower case."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, r"[^\p{L}]+"), lambda w: w != ""), lambda w: F.xxhash64(F.lower(w))))
+
+
 def base_table(docs: DataFrame) -> DataFrame:
-    """``(key, doc_id, spans, near)``; near has each entity, hashed, with the text on both sides of it."""
+    """``(key, doc_id, spans, entities, terms)``; terms are those of the whole text where it has entities, else none."""
     rows = texts(docs).withColumn("key", row_key()).withColumn("spans", base_spans(F.col("text")))
-    near = F.transform(
-        "spans",
-        lambda s: F.struct(
-            F.xxhash64(s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(digits(s["value"]))).alias("entity"),
-            F.greatest(s["start"] - CONTEXT - 1, F.lit(0)).alias("left_at"),
-            F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT - 1, F.lit(0)) + 1, s["start"] - F.greatest(s["start"] - CONTEXT - 1, F.lit(0))).alias("left"),
-            s["end"].alias("right_at"),
-            F.substring(F.col("text"), s["end"] + 1, F.lit(CONTEXT + 1)).alias("right"),
-        ),
-    )
-    return rows.select("key", "doc_id", "spans", near.alias("near"))
+    entities = F.transform("spans", lambda s: F.xxhash64(s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(digits(s["value"]))))
+    terms = F.when(F.size("spans") > 0, terms_of(F.col("text"))).otherwise(F.array().cast("array<bigint>"))
+    return rows.select("key", "doc_id", "spans", F.array_distinct(entities).alias("entities"), terms.alias("terms"))
 
 
-def context_words(base: DataFrame) -> DataFrame:
-    """``(key, entity, term, start, end)`` of whole words close to an entity, outside all base spans."""
-    ctx = base.where(F.size("spans") > 0).select("key", "spans", F.explode("near").alias("n")).select("key", "spans", "n.*")
-    left = F.filter(found(F.col("left"), WORD), lambda w: (w["start"] > 0) | (F.col("left_at") == 0))  # may be cut off
-    right = F.filter(found(F.col("right"), WORD), lambda w: w["end"] <= CONTEXT)
-    moved = F.concat(
-        F.transform(left, lambda w: F.struct((w["start"] + F.col("left_at")).alias("start"), (w["end"] + F.col("left_at")).alias("end"), F.xxhash64(F.lower(w["value"])).alias("term"))),
-        F.transform(right, lambda w: F.struct((w["start"] + F.col("right_at")).alias("start"), (w["end"] + F.col("right_at")).alias("end"), F.xxhash64(F.lower(w["value"])).alias("term"))),
-    )
-    apart = F.filter(moved, lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    return ctx.select("key", "entity", F.explode(apart).alias("w")).select("key", "entity", "w.term", "w.start", "w.end")
+def document_terms(docs: DataFrame, frequent: list[int]) -> DataFrame:
+    """``(key, term)`` of all documents without the frequent terms, a list of bounded length."""
+    rows = texts(docs).withColumn("key", row_key()).select("key", F.explode(terms_of(F.col("text"))).alias("term"))
+    return rows.where(~F.col("term").isin(frequent)) if frequent else rows
 
 
 def term_documents(docs: DataFrame) -> DataFrame:
-    """``(term, df)``: in how many documents each term stands, over all documents."""
-    words = F.array_distinct(F.split(F.lower(F.col("text")), r"[^\p{L}]+"))
-    return texts(docs).select(F.explode(words).alias("w")).where("w <> ''").groupBy(F.xxhash64("w").alias("term")).agg(F.count("*").alias("df"))
+    """``(term, df_term)``: in how many documents each term stands, over all documents."""
+    return texts(docs).select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
 
 
-def disclosure(docs: DataFrame, base: DataFrame, words: DataFrame) -> DataFrame:
-    """``(entity, term, degree)``: the share of the entity's information that the term carries, by document counts."""
+def disclosure(base: DataFrame, of_term: DataFrame, threshold: float) -> tuple[DataFrame, list[int]]:
+    """``(entity, term, degree)`` of all degrees from ``threshold`` on, and frequent terms that disclose nothing.
+
+    The degree is the share of the entity's information that the term carries, by counts of whole documents. A term and
+    an entity meet in at most as many documents as have the entity, so a degree from the threshold on needs
+    ``df_term <= n * (df_entity / n) ** threshold``. Pairs beyond that are never formed; no other pair is left out.
+    """
     n = float(max(base.count(), 2))
     # repeated rows share a key; they count as often as they occur
-    rows = base.groupBy("key").agg(F.count("*").alias("rows"))
-    entities = base.select("key", F.explode("near").alias("n")).select("key", F.col("n.entity").alias("entity"))
-    of_entity = entities.distinct().join(rows, "key").groupBy("entity").agg(F.sum("rows").alias("df_entity"))
-    together = words.select("key", "entity", "term").distinct().join(rows, "key").groupBy("entity", "term").agg(F.sum("rows").alias("both"))
-    counted = together.join(of_entity, "entity").join(term_documents(docs).withColumnRenamed("df", "df_term"), "term")
+    keyed = base.where(F.size("entities") > 0).groupBy("key").agg(F.count("*").alias("rows"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    of_entity = keyed.select("rows", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("rows").alias("df_entity"))
+    of_entity = of_entity.withColumn("most", n * F.pow(F.col("df_entity") / n, F.lit(threshold)) * (1 + 1e-9))
+    of_entity, _ = written(of_entity, "pii-entities")
+    most = of_entity.agg(F.max("most")).first()[0] or 0.0
+    beyond = of_term.where(F.col("df_term") > most).orderBy(F.col("df_term").desc(), "term").limit(FREQUENT).collect()
+    frequent = [r["term"] for r in beyond]
+    terms = keyed.select("key", F.explode("terms").alias("term"))
+    terms = terms.where(~F.col("term").isin(frequent)) if frequent else terms
+    terms = terms.join(of_term.where(F.col("df_term") <= most), "term")
+    entities = keyed.select("key", "rows", F.explode("entities").alias("entity")).join(of_entity, "entity")
+    together = terms.join(entities, "key").where(F.col("df_term") <= F.col("most"))
+    counted = together.groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.first("df_term").alias("df_term"), F.first("df_entity").alias("df_entity"))
     pmi = F.log2(F.lit(n) * F.col("both") / (F.col("df_term").cast("double") * F.col("df_entity")))
     information = F.log2(F.lit(n) / F.col("df_entity"))
-    return counted.select("entity", "term", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)).alias("degree"))
+    degree = F.when(information > 0, pmi / information).otherwise(F.lit(0.0))
+    return counted.select("entity", "term", degree.alias("degree")).where(F.col("degree") >= threshold), frequent
 
 
-def disclosing_spans(docs: DataFrame, base: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
-    """``(key, terms)``: the words of each row that disclose an entity close to them, with their greatest degree."""
-    words, _ = written(context_words(base).distinct(), "pii-words")
-    degrees, _ = written(disclosure(docs, base, words).where(F.col("degree") >= threshold), "pii-degrees")
-    hits = words.join(degrees, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("degree").alias("degree"))
-    span = F.struct("start", F.lit(len(KINDS)).alias("order"), "end", F.lit(TERM).alias("kind"), "degree")
-    return hits.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("terms"))
+def marks(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
+    """``(key, spans, hits)`` of each row that has base spans or disclosing terms; hits are terms with their greatest degree."""
+    base, _ = written(base_table(docs), "pii-base")
+    of_term, _ = written(term_documents(docs), "pii-terms")
+    degrees, frequent = disclosure(base, of_term, threshold)
+    disclosing, _ = written(degrees.groupBy("term").agg(F.max("degree").alias("degree")), "pii-degrees")
+    stands = document_terms(docs, frequent).join(disclosing, "term").groupBy("key", "term").agg(F.first("degree").alias("degree"))
+    hits = stands.groupBy("key").agg(F.collect_list(F.struct("term", "degree")).alias("hits"))
+    spans = base.where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("spans"))
+    out, _ = written(spans.join(hits, "key", "full_outer"), "pii-marks")
+    return out
+
+
+def term_spans(text: Column, spans: Column, hits: Column) -> Column:
+    """Every word of the text, outside its base spans, whose term is among the hits; what is gathered grows with these alone."""
+    none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,degree:double>>")
+    values = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    words = F.zip_with(values, F.slice(F.transform(F.split(text, WORD, -1), F.length), 1, F.size(values)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+    degree_of = F.map_from_entries(hits)
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["value"])
+        degree = F.element_at(degree_of, F.xxhash64(F.lower(x["value"])))
+        span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("order"), end.alias("end"), F.lit(TERM).alias("kind"), degree.alias("degree"))
+        return F.struct(end.alias("at"), F.when(degree.isNotNull(), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    found_ = F.aggregate(words, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    apart = F.filter(found_, lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    return F.when(hits.isNotNull() & (F.size(hits) > 0), apart).otherwise(none)
+
+
+NO_SPANS = "array<struct<start:int,order:int,end:int,kind:string,value:string>>"
 
 
 def spans_of(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
-    """``(key, doc_id, spans, terms)`` of every row; terms is null where none was added."""
-    base, _ = written(base_table(docs), "pii-base")
-    return base.select("key", "doc_id", "spans").join(disclosing_spans(docs, base, threshold), "key", "left")
+    """``(key, doc_id, spans, terms)`` of every row."""
+    rows = texts(docs).withColumn("key", row_key()).join(marks(docs, threshold), "key", "left")
+    rows = rows.withColumn("spans", F.coalesce("spans", F.array().cast(NO_SPANS)))
+    return rows.select("key", "doc_id", "spans", term_spans(F.col("text"), F.col("spans"), F.col("hits")).alias("terms"))
 
 
 def all_spans() -> Column:
@@ -192,11 +223,11 @@ def sanitise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", th
     Of overlapping spans the first counts. All columns stay.
     """
     ids = texts(docs, id_col, text_col)
-    found_ = spans_of(ids, threshold).groupBy("key").agg(F.first("spans").alias("__spans"), F.first("terms").alias("__terms")).where("size(__spans) > 0")
+    found_ = marks(ids, threshold).select("key", F.coalesce("spans", F.array().cast(NO_SPANS)).alias("__spans"), F.col("hits").alias("__hits"))
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("-")), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     typed = "array<struct<start:int,end:int,mark:string>>"
     base = F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("mark")))
-    terms = F.transform("__terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["degree"] >= removal, "").otherwise(MARKS[TERM]).alias("mark")))
+    terms = F.transform(term_spans(F.col(text_col).cast("string"), F.col("__spans"), F.col("__hits")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["degree"] >= removal, "").otherwise(MARKS[TERM]).alias("mark")))
     spans = F.array_sort(F.concat(base, F.coalesce(terms, F.array().cast(typed))))
     text = F.col(text_col).cast("string")
 
