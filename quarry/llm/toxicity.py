@@ -8,8 +8,8 @@ features are that difference per character over the whole text (length-normalise
 comes from words that speak clearly for the toxic class. A logistic function, fitted across two folds so that no
 document is scored with its own counts, turns features into a score between 0 and 1.
 
-Counts come from every labelled row outside the held-out third. Tables have a fixed number of hashed slots per
-order (``SLOTS``), so the model that is sent to the executors has the same size for any corpus. Only
+Counts come from every labelled row outside the held-out third. They are kept by a 64-bit identity of each n-gram
+and context, in a written table that grows with the distinct n-grams; each Python worker loads it. Only
 the logistic fit uses a bounded sample (``FIT_ROWS`` labelled rows, chosen by a hash of the id).
 
 Null and empty texts, and texts without letters, have no features and get the score of a text of neutral features.
@@ -19,21 +19,23 @@ scores are 0. Repeated documents and rows with null ids are scored like any othe
 
 from __future__ import annotations
 
-import io
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, texts, written
+from .common import texts, written
 
 ORDER = 5
-SLOTS = 1 << 19
+#: Characters that the lowest order allows for.
+CHARACTERS = 1 << 19
 DISCOUNT = 0.75
 FIT_ROWS = 20_000
 THRESHOLD = 0.7
@@ -138,55 +140,53 @@ _loaded: dict[str, Tables] = {}
 
 
 class Tables:
-    """Dense tables by kind; two models (toxic, ordinary) for each choice of folds."""
+    """Counts by kind and full identity; two models (toxic, ordinary) for each choice of folds."""
 
     def __init__(self, rows: dict[str, tuple[np.ndarray, np.ndarray]]):
-        width = {"top": 4, "context": 10}
-        self.of: dict[str, np.ndarray] = {}
-        for kind in ("top", "context", *(f"{x}{n}" for n in range(1, ORDER) for x in "csd")):
-            dense = np.zeros((SLOTS, width.get(kind, 1)), np.float32)
-            if kind in rows:
-                slots, values = rows[kind]
-                dense[slots] = values[:, : dense.shape[1]]
-            self.of[kind] = dense
-        self.total = float(self.of["c1"].sum())
-
-    def save(self, uri: str) -> str:
-        """Writes the tables once, to a folder that driver and executors share; returns the file's address."""
-        fs, path = pafs.FileSystem.from_uri(uri)
-        packed = io.BytesIO()
-        np.savez_compressed(packed, **self.of)
-        fs.create_dir(path, recursive=True)
-        with fs.open_output_stream(f"{path}/tables.npz") as out:
-            out.write(packed.getvalue())
-        return uri
+        self.of: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for kind, (ids, values) in rows.items():
+            order = np.argsort(ids)
+            self.of[kind] = ids[order], values[order]
+        self.total = float(self.of["c1"][1].sum(dtype=np.float64)) if "c1" in self.of else 0.0
 
     @staticmethod
     def load(uri: str) -> Tables:
-        """The tables of an address; a Python worker keeps the last ones for its tasks."""
+        """The tables of a written folder; a Python worker keeps the last ones for its tasks."""
         if uri not in _loaded:
             fs, path = pafs.FileSystem.from_uri(uri)
-            with fs.open_input_stream(f"{path}/tables.npz") as f:
-                arrays = np.load(io.BytesIO(f.read()))
-                found = Tables({})
-                found.of = {k: arrays[k] for k in arrays.files}
-            found.total = float(found.of["c1"].sum())
+            parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for info in fs.get_file_info(pafs.FileSelector(path)):
+                if info.path.endswith(".parquet"):
+                    with fs.open_input_file(info.path) as f:
+                        got = pq.ParquetFile(f).read()
+                    for kind in pc.unique(got["kind"]).to_pylist():
+                        of_kind = got.filter(pc.equal(got["kind"], kind))
+                        ids = of_kind["id"].to_numpy()
+                        values = pc.list_flatten(of_kind["v"]).to_numpy().astype(np.float32)
+                        parts.setdefault(kind, []).append((ids, values.reshape(len(ids), -1)))
+            found = Tables({k: (np.concatenate([x[0] for x in v]), np.concatenate([x[1] for x in v])) for k, v in parts.items()})
             _loaded.clear()
             _loaded[uri] = found
         return _loaded[uri]
 
+    def counts(self, kind: str, ids: np.ndarray) -> np.ndarray:
+        """The counts of each identity; 0 for those that were never seen."""
+        known, values = self.of[kind]
+        wanted = ids.view(np.int64)
+        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        return np.where((known[at] == wanted)[:, None], values[at], np.float32(0))
+
     def word_scores(self, words: list[str], folds: str) -> np.ndarray:
         """Each word's toxic minus ordinary log-likelihood. folds: whose counts are used ("0", "2" or "02")."""
         word, codes = codes_of(words)
         ids = grams(codes)
-        slot = {k: (v & np.uint64(SLOTS - 1)).astype(np.int64) for k, v in ids.items()}
-        p = (self.of["c1"][slot["g1"], 0] + 0.1) / (self.total + 0.1 * SLOTS)
+        p = (self.counts("c1", ids["g1"])[:, 0] + 0.1) / (self.total + 0.1 * CHARACTERS)
         for n in range(2, ORDER):
-            whole = self.of[f"s{n}"][slot[f"h{n - 1}"], 0]
-            kinds = self.of[f"d{n}"][slot[f"h{n - 1}"], 0]
-            seen = np.maximum(self.of[f"c{n}"][slot[f"g{n}"], 0] - DISCOUNT, 0)
+            whole = self.counts(f"s{n}", ids[f"h{n - 1}"])[:, 0]
+            kinds = self.counts(f"d{n}", ids[f"h{n - 1}"])[:, 0]
+            seen = np.maximum(self.counts(f"c{n}", ids[f"g{n}"])[:, 0] - DISCOUNT, 0)
             p = np.where(whole > 0, (seen + DISCOUNT * kinds * p) / np.maximum(whole, 1), p)
-        top, context = self.of["top"][slot["g5"]], self.of["context"][slot["h4"]]
+        top, context = self.counts("top", ids["g5"]), self.counts("context", ids["h4"])
         logs = []
         for cls in (1, 0):
             cols = [2 * (f == "2") + cls for f in folds]
@@ -232,42 +232,33 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts(docs).where(crc != 1).join(y.hint("merge"), "doc_id").withColumn("fold", (crc == 2).cast("int"))
 
 
-def count_tables(training: DataFrame) -> Tables:
-    """Counts over all training rows; what reaches the driver is bounded by ``SLOTS`` for each kind."""
+def count_tables(training: DataFrame) -> str:
+    """Counts over all training rows, by identity; the address of the folder they are written to."""
     sums = SUMS
     partial = training.select("text", "toxic", "fold").mapInArrow(_count_words, "gram string, " + ", ".join(f"{s} long" for s in SUMS))
     counted = partial.groupBy("gram").agg(*[F.sum(s).alias(s) for s in sums])
     g5, _ = written(counted.mapInArrow(_identities, ", ".join(f"{c} long" for c in [*KEYS, *SUMS])), "grams")
 
-    def slot(k):
-        return F.col(k).bitwiseAND(F.lit(SLOTS - 1)).alias("slot")
+    def identity(k):
+        return F.col(k).alias("id")
 
     def long_rows(df, kind, values):
-        return df.select(F.lit(kind).alias("kind"), "slot", F.array(*[F.col(v).cast("double") for v in values]).alias("v"))
+        return df.select(F.lit(kind).alias("kind"), "id", F.array(*[F.col(v).cast("double") for v in values]).alias("v"))
 
     kinds = [F.sum((F.col(s) > 0).cast("long")).alias("n" + s) for s in sums]
     either = [F.sum((F.col(f"{c}0") + F.col(f"{c}2") > 0).cast("long")).alias("n" + c) for c in "ot"]
-    out = long_rows(g5.groupBy(slot("g5")).agg(*[F.sum(s).alias(s) for s in sums]), "top", sums)
-    out = out.unionByName(long_rows(g5.groupBy(slot("h4")).agg(*[F.sum(s).alias(s) for s in sums], *kinds, *either), "context", [*sums, *["n" + s for s in sums], "no", "nt"]))
+    out = long_rows(g5.groupBy(identity("g5")).agg(*[F.sum(s).alias(s) for s in sums]), "top", sums)
+    out = out.unionByName(long_rows(g5.groupBy(identity("h4")).agg(*[F.sum(s).alias(s) for s in sums], *kinds, *either), "context", [*sums, *["n" + s for s in sums], "no", "nt"]))
     above = g5
     for n in range(ORDER - 1, 0, -1):  # distinct (n+1)-grams give the continuation counts of order n
-        out = out.unionByName(long_rows(above.groupBy(slot(f"g{n}")).agg(F.count("*").alias("n")), f"c{n}", ["n"]))
+        out = out.unionByName(long_rows(above.groupBy(identity(f"g{n}")).agg(F.count("*").alias("n")), f"c{n}", ["n"]))
         rest = KEYS[KEYS.index(f"g{n}") :]
         here = above.select(*rest).distinct()
         if n > 1:
-            out = out.unionByName(long_rows(above.groupBy(slot(f"h{n - 1}")).agg(F.count("*").alias("n")), f"s{n}", ["n"]))
-            out = out.unionByName(long_rows(here.groupBy(slot(f"h{n - 1}")).agg(F.count("*").alias("n")), f"d{n}", ["n"]))
+            out = out.unionByName(long_rows(above.groupBy(identity(f"h{n - 1}")).agg(F.count("*").alias("n")), f"s{n}", ["n"]))
+            out = out.unionByName(long_rows(here.groupBy(identity(f"h{n - 1}")).agg(F.count("*").alias("n")), f"d{n}", ["n"]))
         above = here
-    rows: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    got = out.toArrow()
-    kind, slots = np.array(got["kind"].to_pylist()), got["slot"].to_numpy()
-    flat = got["v"].combine_chunks()
-    offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-    for k in set(kind.tolist()):
-        at = np.flatnonzero(kind == k)
-        size = offsets[at[0] + 1] - offsets[at[0]]
-        rows[k] = slots[at], values[offsets[at][:, None] + np.arange(size)]
-    return Tables(rows)
+    return written(out, "toxic-tables")[1]
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -305,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     by_class = {r["toxic"]: r["n"] for r in training.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(by_class) < 2:
         return None
-    uri = count_tables(training).save(new_path(docs.sparkSession, "toxic-tables"))
+    uri = count_tables(training)
     share = min(1.0, fit_rows / sum(by_class.values()))
     sample = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
 

@@ -1,6 +1,10 @@
 """Operators take whole texts and whole corpora."""
 
-from quarry.llm import pii
+import random
+
+import numpy as np
+
+from quarry.llm import pii, toxicity
 
 
 def test_terms_disclose_from_anywhere_in_any_document(spark):
@@ -15,3 +19,16 @@ def test_terms_disclose_from_anywhere_in_any_document(spark):
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert "Quillon" not in clean[200] + clean[201] and "<EMAIL>" in clean[200]
     assert clean[5] == rows[5][1]
+
+
+def test_each_gram_has_its_own_count(spark):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(30_000)]
+    data = [(" ".join(words[k::100]), k % 2, k // 2 % 2) for k in range(100)]
+    training = spark.createDataFrame(data, "text string, toxic int, fold int")
+    tables = toxicity.Tables.load(toxicity.count_tables(training))
+    codes = toxicity.codes_of(words)[1]
+    ids, n = np.unique(toxicity.grams(codes)["g5"], return_counts=True)
+    assert len(set((ids & np.uint64(2**19 - 1)).tolist())) < len(ids)  # some would share one of 2**19 slots
+    assert tables.counts("top", ids).sum(1).tolist() == n.tolist()
+    assert tables.counts("top", toxicity.grams(toxicity.codes_of(["qqqqqqqq"])[1])["g5"][4:7]).sum() == 0
