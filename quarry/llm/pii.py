@@ -176,17 +176,19 @@ def term_spans(text: Column, spans: Column, hits: Column) -> Column:
     """Every word of the text, outside its base spans, whose term is among the hits; what is gathered grows with these alone."""
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,degree:double>>")
     values = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    words = F.zip_with(values, F.slice(F.transform(F.split(text, WORD, -1), F.length), 1, F.size(values)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    degree_of = F.map_from_entries(hits)
+    gaps = F.slice(F.transform(F.split(text, WORD, -1), F.length), 1, F.size(values))
+    words = F.zip_with(values, gaps, lambda v, g: F.struct(F.array_position(hits["term"], F.xxhash64(F.lower(v))).alias("hit"), g.alias("gap"), F.length(v).alias("length")))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        degree = F.element_at(degree_of, F.xxhash64(F.lower(x["value"])))
-        span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("order"), end.alias("end"), F.lit(TERM).alias("kind"), degree.alias("degree"))
-        return F.struct(end.alias("at"), F.when(degree.isNotNull(), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    found_ = F.aggregate(words, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        place = F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["length"]).alias("end"), x["hit"].alias("hit"))
+        return F.struct((acc["at"] + x["gap"] + x["length"]).alias("at"), F.when(x["hit"] > 0, F.concat(acc["out"], F.array(place))).otherwise(acc["out"]).alias("out"))
+
+    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:bigint>>").alias("out"))
+    places = F.aggregate(words, begun, step, lambda acc: acc["out"])
+    found_ = F.transform(
+        places,
+        lambda w: F.struct(w["start"].alias("start"), F.lit(len(KINDS)).alias("order"), w["end"].alias("end"), F.lit(TERM).alias("kind"), F.element_at(hits["degree"], w["hit"].cast("int")).alias("degree")),
+    )
     apart = F.filter(found_, lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
     return F.when(hits.isNotNull() & (F.size(hits) > 0), apart).otherwise(none)
 
