@@ -120,10 +120,10 @@ def base_table(docs: DataFrame) -> DataFrame:
     return rows.select("key", "doc_id", "spans", F.array_distinct(entities).alias("entities"), terms.alias("terms"))
 
 
-def document_terms(docs: DataFrame, frequent: list[int]) -> DataFrame:
-    """``(key, term)`` of all documents without the frequent terms, a list of bounded length."""
+def document_terms(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``(key, term)`` of all documents without the frequent terms, a table of bounded length."""
     rows = texts(docs).withColumn("key", row_key()).select("key", F.explode(terms_of(F.col("text"))).alias("term"))
-    return rows.where(~F.col("term").isin(frequent)) if frequent else rows
+    return rows.join(F.broadcast(frequent), "term", "left_anti")
 
 
 def term_documents(docs: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def term_documents(docs: DataFrame) -> DataFrame:
     return texts(docs).select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
 
 
-def disclosure(base: DataFrame, of_term: DataFrame, threshold: float) -> tuple[DataFrame, list[int]]:
+def disclosure(base: DataFrame, of_term: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """``(entity, term, degree)`` of all degrees from ``threshold`` on, and frequent terms that disclose nothing.
 
     The degree is the share of the entity's information that the term carries, by counts of whole documents. A term and
@@ -145,10 +145,8 @@ def disclosure(base: DataFrame, of_term: DataFrame, threshold: float) -> tuple[D
     of_entity = of_entity.withColumn("most", n * F.pow(F.col("df_entity") / n, F.lit(threshold)) * (1 + 1e-9))
     of_entity, _ = written(of_entity, "pii-entities")
     most = of_entity.agg(F.max("most")).first()[0] or 0.0
-    beyond = of_term.where(F.col("df_term") > most).orderBy(F.col("df_term").desc(), "term").limit(FREQUENT).collect()
-    frequent = [r["term"] for r in beyond]
-    terms = keyed.select("key", F.explode("terms").alias("term"))
-    terms = terms.where(~F.col("term").isin(frequent)) if frequent else terms
+    frequent, _ = written(of_term.where(F.col("df_term") > most).orderBy(F.col("df_term").desc(), "term").limit(FREQUENT).select("term"), "pii-frequent")
+    terms = keyed.select("key", F.explode("terms").alias("term")).join(F.broadcast(frequent), "term", "left_anti")
     terms = terms.join(of_term.where(F.col("df_term") <= most), "term")
     entities = keyed.select("key", "rows", F.explode("entities").alias("entity")).join(of_entity, "entity")
     together = terms.join(entities, "key").where(F.col("df_term") <= F.col("most"))
