@@ -1,8 +1,8 @@
 """Ranks, normalised ranks, z-scores, rank correlation and consensus.
 
-Ranks within groups are windows over one group. Ranks over a whole table go through ``global_ranks``: rows are
-dealt into ranges of values, ranges are numbered, and each range adds the rows of the ranges before it, so that no task
-holds the table. Only finite values take part; others keep a null rank.
+Ranks within many groups are windows over one group. Where groups are few or huge, ``positions`` and ``running_total`` count
+over ranges instead: rows are dealt into sorted ranges and written once with the number of their range, and each range
+goes on from the ranges before it, so that no task holds a group. Only finite values take part; others keep a null rank.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.plans.stages import tasks_for, written
+
 
 def finite(c: str | Column) -> Column:
     x = (F.col(c) if isinstance(c, str) else c).cast("double")
@@ -107,21 +109,54 @@ def top_k(df: DataFrame, value: str, keys: list[str], ties: list[str], k: int, d
     return ranked(df, value, keys, ties, descending).where(F.col("rank") <= k)
 
 
-def global_positions(df: DataFrame, order: list[Column], out: str = "position", parts: int | None = None) -> DataFrame:
-    """Positions from 1 over the whole table: ranges of the order are numbered, then counted on from range to range.
+def _ranged(df: DataFrame, keys: list[str], order: list):
+    """Rows in sorted ranges, written once with their range ``__p`` and place ``__i`` in it; and the same grouped by range and group."""
+    n = tasks_for(df.sparkSession)
+    by = [*keys, *order] or [F.lit(0)]
+    place = F.monotonically_increasing_id()  # the range in the upper bits, the place below
+    dealt = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__m", place)
+    rows, _ = written(dealt.withColumns({"__p": F.shiftright("__m", 33).cast("int"), "__i": F.col("__m").bitwiseAND((1 << 33) - 1)}).drop("__m"), "ranges")
+    return rows, rows.groupBy("__p", *keys)
+
+
+def _before(extents: DataFrame, keys: list[str], value: str) -> Column:
+    """What the ranges before hold of the same group: one row a range and group is looked at."""
+    w = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(w), F.lit(0))
+
+
+def _same(keys: list[str], a: str, b: str) -> Column:
+    on = F.col(f"{a}.__p") == F.col(f"{b}.__p")
+    for k in keys:
+        on = on & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return on
+
+
+def positions(df: DataFrame, keys: list[str], order: list, out: str = "position") -> DataFrame:
+    """Row numbers from 1 within groups (or over the whole table, without keys), however large a group is.
 
-    The driver sees one number a range. The plan is read twice, so give it a written table.
+    Rows are sorted by range, so a row's number in its group and range is its place less the group's first one there;
+    the groups of earlier ranges are added from a table of one row for each range and group. Rows equal in the order
+    are numbered as they lie.
     """
-    spark = df.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    sizes = sorted((r["__p"], r["n"]) for r in dealt.groupBy("__p").agg(F.count("*").alias("n")).collect())
-    before, offsets = 0, []
-    for p, size in sizes:
-        offsets.append((p, before))
-        before += size
-    if not offsets:
-        return df.withColumn(out, F.lit(None).cast("long"))
-    at = F.element_at(F.create_map(*[F.lit(x) for kv in offsets for x in kv]), F.col("__p"))
-    within = Window.partitionBy("__p").orderBy(*order)
-    return dealt.withColumn(out, (F.row_number().over(within) + at).cast("long")).drop("__p")
+    rows, grouped = _ranged(df, keys, order)
+    extents = grouped.agg(F.min("__i").alias("__first"), F.count("*").alias("__n"))
+    extents = extents.withColumn("__base", _before(extents, keys, "__n") - F.col("__first") + 1).select("__p", *keys, "__base")
+    found = rows.alias("r").join(extents.alias("e"), _same(keys, "r", "e"))
+    return found.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("r.__i") + F.col("e.__base")).cast("long").alias(out))
+
+
+def running_total(df: DataFrame, keys: list[str], order: list, value: str, out: str) -> DataFrame:
+    """The sum of ``value`` up to each row, itself included, in its group; no task holds more of a group than one range."""
+    rows, grouped = _ranged(df, keys, order)
+    extents = grouped.agg(F.sum(value).alias("__sum"))
+    extents = extents.withColumn("__base", _before(extents, keys, "__sum")).select("__p", *keys, "__base")
+    within = Window.partitionBy("__p", *keys).orderBy("__i")
+    summed = rows.withColumn("__within", F.sum(value).over(within))
+    found = summed.alias("r").join(extents.alias("e"), _same(keys, "r", "e"))
+    return found.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("r.__within") + F.col("e.__base")).alias(out))
+
+
+def global_positions(df: DataFrame, order: list[Column], out: str = "position") -> DataFrame:
+    """Positions from 1 over the whole table."""
+    return positions(df, [], order, out)

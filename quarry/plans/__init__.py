@@ -1 +1 @@
-"""Part of the quarry analytics engine."""
+"""Plans that need more than one job: intermediate tables in the shared folder."""
