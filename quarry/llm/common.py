@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.plans.stages import drop_path, hadoop, new_path, release, shared_dir, tasks_for, written
+
+__all__ = ["drop_path", "hadoop", "map_rows", "new_path", "packed", "quoted", "release", "row_key", "shared_dir", "table", "tasks_for", "texts", "tune", "unpacked", "written"]
+
 #: Rows of one Arrow batch; documents are long, so batches stay near a few MB.
 ARROW_ROWS = 512
 
@@ -20,62 +22,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Keeps Arrow batches small enough for long texts."""
+    """Small Arrow batches for long texts; shuffle files go as soon as the job that made them has ended."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the cluster names none (tests), a folder below the warehouse is set and used.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(found)
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def hadoop(spark: SparkSession, path: str):
-    """The Hadoop file system of a path, and the path as Hadoop has it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes a written table that nothing reads any more."""
-    fs, p = hadoop(spark, path)
-    fs.delete(p, True)
+def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text)`` alone: other columns, whatever their names, play no part; null text is empty."""
+    return df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """Writes ``df`` to the shared folder and reads it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    schema = df.schema
-    df.write.option("compression", codec).parquet(path)
-    release(spark)
-    return spark.read.schema(schema).parquet(path), path
+def row_key(doc_id: Column, text: Column) -> Column:
+    """SHA-256 of id and text, as bytes: rows that are equal in both share it; others would with a probability of 2**-128 and less."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(" "), text).cast("binary"), 256))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of plans that nothing holds any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def packed(df: DataFrame, **extra: Column) -> DataFrame:
+    """All columns of ``df`` as one struct ``row`` beside the extra ones, so that no name of theirs can clash."""
+    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"), *[c.alias(n) for n, c in extra.items()])
 
 
-def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text)`` alone: other columns, whatever their names, play no part; null text is empty."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of a packed frame in their order; those named in ``changed`` have new values."""
+    return df.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in columns])
 
 
 def map_rows(df: DataFrame, fn: Callable[[list, list], dict], schema: str) -> DataFrame:
@@ -91,12 +65,3 @@ def map_rows(df: DataFrame, fn: Callable[[list, list], dict], schema: str) -> Da
                 yield pa.RecordBatch.from_pydict(work(b.column(0).to_pylist(), b.column(1).to_pylist()))
 
     return df.mapInArrow(run, schema)
-
-
-def utf8_len(c: Column) -> Column:
-    return F.octet_length(c).cast("long")
-
-
-def tasks_for(spark: SparkSession) -> int:
-    """Partitions of a shuffle as the session sets them."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

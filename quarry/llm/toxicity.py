@@ -6,11 +6,13 @@ continuation counts that both classes share, so that an expression too rare in o
 same distribution in both. A word's score is the difference of its two log-likelihoods; a document's
 features are that difference per character over the whole text (length-normalised), and how much of it
 comes from words that speak clearly for the toxic class. A logistic function, fitted across two folds so that no
-document is scored with its own counts, turns features into a score between 0 and 1.
+document is scored with its own class counts, turns features into a score between 0 and 1.
 
-Counts come from every labelled row outside the held-out third. They are kept by a 64-bit identity of each n-gram
-and context, in a written table that grows with the distinct n-grams; each Python worker loads it. Only
-the logistic fit uses a bounded sample (``FIT_ROWS`` labelled rows, chosen by a hash of the id).
+Counts come from every labelled row outside the held-out third, keyed by the n-gram itself. They are turned into
+log-likelihood differences by joins: one number for each distinct n-gram of the highest order, and one for each context,
+which is what an unseen n-gram in that context gets, since the shared lower orders cancel. A Python worker
+loads these two columns (12 bytes an n-gram); nothing of the corpus goes to the driver but the sample of the logistic fit
+(``FIT_ROWS`` labelled rows, chosen by a hash of the id).
 
 Null and empty texts, and texts without letters, have no features and get the score of a text of neutral features.
 Labels that are null are ignored; of repeated labels the greatest holds. If either class has no rows, all
@@ -25,13 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import drop_path, quoted, texts, written
 
 ORDER = 5
 #: Characters that the lowest order allows for.
@@ -39,8 +40,8 @@ CHARACTERS = 1 << 19
 DISCOUNT = 0.75
 FIT_ROWS = 20_000
 THRESHOLD = 0.7
-#: Words whose score a task keeps, and words counted before partial counts are sent on.
-WORDS_KEPT = 300_000
+#: Words, and their characters, that a task keeps: with their scores, or counted before they are added to the partial counts.
+WORDS_KEPT, CHARACTERS_KEPT = 100_000, 2 << 20
 WORD = re.compile(r"[^\W\d_]+")
 FEATURES = 4
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
@@ -73,39 +74,29 @@ def codes_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return word[at], codes
 
 
-def grams(codes: np.ndarray) -> dict[str, np.ndarray]:
-    """Identities of the n-grams ``g5`` .. ``g1`` that end in each character, and of the contexts ``h4`` .. ``h1`` before it."""
-    ids = {}
-    for n in range(1, ORDER + 1):
-        ids[f"g{n}"] = _mix(list(codes[ORDER - n :]))
-        if n < ORDER:
-            ids[f"h{n}"] = _mix([np.full(codes.shape[1], 7 + n, np.uint64), *codes[ORDER - 1 - n : ORDER - 1]])
-    return ids
-
-
-KEYS = ["g5", "h4", "g4", "h3", "g3", "h2", "g2", "h1", "g1"]
 SUMS = ["o0", "t0", "o2", "t2"]
-#: Distinct 5-grams that a task holds before it sends its partial counts on.
-GRAMS_KEPT = 1_000_000
+#: Whose class counts a score stands on: both folds, or the one that a document of the fit is not in.
+CHOICES = {"02": ("o0 + o2", "t0 + t2"), "0": ("o0", "t0"), "2": ("o2", "t2")}
+#: Distinct n-grams that a task holds before it sends its partial counts on.
+GRAMS_KEPT = 250_000
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic, fold) -> partial counts of 5-grams by fold and class."""
     counts: dict[str, list[int]] = {}
-    held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # identities, characters, sums
+    size = 0
+    held: tuple[np.ndarray, np.ndarray] | None = None  # characters, sums
 
     def gathered():
         word, codes = codes_of(list(counts))
         weights = np.array(list(counts.values()), np.int64)[word]
-        ids = _mix(list(codes))
         if held is not None:
-            ids, codes, weights = np.concatenate([held[0], ids]), np.concatenate([held[1], codes], 1), np.concatenate([held[2], weights])
-        ids, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
-        sums = np.stack([np.bincount(inverse, weights[:, k], len(ids)) for k in range(4)], 1).astype(np.int64)
-        return ids, codes[:, first], sums
+            codes, weights = np.concatenate([held[0], codes], 1), np.concatenate([held[1], weights])
+        _, first, inverse = np.unique(_mix(list(codes)), return_index=True, return_inverse=True)
+        return codes[:, first], np.stack([np.bincount(inverse, weights[:, k], len(first)) for k in range(4)], 1).astype(np.int64)
 
     def rows():
-        _, codes, sums = held
+        codes, sums = held
         names = np.ascontiguousarray(np.maximum(codes, 1).astype("<u4").T).view(f"<U{ORDER}")[:, 0]
         for a in range(0, len(names), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 20_000].tolist()), *[pa.array(sums[a : a + 20_000, k]) for k in range(4)]], ["gram", *SUMS])
@@ -114,87 +105,87 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic, fold in zip(*(c.to_pylist() for c in b.columns), strict=True):
             k = (2 if fold else 0) + toxic
             for w, n in Counter(WORD.findall(text.lower())).items():
-                counts.setdefault(w, [0, 0, 0, 0])[k] += n
-        if len(counts) > WORDS_KEPT:
-            held = gathered()
-            counts.clear()
-            if len(held[0]) > GRAMS_KEPT:
-                yield from rows()
-                held = None
+                known = counts.get(w)
+                if known is None:
+                    known = counts[w] = [0, 0, 0, 0]
+                    size += len(w)
+                known[k] += n
+            if len(counts) > WORDS_KEPT or size > CHARACTERS_KEPT:
+                held = gathered()
+                counts.clear()
+                size = 0
+                if held[0].shape[1] > GRAMS_KEPT:
+                    yield from rows()
+                    held = None
     if counts:
         held = gathered()
     if held is not None:
         yield from rows()
 
 
-def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, sums) -> identities of the gram and its parts, and the sums."""
-    for b in batches:
-        if b.num_rows:
-            codes = np.frombuffer("".join(b.column(0).to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, ORDER).T.astype(np.uint64)
-            ids = grams(np.where(codes == 1, np.uint64(0), codes))
-            yield pa.RecordBatch.from_arrays([*[pa.array(ids[k].view(np.int64)) for k in KEYS], *b.columns[1:]], [*KEYS, *SUMS])
+def _identities(name: str):
+    """Rows that begin with a string of ``name`` -> its identity and the other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                flat = np.frombuffer("".join(b.column(0).to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4").reshape(b.num_rows, -1)
+                codes = np.where(flat == 1, 0, flat).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(_mix(list(codes.T)).view(np.int64)), *b.columns[1:]], ["id", *b.schema.names[1:]])
+
+    return run
 
 
-_loaded: dict[str, Tables] = {}
+_loaded: dict[tuple[str, str], Scores] = {}
 
 
-class Tables:
-    """Counts by kind and full identity; two models (toxic, ordinary) for each choice of folds."""
+class Scores:
+    """Toxic minus ordinary log-likelihood: of each known n-gram, and of any other n-gram in each known context."""
 
-    def __init__(self, rows: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.of: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for kind, (ids, values) in rows.items():
-            order = np.argsort(ids)
-            self.of[kind] = ids[order], values[order]
-        self.total = float(self.of["c1"][1].sum(dtype=np.float64)) if "c1" in self.of else 0.0
+    def __init__(self, grams: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray]):
+        self.grams, self.contexts = grams, contexts
 
     @staticmethod
-    def load(uri: str) -> Tables:
-        """The tables of a written folder; a Python worker keeps the last ones for its tasks."""
-        if uri not in _loaded:
-            fs, path = pafs.FileSystem.from_uri(uri)
-            parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-            for info in fs.get_file_info(pafs.FileSelector(path)):
-                if info.path.endswith(".parquet"):
-                    with fs.open_input_file(info.path) as f:
-                        got = pq.ParquetFile(f).read()
-                    for kind in pc.unique(got["kind"]).to_pylist():
-                        of_kind = got.filter(pc.equal(got["kind"], kind))
-                        ids = of_kind["id"].to_numpy()
-                        values = pc.list_flatten(of_kind["v"]).to_numpy().astype(np.float32)
-                        parts.setdefault(kind, []).append((ids, values.reshape(len(ids), -1)))
-            found = Tables({k: (np.concatenate([x[0] for x in v]), np.concatenate([x[1] for x in v])) for k, v in parts.items()})
-            _loaded.clear()
-            _loaded[uri] = found
-        return _loaded[uri]
-
-    def counts(self, kind: str, ids: np.ndarray) -> np.ndarray:
-        """The counts of each identity; 0 for those that were never seen."""
-        known, values = self.of[kind]
-        wanted = ids.view(np.int64)
-        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-        return np.where((known[at] == wanted)[:, None], values[at], np.float32(0))
-
-    def word_scores(self, words: list[str], folds: str) -> np.ndarray:
-        """Each word's toxic minus ordinary log-likelihood. folds: whose counts are used ("0", "2" or "02")."""
+    def load(uri: str, choice: str) -> Scores:
+        """One choice of folds of a written model; a Python worker keeps it for its tasks."""
+        if (uri, choice) not in _loaded:
+            for other in [k for k in _loaded if k[0] != uri]:
+                del _loaded[other]
+            _loaded[uri, choice] = Scores(*(_column(f"{uri}/{part}", f"s{choice}") for part in ("grams", "contexts")))
+        return _loaded[uri, choice]
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Each word's score."""
         word, codes = codes_of(words)
-        ids = grams(codes)
-        p = (self.counts("c1", ids["g1"])[:, 0] + 0.1) / (self.total + 0.1 * CHARACTERS)
-        for n in range(2, ORDER):
-            whole = self.counts(f"s{n}", ids[f"h{n - 1}"])[:, 0]
-            kinds = self.counts(f"d{n}", ids[f"h{n - 1}"])[:, 0]
-            seen = np.maximum(self.counts(f"c{n}", ids[f"g{n}"])[:, 0] - DISCOUNT, 0)
-            p = np.where(whole > 0, (seen + DISCOUNT * kinds * p) / np.maximum(whole, 1), p)
-        top, context = self.counts("top", ids["g5"]), self.counts("context", ids["h4"])
-        logs = []
-        for cls in (1, 0):
-            cols = [2 * (f == "2") + cls for f in folds]
-            count, whole = top[:, cols].sum(1), context[:, cols].sum(1)
-            kinds = context[:, 4 + cols[0]] if len(cols) == 1 else context[:, 8 + cls]
-            q = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * kinds * p) / np.maximum(whole, 1)
-            logs.append(np.log(np.where(whole > 0, q, p)))
-        return np.bincount(word, logs[0] - logs[1], len(words))
+        known, score = _looked_up(self.grams, _mix(list(codes)))
+        _, rest = _looked_up(self.contexts, _mix(list(codes[:-1])))
+        return np.bincount(word, np.where(known, score, rest), len(words))
+
+
+def _column(uri: str, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Identities in order, and one column of a written table."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    ids, values = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+    for info in fs.get_file_info(pafs.FileSelector(path)):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as f:
+                got = pq.ParquetFile(f).read(["id", name])
+            ids.append(got["id"].to_numpy())
+            values.append(got[name].to_numpy())
+    ids, values = np.concatenate(ids), np.concatenate(values)
+    order = np.argsort(ids)
+    return ids[order], values[order]
+
+
+def _looked_up(table: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each identity is in the table, and its value; 0 where it is not."""
+    known, values = table
+    if not len(known):
+        return np.zeros(len(ids), bool), np.zeros(len(ids), np.float32)
+    wanted = ids.view(np.int64)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    found = known[at] == wanted
+    return found, np.where(found, values[at], np.float32(0))
 
 
 def features(scores: np.ndarray, chars: int) -> list[float]:
@@ -206,20 +197,25 @@ def features(scores: np.ndarray, chars: int) -> list[float]:
 
 
 class Scorer:
-    """Features of texts; keeps the scores of words."""
+    """Features of texts; keeps the scores of words up to a number of them and of their characters."""
 
-    def __init__(self, tables: Tables, folds: str):
-        self.tables, self.folds, self.known = tables, folds, {}
+    def __init__(self, scores: Scores):
+        self.scores, self.known, self.size = scores, {}, 0
 
     def batch(self, ts: list[str]) -> list[list[float]]:
         split = [WORD.findall(t.lower()) for t in ts]
         known = self.known
-        if len(known) > WORDS_KEPT:
+        if len(known) > WORDS_KEPT or self.size > CHARACTERS_KEPT:
             known.clear()
+            self.size = 0
         new = list({w for ws in split for w in ws if w not in known})
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            known.update(zip(part, self.tables.word_scores(part, self.folds).tolist(), strict=True))
+        while new:
+            part, size = [], 0
+            while new and size < 1 << 18:
+                part.append(new.pop())
+                size += len(part[-1])
+            known.update(zip(part, self.scores.words(part).tolist(), strict=True))
+            self.size += size
         return [features(np.fromiter(map(known.__getitem__, ws), np.float64, len(ws)), sum(map(len, ws))) for ws in split]
 
 
@@ -232,33 +228,61 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts(docs).where(crc != 1).join(y.hint("merge"), "doc_id").withColumn("fold", (crc == 2).cast("int"))
 
 
-def count_tables(training: DataFrame) -> str:
-    """Counts over all training rows, by identity; the address of the folder they are written to."""
-    sums = SUMS
+def gram_counts(training: DataFrame) -> DataFrame:
+    """``(gram, o0, t0, o2, t2)``: counts of each 5-gram over all training rows, by class and fold. \\x01 stands before a word."""
     partial = training.select("text", "toxic", "fold").mapInArrow(_count_words, "gram string, " + ", ".join(f"{s} long" for s in SUMS))
-    counted = partial.groupBy("gram").agg(*[F.sum(s).alias(s) for s in sums])
-    g5, _ = written(counted.mapInArrow(_identities, ", ".join(f"{c} long" for c in [*KEYS, *SUMS])), "grams")
-
-    def identity(k):
-        return F.col(k).alias("id")
-
-    def long_rows(df, kind, values):
-        return df.select(F.lit(kind).alias("kind"), "id", F.array(*[F.col(v).cast("double") for v in values]).alias("v"))
-
-    kinds = [F.sum((F.col(s) > 0).cast("long")).alias("n" + s) for s in sums]
-    either = [F.sum((F.col(f"{c}0") + F.col(f"{c}2") > 0).cast("long")).alias("n" + c) for c in "ot"]
-    out = long_rows(g5.groupBy(identity("g5")).agg(*[F.sum(s).alias(s) for s in sums]), "top", sums)
-    out = out.unionByName(long_rows(g5.groupBy(identity("h4")).agg(*[F.sum(s).alias(s) for s in sums], *kinds, *either), "context", [*sums, *["n" + s for s in sums], "no", "nt"]))
-    above = g5
-    for n in range(ORDER - 1, 0, -1):  # distinct (n+1)-grams give the continuation counts of order n
-        out = out.unionByName(long_rows(above.groupBy(identity(f"g{n}")).agg(F.count("*").alias("n")), f"c{n}", ["n"]))
-        rest = KEYS[KEYS.index(f"g{n}") :]
-        here = above.select(*rest).distinct()
-        if n > 1:
-            out = out.unionByName(long_rows(above.groupBy(identity(f"h{n - 1}")).agg(F.count("*").alias("n")), f"s{n}", ["n"]))
-            out = out.unionByName(long_rows(here.groupBy(identity(f"h{n - 1}")).agg(F.count("*").alias("n")), f"d{n}", ["n"]))
-        above = here
-    return written(out, "toxic-tables")[1]
+    return partial.groupBy("gram").agg(*[F.sum(s).alias(s) for s in SUMS])
+
+
+def lower_orders(grams: DataFrame) -> DataFrame:
+    """``(g, p)``: the shared Kneser-Ney probability of the last character of each 4-gram after the three before it.
+
+    A continuation count is the number of distinct characters before an n-gram; a context's sums are over the n-grams
+    that begin with it.
+    """
+    counted = grams.select(F.expr(f"substring(gram, 2, {ORDER - 1})").alias("g")).groupBy("g").agg(F.count("*").alias("c"))
+    orders = {ORDER - 1: counted}
+    for n in range(ORDER - 2, 0, -1):
+        counted = counted.groupBy(F.expr(f"substring(g, 2, {n})").alias("g")).agg(F.count("*").alias("c"))
+        orders[n] = counted
+    total = float(orders[1].agg(F.sum("c")).first()[0] or 0)
+    p = orders[1].select("g", ((F.col("c") + 0.1) / (total + 0.1 * CHARACTERS)).alias("p"))
+    for n in range(2, ORDER):
+        rows = orders[n].withColumns({"h": F.expr(f"substring(g, 1, {n - 1})"), "rest": F.expr(f"substring(g, 2, {n - 1})")})
+        contexts = rows.groupBy("h").agg(F.sum("c").alias("whole"), F.count("*").alias("kinds"))
+        seen = F.greatest(F.col("c") - DISCOUNT, F.lit(0.0))
+        rows = rows.join(contexts, "h").join(p.withColumnRenamed("g", "rest"), "rest")
+        p = rows.select("g", ((seen + DISCOUNT * F.col("kinds") * F.col("p")) / F.col("whole")).alias("p"))
+    return p
+
+
+def score_tables(training: DataFrame) -> str:
+    """Writes the models' log-likelihood differences; the address of the folder with ``grams`` and ``contexts``."""
+    counts, counts_path = written(gram_counts(training), "toxic-grams")
+    lower, lower_path = written(lower_orders(counts), "toxic-lower")
+    rows = counts.withColumns({"h": F.expr(f"substring(gram, 1, {ORDER - 1})"), "g": F.expr(f"substring(gram, 2, {ORDER - 1})")})
+    sums = {f"{c}{k}": F.expr(x) for k, (o, t) in CHOICES.items() for c, x in (("o", o), ("t", t))}
+    rows = rows.select("gram", "h", "g", *[x.alias(f"n_{k}") for k, x in sums.items()])
+    contexts = rows.groupBy("h").agg(*[F.sum(f"n_{k}").alias(f"all_{k}") for k in sums], *[F.count_if(F.col(f"n_{k}") > 0).alias(f"kinds_{k}") for k in sums])
+    contexts, contexts_path = written(contexts, "toxic-contexts")
+
+    def held_back(k: str) -> Column:
+        """The share of a class's distribution after a context that its lower orders have."""
+        return F.when(F.col(f"all_{k}") > 0, DISCOUNT * F.col(f"kinds_{k}") / F.col(f"all_{k}")).otherwise(F.lit(1.0))
+
+    def likelihood(k: str) -> Column:
+        seen = F.when(F.col(f"all_{k}") > 0, F.greatest(F.col(f"n_{k}") - DISCOUNT, F.lit(0.0)) / F.col(f"all_{k}")).otherwise(F.lit(0.0))
+        return seen + held_back(k) * F.col("p")
+
+    def differences(of) -> list[Column]:
+        return [(F.log(of(f"t{k}")) - F.log(of(f"o{k}"))).cast("float").alias(f"s{k}") for k in CHOICES]
+
+    scored = rows.join(contexts, "h").join(lower, "g").select("gram", *differences(likelihood))
+    schema = "id long, " + ", ".join(f"s{k} float" for k in CHOICES)
+    _, uri = written(scored.mapInArrow(_identities("gram"), schema), "toxic-model", sub="grams")
+    contexts.select("h", *differences(held_back)).mapInArrow(_identities("h"), schema).write.parquet(f"{uri}/contexts")
+    drop_path(training.sparkSession, counts_path, lower_path, contexts_path)
+    return uri
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -277,13 +301,13 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Where the tables are, and logistic weights."""
+    """Where the models are, and logistic weights."""
 
     def __init__(self, uri: str, weights: np.ndarray):
         self.uri, self.weights = uri, weights
 
     def scorer(self) -> Scorer:
-        return Scorer(Tables.load(self.uri), "02")
+        return Scorer(Scores.load(self.uri, "02"))
 
     def scores(self, scorer: Scorer, ts: list[str]) -> list[float]:
         x = np.array(scorer.batch(ts)).reshape(len(ts), FEATURES)
@@ -292,17 +316,16 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     """The model, or None where a class has no rows."""
-    training, _ = written(training_rows(docs, labels), "toxic-training")
+    training, training_path = written(training_rows(docs, labels), "toxic-training")
     by_class = {r["toxic"]: r["n"] for r in training.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(by_class) < 2:
         return None
-    uri = count_tables(training)
+    uri = score_tables(training)
     share = min(1.0, fit_rows / sum(by_class.values()))
     sample = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = Tables.load(uri)
-        other = {0: Scorer(tables, "2"), 1: Scorer(tables, "0")}  # counts of the fold it is not in
+        other = {0: Scorer(Scores.load(uri, "2")), 1: Scorer(Scores.load(uri, "0"))}  # counts of the fold it is not in
         for b in batches:
             ts, ys, folds = (b.column(k).to_pylist() for k in (1, 2, 3))
             for f in (0, 1):
@@ -311,6 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
                     yield pa.RecordBatch.from_pydict({"x": pa.array(other[f].batch([ts[k] for k in at]), pa.list_(pa.float64())), "y": pa.array([ys[k] for k in at], pa.int32())})
 
     got = sample.mapInArrow(run, "x array<double>, y int").toArrow()
+    drop_path(docs.sparkSession, training_path)
     y = got["y"].to_numpy().astype(float)
     if len(y) == 0 or y.min() == y.max():
         return None
