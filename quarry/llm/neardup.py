@@ -1,19 +1,22 @@
 """Near-duplicates by b-bit MinHash.
 
 Each document's set of distinct word shingles gets 128 minima; their low four bits, packed, are its signature, and bands of
-four minima give candidates. Documents with equal sets are one class from the start. Classes that buckets join form a weak
-cluster. Inside it, signatures estimate the similarity of pairs from bit counts, corrected for chance collisions; pairs
-that may reach the threshold join classes to a cluster, whose pairs are compared on the full sets. Both comparisons go
-block by block: a pair of blocks holds a bounded number of classes and sends on the links of a spanning forest, so no link between
-bucket mates is lost, no group is gathered and no group's pairs are emitted. Components follow the links.
+four minima give candidates. Documents with equal sets are one class from the start, with a number of its own. In each
+bucket signatures estimate the similarity of candidates from bit counts, corrected for chance collisions: first of every
+member and the bucket's least one, then of all pairs that those links have not joined yet. Only pairs that may reach the
+threshold join classes to a cluster, so a chain of loosely similar texts joins nothing. Pairs of a cluster are
+compared on the full sets. Both comparisons go block by block: a pair of blocks holds a bounded number of classes and sends on
+the links of a spanning forest, so no link between bucket mates is lost, no group is gathered and no group's pairs
+are emitted. Components follow the links that the full sets confirm.
 
 There are as many bands as leave a pair at the threshold without a common bucket with a probability below 1e-7; the
-estimate rejects such a pair only beyond five standard deviations.
+estimate rejects such a pair only beyond five standard deviations. Sets are told apart by 128-bit hashes of their 64-bit
+shingle hashes.
 
 Null and empty texts, and texts of white space, have empty sets and are linked with nothing: each is its own
 component. Documents with fewer words than a shingle have one shingle, the whole sequence. Repeated rows
 have equal sets and so share a component. A row with a null id belongs to its component, but names
-it only if no row of it has an id (then null). Other columns are ignored.
+it only if no row of it has an id (then null). Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, tasks_for, texts, written
+from .common import drop_path, map_rows, packed, tasks_for, texts, unpacked, written
 from .graph import components
 from .hashing import mix, shingle_sets
 
@@ -40,12 +43,12 @@ _RNG = np.random.Generator(np.random.PCG64(77))
 _A = _RNG.integers(1, 1 << 63, MINIMA, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 
-SKETCH = "doc_id long, n_shingles long, class long, bands array<long>, signature binary"
+SKETCH = "doc_id long, n_shingles long, set binary, bands array<long>, signature binary"
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """64-bit identity of a set."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def identity(shingles: np.ndarray) -> bytes:
+    """128-bit identity of a set."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -85,7 +88,7 @@ def sketches(docs: DataFrame, width: int, bands: int) -> DataFrame:
             return {
                 "doc_id": pa.array(ids, pa.int64()),
                 "n_shingles": [len(s) for s in sets],
-                "class": pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
+                "set": pa.array([identity(s) if len(s) else None for s in sets], pa.binary()),
                 "bands": pa.array([None if m is None else band_keys(m, bands) for m in mins], pa.list_(pa.int64())),
                 "signature": pa.array([None if m is None else pack(m).tobytes() for m in mins], pa.binary()),
             }
@@ -143,24 +146,31 @@ def possible(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """``(class, shingles)`` of the wanted ``(class, doc_id)``."""
+    """``(class, shingles)`` of the wanted ``(class, doc_id, set)``."""
     rows = texts(docs)
     named = classes.where("doc_id is not null")
-    found = possible(rows.where("doc_id is not null"), named).join(named, "doc_id").select("class", "text")
-    if classes.where("doc_id is null").limit(1).count():  # of rows without an id, any may hold a wanted set
-        found = found.unionByName(rows.where("doc_id is null").select(F.lit(None).cast("long").alias("class"), "text"))
+    found = possible(rows.where("doc_id is not null"), named).join(named, "doc_id").select("class", "set", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = {}
-            for want, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), width), strict=True):
-                c = class_of(s) if len(s) else None
-                if c is not None and (want is None or c == want):  # of repeated ids, the row that has the set
-                    out[c] = s.tobytes()
+            for cls, want, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2).to_pylist(), width), strict=True):
+                if len(s) and identity(s) == want:  # of repeated ids, the row that has the set
+                    out[cls] = s.tobytes()
             if out:
                 yield pa.RecordBatch.from_pydict({"class": pa.array(list(out), pa.int64()), "shingles": pa.array(list(out.values()), pa.binary())})
 
-    return found.mapInArrow(run, "class long, shingles binary")
+    def any_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [s for s in shingle_sets(b.column(0).to_pylist(), width) if len(s)]
+            if sets:
+                yield pa.RecordBatch.from_pydict({"set": pa.array([identity(s) for s in sets], pa.binary()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+    out = found.mapInArrow(own, "class long, shingles binary")
+    unnamed = classes.where("doc_id is null")
+    if unnamed.limit(1).count():  # of rows without an id, any may hold a wanted set
+        out = out.unionByName(rows.where("doc_id is null").select("text").mapInArrow(any_, "set binary, shingles binary").join(unnamed, "set").select("class", "shingles"))
+    return out
 
 
 #: Classes, and bytes, that one side of a block pair holds (on average: classes are dealt by a hash).
@@ -260,12 +270,24 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return dense
 
 
+def likely(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """``(a, b, signature of a, of b)`` -> the pairs that agree in enough minima."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, WORDS_OF_SIGNATURE) for k in (2, 3))
+            d = x ^ y
+            d |= d >> np.uint64(2)
+            d |= d >> np.uint64(1)
+            agree = MINIMA - np.bitwise_count(d & np.uint64(0x1111111111111111)).astype(np.int64).sum(1)
+            yield batch.select([0, 1]).filter(pa.array(agree >= least))
+
+
 def alike_signatures(least: int) -> Callable[[list, list], np.ndarray]:
-    """Pairs of packed signatures that agree in enough minima."""
+    """Pairs of packed signatures that agree in enough minima and are not joined yet; a payload ends with the number of its piece."""
 
     def compare(left: list, right: list) -> np.ndarray:
-        x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(-1, WORDS_OF_SIGNATURE) for s in (left, right))
-        return same_minima(x, y) >= least
+        x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(-1, WORDS_OF_SIGNATURE + 1) for s in (left, right))
+        return (same_minima(x, y) >= least) & (x[:, None, -1] != y[None, :, -1])
 
     return compare
 
@@ -281,33 +303,48 @@ def alike_sets(percent: int) -> Callable[[list, list], np.ndarray]:
     return compare
 
 
+def likely_links(heads: DataFrame, least: int) -> DataFrame:
+    """``(a, b)``: links that join all classes which share a bucket and whose signatures agree in enough minima."""
+    spark = heads.sparkSession
+    buckets = heads.select(F.explode("bands").alias("band"), "class")
+    centres = buckets.groupBy("band").agg(F.min("class").alias("centre"), F.max("class").alias("other")).where("centre < other").select("band", "centre")
+    shared, shared_path = written(buckets.join(centres, "band"), "buckets")
+    signed = heads.select("class", "signature")
+    mates = shared.where("class <> centre").select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
+    mates = mates.join(signed.withColumnsRenamed({"class": "b", "signature": "sb"}), "b").join(signed.withColumnsRenamed({"class": "a", "signature": "sa"}), "a")
+    star, _ = written(mates.select("a", "b", "sa", "sb").mapInArrow(lambda batches: likely(batches, least), "a long, b long"), "star")
+    joined = components(star).withColumnsRenamed({"node": "class", "component": "piece"})
+    shared = shared.select("band", "class").join(joined, "class", "left").withColumn("piece", F.coalesce("piece", "class"))
+    apart = shared.groupBy("band").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).where("low < high").select("band")
+    payload = F.concat("signature", F.unhex(F.lpad(F.hex("piece"), 16, "0")))
+    rows = shared.join(apart, "band").join(signed, "class").select(F.col("band").alias("cluster"), "class", payload.alias("payload"))
+    cross, _ = written(block_links(rows, alike_signatures(least)), "cross")
+    drop_path(spark, shared_path)
+    return star.unionByName(cross)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``: component_id is the least id that links lead to."""
     threshold = percent / 100
     sketch, _ = written(sketches(docs, width, bands_for(threshold)), "sketches")
-    heads = sketch.where("class is not null").groupBy("class").agg(F.min_by(F.struct("bands", "signature"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("h"), F.min("doc_id").alias("doc_id"))
-    heads, _ = written(heads.select("class", "doc_id", "h.bands", "h.signature"), "classes")
-    buckets = heads.select(F.explode("bands").alias("band"), "class")
-    centres = buckets.groupBy("band").agg(F.min("class").alias("centre"), F.max("class").alias("other")).where("centre < other").select("band", "centre")
-    mates, _ = written(buckets.join(centres, "band").where("class <> centre").select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct(), "mates")
-    weak = components(mates).withColumnsRenamed({"node": "class", "component": "cluster"})
-    signed = weak.join(heads.select("class", F.col("signature").alias("payload")), "class")
-    likely, _ = written(block_links(signed, alike_signatures(least_agreeing(threshold))), "likely")
-    clusters, _ = written(components(likely).withColumnsRenamed({"node": "class", "component": "cluster"}), "clusters")
-    sets = full_sets(docs, heads.join(clusters, "class", "left_semi").select("class", "doc_id"), width)
-    sized, _ = written(clusters.join(sets, "class").select("cluster", "class", F.col("shingles").alias("payload")), "sets")
+    heads = sketch.where("set is not null").groupBy("set").agg(F.min_by(F.struct("bands", "signature"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("h"), F.min("doc_id").alias("doc_id"))
+    heads, heads_path = written(heads.select(F.monotonically_increasing_id().alias("class"), "set", "doc_id", "h.bands", "h.signature"), "classes")
+    clusters, _ = written(components(likely_links(heads, least_agreeing(threshold))).withColumnsRenamed({"node": "class", "component": "cluster"}), "clusters")
+    wanted = heads.join(clusters, "class", "left_semi").select("class", "doc_id", "set")
+    sized, sized_path = written(clusters.join(full_sets(docs, wanted, width), "class").select("cluster", "class", F.col("shingles").alias("payload")), "sets")
     links, _ = written(block_links(sized, alike_sets(percent)), "links")
+    drop_path(docs.sparkSession, sized_path)
     return _result(sketch, heads, components(links))
 
 
 def _result(sketch: DataFrame, heads: DataFrame, groups: DataFrame) -> DataFrame:
     """Documents with the least id of their component."""
-    at = heads.select("class", "doc_id").join(groups.withColumnsRenamed({"node": "class"}), "class", "left")
+    at = heads.select("class", "set", "doc_id").join(groups.withColumnsRenamed({"node": "class"}), "class", "left")
     at = at.withColumn("component", F.coalesce("component", "class"))
     least = at.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = at.select("class", "component").join(least, "component").select("class", "component_id")
-    out = sketch.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    by_set = at.select("set", "component").join(least, "component").select("set", "component_id")
+    out = sketch.select("doc_id", "n_shingles", "set").join(by_set, "set", "left")
+    component = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
@@ -317,8 +354,9 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Of rows that repeat id and text one stays. Rows without an id stay if any of them does.
     """
     found, _ = written(near_duplicates(docs, width, percent).select("doc_id", "kept"), "kept")
-    stay = found.where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    stay = found.where("kept").select("doc_id").distinct()
+    rows = packed(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
+    rows = rows.alias("d").join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
     if found.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+        rows = rows.dropDuplicates(["doc_id", "text"])
+    return unpacked(rows, docs.columns)
