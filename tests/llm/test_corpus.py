@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, graph, neardup, sharding, suffixes, toxicity
+from quarry.llm import chat, graph, neardup, pii, sharding, suffixes, toxicity
 
 from .conftest import SCHEMA, rows
 
@@ -72,6 +72,28 @@ def test_near_duplicates_of_odd_input(spark, docs, nothing):
     assert 14 in ids and ids.count(None) == 2
 
 
+def test_a_chain_of_loose_copies_joins_nothing(spark):
+    """Neighbours share half of their shingles: bucket mates by chance, links never; rows grow with the documents."""
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdeinorst") for _ in range(6)) for _ in range(30 * 1001)]
+    data = [(k, " ".join(words[30 * k : 30 * k + 90])) for k in range(1000)]
+    data += [(2000 + k, data[k][1].replace(" ", " x ", 1)) for k in range(0, 1000, 100)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    heads = neardup.sketches(df, 3, neardup.bands_for(0.85)).select(F.monotonically_increasing_id().alias("class"), "bands", "signature")
+    heads = neardup.written(heads, "heads")[0]
+    assert neardup.likely_links(heads, neardup.least_agreeing(0.85)).count() < len(data) / 10
+    got = neardup.near_duplicates(df, 3, 85).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(data, 3, 85)
+
+
+def test_names_do_not_clash(spark, docs):
+    odd = docs.withColumns({"__id": F.lit(1), "__key": F.lit("k"), "__spans": F.lit(2), "__terms": F.lit(3), "row": F.lit(4), "terms": F.lit(5), "spans": F.lit(6), "text_": F.lit(7)})
+    for out in (neardup.one_of_each(odd), suffixes.without_repeats(odd), pii.sanitise(odd)):
+        assert out.columns == odd.columns
+        r = out.where("doc_id = 14").first()
+        assert (r["__id"], r["__key"], r["__spans"], r["__terms"], r["row"], r["terms"], r["spans"]) == (1, "k", 2, 3, 4, 5, 6)
+
+
 def test_estimates_are_close():
     rnd = np.random.default_rng(1)
     a = np.unique(rnd.integers(0, 1 << 62, 900, dtype=np.uint64))
@@ -201,17 +223,74 @@ def test_compaction(spark, tmp_path):
     df = spark.createDataFrame(data, "doc_id long, text string, shard int")
     arrival = sharding.arrival_of(F.col("doc_id"), F.col("text"), 10)
     assert store.append(df, arrival) == 1
-    before = store.manifest()
+    before = store.shards().count()
     assert store.compact(target=8000) == 2
-    after = store.manifest()
-    assert len(after["shards"]) < len(before["shards"]) and sum(s["rows"] for s in after["shards"]) == len(data)
+    after = store.shards().collect()
+    assert len(after) < before and sum(s["rows"] for s in after) == len(data)
     got = store.read().select("doc_id", "text", "shard").collect()
     assert sorted(map(str, got)) == sorted(map(str, df.collect()))
     with pytest.raises(sharding.Conflict):
-        store.commit(1, [], after["schema"])
+        store.commit(1, store.shards(), df.schema, {})
     assert store.append(df.limit(3), arrival) == 3 and store.read().count() == len(data) + 3
-    with pytest.raises(ValueError):
-        store.append(df.withColumn("__shard", F.lit("x")), arrival)
+    assert store.compact(target=8000, keep_versions=2) == 4 and store.versions() == [3, 4]
+    assert store.read(3).count() == store.read().count() == len(data) + 3
+
+
+def test_the_loser_of_a_race_starts_again(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    df = spark.createDataFrame([(k, "x") for k in range(20)], "doc_id long, text string")
+    commit, lost = store.commit, []
+
+    def late(base, *rest):
+        if not lost:
+            lost.append(base)
+            commit(base, *rest)  # another writer takes the version
+        return commit(base, *rest)
+
+    store.commit = late
+    assert store.append(df, F.lit(1)) == 2
+    assert len([p for p in (tmp_path / "store" / "data").iterdir()]) == 1  # what the lost attempt wrote is gone
+
+
+def test_schemas_merge_or_are_refused(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    a = spark.createDataFrame([(1, "a", "en")], "doc_id long, text string, lang string")
+    store.append(a, F.lit(1))
+    store.append(a.select("doc_id", "text").withColumn("n", F.lit(7)), F.lit(2))
+    assert sorted(map(tuple, store.read().select("doc_id", "text", "lang", "n").collect()), key=str) == [(1, "a", None, 7), (1, "a", "en", None)]
+    assert store.compact() == 3
+    assert sorted(map(tuple, store.read().select("doc_id", "text", "lang", "n").collect()), key=str) == [(1, "a", None, 7), (1, "a", "en", None)]
+    with pytest.raises(sharding.SchemaChange):
+        store.append(a.withColumn("lang", F.lit(1)), F.lit(3))
+    assert store.versions() == [3]
+
+
+def test_store_of_odd_input(spark, tmp_path, nothing):
+    names = ["__to", "__number", "__shard", "__arrival", "shard", "arrival", "row", "write", "bytes", "a.b", "__p", "__i"]
+    df = spark.createDataFrame([(1, "t", *names), (1, "t", *names), (2, None, *names)], ["doc_id", "text", *names])
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/odd")
+    store.append(df, F.floor(F.col("doc_id")))
+    store.compact()
+    assert store.read().columns == df.columns and sorted(map(str, store.read().collect())) == sorted(map(str, df.collect()))
+    empty = sharding.ShardStore(spark, f"file://{tmp_path}/empty")
+    assert empty.compact() == 0
+    assert empty.append(nothing, F.lit(1)) == 1 and empty.compact() == 1 and empty.read().count() == 0
+    assert empty.append(nothing.select("doc_id", "text"), F.lit(1)) == 2 and empty.read().columns == nothing.columns
+    assert sharding.compacted_documents(nothing).count() == 0
+
+
+def test_plan_in_ranges_equals_a_plain_one(spark):
+    rnd = random.Random(5)
+    shards = [(f"s{k}", "w", rnd.choice([10, 5000, 300_000, 2_000_000, 40 << 20]) + k, 1, k) for k in range(300)]
+    got = {r["shard"]: r["merged"] for r in sharding.plan(spark.createDataFrame(shards, sharding.SHARDS), 4 << 20).collect()}
+    runs, upto = collections.defaultdict(list), collections.Counter()
+    for name, _, size, _, _ in shards:
+        tier = sum(size >= sharding.TIER_BYTES * sharding.FANOUT**k for k in range(sharding.TIERS))
+        if size < 4 << 20:
+            runs[tier, upto[tier] // (4 << 20)].append(name)
+            upto[tier] += size
+    want = {s[0]: s[0] for s in shards} | {n: f"t-{t}-{r}" for (t, r), names in runs.items() if len(names) > 1 for n in names}
+    assert got == want
 
 
 def test_compaction_equals_sql(spark, tmp_path):
