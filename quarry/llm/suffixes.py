@@ -1,21 +1,26 @@
 """Suffix-array deduplication of byte strings that occur more than once.
 
-Every 200-byte string has an anchor, the place of the least 100-byte hash inside it, which depends on nothing but the
-string. Neighbouring strings with one anchor form a unit. A unit is a suffix of two tokens: the hash of the
-anchor's 100 bytes, then the hash of the whole stretch that its strings cover. Splitters sampled from the corpus deal
-suffixes into ranges by leading tokens, ties by place, so that a passage that fills a third of the corpus spreads
-over as many ranges as it needs. Each range is sorted by multikey quicksort and neighbours are compared:
-
-* no other suffix has the first token: none of the unit's strings occurs elsewhere;
-* another has both tokens: all of them do;
-* the first token alone is shared: the unit's strings are counted by hash, together with one unit of every
-  other stretch at that anchor. Suffixes beside the edge of a range count as shared, so comparisons go across boundaries.
-
-Hashes have 64 bits: two different strings are confused with a probability below 1e-7 even among 10**12.
+The array is sparse: every 200-byte string has an anchor, the place of the least 100-byte hash inside it, which depends on
+nothing but the string, and a suffix begins at each anchor. A unit is a suffix with the run of neighbouring strings that
+have its anchor, so a unit knows at most 100 bytes before the anchor and 200 from it on. Strings are equal only if the bytes
+from their anchors are, so equal strings stand in suffixes that sort side by side.
+
+1. Rows are written once with a number. Anchors whose 100 bytes occur once in the corpus are set aside: units are dealt by
+   the hash of these bytes, those that a task has met before are known to be shared and only one of them is dealt so.
+2. The other suffixes are dealt into ranges by sampled splitters of their leading tokens (8 bytes each), ties by row and
+   place, so that a passage that fills a third of the corpus spreads over as many ranges as it needs. There are as many
+   ranges as the suffixes' bytes need.
+3. Each range is sorted by multikey quicksort over its tokens. Neighbours with 100 bytes in common are one group; inside
+   it, equal units repeat as a whole, and the strings of the others are compared byte by byte.
+4. The first and the last group of a range may go on in the next one. Each distinct string of those is sent on once, by a
+   128-bit hash, and compared across all boundaries.
+
+Documents of equal bytes are removed whole; one of them stands for all in steps 2 to 4. Only step 4 trusts a hash,
+of 128 bits; the hashes of step 1 can only keep a unit that step 3 then finds to be alone.
 
 Texts are UTF-8; null is empty; texts below 200 bytes have nothing to remove. Matches never cross documents, and
 strings are judged on the input. Repeated rows are documents of their own, equal ids included, so their texts match.
-Rows with null ids are kept. Other columns are ignored.
+Rows with null ids are kept. Other columns, whatever their names, are ignored (``without_repeats`` keeps them).
 """
 
 from __future__ import annotations
@@ -28,17 +33,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, tasks_for, texts, written
+from .common import drop_path, quoted, tasks_for, unpacked, written
 from .hashing import between, prefix
 
 LENGTH, KMER = 200, 100
 WINDOW = LENGTH - KMER + 1  # hashes inside a string
-#: Bytes that are hashed together; places take the low 24 bits beside a hash, so it is below 2**24.
-BATCH_BYTES = 4 << 20
-#: Suffixes sampled for each range, and at most for all.
-SAMPLED, SAMPLED_MOST = 64, 500_000
+#: Bytes that are hashed together; places take the low 24 bits beside a hash, so twice as many are below 2**24.
+BATCH_BYTES = 2 << 20
+#: Bytes of a token, tokens of a suffix, and tokens that splitters look at: those that reach over the anchor's bytes.
+TOKEN = 8
+TOKENS, LEADING = LENGTH // TOKEN, KMER // TOKEN + 1
+#: Bytes of text whose anchors one task gathers, bytes of suffixes in a range, and suffixes sampled for each range.
+ANCHOR_BYTES, RANGE_BYTES, SAMPLED = 64 << 20, 16 << 20, 64
 
-SUFFIX = "t0 long, t1 long, key long, first int"
+RECORD = "part int, stretch binary, left int, rid long, first int"
+FOUND = "rid long, spans array<int>, places array<int>, h0 array<long>, h1 array<long>"
 
 
 def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -69,16 +78,16 @@ def stretches(raws: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
 
 
 class Units:
-    """The units of a group of stretches: arrays of text number, first string, number of strings, and tokens."""
+    """The units of a group of stretches: arrays of text number, first string, number of strings, place and hash of the anchor."""
 
     def __init__(self, group: list[tuple[int, int, bytes]]):
-        data = np.frombuffer(b"".join([p for _, _, p in group]), np.uint8)
+        self.raw = b"".join([p for _, _, p in group])
+        data = np.frombuffer(self.raw, np.uint8)
         sizes = np.array([len(p) for _, _, p in group])
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        self.sums = prefix(data)
         at = np.arange(len(data) - KMER + 1)
-        kmers = between(self.sums, at, at + KMER)
+        kmers = between(prefix(data), at, at + KMER)
         low = np.uint64((1 << 24) - 1)
         owner = (sliding_least((kmers & ~low) | at.astype(np.uint64), WINDOW) & low).astype(np.int64)
         owner = owner[: len(data) - LENGTH + 1]
@@ -93,60 +102,104 @@ class Units:
         offset = np.array([a for _, a, _ in group]) - starts
         self.first = self.start + offset[part[new]]
         anchor = owner[new]
-        self.t0 = kmers[anchor]
-        # the anchor's place in the stretch is part of the second token
-        self.t1 = between(self.sums, self.start, self.start + self.count - 1 + LENGTH) ^ ((anchor - self.start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-    def strings(self, unit: int) -> np.ndarray:
-        """Hashes of the unit's strings."""
-        at = np.arange(self.start[unit], self.start[unit] + self.count[unit])
-        return between(self.sums, at, at + LENGTH)
-
+        self.hash = kmers[anchor]
+        self.left = anchor - self.start
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``(key, text)``, where the key of a row is a hash of id and text: equal rows may share it, no others do."""
-    rows = texts(docs)
-    return rows.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text")).alias("key"), "text")
 
+def shared_anchors(rows: DataFrame, parts: int) -> DataFrame:
+    """``(rid, first)`` of the units whose anchor's bytes occur again, from ``(rid, text)``."""
 
-def suffixes(rows: DataFrame, cuts: np.ndarray | None = None) -> DataFrame:
-    """The units of ``(key, text)``; with splitters, ``part`` is the range of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column(0).to_numpy()
+            rids = b.column(0).to_numpy()
             for group in stretches([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]):
                 u = Units(group)
-                cols = [u.t0.view(np.int64), u.t1.view(np.int64), keys[u.number], u.first.astype(np.int32)]
-                if cuts is not None:
-                    cols.append(ranges(cols, cuts))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["t0", "t1", "key", "first", "part"][: len(cols)])
+                _, once, of, n = np.unique(u.hash, return_index=True, return_inverse=True, return_counts=True)
+                known = n[of] > 1
+                witness = np.zeros(len(known), bool)
+                witness[once[n > 1]] = True
+                hashes, rid, first = u.hash.view(np.int64), rids[u.number], u.first.astype(np.int32)
+                place = (rid * 31 + first) % parts  # those that are known to be shared go anywhere
+                part = np.where(known & ~witness, place, hashes % parts).astype(np.int32)
+                state = np.where(witness, 1, np.where(known, 2, 0)).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, hashes, rid, first, state)], ["part", "hash", "rid", "first", "state"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for b in batches:
+            state = b.column(4).to_numpy()
+            sure = state == 2
+            if sure.any():
+                yield b.select([2, 3]).filter(pa.array(sure))
+            held.append(b.filter(pa.array(~sure)))
+        if not held:
+            return
+        got = pa.Table.from_batches(held)
+        hashes, state = got["hash"].to_numpy(), got["state"].to_numpy()
+        _, of, n = np.unique(hashes, return_inverse=True, return_counts=True)
+        shared = (n[of] > 1) | (state == 1)
+        yield from got.select(["rid", "first"]).filter(pa.array(shared)).to_batches(max_chunksize=100_000)
+
+    dealt = rows.mapInArrow(units, "part int, hash long, rid long, first int, state byte").repartitionById(parts, F.col("part"))
+    return dealt.mapInArrow(again, "rid long, first int")
+
+
+def tokens_of(raw: bytes, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` tokens from each start, in the order of their bytes; what lies beyond an end is zero."""
+    data = np.frombuffer(raw + bytes(n * TOKEN), np.uint8)
+    out = np.empty((n, len(starts)), np.uint64)
+    step = np.arange(TOKEN)
+    for k in range(n):
+        at = starts + k * TOKEN
+        word = data[at[:, None] + step]
+        word[(at[:, None] + step) >= ends[:, None]] = 0
+        out[k] = word.view(">u8")[:, 0]
+    return out
 
-    return rows.mapInArrow(run, SUFFIX + (", part int" if cuts is not None else ""))
 
+def weights(raw: bytes, starts: np.ndarray, ends: np.ndarray, rid: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What splitters are compared with: the leading tokens, row and place of each suffix, as one string of bytes."""
+    table = np.vstack([tokens_of(raw, starts, ends, LEADING), rid.astype(np.uint64), first.astype(np.uint64)])
+    return np.ascontiguousarray(table.T).astype(">u8").view(f"S{(LEADING + 2) * TOKEN}")[:, 0]
 
-def ranges(cols: list[np.ndarray], cuts: np.ndarray) -> np.ndarray:
-    """How many splitters (t0, t1, key, first) are not above each suffix."""
-    low, high = np.searchsorted(cuts[:, 0], cols[0], "left"), np.searchsorted(cuts[:, 0], cols[0], "right")
-    out = low.astype(np.int32)
-    for k in np.flatnonzero(high > low):  # splitters with the same first token: compared token by token
-        me = tuple(int(c[k]) for c in cols)
-        out[k] += sum(1 for c in cuts[low[k] : high[k]].tolist() if tuple(c) <= me)
-    return out
 
+def suffixes(rows: DataFrame, cuts: np.ndarray | None = None) -> DataFrame:
+    """Records of the flagged units of ``(rid, text, firsts)``; ``part`` is the range of each by the splitters."""
 
-def splitters(rows: DataFrame, n: int) -> np.ndarray:
-    """``n - 1`` sampled splitters; the sample is bounded by the number of ranges."""
-    documents = rows.count()
-    wanted = min(SAMPLED * n, SAMPLED_MOST)
-    # units are sampled from sixteen times the documents that would do (some twenty units each): a passage that repeats inside
-    # few sampled documents would else be split at few places
-    share = min(1.0, 16 * max(wanted / 20.0, 200.0) / max(documents, 1))
-    sample = suffixes(rows.where(F.pmod(F.col("key"), F.lit(1_000_000)) < int(share * 1_000_000) + 1))
-    got = sample.orderBy(F.xxhash64("t1", "key", "first")).limit(wanted).toArrow()
-    table = np.stack([got[c].to_numpy().astype(np.int64) for c in ("t0", "t1", "key", "first")], 1) if got.num_rows else np.zeros((0, 4), np.int64)
-    table = table[np.lexsort(table.T[::-1])]
-    return table[[len(table) * k // n for k in range(1, n)]] if len(table) >= n > 1 else table[:0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rids, flags = b.column(0).to_numpy(), b.column(2)
+            offsets = flags.offsets.to_numpy()
+            number = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+            wanted = np.sort(number << 40 | flags.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64))
+            for group in stretches([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]):
+                u = Units(group)
+                name = u.number.astype(np.int64) << 40 | u.first
+                mine = np.flatnonzero(np.isin(name, wanted, assume_unique=True))
+                if not len(mine):
+                    continue
+                rid, first = rids[u.number[mine]], u.first[mine].astype(np.int32)
+                start, end = u.start[mine], u.start[mine] + u.count[mine] - 1 + LENGTH
+                part = np.zeros(len(mine), np.int32)
+                if cuts is not None and len(cuts):
+                    part = np.searchsorted(cuts, weights(u.raw, start + u.left[mine], end, rid, first), "right").astype(np.int32)
+                bytes_ = pa.array([u.raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part), bytes_, pa.array(u.left[mine].astype(np.int32)), pa.array(rid), pa.array(first)], ["part", "stretch", "left", "rid", "first"])
+
+    return rows.mapInArrow(run, RECORD)
+
+
+def splitters(rows: DataFrame, flagged: int, n: int) -> np.ndarray:
+    """``n - 1`` splitters from a sample of rows with some ``SAMPLED`` suffixes for each range."""
+    share = min(1.0, SAMPLED * n / max(flagged, 1))
+    sample = rows.where(F.pmod(F.xxhash64("rid"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    got = suffixes(sample).select(F.expr(f"substring(stretch, left + 1, {LEADING * TOKEN})").alias("lead"), "rid", "first").toArrow()
+    if not got.num_rows or n < 2:
+        return np.zeros(0, f"S{(LEADING + 2) * TOKEN}")
+    lead = got["lead"].to_pylist()
+    ends = np.cumsum([len(x) for x in lead])
+    table = np.sort(weights(b"".join(lead), ends - [len(x) for x in lead], ends, got["rid"].to_numpy(), got["first"].to_numpy()))
+    return np.unique(table[[len(table) * k // n for k in range(1, n)]])
 
 
 def multikey_quicksort(columns: list[np.ndarray]) -> np.ndarray:
@@ -175,106 +228,153 @@ def multikey_quicksort(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-#: What a suffix turned out to be: all strings repeated; to be counted; both, as a witness for others.
-WHOLE, COUNTED, WITNESS = 1, 2, 3
-
-
-def compare_range(t0: np.ndarray, t1: np.ndarray, key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the suffixes whose first token is shared, and what they are."""
-    order = multikey_quicksort([t0, t1, key, first])
-    a, b = t0[order], t1[order]
-    n = len(order)
-    new0 = np.concatenate([[True], a[1:] != a[:-1]])
-    new1 = new0 | np.concatenate([[True], b[1:] != b[:-1]])
-    run0, run1 = np.cumsum(new0) - 1, np.cumsum(new1) - 1
-    stretches_of_run = np.bincount(run0[new1])
-    several = stretches_of_run[run0] > 1
-    edge = (run0 == 0) | (run0 == run0[-1])  # may go on in the next range
-    again = np.bincount(run1)[run1] > 1
-    state = np.zeros(n, np.int8)
-    state[again] = WHOLE
-    state[~again & (several | edge)] = COUNTED
-    state[again & new1 & (several | edge)] = WITNESS
-    kept = state > 0
-    return order[kept], state[kept]
-
-
-def shared_units(rows: DataFrame) -> DataFrame:
-    """``(key, first, state)`` of the units whose first token occurs again."""
-    parts = tasks_for(rows.sparkSession)
-    cuts = splitters(rows, parts)
-    dealt = suffixes(rows, cuts).repartitionById(parts, F.col("part"))
+def common_bytes(tokens: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many leading bytes each suffix in the order has in common with the one before it; 0 for the first."""
+    out = np.zeros(len(order), np.int64)
+    going = np.ones(len(order), bool)
+    going[:1] = False
+    for t in tokens:
+        d = t[order]
+        d = d ^ np.concatenate([d[:1], d[:-1]])
+        lead = np.full(len(d), TOKEN)
+        for k in range(TOKEN):  # bytes before the first that differs
+            lead = np.where((lead == TOKEN) & ((d >> np.uint64(8 * (TOKEN - 1 - k))) & np.uint64(255) != 0), k, lead)
+        out += np.where(going, lead, 0)
+        going &= lead == TOKEN
+    size = sizes[order]
+    return np.minimum(out, np.minimum(size, np.concatenate([size[:1], size[:-1]])))
+
+
+def same_strings(raw: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the strings that begin at a and at b are equal, byte by byte."""
+    data = np.frombuffer(raw, np.uint8)
+    out = np.ones(len(a), bool)
+    for k in range(0, len(a), 50_000):
+        x, y, alike = a[k : k + 50_000], b[k : k + 50_000], np.ones(len(a[k : k + 50_000]), bool)
+        for off in range(0, LENGTH, 40):
+            step = np.arange(off, off + 40)
+            alike &= (data[x[:, None] + step] == data[y[:, None] + step]).all(1)
+        out[k : k + 50_000] = alike
+    return out
+
+
+def compare_range(stretch: list[bytes], left: np.ndarray, rid: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
+    """Sorts the suffixes of a range and compares neighbours: rows of ``FOUND``, those of the range's edges with their strings' hashes."""
+    n = len(stretch)
+    sizes = np.fromiter(map(len, stretch), np.int64, n)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    raw = b"".join(stretch)
+    tokens = tokens_of(raw, starts + left, ends, TOKENS)
+    order = multikey_quicksort([*tokens, rid, first])
+    group = np.cumsum(common_bytes(tokens, sizes - left, order) < KMER) - 1
+    of_row = np.empty(n, np.int64)
+    of_row[order] = group
+    members = np.bincount(group)
+    edge = (of_row == 0) | (of_row == group[-1])
+    # units that are equal as a whole
+    kinds: dict[tuple[int, bytes], int] = {}
+    kind = np.fromiter((kinds.setdefault((x, s), len(kinds)) for x, s in zip(left.tolist(), stretch, strict=True)), np.int64, n)
+    copies = np.bincount(kind)
+    _, one = np.unique(kind, return_index=True)  # a unit of each kind
+    different = np.bincount(of_row[one], minlength=len(members))  # kinds in each group
+    whole = copies[kind] > 1
+    for k in np.flatnonzero(whole).tolist():
+        yield int(rid[k]), [int(first[k]), int(first[k] + sizes[k])], [], [], []
+    # strings of the kinds that have company, or may have it in another range
+    looked = one[(different[of_row[one]] > 1) | edge[one]]
+    if not len(looked):
+        return
+    count = sizes[looked] - LENGTH + 1
+    unit = np.repeat(np.arange(len(looked)), count)
+    at = np.arange(len(unit)) - np.repeat(np.cumsum(count) - count, count) + starts[looked][unit]
+    data = np.frombuffer(raw, np.uint8)
+    sums = prefix(data)
+    h = between(sums, at, at + LENGTH)
+    del sums
+    by = np.argsort(h, kind="stable")
+    new = np.concatenate([[True], h[by][1:] != h[by][:-1]])
+    run = np.cumsum(new) - 1
+    head = at[by][new][run]
+    alike = np.ones(len(at), bool)
+    check = np.flatnonzero(~new)
+    alike[check] = same_strings(raw, at[by[check]], head[check])
+    repeated = np.zeros(len(at), bool)
+    repeated[by] = np.bincount(run, minlength=1)[run] > 1
+    leader = np.zeros(len(at), bool)  # one string of each content
+    leader[by[new]] = True
+    for r in np.unique(run[~alike]).tolist():  # equal hashes of different strings: told apart by the strings themselves
+        of: dict[bytes, list[int]] = {}
+        for k in by[run == r].tolist():
+            of.setdefault(raw[at[k] : at[k] + LENGTH], []).append(k)
+        for ks in of.values():
+            repeated[ks], leader[ks] = len(ks) > 1, False
+            leader[ks[0]] = True
+    again = repeated | whole[looked][unit]
+    sent = leader & edge[looked][unit]
+    place = first[looked][unit] + at - starts[looked][unit]
+    other = prefix(data, 1) if sent.any() else None
+    bounds = np.concatenate([[0], np.cumsum(count)]).tolist()
+    for k, row in enumerate(looked.tolist()):
+        a, b = bounds[k], bounds[k + 1]
+        mine = place[a:b][again[a:b]]
+        spans: list[int] = []
+        if len(mine) and not whole[row]:
+            gap = np.flatnonzero(np.diff(mine) > 1)
+            spans = np.stack([mine[np.concatenate([[0], gap + 1])], mine[np.concatenate([gap, [len(mine) - 1]])] + LENGTH], 1).ravel().tolist()
+        out = np.flatnonzero(sent[a:b]) + a
+        if spans or len(out):
+            second = between(other, at[out], at[out] + LENGTH).view(np.int64).tolist() if len(out) else []
+            yield int(rid[row]), spans, place[out].tolist(), h[out].view(np.int64).tolist(), second
+
+
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """``(rid, spans)`` of written rows ``(rid, text)``: pairs of byte offsets, start and end in turn, unordered, that cover all
+    repeated strings of a row."""
+    spark = rows.sparkSession
+    size = F.octet_length("text").cast("long")
+    seen, seen_path = written(rows.select("rid", size.alias("size"), F.sha2("text", 256).alias("sha")).where(F.col("size") >= LENGTH), "suffix-rows")
+    total = seen.agg(F.sum("size")).first()[0] or 0
+    groups = seen.groupBy("sha").agg(F.min("rid").alias("head"), F.count("*").alias("n")).where("n > 1").select("sha", "head")
+    copies, copies_path = written(seen.join(groups, "sha").select("rid", "size", (F.col("rid") == F.col("head")).alias("stands")), "copies")
+    shared = shared_anchors(rows.where(size >= LENGTH), max(tasks_for(spark), -(-total // ANCHOR_BYTES)))
+    shared = shared.join(copies.where("not stands").select("rid"), "rid", "left_anti")
+    flags, flags_path = written(shared.groupBy("rid").agg(F.collect_list("first").alias("firsts")), "shared")
+    flagged = flags.agg(F.sum(F.size("firsts"))).first()[0] or 0
+    n = max(tasks_for(spark), -(-flagged * (LENGTH + KMER // 2) // RANGE_BYTES))
+    joined = rows.join(flags, "rid").select("rid", "text", "firsts")
+    cuts = splitters(joined, flagged, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
+        held = list(batches)  # RANGE_BYTES on average
         if not held:
             return
         got = pa.Table.from_batches(held)
-        t0, t1, key, first = (got[c].to_numpy() for c in ("t0", "t1", "key", "first"))
-        at, state = compare_range(t0, t1, key, first)
-        for k in range(0, len(at), 50_000):
-            s = at[k : k + 50_000]
-            yield pa.RecordBatch.from_pydict({"key": key[s], "first": first[s], "state": state[k : k + 50_000].astype(np.int32)})
+        del held
+        found: list[tuple] = []
+        for x in compare_range(got["stretch"].to_pylist(), got["left"].to_numpy().astype(np.int64), got["rid"].to_numpy(), got["first"].to_numpy().astype(np.int64)):
+            found.append(x)
+            if len(found) == 20_000:
+                yield _found(found)
+                found = []
+        if found:
+            yield _found(found)
+
+    found, found_path = written(suffixes(joined, cuts).repartitionById(n, F.col("part")).mapInArrow(run, FOUND), "found")
+    sent = found.select("rid", F.explode(F.arrays_zip("places", "h0", "h1")).alias("s")).select("rid", "s.places", "s.h0", "s.h1")
+    across = sent.groupBy("h0", "h1").agg(F.count("*").alias("n")).where("n > 1").select("h0", "h1")
+    across = sent.join(across, ["h0", "h1"], "left_semi").select("rid", F.array(F.col("places"), F.col("places") + LENGTH).alias("spans"))
+    whole = copies.select("rid", F.array(F.lit(0), F.col("size").cast("int")).alias("spans"))
+    spans = found.where(F.size("spans") > 0).select("rid", "spans").unionByName(across).unionByName(whole)
+    spans, _ = written(spans.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    drop_path(spark, seen_path, copies_path, flags_path, found_path)
+    return spans
 
-    return dealt.mapInArrow(run, "key long, first int, state int")
 
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``(key, spans)``: pairs of byte offsets, start and end in turn, unordered, that cover all repeated strings of a row."""
-    spark = docs.sparkSession
-    rows = keyed(docs)
-    shared, shared_path = written(shared_units(rows), "shared-units")
-    # of one key, a place's states come together: repeated rows share the key
-    flags = shared.groupBy("key").agg(F.collect_set(F.col("first").cast("long") * 4 + F.col("state")).alias("flags"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raws = [t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-            keys, state = b.column(0).to_pylist(), []
-            for flags in b.column(2).to_pylist():
-                s: dict[int, int] = {}
-                for f in flags:
-                    s[f >> 2] = s.get(f >> 2, 0) | (f & 3)
-                state.append(s)
-            spans: list[list[int]] = [[] for _ in raws]
-            strings: list[list[np.ndarray]] = [[] for _ in raws]
-            places: list[list[np.ndarray]] = [[] for _ in raws]
-            for group in stretches(raws):
-                u = Units(group)
-                for k, (number, first) in enumerate(zip(u.number.tolist(), u.first.tolist(), strict=True)):
-                    s = state[number].get(first)
-                    if s is None:
-                        continue
-                    if s & WHOLE:
-                        spans[number] += (first, first + int(u.count[k]) - 1 + LENGTH)
-                    if s & COUNTED:
-                        strings[number].append(u.strings(k).view(np.int64))
-                        places[number].append(np.arange(first, first + u.count[k]))
-
-            def joined(x):
-                return np.concatenate(x) if x else np.zeros(0, np.int64)
-
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "key": keys,
-                    "spans": pa.array([merged(x) for x in spans], pa.list_(pa.int32())),
-                    "strings": pa.array([joined(x) for x in strings], pa.list_(pa.int64())),
-                    "places": pa.array([joined(x) for x in places], pa.list_(pa.int32())),
-                }
-            )
-
-    units = rows.join(flags, "key").select("key", "text", "flags").mapInArrow(run, "key long, spans array<int>, strings array<long>, places array<int>")
-    units, units_path = written(units, "units")
-    drop_path(spark, shared_path)
-    strings = units.select("key", F.explode(F.arrays_zip("strings", "places")).alias("s")).select("key", F.col("s.strings").alias("h"), F.col("s.places").alias("place"))
-    again = strings.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    found = strings.join(again, "h", "left_semi").groupBy("key").agg(F.collect_set("place").alias("places"))
-    covered = F.flatten(F.transform("places", lambda p: F.array(p, p + LENGTH)))
-    whole = units.where(F.size("spans") > 0).select("key", "spans").distinct()
-    spans = whole.join(found, "key", "full").select("key", F.concat(F.coalesce("spans", F.array().cast("array<int>")), F.coalesce(covered, F.array().cast("array<int>"))).alias("spans"))
-    spans, _ = written(spans, "spans")
-    drop_path(spark, units_path)
-    return spans
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True))
+    kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in FOUND.split(", ")])
 
 
 def merged(flat: list[int]) -> list[int]:
@@ -288,11 +388,16 @@ def merged(flat: list[int]) -> list[int]:
     return out
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, spans)`` of all documents; spans are null where nothing repeats."""
-    rows = texts(docs)
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text"))
-    return rows.withColumn("key", key).join(repeated_spans(docs), "key", "left").select("doc_id", "text", "spans")
+def numbered(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(rid, text, row)``, written once: a number, the text, and all other columns as a struct."""
+    others = [F.col(quoted(c)) for c in docs.columns if c != text_col] or [F.lit(0).alias("none")]
+    rows, _ = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(quoted(text_col)).cast("string").alias("text"), F.struct(*others).alias("row")), "rows")
+    return rows
+
+
+def with_spans(rows: DataFrame) -> DataFrame:
+    """Numbered rows with their spans, null where nothing repeats."""
+    return rows.join(repeated_spans(rows.select("rid", F.coalesce("text", F.lit("")).alias("text"))), "rid", "left")
 
 
 def removed_bytes(docs: DataFrame) -> DataFrame:
@@ -315,7 +420,9 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
                 d, n, r, s, h = zip(*out, strict=True)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "n_bytes": n, "n_removed": r, "n_spans": s, "kept_sha256": h})
 
-    return with_spans(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = with_spans(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text"))
+    rows = rows.select(F.col("row").getField("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "spans")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def character_spans(text: str, cut: list[int]) -> str:
@@ -338,20 +445,15 @@ def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str = "n
 
     Null texts stay null.
     """
-    id_ = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-"))
-    key = F.xxhash64(id_, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    spans = repeated_spans(docs).withColumnsRenamed({"key": "__key", "spans": "__spans"})
-    rows = docs.withColumn("__key", key).join(spans, "__key", "left").select(*docs.columns, "__spans")
-    at = docs.columns.index(text_col)
+    found = with_spans(numbered(docs, text_col)).select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans_ = b.column(b.num_columns - 1).to_pylist()
-            ts = [character_spans(t, merged(s)) if t and s else t for t, s in zip(b.column(at).to_pylist(), spans_, strict=True)]
-            cols = [pa.array(ts, b.schema.field(at).type) if k == at else b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
+            ts = [character_spans(t, merged(s)) if t and s else t for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ts, pa.string())], ["row", "text"])
 
-    out = rows.mapInArrow(run, docs.schema)
+    out = found.mapInArrow(run, found.select("row", "text").schema)
+    changed = {text_col: F.col("text")}
     if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return out
+        changed[chars_col] = F.length("text").cast(docs.schema[chars_col].dataType)
+    return unpacked(out, docs.columns, **changed)
