@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -131,6 +132,13 @@ def plain_removal(texts, n=suffixes.LENGTH):
     return sorted(out)
 
 
+suffixes_between = suffixes.between
+
+
+def _few(sums, a, b):
+    return suffixes_between(sums, a, b) & np.uint64(7)
+
+
 def repeats(seed):
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("abé日c") for _ in range(rnd.randint(1, 6)))
@@ -153,6 +161,33 @@ def test_repeated_strings(spark, seed):
     assert sorted(tuple(r)[1:] for r in got) == plain_removal([t.encode() for t in texts])
 
 
+@pytest.mark.parametrize("parts", [1, 40])
+def test_repeated_strings_over_many_ranges(spark, monkeypatch, parts):
+    """Few bytes a range: groups are split, their strings compared across boundaries."""
+    monkeypatch.setattr(suffixes, "RANGE_BYTES", 60_000 // parts)
+    rnd = random.Random(9)
+    passage = "".join(rnd.choice("abcdef ") for _ in range(420))
+    texts = repeats(5) + ["".join(rnd.choice("xyz ") for _ in range(rnd.randint(0, 300))) + passage[rnd.randint(0, 60) : rnd.randint(330, 420)] + "".join(rnd.choice("xyz ") for _ in range(90)) for _ in range(80)]
+    got = suffixes.removed_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    assert sorted(tuple(r)[1:] for r in got) == plain_removal([t.encode() for t in texts])
+
+
+def test_strings_are_compared_by_bytes(spark, monkeypatch):
+    """Hashes of strings that say little: results stand on the bytes."""
+    monkeypatch.setattr(suffixes, "between", lambda sums, a, b: _few(sums, a, b) if len(a) and (b - a)[0] == suffixes.LENGTH else suffixes_between(sums, a, b))
+    raws = [t.encode() for t in repeats(6)[:30]]
+    group = next(suffixes.stretches(raws))
+    u = suffixes.Units(group)
+    rows_ = list(suffixes.compare_range([u.raw[a : a + n - 1 + suffixes.LENGTH] for a, n in zip(u.start.tolist(), u.count.tolist(), strict=True)], u.left, u.number.astype(np.int64), u.first.astype(np.int64)))
+    gone = [bytearray(len(r)) for r in raws]
+    for rid, spans, *_ in rows_:
+        for a, b in zip(spans[0::2], spans[1::2], strict=True):
+            gone[rid][a:b] = b"\1" * (b - a)
+    left = [bytes(c for c, g in zip(r, f, strict=True) if not g) for r, f in zip(raws, gone, strict=True)]
+    want = plain_removal(raws)
+    assert sorted((len(r), len(r) - len(x)) for r, x in zip(raws, left, strict=True)) == sorted(w[:2] for w in want)
+
+
 def test_repeated_strings_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "BATCH_BYTES", 700)  # long texts in overlapping stretches
     texts = repeats(4)
@@ -322,22 +357,54 @@ def test_chat_roles_are_recovered(spark):
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
     got = chat.format_conversations(df).collect()
     assert len(got) == 60
-    assert sum(r["n_right"] for r in got) / sum(r["n_lines"] for r in got) > 0.95
-    assert all(r["rendered"].count("<|end|>") >= r["n_turns"] for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert 10 < len(held) < 30 and sum(r["n_right"] for r in held) / sum(r["n_labelled"] for r in held) > 0.95
+    assert all(r["rendered"].count("<|end|>") == r["n_turns"] for r in got)
+
+
+def test_held_out_conversations_teach_nothing(spark):
+    data = conversations(spark)
+    turned = [(c, t, {"user": "assistant", "assistant": "user"}.get(r, r) if zlib.crc32(str(c).encode()) % 3 == 1 else r, x) for c, t, r, x in data]
+    schema = "conv_id long, turn long, role string, text string"
+    keep = lambda d: chat.write_transcripts(spark.createDataFrame(d, schema)).where(F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(3)) != 1)
+    a, b = chat.train(keep(data)), chat.train(keep(turned))
+    assert np.array_equal(a.step, b.step) and np.array_equal(a.emit, b.emit)
+
+
+def test_transcripts_given_as_text(spark):
+    df = spark.createDataFrame(conversations(spark), "conv_id long, turn long, role string, text string")
+    hmm = chat.train(chat.write_transcripts(df))
+    text = "Human: what is this?\n\nAssistant: an answer of some length, as they are\nQ: is no marker in here, it goes on\n\nA\nHuman: and this?\nAssistant: it is that."
+    given = spark.createDataFrame([(1, 0, text), (2, 0, None), (3, 0, " \n\n "), (4, 1, "Assistant: b."), (4, 0, "Human: a?"), (None, None, "Human: x?")], "conv_id long, part long, text string")
+    got = {(r["conv_id"], r["part"]): r for r in chat.parse_transcripts(given, hmm).collect()}
+    assert got[1, 0]["rendered"].startswith("<|user|>\nwhat is this?\n<|end|>\n<|assistant|>\nan answer")
+    for line in ("is no marker in here, it goes on", "and this?\n<|end|>\n<|assistant|>\nit is that.\n<|end|>\n"):
+        assert line in got[1, 0]["rendered"]
+    assert got[2, 0]["rendered"] == got[3, 0]["rendered"] == ""
+    assert got[4, 0]["rendered"] + got[4, 1]["rendered"] == "<|user|>\na?\n<|end|>\n<|assistant|>\nb.\n<|end|>\n"
+    assert got[-1, -1]["n_turns"] == 1
+
+
+def test_markers_go_only_where_a_turn_begins():
+    goes_on, begins = chat.STATES.index(("assistant", False)), chat.STATES.index(("assistant", True))
+    text = "AI: x\nQ: y\nA\n\nAI: z"
+    assert chat.render(text, [begins, goes_on, goes_on, begins], True, True) == "<|assistant|>\nx\nQ: y\nA\n<|end|>\n<|assistant|>\nz\n<|end|>\n"
+    assert chat.render("more\n\nstill", [goes_on, goes_on], False, False) == "more\n\nstill\n"
 
 
-def test_chat_segments_equal_one_pass(spark, monkeypatch):
+def test_chat_parts_equal_one_pass(spark, monkeypatch):
     df = spark.createDataFrame(conversations(spark, 6, 40), "conv_id long, turn long, role string, text string")
-    segments = chat.transcripts(df)
-    hmm = chat.train(segments)
-    whole = {r["conv_id"]: r["rendered"] for r in chat.parse(segments, hmm).collect()}
+    whole_parts = chat.written(chat.write_transcripts(df), "whole")[0]
+    hmm = chat.train(whole_parts)
+    whole = {r["conv_id"]: (r["rendered"], r["states"]) for r in chat.parse(whole_parts, hmm).collect()}
     monkeypatch.setattr(chat, "SEGMENT", 7)
     parts = collections.defaultdict(list)
-    for r in chat.parse(chat.transcripts(df), hmm).collect():
-        parts[r["conv_id"]].append((r["segment"], r["part"], r["n_lines"], r["n_right"], r["begins"]))
+    for r in chat.parse(chat.written(chat.write_transcripts(df), "parts")[0], hmm).collect():
+        parts[r["conv_id"]].append((r["segment"], r["part"], r["rendered"], r["states"]))
     assert all(len(p) == 6 for p in parts.values())
-    lines = {r["conv_id"]: (r["n_lines"], r["n_right"]) for r in chat.parse(segments, hmm).collect()}
-    assert {c: (sum(x[2] for x in p), sum(x[3] for x in p)) for c, p in parts.items()} == {c: lines[c] for c in whole}
+    same = [c for c in whole if sum((x[3] for x in sorted(parts[c])), []) == whole[c][1]]
+    assert len(same) >= 5  # a blank line between two parts is not seen: that may move a state
+    assert all("".join(x[2] for x in sorted(parts[c])).replace("\n\n", "\n") == whole[c][0].replace("\n\n", "\n") for c in same)
 
 
 def test_viterbi_is_the_best_path():
@@ -364,11 +431,14 @@ def test_viterbi_is_the_best_path():
 
 
 def test_chat_of_odd_input(spark):
-    data = [(1, 0, None, None), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, None, "assistant", ""), (2, 5, "other", "x: y\n\n\nz")]
+    data = [(1, 0, None, None), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, None, "assistant", ""), (2, 5, "critic", "x: y\n\n\nz")]
     schema = "conv_id long, turn long, role string, text string"
-    got = chat.format_conversations(spark.createDataFrame(data, schema)).collect()
-    assert {r["conv_id"] for r in got} == {1, -1, 2}
+    got = {r["conv_id"]: r for r in chat.format_conversations(spark.createDataFrame(data, schema)).collect()}
+    assert set(got) == {1, -1, 2} and (got[1]["n_lines"], got[1]["n_labelled"]) == (5, 4) and got[2]["n_labelled"] == 0 and got[2]["accuracy"] == 1.0
     assert chat.format_conversations(spark.createDataFrame([], schema)).count() == 0
-    many = [(6, 0, "user", f"line {k}") for k in range(3000)]
+    odd = spark.createDataFrame([(1, 0, "user", "a", 1, 2, 3, 4)], schema + ", segment int, part int, turns int, n int")
+    assert chat.format_conversations(odd).count() == 1
+    many = [(6, 0, "user", f"line {k}") for k in range(3000)] + [(7, 0, "user", "the same")] * 3000
     got = chat.format_conversations(spark.createDataFrame(many, schema)).collect()
-    assert sum(r["n_lines"] for r in got) == 3000 and len(got) > 1
+    for c in (6, 7):
+        assert sum(r["n_lines"] for r in got if r["conv_id"] == c) >= 3000 and len([r for r in got if r["conv_id"] == c]) > 1
