@@ -210,11 +210,11 @@ def form_of(word: Column) -> Column:
 
 def term_places(docs: DataFrame, disclosing: DataFrame) -> DataFrame:
     """``(key, terms)``: every place of a disclosing term, of rows that have any."""
-    bitmap, _ = written(word_filter(disclosing.select("term")), "pii-filter")
-    rows = texts(docs).crossJoin(F.broadcast(bitmap))
-    maybe = F.exists(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: may_be(term_of(w), F.col("bitmap")))
-    places = F.filter(found(F.col("text"), WORD), lambda s: may_be(term_of(s["value"]), F.col("bitmap")))
-    rows = rows.where(maybe).select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.explode(places).alias("s"))
+    filter_, _ = written(word_filter(disclosing.select("term")), "pii-filter")
+    bitmap = F.col("bitmap")
+    maybe = F.exists(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: may_be(term_of(w), bitmap))
+    places = F.filter(found(F.col("text"), WORD), lambda s: may_be(term_of(s["value"]), bitmap))
+    rows = texts(docs).withColumn("bitmap", filter_.scalar()).where(maybe).select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.explode(places).alias("s"))
     rows = rows.select("key", "s.start", "s.end", term_of(F.col("s.value")).alias("term"), form_of(F.col("s.value")).alias("form"))
     hits = rows.withColumn("salt", salt_of("key", "start")).join(spread(disclosing), ["term", "salt"])
     return hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "degree", "form"))).alias("terms"))  # repeated rows share a key
