@@ -1,65 +1,105 @@
 """Evaluation of rankings: enrichment, ROC area, BEDROC, bootstraps and detectable differences.
 
-Everything is per group of ``keys``. Scores order descending, ties by the item. The bootstraps are grouped by
-(keys, resample): resamples are drawn by a hash, so results do not depend on partitions, and each is a
-declarative aggregate; no group of all scores is gathered.
+Everything is per group of ``keys``. Scores order descending, ties by the item. Places are counted over ranges
+(``ranking.positions``), so that four groups are not four tasks. The bootstraps are grouped by (keys, resample): draws are
+arithmetic on the item's number, so results do not depend on partitions, and each resample is a declarative aggregate
+over weighted rows; no group of all scores is gathered.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import average_ranks
+from .ranking import positions, running_total
 
 EF_FRACTIONS = (0.01, 0.05)
 BEDROC_ALPHA = 20.0
 BOOTSTRAP_SAMPLES = 1000
+SEED = 20240101
+
+#: A statistic of weighted rows ``(keys, score, label, w)``: a frame ``(keys, value)``.
+Statistic = Callable[[DataFrame, str, str, list[str]], DataFrame]
+
+
+def placed(df: DataFrame, score: str, label: str, keys: list[str], item: str) -> DataFrame:
+    """``(keys, score, label, place, n, a)``: places from 1, rows and actives of each group; written once for all statistics."""
+    rows = df.select(*keys, F.col(score).alias("__s"), F.col(label).cast("long").alias("__y"), F.col(item).alias("__item"))
+    rows = positions(rows, keys, [F.col("__s").desc_nulls_last(), F.col("__item")], "__place").drop("__item")
+    totals = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.sum("__y").alias("__a"))
+    return rows.join(totals, keys)
+
+
+def _depth(fraction: float) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.col("__n"))).cast("long")
+
+
+def _enrichment(fraction: float) -> list[Column]:
+    k = _depth(fraction)
+    return [F.max(k).alias("k"), F.sum(F.when(F.col("__place") <= k, F.col("__y")).otherwise(0)).alias("hits")]
+
+
+def _ratio(hits: str, k: str) -> Column:
+    """Enrichment over the base rate; 0 where there are no actives."""
+    return F.when(F.col("actives") > 0, (F.col(hits) / F.col(k)) / (F.col("actives") / F.col("n"))).otherwise(F.lit(0.0))
 
 
 def ef_at(df: DataFrame, score: str, label: str, keys: list[str], item: str, fraction: float) -> DataFrame:
-    """Hits among the best k = max(1, ceil(fraction * n)), and their enrichment over the whole."""
-    order = Window.partitionBy(*keys).orderBy(F.col(score).desc(), item)
-    everything = Window.partitionBy(*keys)
-    rows = df.withColumn("__i", F.row_number().over(order)).withColumn("__n", F.count("*").over(everything))
-    k = F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.col("__n"))).cast("long")
-    g = rows.groupBy(*keys).agg(F.max("__n").alias("n"), F.max(k).alias("k"), F.sum(F.col(label).cast("long")).alias("actives"), F.sum(F.when(F.col("__i") <= k, F.col(label).cast("long")).otherwise(0)).alias("hits"))
-    ef = F.when(F.col("actives") > 0, (F.col("hits") / F.col("k")) / (F.col("actives") / F.col("n")))
-    return g.withColumn("ef", ef)
+    """Hits among the best k = max(1, ceil(fraction * n)), their share, and their enrichment over the base rate."""
+    g = placed(df, score, label, keys, item).groupBy(*keys).agg(F.max("__n").alias("n"), F.max("__a").alias("actives"), *_enrichment(fraction))
+    recall = F.when(F.col("actives") > 0, F.col("hits") / F.col("actives")).otherwise(F.lit(0.0))
+    return g.select(*keys, "n", "k", "actives", "hits", (F.col("hits") / F.col("k")).alias("precision"), recall.alias("recall"), (F.col("actives") / F.col("n")).alias("base_rate"), _ratio("hits", "k").alias("ef"))
 
 
 def auc(df: DataFrame, score: str, label: str, keys: list[str]) -> DataFrame:
-    """Area under the ROC curve from average ranks; null where a class is missing."""
-    g = average_ranks(df, score, keys, "__r").groupBy(*keys).agg(
-        F.sum(F.when(F.col(label) == 1, F.col("__r"))).alias("s"), F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q")
-    )
-    return g.select(*keys, F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p").cast("double") * F.col("q"))).alias("auc"))
+    """Area under the ROC curve; null where a class is missing. Ties count half."""
+    return weighted_auc(df.withColumn("w", F.lit(1)), score, label, keys)
+
+
+def _weight(alpha: float) -> Column:
+    return F.exp(-alpha * (F.col("__place") - 0.5) / F.col("__n"))
+
+
+def _bedroc(alpha: float) -> list[Column]:
+    w = _weight(alpha)
+    return [F.sum(F.when(F.col("__y") == 1, w)).alias("f"), F.avg(w).alias("rand"), F.sum(F.when(F.col("__place") <= F.col("__a"), w)).alias("best")]
+
+
+def _recognition() -> Column:
+    mean, best = F.col("f") / F.col("actives"), F.col("best") / F.col("actives")
+    value = 0.5 + 0.5 * (mean - F.col("rand")) / (best - F.col("rand"))
+    return F.when((F.col("actives") > 0) & (F.col("actives") < F.col("n")), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def bedroc(df: DataFrame, score: str, label: str, keys: list[str], item: str, alpha: float = BEDROC_ALPHA) -> DataFrame:
-    """Exponentially weighted early recognition, 1 for a perfect and 0.5 for a random order.
+    """Exponentially weighted early recognition, 1 for a perfect and 0.5 for a random order; null where a class is missing.
 
     Weights fall with the middle of a row's place. The random value is the mean weight, the perfect one the
     mean of the first weights.
     """
-    order = Window.partitionBy(*keys).orderBy(F.col(score).desc(), item)
-    rows = df.withColumn("__i", F.row_number().over(order)).withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).withColumn("__a", F.sum(F.col(label).cast("long")).over(Window.partitionBy(*keys)))
-    w = F.exp(-alpha * (F.col("__i") - 0.5) / F.col("__n"))
-    g = rows.groupBy(*keys).agg(F.sum(F.when(F.col(label) == 1, w)).alias("f"), F.avg(w).alias("rand"), F.sum(F.when(F.col("__i") <= F.col("__a"), w)).alias("best"), F.max("__a").alias("a"), F.max("__n").alias("n"))
-    mean, best = F.col("f") / F.col("a"), F.col("best") / F.col("a")
-    value = 0.5 + 0.5 * (mean - F.col("rand")) / (best - F.col("rand"))
-    return g.select(*keys, F.when((F.col("a") > 0) & (F.col("a") < F.col("n")), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).alias("bedroc"))
+    g = placed(df, score, label, keys, item).groupBy(*keys).agg(F.max("__n").alias("n"), F.max("__a").alias("actives"), *_bedroc(alpha))
+    return g.select(*keys, _recognition().alias("bedroc"))
 
 
 def metrics(df: DataFrame, score: str, label: str, keys: list[str], item: str) -> DataFrame:
-    """EF at 1 % and 5 %, ROC area and BEDROC, to four places."""
-    out = auc(df, score, label, keys).join(bedroc(df, score, label, keys, item), keys)
-    for f in EF_FRACTIONS:
-        out = out.join(ef_at(df, score, label, keys, item, f).select(*keys, F.col("ef").alias(f"ef{int(f * 100)}")), keys)
-    return out.select(*keys, *[F.round(c, 4).alias(c) for c in ("ef1", "ef5", "auc", "bedroc")])
+    """EF at 1 % and 5 %, ROC area and BEDROC, to four places, from one table of places."""
+    rows = placed(df, score, label, keys, item)
+    aggs = [F.max("__n").alias("n"), F.max("__a").alias("actives"), *_bedroc(BEDROC_ALPHA)]
+    for k, f in enumerate(EF_FRACTIONS):
+        depth, hits = _enrichment(f)
+        aggs += [depth.alias(f"k{k}"), hits.alias(f"hits{k}")]
+    g = rows.groupBy(*keys).agg(*aggs)
+    # of one score, the mean place is its rank from the top; from the bottom it is n + 1 less that
+    ties = rows.groupBy(*keys, "__s").agg(F.sum("__y").alias("p"), (F.max("__n") + 1 - F.avg("__place")).alias("r"), F.count("*").alias("c"))
+    ranks = ties.groupBy(*keys).agg(F.sum(F.col("p") * F.col("r")).alias("s"), F.sum("p").alias("p"), F.sum("c").alias("c"))
+    q = F.col("c") - F.col("p")
+    area = F.when((F.col("p") > 0) & (q > 0), (F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p").cast("double") * q))
+    out = g.join(ranks.select(*keys, area.alias("auc")), keys).withColumn("bedroc", _recognition())
+    return out.select(*keys, *[F.round(_ratio(f"hits{k}", f"k{k}"), 4).alias(f"ef{int(f * 100)}") for k, f in enumerate(EF_FRACTIONS)], *[F.round(c, 4).alias(c) for c in ("auc", "bedroc")])
 
 
 def minimum_detectable_difference(standard_error: float, power: float = 0.8, level: float = 0.95) -> float:
@@ -67,52 +107,134 @@ def minimum_detectable_difference(standard_error: float, power: float = 0.8, lev
     return (d.inv_cdf(0.5 + level / 2) + d.inv_cdf(power)) * standard_error
 
 
+PRIME = 2147483647
+
+
+def uniform(item: Column, b: Column, seed: int) -> Column:
+    """A number in (0, 1) from an item's number, a resample and a seed, by integer arithmetic that any engine repeats."""
+    x = F.pmod(F.pmod(item, F.lit(PRIME)) * 1000003 + b * 104729 + seed, F.lit(PRIME))
+    for step in (48271, 69621, 16807):
+        x = F.pmod(x * x + x * step + 1, F.lit(PRIME))
+    return (x + 0.5) / float(PRIME)
+
+
 def resampled(df: DataFrame, keys: list[str], item: str, samples: int, seed: int) -> DataFrame:
-    """Poisson bootstrap: each row enters resample ``b`` a Poisson(1) number of times, drawn by a hash of row and resample.
+    """Poisson bootstrap: each row enters resample ``b`` a Poisson(1) number of times, drawn by its number and the resample's.
 
-    Needs no index of rows and no gathered group; weights stay on the rows, so nothing is copied.
+    Needs no index of rows and no gathered group; weights stay on the rows, so nothing is copied. The chance of more than
+    eleven draws is below 1e-9 and left out.
     """
-    u = (F.pmod(F.xxhash64(F.col(item), F.col("b"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     cut, total, draws = math.exp(-1), 0.0, F.lit(0)
-    for k in range(8):
+    for k in range(12):
         total += cut
-        draws = draws + F.when(u > total, 1).otherwise(0)
+        draws = draws + F.when(F.col("__u") > total, 1).otherwise(0)
         cut /= k + 1
-    return df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("w", draws).where("w > 0")
+    rows = df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    return rows.withColumn("__u", uniform(F.col(item).cast("long"), F.col("b"), seed)).withColumn("w", draws).drop("__u").where("w > 0")
+
+
+def percentile(values: str, share: float, upper: bool) -> Column:
+    """The order statistic that an interval ends with: its index is rounded outwards."""
+    v = F.array_sort(F.collect_list(values))
+    n = F.size(v)
+    at = F.least(n, F.greatest(F.lit(1), F.ceil(F.lit(share) * n - 1e-9))) if upper else F.least(n, F.floor(F.lit(share) * n + 1e-9) + 1)
+    return F.when(n > 0, F.get(v, at.cast("int") - 1))
 
 
-def bootstrap_mean(df: DataFrame, value: str, keys: list[str], item: str, samples: int = BOOTSTRAP_SAMPLES, level: float = 0.95, seed: int = 20240101) -> DataFrame:
-    """Percentile interval of a mean."""
-    means = resampled(df, keys, item, samples, seed).groupBy(*keys, "b").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("m"))
+def interval(values: DataFrame, value: str, keys: list[str], level: float = 0.95) -> DataFrame:
+    """``(keys, low, high, se, samples)`` of finite resampled values; each group has at most as many as there are resamples."""
     tail = (1 - level) / 2
-    return means.groupBy(*keys).agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"), F.stddev_samp("m").alias("se"))
+    rows = values.where(F.col(value).isNotNull() & ~F.isnan(value))
+    return rows.groupBy(*keys).agg(percentile(value, tail, False).alias("low"), percentile(value, 1 - tail, True).alias("high"), F.stddev_samp(value).alias("se"), F.count("*").alias("samples"))
 
 
 def weighted_auc(rows: DataFrame, score: str, label: str, keys: list[str]) -> DataFrame:
-    """ROC area of weighted rows: weights below each value, ties by half."""
-    v = rows.groupBy(*keys, score).agg(F.sum(F.when(F.col(label) == 1, F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, F.col("w")).otherwise(0)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    g = v.withColumn("u", F.col("p") * (below + F.col("q") / 2.0)).groupBy(*keys).agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    """ROC area of weighted rows: weights below each value, ties by half. Counted over ranges of values."""
+    v = rows.groupBy(*keys, F.col(score).alias("__v")).agg(F.sum(F.when(F.col(label) == 1, F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, F.col("w")).otherwise(0)).alias("q"))
+    upto = running_total(v, keys, ["__v"], "q", "upto")
+    g = upto.withColumn("u", F.col("p") * (F.col("upto") - F.col("q") / 2.0)).groupBy(*keys).agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return g.select(*keys, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u") / (F.col("p").cast("double") * F.col("q"))).alias("auc"))
 
 
-def paired_difference(df: DataFrame, a: str, b: str, label: str, keys: list[str], item: str, samples: int = BOOTSTRAP_SAMPLES, level: float = 0.95, seed: int = 20240101) -> DataFrame:
-    """Interval of the difference of two scores' ROC areas on the same resamples."""
+def auc_statistic(rows: DataFrame, score: str, label: str, keys: list[str]) -> DataFrame:
+    return weighted_auc(rows, score, label, keys).withColumnRenamed("auc", "value")
+
+
+def mean_statistic(rows: DataFrame, score: str, label: str, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg((F.sum(F.col(score) * F.col("w")) / F.sum("w")).alias("value"))
+
+
+def hit_statistic(threshold: float) -> Statistic:
+    """The share of actives among rows that score at least the threshold."""
+
+    def statistic(rows: DataFrame, score: str, label: str, keys: list[str]) -> DataFrame:
+        above = F.col(score) >= threshold
+        return rows.groupBy(*keys).agg(F.try_divide(F.sum(F.when(above & (F.col(label) == 1), F.col("w"))).cast("double"), F.sum(F.when(above, F.col("w")))).alias("value"))
+
+    return statistic
+
+
+def bootstrap_interval(df: DataFrame, score: str, label: str, keys: list[str], item: str, statistic: Statistic = auc_statistic, samples: int = BOOTSTRAP_SAMPLES, level: float = 0.95, seed: int = SEED) -> DataFrame:
+    """Percentile interval of any statistic of weighted rows."""
     drawn = resampled(df, keys, item, samples, seed)
-    x = weighted_auc(drawn, a, label, [*keys, "b"]).withColumnRenamed("auc", "x")
-    y = weighted_auc(drawn, b, label, [*keys, "b"]).withColumnRenamed("auc", "y")
-    d = x.join(y, [*keys, "b"]).withColumn("d", F.col("x") - F.col("y"))
-    tail = (1 - level) / 2
-    return d.groupBy(*keys).agg(F.avg("d").alias("difference"), F.percentile("d", tail).alias("low"), F.percentile("d", 1 - tail).alias("high"))
+    return interval(statistic(drawn, score, label, [*keys, "b"]), "value", keys, level)
+
+
+def paired_difference(df: DataFrame, a: str, b: str, label: str, keys: list[str], item: str, samples: int = BOOTSTRAP_SAMPLES, level: float = 0.95, seed: int = SEED, statistic: Statistic = auc_statistic) -> DataFrame:
+    """Difference of two scores' statistics (ROC areas by default) on the same resamples: observed, its interval and standard error,
+    the least difference that the data could show, and whether the interval leaves 0 out."""
+    drawn = resampled(df, keys, item, samples, seed)
+    whole = df.withColumn("w", F.lit(1))
+    seen = statistic(whole, a, label, keys).withColumnRenamed("value", "x").join(statistic(whole, b, label, keys).withColumnRenamed("value", "y"), keys)
+    x = statistic(drawn, a, label, [*keys, "b"]).withColumnRenamed("value", "x")
+    y = statistic(drawn, b, label, [*keys, "b"]).withColumnRenamed("value", "y")
+    g = interval(x.join(y, [*keys, "b"]).withColumn("d", F.col("x") - F.col("y")), "d", keys, level)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("n_actives"))
+    factor = minimum_detectable_difference(1.0, level=level)
+    out = seen.select(*keys, (F.col("x") - F.col("y")).alias("difference")).join(g, keys, "left").join(counts, keys)
+    return out.select(*keys, "difference", "low", "high", "se", (F.col("se") * factor).alias("mdd"), ((F.col("low") > 0) | (F.col("high") < 0)).alias("resolvable"), F.coalesce("samples", F.lit(0)).alias("samples"), "n", "n_actives")
+
+
+def stratified_difference(df: DataFrame, a: str, b: str, label: str, strata: list[str], item: str, samples: int = BOOTSTRAP_SAMPLES, level: float = 0.95, seed: int = SEED) -> DataFrame:
+    """One row: mean ROC areas over strata and their difference, with an interval from resampling inside each stratum."""
+    drawn = resampled(df, strata, item, samples, seed)
+    whole = df.withColumn("w", F.lit(1))
+
+    def mean(rows: DataFrame, keys: list[str]) -> DataFrame:
+        both = auc_statistic(rows, a, label, [*strata, *keys]).withColumnRenamed("value", "x").join(auc_statistic(rows, b, label, [*strata, *keys]).withColumnRenamed("value", "y"), [*strata, *keys])
+        both = both.where("x is not null and y is not null")
+        return both.groupBy(*keys).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("strata"))
+
+    seen = mean(whole, []).select(F.lit(1).alias("one"), F.col("x").alias("auc_a"), F.col("y").alias("auc_b"), (F.col("x") - F.col("y")).alias("difference"), F.col("strata").alias("n_strata"))
+    g = interval(mean(drawn, ["b"]).withColumn("d", F.col("x") - F.col("y")).withColumn("one", F.lit(1)), "d", ["one"], level)
+    factor = minimum_detectable_difference(1.0, level=level)
+    return seen.join(g, "one").select("auc_a", "auc_b", "difference", "low", "high", "se", (F.col("se") * factor).alias("mdd"), ((F.col("low") > 0) | (F.col("high") < 0)).alias("resolvable"), "samples", "n_strata")
 
 
 def enrichment(df: DataFrame, score: str, label: str, keys: list[str], item: str, k: int) -> DataFrame:
     """Precision and recall of the best k."""
-    order = Window.partitionBy(*keys).orderBy(F.col(score).desc(), item)
-    g = df.withColumn("__i", F.row_number().over(order)).groupBy(*keys).agg(F.sum(F.when(F.col("__i") <= k, F.col(label).cast("long")).otherwise(0)).alias("hits"), F.sum(F.col(label).cast("long")).alias("actives"), F.count("*").alias("n"))
+    g = placed(df, score, label, keys, item).groupBy(*keys).agg(F.sum(F.when(F.col("__place") <= k, F.col("__y")).otherwise(0)).alias("hits"), F.max("__a").alias("actives"), F.max("__n").alias("n"))
     at = F.least(F.lit(k), F.col("n"))
     return g.select(*keys, "hits", (F.col("hits") / at).alias("precision"), F.when(F.col("actives") > 0, F.col("hits") / F.col("actives")).alias("recall"))
 
 
-def ratio(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / b)
+def random_scores(library: DataFrame, item: str, seed: int = SEED) -> DataFrame:
+    """A control ranking: scores that depend on the item's number and the seed alone."""
+    return library.select(item, uniform(F.col(item).cast("long"), F.lit(0), seed).alias("score"))
+
+
+def property_scores(library: DataFrame, item: str, by: str) -> DataFrame:
+    """A ranking by one property, the smallest first."""
+    return library.select(item, (-F.col(by).cast("double")).alias("score"))
+
+
+def ranks_of(df: DataFrame, score: str, keys: list[str], item: str) -> DataFrame:
+    """Each item's rank in its ranking."""
+    return df.select(*keys, item, score).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), item)))
+
+
+def per_target(scores: DataFrame, keys: list[str], target: str, item: str, label: str) -> DataFrame:
+    """Means over targets of each method's metrics, and how many targets could be measured: ``scores`` is ``(keys, target, item,
+    score, label)``."""
+    m = metrics(scores, "score", label, [*keys, target], item)
+    return m.groupBy(*keys).agg(F.count("auc").alias("n_targets"), *[F.avg(c).alias(f"mean_{c}") for c in ("ef1", "ef5", "auc", "bedroc")])

@@ -1,18 +1,21 @@
 """Similarity joins and selections over sets of on-bits.
 
-The join explodes bits into postings and counts what pairs share, after a prefix filter: rarest bits first, a
-set's first ``n - ceil(t * n) + 1`` bits are enough to meet every partner, so frequent bits form no pairs unless they must.
-Order-dependent greedy picks work on one group's bit matrix in a pandas group function.
+Joins explode bits into postings and meet on bits. A prefix filter keeps the pairs few where there is a cutoff: rarest bits
+first, a set's first ``n - ceil(t * n) + 1`` bits are enough to meet every partner, so frequent bits form no pairs unless they
+must. Each posting carries its set packed into 64-bit words, so a pair is decided where it is met, by bit counts, and only pairs
+at or above the cutoff go on. Selections that are defined by an order are run in rounds over tables of neighbours: in each
+round all members are decided whose outcome no other open member can change, so nothing is gathered into one task.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.similarity import from_counts, similarity
+from quarry.functions.similarity import from_counts
+from quarry.plans.stages import drop_path, written
+
+N_BITS = 2048
 
 
 def on_bits(values: Column) -> Column:
@@ -21,44 +24,104 @@ def on_bits(values: Column) -> Column:
     return F.array_compact(at)
 
 
-def similar_pairs(sets: DataFrame, cutoff: float, item: str = "id", bits: str = "bits", keys: list[str] | None = None) -> DataFrame:
-    """Pairs ``(keys, a, b, tanimoto)`` with a < b at or above the cutoff, found through rare bits and checked on the sets."""
+def _word(bits: Column, w: int) -> Column:
+    own = F.filter(bits, lambda b: (b >= 64 * w) & (b < 64 * (w + 1)))
+    return F.aggregate(own, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (b - 64 * w).cast("int"))))
+
+
+def packed_words(bits: Column, n_bits: int) -> list[Column]:
+    """The set as 64-bit words, one column for each."""
+    return [_word(bits, w).alias(f"w{w}") for w in range(-(-n_bits // 64))]
+
+
+def _common(n_bits: int, left: str, right: str) -> Column:
+    return sum((F.bit_count(F.col(f"{left}.w{w}").bitwiseAND(F.col(f"{right}.w{w}"))) for w in range(-(-n_bits // 64))), F.lit(0))
+
+
+def postings(sets: DataFrame, keys: list[str], n_bits: int, item: str = "id", bits: str = "bits", extra: list[str] | None = None) -> DataFrame:
+    """``(keys, id, n, words, bit)``: a row for each bit of a set, with the packed set."""
+    rows = sets.select(*keys, F.col(item).alias("id"), *(extra or []), F.col(bits).alias("bits")).where(F.size("bits") > 0)
+    return rows.select(*keys, "id", *(extra or []), F.size("bits").alias("n"), *packed_words(F.col("bits"), n_bits), F.explode("bits").alias("bit"))
+
+
+def prefixes(post: DataFrame, frequencies: DataFrame, cutoff: float, keys: list[str]) -> DataFrame:
+    """The postings of the rarest bits that any partner at the cutoff must share one of."""
+    w = Window.partitionBy(*keys, "id").orderBy(F.coalesce("f", F.lit(0)), "bit")
+    ordered = post.join(frequencies, [*keys, "bit"], "left").withColumn("k", F.row_number().over(w))
+    return ordered.where(F.col("k") <= F.col("n") - F.ceil(F.lit(cutoff) * F.col("n") - 1e-9) + 1).drop("f", "k")
+
+
+def similar_pairs(sets: DataFrame, cutoff: float, item: str = "id", bits: str = "bits", keys: list[str] | None = None, n_bits: int = N_BITS) -> DataFrame:
+    """Pairs ``(keys, a, b, tanimoto)`` with a < b at or above the cutoff: met on rare bits, decided by bit counts."""
     keys = keys or []
-    rows = sets.select(*keys, F.col(item).alias("id"), F.col(bits).alias("bits")).where(F.size("bits") > 0)
-    post = rows.select(*keys, "id", F.size("bits").alias("n"), F.explode("bits").alias("bit"))
-    freq = post.groupBy(*keys, "bit").agg(F.count("*").alias("f"))
-    ordered = post.join(freq, [*keys, "bit"]).withColumn("k", F.row_number().over(Window.partitionBy(*keys, "id").orderBy("f", "bit")))
-    prefix = ordered.where(F.col("k") <= F.col("n") - F.ceil(F.lit(cutoff) * F.col("n") - 1e-9) + 1).select(*keys, "id", "n", "bit")
-    x, y = prefix.withColumnsRenamed({"id": "a", "n": "na"}), prefix.withColumnsRenamed({"id": "b", "n": "nb"})
-    near = x.join(y, [*keys, "bit"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= cutoff * F.greatest("na", "nb") - 1e-9)).select(*keys, "a", "b").distinct()
-    full = near.join(rows.withColumnsRenamed({"id": "a", "bits": "ba"}), [*keys, "a"]).join(rows.withColumnsRenamed({"id": "b", "bits": "bb"}), [*keys, "b"])
-    return full.withColumn("tanimoto", similarity(F.col("ba"), F.col("bb"))).where(F.col("tanimoto") >= cutoff).select(*keys, "a", "b", "tanimoto")
+    post = postings(sets, keys, n_bits, item, bits)
+    short = prefixes(post, post.groupBy(*keys, "bit").agg(F.count("*").alias("f")), cutoff, keys)
+    return _met(short, short, cutoff, keys, n_bits).where("a < b").groupBy(*keys, "a", "b").agg(F.first("tanimoto").alias("tanimoto"))
+
+
+def _met(left: DataFrame, right: DataFrame, cutoff: float, keys: list[str], n_bits: int) -> DataFrame:
+    """Pairs that share a posting and reach the cutoff; a pair comes once for each bit that it is met on."""
+    x, y = left.alias("x"), right.alias("y")
+    on = F.col("x.bit") == F.col("y.bit")
+    for k in keys:
+        on = on & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+    near = x.join(y, on & (F.col("x.id") != F.col("y.id")))
+    near = near.where(F.least("x.n", "y.n") >= cutoff * F.greatest("x.n", "y.n") - 1e-9)
+    common = _common(n_bits, "x", "y")
+    near = near.select(*[F.col(f"x.{k}").alias(k) for k in keys], F.col("x.id").alias("a"), F.col("y.id").alias("b"), from_counts(common, F.col("x.n"), F.col("y.n")).alias("tanimoto"))
+    return near.where(F.col("tanimoto") >= cutoff)
+
+
+def shared_counts(left: DataFrame, right: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``(keys, a, b, na, nb, common)`` of all pairs that share a bit, counted from postings; the sides are ``(keys, id, bits)``."""
+    keys = keys or []
+    x = left.select(*keys, F.col("id").alias("a"), F.size("bits").alias("na"), F.explode("bits").alias("bit"))
+    y = right.select(*keys, F.col("id").alias("b"), F.size("bits").alias("nb"), F.explode("bits").alias("bit"))
+    return x.join(y, [*keys, "bit"]).groupBy(*keys, "a", "b", "na", "nb").agg(F.count("*").alias("common"))
 
 
 def similarity_matrix(sets: DataFrame, keys: list[str], item: str = "id", bits: str = "bits", metric: str = "tanimoto") -> DataFrame:
-    """All pairs of each group that share a bit, from postings: ``(keys, a, b, common, similarity)``."""
-    post = sets.select(*keys, F.col(item).alias("id"), F.size(bits).alias("n"), F.explode(bits).alias("bit"))
-    x, y = post.withColumnsRenamed({"id": "a", "n": "na"}), post.withColumnsRenamed({"id": "b", "n": "nb"})
-    shared = x.join(y, [*keys, "bit"]).where("a < b").groupBy(*keys, "a", "b", "na", "nb").agg(F.count("*").alias("common"))
+    """All pairs of each group that share a bit: ``(keys, a, b, common, similarity)``; others are 0, a set with itself is 1."""
+    rows = sets.select(*keys, F.col(item).alias("id"), F.col(bits).alias("bits"))
+    shared = shared_counts(rows, rows, keys).where("a < b")
     return shared.select(*keys, "a", "b", "common", from_counts(F.col("common"), F.col("na"), F.col("nb"), metric).alias("similarity"))
 
 
-def find_analogues(queries: DataFrame, library: DataFrame, cutoff: float = 0.7, metric: str = "tanimoto", top: int = 0) -> DataFrame:
-    """Library members at or above the cutoff for each query, itself excluded, best first, ties by id.
+def find_analogues(queries: DataFrame, library: DataFrame, cutoff: float = 0.7, metric: str = "tanimoto", top: int = 0, n_bits: int = N_BITS) -> DataFrame:
+    """Library members at or above the cutoff for each query, itself excluded, best first, ties by id. Metrics: tanimoto, dice.
 
-    ``queries`` is a short list, and joins as such: Spark broadcasts it where its size allows.
+    Dice is a function of Tanimoto, so its cutoff is turned into one of the other.
     """
-    q = queries.select(F.col("id").alias("query"), F.col("bits").alias("qb"))
-    hits = library.join(q, F.col("id") != F.col("query")).withColumn("similarity", similarity(F.col("qb"), F.col("bits"), metric)).where(F.col("similarity") >= cutoff)
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id"))).select("query", "id", "similarity", "rank")
+    if metric == "dice":
+        cutoff = cutoff / (2 - cutoff)
+    elif metric != "tanimoto":
+        raise ValueError(f"no prefix filter for {metric!r}")
+    post = postings(library, [], n_bits)
+    frequencies = post.groupBy("bit").agg(F.count("*").alias("f"))
+    near = _met(prefixes(postings(queries, [], n_bits), frequencies, cutoff, []), prefixes(post, frequencies, cutoff, []), cutoff, [], n_bits)
+    hits = near.groupBy(F.col("a").alias("query"), F.col("b").alias("id")).agg(F.first("tanimoto").alias("similarity"))
+    if metric == "dice":
+        hits = hits.withColumn("similarity", 2 * F.col("similarity") / (1 + F.col("similarity")))
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id")))
     return ranked.where(F.col("rank") <= top) if top else ranked
 
 
 def best_reference_scores(library: DataFrame, actives: DataFrame, leave_out: str = "label") -> DataFrame:
-    """Each member's greatest similarity to an active with another label; 0 where none is left."""
-    a = actives.select(F.col(leave_out).alias("al"), F.col("id").alias("aid"), F.col("bits").alias("ab"))
-    scored = library.join(a, (F.col("aid") != F.col("id")) & (F.col("al") != F.col(leave_out)), "left")
-    return scored.groupBy("id", leave_out).agg(F.coalesce(F.max(similarity(F.col("ab"), F.col("bits"))), F.lit(0.0)).alias("score"))
+    """Each member's greatest similarity to an active with another label; 0 where none is left. Both sides meet on bits."""
+    x = library.select("id", F.col(leave_out).alias("la"), F.size("bits").alias("na"), F.explode("bits").alias("bit"))
+    y = actives.select(F.col("id").alias("aid"), F.col(leave_out).alias("lb"), F.size("bits").alias("nb"), F.explode("bits").alias("bit"))
+    shared = x.join(y, "bit").where((F.col("id") != F.col("aid")) & (F.col("la") != F.col("lb"))).groupBy("id", "aid", "na", "nb").agg(F.count("*").alias("common"))
+    best = shared.groupBy("id").agg(F.max(from_counts(F.col("common"), F.col("na"), F.col("nb"))).alias("score"))
+    return library.select("id", leave_out).join(best, "id", "left").select("id", leave_out, F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def best_over_conformers(queries: DataFrame, library: DataFrame, cutoff: float = 0.0) -> DataFrame:
+    """``(query, id, similarity)``: the greatest similarity over all conformers of both, from ``(id, conformer, bits)``."""
+    x = queries.select(F.struct(F.col("id"), F.col("conformer")).alias("id"), "bits")
+    y = library.select(F.struct(F.col("id"), F.col("conformer")).alias("id"), "bits")
+    shared = shared_counts(x, y).where(F.col("a.id") != F.col("b.id"))
+    best = shared.groupBy(F.col("a.id").alias("query"), F.col("b.id").alias("id")).agg(F.max(from_counts(F.col("common"), F.col("na"), F.col("nb"))).alias("similarity"))
+    return best.where(F.col("similarity") >= cutoff)
 
 
 def keep_fraction(df: DataFrame, score: str, keys: list[str], item: str, fraction: float) -> DataFrame:
@@ -68,73 +131,91 @@ def keep_fraction(df: DataFrame, score: str, keys: list[str], item: str, fractio
     return df.withColumn("__i", i).withColumn("__n", n).where(F.col("__i") <= F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.col("__n")))).drop("__i", "__n")
 
 
-def _matrix(bits: pd.Series) -> np.ndarray:
-    width = max((max(b) for b in bits if len(b)), default=0) + 1
-    out = np.zeros((len(bits), width), np.float32)
-    for i, b in enumerate(bits):
-        out[i, list(b)] = 1
-    return out
-
-
-def _tanimoto(m: np.ndarray, row: np.ndarray) -> np.ndarray:
-    common = m @ row
-    union = m.sum(1) + row.sum() - common
-    return np.where(union > 0, common / np.maximum(union, 1), 0.0)
+def recall_of_prefilter(df: DataFrame, score: str, label: str, keys: list[str], item: str, fraction: float) -> DataFrame:
+    """What a prefilter keeps: rows kept and all, actives kept and all, and their share."""
+    kept = keep_fraction(df, score, keys, item, fraction).groupBy(*keys).agg(F.count("*").alias("kept"), F.sum(F.col(label).cast("long")).alias("actives_kept"))
+    every = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("actives"))
+    return every.join(kept, keys).select(*keys, "n", "kept", "actives", "actives_kept", F.when(F.col("actives") > 0, F.col("actives_kept") / F.col("actives")).alias("recall"))
 
 
 def maxmin_pick(sets: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Picks of each group in order: the first member, then always the one farthest from all picks (ties: lowest id)."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        m = _matrix(pdf["bits"])
-        chosen = [0]
-        nearest = _tanimoto(m, m[0])
-        while len(chosen) < min(n, len(pdf)):
-            nearest[chosen] = np.inf
-            k = int(nearest.argmin())
-            chosen.append(k)
-            nearest = np.maximum(nearest, _tanimoto(m, m[k]))
-        return pdf.loc[chosen, [*keys, "id"]].assign(pick=range(1, len(chosen) + 1))
-
-    schema = ", ".join(f"{k} {dict(sets.dtypes)[k]}" for k in keys) + f", id {dict(sets.dtypes)['id']}, pick int"
-    return sets.groupBy(*keys).applyInPandas(pick, schema)
-
-
-def sphere_exclusion(sets: DataFrame, keys: list[str], cutoff: float = 0.6) -> DataFrame:
-    """Members, by id, that are less similar than the cutoff to all that were kept before."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        m = _matrix(pdf["bits"])
-        kept: list[int] = []
-        for i in range(len(pdf)):
-            if not kept or (_tanimoto(m[kept], m[i]) < cutoff).all():
-                kept.append(i)
-        return pdf.loc[kept, [*keys, "id"]].assign(pick=range(1, len(kept) + 1))
-
-    schema = ", ".join(f"{k} {dict(sets.dtypes)[k]}" for k in keys) + f", id {dict(sets.dtypes)['id']}, pick int"
-    return sets.groupBy(*keys).applyInPandas(pick, schema)
-
-
-def butina(sets: DataFrame, keys: list[str], cutoff: float = 0.65) -> DataFrame:
-    """Clusters around the member with most free neighbours (ties: lowest id); all free neighbours join it."""
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        m = _matrix(pdf["bits"])
-        near = np.stack([_tanimoto(m, r) >= cutoff for r in m]) if len(m) else np.zeros((0, 0), bool)
-        np.fill_diagonal(near, True)
-        free = np.ones(len(pdf), bool)
-        label = np.full(len(pdf), -1)
-        while free.any():
-            counts = np.where(free, (near & free).sum(1), -1)
-            seed = int(counts.argmax())
-            got = near[seed] & free
-            label[got] = seed
-            free &= ~got
-        return pdf[[*keys, "id"]].assign(representative=pdf["id"].to_numpy()[label])
-
-    kind = dict(sets.dtypes)["id"]
-    schema = ", ".join(f"{k} {dict(sets.dtypes)[k]}" for k in keys) + f", id {kind}, representative {kind}"
-    return sets.groupBy(*keys).applyInPandas(cluster, schema)
+    """Picks of each group in order: the lowest id, then always the one least similar to all picks (ties: lowest id).
+
+    In each of ``n`` rounds every group's newest pick, one row, meets the group, and the greatest similarity to a pick is kept
+    on the rows.
+    """
+    rows = sets.select(*keys, "id", "bits", F.size("bits").alias("n"), F.lit(-1.0).alias("near"), F.lit(0).alias("pick"))
+    rows, path = written(rows, "picks")
+    for k in range(1, n + 1):
+        order = F.struct("id") if k == 1 else F.struct("near", "id")
+        newest = rows.where("pick = 0").groupBy(*keys).agg(F.min_by(F.struct("id", "bits", "n"), order).alias("p"))
+        both = rows.alias("r").join(newest.alias("q"), _groups(keys, "r", "q"), "left")
+        common = F.size(F.array_intersect("r.bits", "q.p.bits"))
+        near = F.greatest("r.near", F.coalesce(from_counts(common, F.col("r.n"), F.col("q.p.n")), F.lit(-1.0)))
+        pick = F.when((F.col("r.pick") == 0) & (F.col("r.id") == F.col("q.p.id")), k).otherwise(F.col("r.pick"))
+        rows, new = written(both.select(*[F.col(f"r.{c}") for c in [*keys, "id", "bits", "n"]], near.alias("near"), pick.alias("pick")), "picks")
+        drop_path(sets.sparkSession, path)
+        path = new
+    return rows.where("pick > 0").select(*keys, "id", "pick")
+
+
+def _groups(keys: list[str], a: str, b: str) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return on
+
+
+def sphere_exclusion(sets: DataFrame, keys: list[str], cutoff: float = 0.6, n_bits: int = N_BITS) -> DataFrame:
+    """Members, by id, that are less similar than the cutoff to all that were kept before.
+
+    In each round a member is kept once all its neighbours of lower id are out, and its neighbours of higher id are out
+    then: the same members as going through them one by one.
+    """
+    spark = sets.sparkSession
+    edges, edges_path = written(similar_pairs(sets, cutoff, keys=keys, n_bits=n_bits).select(*keys, "a", "b"), "neighbours")
+    open_, path = written(sets.select(*keys, "id"), "open")
+    kept, paths = None, []
+    while open_.limit(1).count():
+        blocked = edges.join(open_.withColumnRenamed("id", "a"), [*keys, "a"], "left_semi").select(*keys, F.col("b").alias("id")).distinct()
+        now, now_path = written(open_.join(blocked, [*keys, "id"], "left_anti"), "kept")
+        paths.append(now_path)
+        kept = now if kept is None else kept.unionByName(now)
+        gone = now.select(*keys, "id").unionByName(edges.join(now.withColumnRenamed("id", "a"), [*keys, "a"]).select(*keys, F.col("b").alias("id"))).distinct()
+        open_, new = written(open_.join(gone, [*keys, "id"], "left_anti"), "open")
+        drop_path(spark, path)
+        path = new
+    kept = sets.select(*keys, "id").limit(0) if kept is None else kept
+    out, _ = written(kept, "spheres")
+    drop_path(spark, path, edges_path, *paths)
+    return out.withColumn("pick", F.row_number().over(Window.partitionBy(*keys).orderBy("id")))
+
+
+def butina(sets: DataFrame, keys: list[str], cutoff: float = 0.65, n_bits: int = N_BITS) -> DataFrame:
+    """Clusters around the member with most free neighbours (ties: lowest id); all free neighbours join it.
+
+    In each round every free member that comes before all others within two steps founds its cluster: no choice farther off
+    changes its neighbours or theirs, so it is what going through the members one by one would choose.
+    """
+    spark = sets.sparkSession
+    one = similar_pairs(sets, cutoff, keys=keys, n_bits=n_bits).select(*keys, "a", "b")
+    loops = sets.select(*keys, F.col("id").alias("a"), F.col("id").alias("b"))
+    edges, path = written(one.unionByName(one.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(loops), "neighbours")
+    done, paths = None, []
+    while edges.limit(1).count():
+        rank = edges.groupBy(*keys, "a").agg(F.struct(F.count("*").alias("n"), (-F.col("a")).alias("i")).alias("rank"))
+        best = edges.join(rank.withColumnRenamed("a", "b"), [*keys, "b"]).groupBy(*keys, "a").agg(F.max("rank").alias("near"))
+        best = edges.join(best.withColumnRenamed("a", "b"), [*keys, "b"]).groupBy(*keys, "a").agg(F.max("near").alias("near"))
+        seeds = rank.join(best, [*keys, "a"]).where("rank = near").select(*keys, "a")
+        joined, joined_path = written(edges.join(seeds, [*keys, "a"]).select(*keys, F.col("b").alias("id"), F.col("a").alias("representative")), "clusters")
+        paths.append(joined_path)
+        done = joined if done is None else done.unionByName(joined)
+        gone = joined.select(*keys, "id")
+        left = edges.join(gone.withColumnRenamed("id", "a"), [*keys, "a"], "left_anti").join(gone.withColumnRenamed("id", "b"), [*keys, "b"], "left_anti").select(*keys, "a", "b")
+        edges, new = written(left, "neighbours")
+        drop_path(spark, path)
+        path = new
+    done = sets.select(*keys, "id", F.col("id").alias("representative")).limit(0) if done is None else done
+    out, _ = written(done, "butina")
+    drop_path(spark, path, *paths)
+    return out

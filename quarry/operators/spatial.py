@@ -68,14 +68,18 @@ def sphere_points(spark, count: int = POINTS) -> DataFrame:
     return spark.range(count).select(k.cast("int").alias("point"), (r * F.cos(golden * k)).alias("px"), (r * F.sin(golden * k)).alias("py"), z.alias("pz"))
 
 
-def sasa(atoms: DataFrame, keys: list[str], probe: float = PROBE, points: int = POINTS, most: float = 2.0) -> DataFrame:
+def sasa(atoms: DataFrame, keys: list[str], probe: float = PROBE, points: int = POINTS, most: float = 2.0, others: DataFrame | None = None) -> DataFrame:
     """Solvent-accessible area of each atom ``(keys, atom, x, y, z, radius)``: the share of its sphere's points that no
-    other atom of the group covers. ``most`` is the greatest radius.
+    other atom of the group covers, nor any of ``others`` (a partner's atoms). ``most`` is the greatest radius.
 
     Neighbours come from one radius join; the points of an atom are tried against its neighbours only.
     """
     reach = 2 * (most + probe)
-    near = range_join(atoms, atoms, reach, keys, inclusive=False).where("a_atom <> b_atom")
+    atoms = atoms.select(*keys, "atom", "x", "y", "z", "radius")
+    covers_ = atoms.withColumn("own", F.lit(True))
+    if others is not None:
+        covers_ = covers_.unionByName(others.select(*keys, "atom", "x", "y", "z", "radius").withColumn("own", F.lit(False)))
+    near = range_join(atoms, covers_, reach, keys, inclusive=False).where("not b_own or a_atom <> b_atom")
     around = near.groupBy(*keys, "a_atom").agg(F.collect_list(F.struct("b_x", "b_y", "b_z", "b_radius")).alias("near"))
     rows = atoms.join(around.withColumnRenamed("a_atom", "atom"), [*keys, "atom"], "left")
     sphere = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(p, ("x", "y", "z"), strict=True)]) for p in _sphere(points)])
@@ -83,6 +87,7 @@ def sasa(atoms: DataFrame, keys: list[str], probe: float = PROBE, points: int =
 
     def free(p: Column) -> Column:
         x, y, z = (F.col(c) + radius * p[c] for c in "xyz")
+
         def covers(n):
             d2 = (x - n["b_x"]) * (x - n["b_x"]) + (y - n["b_y"]) * (y - n["b_y"]) + (z - n["b_z"]) * (z - n["b_z"])
             return d2 < (n["b_radius"] + probe) * (n["b_radius"] + probe)

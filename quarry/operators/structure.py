@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.plans.stages import shared_dir
+
 from .spatial import range_join
 
 #: Contact limits.
@@ -61,8 +63,9 @@ def frequent_features(rows: DataFrame, pose: str, feature: str, share: float = 0
 
 
 def water_class() -> Column:
-    """Conserved, displaced, moved, transient or absent, in this order, from ``occupancy``, ``occluded`` and ``shift``."""
-    return F.when((F.col("occupancy") >= 0.8) & (F.col("shift") <= 1.0), "conserved").when(F.col("occluded"), "displaced").when((F.col("occupancy") >= 0.8), "moved").when(F.col("occupancy") > 0, "transient").otherwise("absent")
+    """Conserved, displaced, moved, transient (from a fifth of the conformations on) or absent, in this order, from ``occupancy``, ``occluded``
+    and ``shift``."""
+    return F.when((F.col("occupancy") >= 0.8) & (F.col("shift") <= 1.0), "conserved").when(F.col("occluded"), "displaced").when((F.col("occupancy") >= 0.8), "moved").when(F.col("occupancy") >= 0.2, "transient").otherwise("absent")
 
 
 def _schema(df: DataFrame, keys: list[str], extra: str) -> str:
@@ -157,7 +160,7 @@ def match_decoys(actives: DataFrame, pool: DataFrame, tolerances: dict[str, floa
     a = actives.select(F.col("id").alias("active"), *[F.col(p).alias(f"a_{p}") for p in tolerances]).withColumn("cell", F.explode(F.array(*[cell(F.col(f"a_{first}")) + k for k in (-1, 0, 1)])))
     b = pool.select(F.col("id").alias("decoy"), *tolerances).withColumn("cell", cell(F.col(first)))
     far = F.greatest(*[F.abs(F.col(p) - F.col(f"a_{p}")) / t for p, t in tolerances.items()], F.lit(0.0))
-    _shared(actives.sparkSession)
+    shared_dir(actives.sparkSession)
     left = a.join(b, "cell").withColumn("distance", far).where(F.col("distance") <= most).select("active", "decoy", "distance").checkpoint()
     done = None
     while left.limit(1).count():
@@ -171,13 +174,6 @@ def match_decoys(actives: DataFrame, pool: DataFrame, tolerances: dict[str, floa
     return left if done is None else done
 
 
-def _shared(spark) -> None:
-    """Checkpoints go to the folder that the cluster names, or below the warehouse where it names none."""
-    sc = spark.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-
-
 def _network(xyz: np.ndarray, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues and vectors of the elastic network's Hessian without the six rigid modes."""
     n = len(xyz)

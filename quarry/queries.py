@@ -7,6 +7,7 @@ space, ``labels`` with ``documents`` for scored actives, ``events`` for a result
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -149,17 +150,12 @@ def panel_profile(spark, sf_dir):
     return rounded(rollups.panel_profile(rollups.panel_cells(results(spark, sf_dir)), 0.5), "best", "gap", places=9)
 
 
-@query(CELLS + "SELECT ligand, " + ", ".join(f"round(avg(affinity) FILTER (receptor = {k}), 9) AS r{k}" for k in (1, 2, 3, 4)) + " FROM cells WHERE receptor IN (1, 2, 3, 4) GROUP BY ligand")
+@query(CELLS + "SELECT ligand, string_agg(receptor || ':' || CAST(round(affinity * 1000000) AS BIGINT), ',' ORDER BY receptor) AS cells FROM cells GROUP BY ligand")
 def panel_matrix(spark, sf_dir):
-    cells = rollups.panel_cells(results(spark, sf_dir)).where(F.col("receptor").isin(1, 2, 3, 4))
-    out = rollups.matrix(cells, "ligand", "receptor", "affinity", [1, 2, 3, 4])
-    return out.select("ligand", *[F.round(F.col(f"`{k}`"), 9).alias(f"r{k}") for k in (1, 2, 3, 4)])
-
-
-@query()
-def panel_matrix_all(spark, sf_dir):
-    """``panel_matrix`` over all receptors."""
-    return rollups.cells_by_row(rounded(rollups.panel_cells(results(spark, sf_dir)), "affinity", places=9), "ligand", "receptor", "affinity")
+    """Ligands by receptors: the cells of a ligand as one array, however many receptors there are."""
+    cells = rollups.panel_cells(results(spark, sf_dir)).withColumn("affinity", F.round(F.col("affinity") * 1000000).cast("long"))
+    out = rollups.cells_by_row(cells, "ligand", "receptor", "affinity")
+    return out.select("ligand", F.array_join(F.transform("cells", lambda c: F.concat_ws(":", c["receptor"].cast("string"), c["affinity"].cast("string"))), ",").alias("cells"))
 
 
 @query(RESULTS + ", r AS (SELECT *, min(affinity) OVER (PARTITION BY receptor) AS b FROM results) SELECT receptor, run, round(affinity, 6) AS affinity FROM r WHERE affinity <= b + 0.5")
@@ -336,20 +332,22 @@ def kendall_tau(spark, sf_dir):
     return rounded(ranking.kendall_tau(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", ["l_orderkey"], "l_linenumber"), "tau")
 
 
-@query(RESULTS + """SELECT receptor, run, CAST(row_number() OVER (PARTITION BY receptor ORDER BY second, run) AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY receptor ORDER BY second + strain * 0, run) AS INTEGER) AS corrected_rank FROM results WHERE status = 'ok'""")
+@query(RESULTS + """SELECT receptor, run, CAST(row_number() OVER (PARTITION BY receptor ORDER BY affinity, run) AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY receptor ORDER BY round(affinity + CASE WHEN conformation = 3 THEN 0 ELSE strain * 40 END, 9), run) AS INTEGER) AS corrected_rank FROM results WHERE status = 'ok'""")
 def strain_corrected_ranking(spark, sf_dir):
-    d = ok_rows(spark, sf_dir).withColumn("none", F.lit(float("nan")))
-    return ranking.corrected_ranking(d, "second", "none", ["receptor"], "run").select("receptor", "run", "rank", "corrected_rank")
+    """Third conformations have no strain: they are ranked by their affinity alone."""
+    strain = F.when(F.col("conformation") == 3, F.lit(float("nan"))).otherwise(F.col("strain") * 40)
+    d = ok_rows(spark, sf_dir).withColumn("strain", strain)
+    return ranking.corrected_ranking(d, "affinity", "strain", ["receptor"], "run").select("receptor", "run", "rank", "corrected_rank")
 
 
 def _ef_sql(fraction: float) -> str:
-    return f"""(SELECT lang, n, k, actives, hits, (hits / k) / (actives / n) AS ef FROM (SELECT lang, max(n) AS n, max(k) AS k, sum(quality) AS actives, sum(CASE WHEN i <= k THEN quality ELSE 0 END) AS hits
+    return f"""(SELECT lang, n, k, actives, hits, CASE WHEN actives > 0 THEN (hits / k) / (actives / n) ELSE 0 END AS ef FROM (SELECT lang, max(n) AS n, max(k) AS k, sum(quality) AS actives, sum(CASE WHEN i <= k THEN quality ELSE 0 END) AS hits
 FROM (SELECT *, greatest(1, CAST(ceil({fraction}::DOUBLE * n) AS BIGINT)) AS k FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM scored)) GROUP BY lang))"""
 
 
-@query(SCORED + f"SELECT lang, n, k, CAST(actives AS BIGINT) AS actives, CAST(hits AS BIGINT) AS hits, round(ef, 6) AS ef FROM {_ef_sql(0.05)}")
+@query(SCORED + f"SELECT lang, n, k, CAST(actives AS BIGINT) AS actives, CAST(hits AS BIGINT) AS hits, round(hits / k, 6) AS precision, round(hits / actives, 6) AS recall, round(actives / n, 6) AS base_rate, round(ef, 6) AS ef FROM {_ef_sql(0.05)}")
 def ef_at(spark, sf_dir):
-    return rounded(evalstats.ef_at(scored(spark, sf_dir), "n_chars", "quality", ["lang"], "doc_id", 0.05), "ef")
+    return rounded(evalstats.ef_at(scored(spark, sf_dir), "n_chars", "quality", ["lang"], "doc_id", 0.05), "precision", "recall", "base_rate", "ef")
 
 
 AUC_SQL = "(SELECT lang, (sum(r) FILTER (quality = 1) - sum(quality) * (sum(quality) + 1) / 2::DOUBLE) / nullif(sum(quality)::DOUBLE * count(*) FILTER (quality = 0), 0) AS auc FROM (SELECT *, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2::DOUBLE AS r FROM scored) GROUP BY lang)"
@@ -380,15 +378,109 @@ def enrichment(spark, sf_dir):
     return rounded(evalstats.enrichment(scored(spark, sf_dir), "n_chars", "toxic", ["lang"], "doc_id", 20), "precision", "recall")
 
 
-@query()
+def uniform_sql(item: str, b: str) -> str:
+    """``evalstats.uniform`` in SQL."""
+    p = evalstats.PRIME
+    x = f"((({item}) % {p}) * 1000003 + {b} * 104729 + {evalstats.SEED}) % {p}"
+    steps = f"SELECT *, CAST({x} AS BIGINT) AS x0 FROM base"
+    for k, step in enumerate((48271, 69621, 16807)):
+        steps = f"SELECT *, (x{k} * x{k} + x{k} * {step} + 1) % {p} AS x{k + 1} FROM ({steps})"
+    return f"SELECT * EXCLUDE (x0, x1, x2, x3), (x3 + 0.5::DOUBLE) / {p}::DOUBLE AS u FROM ({steps})"
+
+
+def _draws() -> str:
+    cut, total, out = math.exp(-1), 0.0, []
+    for k in range(12):
+        total += cut
+        out.append(f"CASE WHEN u > {total!r}::DOUBLE THEN 1 ELSE 0 END")
+        cut /= k + 1
+    return " + ".join(out)
+
+
+def resampled_sql(rows: str, samples: int) -> str:
+    return f"base AS (SELECT r.*, b FROM ({rows}) r, (SELECT unnest(range(1, {samples + 1})) AS b)), drawn AS (SELECT *, {_draws()} AS w FROM ({uniform_sql('doc_id', 'b')})), kept AS (SELECT * FROM drawn WHERE w > 0)"
+
+
+def auc_sql(rows: str, score: str, keys: str) -> str:
+    return f"""(SELECT {keys}, CASE WHEN sum(p) > 0 AND sum(q) > 0 THEN sum(p * (below + q / 2::DOUBLE)) / (sum(p)::DOUBLE * sum(q)) END AS v FROM (SELECT *, coalesce(sum(q) OVER (PARTITION BY {keys} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM
+(SELECT {keys}, {score} AS s, sum(CASE WHEN quality = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN quality = 0 THEN w ELSE 0 END) AS q FROM {rows} GROUP BY ALL)) GROUP BY {keys})"""
+
+
+ENDS = "list_sort(list(v))[CAST(least(count(*), floor(0.025::DOUBLE * count(*) + 1e-9) + 1) AS INTEGER)] AS low, list_sort(list(v))[CAST(least(count(*), greatest(1, ceil(0.975::DOUBLE * count(*) - 1e-9))) AS INTEGER)] AS high, stddev_samp(v) AS se, count(*) AS samples"
+
+
+@query(SCORED.rstrip() + ", " + resampled_sql("SELECT * FROM scored", 1000) + f", v AS (SELECT * FROM {auc_sql('kept', 'n_chars', 'lang, b')} WHERE v IS NOT NULL) SELECT lang, round(low, 6) AS low, round(high, 6) AS high, round(se, 6) AS se, samples FROM (SELECT lang, {ENDS} FROM v GROUP BY lang)")
 def bootstrap_interval(spark, sf_dir):
-    return evalstats.bootstrap_mean(scored(spark, sf_dir).withColumn("v", F.col("n_chars").cast("double")), "v", ["lang"], "doc_id")
+    return rounded(evalstats.bootstrap_interval(scored(spark, sf_dir), "n_chars", "quality", ["lang"], "doc_id"), "low", "high", "se")
 
 
-@query()
+@query(SCORED.rstrip() + ", " + resampled_sql("SELECT * FROM scored", 1000) + f", v AS (SELECT lang, b, sum(n_chars * w) / sum(w)::DOUBLE AS v FROM kept GROUP BY lang, b) SELECT lang, round(low, 4) AS low, round(high, 4) AS high, round(se, 4) AS se, samples FROM (SELECT lang, {ENDS} FROM v GROUP BY lang)")
+def bootstrap_mean(spark, sf_dir):
+    return rounded(evalstats.bootstrap_interval(scored(spark, sf_dir), "n_chars", "quality", ["lang"], "doc_id", evalstats.mean_statistic), "low", "high", "se", places=4)
+
+
+PAIRED = SCORED.rstrip() + ", two AS (SELECT *, -doc_id AS other, 1 AS w FROM scored), " + resampled_sql("SELECT * EXCLUDE (w) FROM two", 1000)
+
+
+@query(PAIRED + f""", d AS (SELECT x.lang, x.v - y.v AS v FROM {auc_sql('kept', 'n_chars', 'lang, b')} x JOIN {auc_sql('kept', 'other', 'lang, b')} y ON x.lang = y.lang AND x.b = y.b WHERE x.v IS NOT NULL AND y.v IS NOT NULL),
+s AS (SELECT x.lang, x.v - y.v AS difference FROM {auc_sql('two', 'n_chars', 'lang')} x JOIN {auc_sql('two', 'other', 'lang')} y ON x.lang = y.lang), e AS (SELECT lang, {ENDS} FROM d GROUP BY lang)
+SELECT lang, round(difference, 6) AS difference, round(low, 6) AS low, round(high, 6) AS high, round(se, 6) AS se, round(se * {evalstats.minimum_detectable_difference(1.0)!r}::DOUBLE, 6) AS mdd, low > 0 OR high < 0 AS resolvable, coalesce(samples, 0) AS samples, n, n_actives
+FROM s LEFT JOIN e USING (lang) JOIN (SELECT lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS n_actives FROM scored GROUP BY lang) USING (lang)""")
 def paired_difference(spark, sf_dir):
     d = scored(spark, sf_dir).withColumn("other", -F.col("doc_id"))
-    return evalstats.paired_difference(d, "n_chars", "other", "quality", ["lang"], "doc_id")
+    return rounded(evalstats.paired_difference(d, "n_chars", "other", "quality", ["lang"], "doc_id"), "difference", "low", "high", "se", "mdd")
+
+
+@query(PAIRED + f""", m AS (SELECT x.b, avg(x.v) AS x, avg(y.v) AS y FROM {auc_sql('kept', 'n_chars', 'lang, b')} x JOIN {auc_sql('kept', 'other', 'lang, b')} y ON x.lang = y.lang AND x.b = y.b WHERE x.v IS NOT NULL AND y.v IS NOT NULL GROUP BY x.b), d AS (SELECT x - y AS v FROM m),
+s AS (SELECT avg(x.v) AS a, avg(y.v) AS b, count(*) AS n_strata FROM {auc_sql('two', 'n_chars', 'lang')} x JOIN {auc_sql('two', 'other', 'lang')} y ON x.lang = y.lang WHERE x.v IS NOT NULL AND y.v IS NOT NULL), e AS (SELECT {ENDS} FROM d)
+SELECT round(a, 6) AS auc_a, round(b, 6) AS auc_b, round(a - b, 6) AS difference, round(low, 6) AS low, round(high, 6) AS high, round(se, 6) AS se, round(se * {evalstats.minimum_detectable_difference(1.0)!r}::DOUBLE, 6) AS mdd, low > 0 OR high < 0 AS resolvable, samples, n_strata FROM s, e""")
+def stratified_difference(spark, sf_dir):
+    d = scored(spark, sf_dir).withColumn("other", -F.col("doc_id"))
+    return rounded(evalstats.stratified_difference(d, "n_chars", "other", "quality", ["lang"], "doc_id"), "auc_a", "auc_b", "difference", "low", "high", "se", "mdd")
+
+
+@query("WITH base AS (SELECT vec_id, 0 AS b FROM embeddings) SELECT vec_id AS id, round(u, 9) AS score, CAST(row_number() OVER (ORDER BY u DESC, vec_id) AS INTEGER) AS rank FROM (" + uniform_sql("vec_id", "b") + ")")
+def random_scores(spark, sf_dir):
+    s = evalstats.random_scores(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), "id").withColumn("all", F.lit(0))
+    return rounded(evalstats.ranks_of(s, "score", ["all"], "id").select("id", "score", "rank"), "score", places=9)
+
+
+@query(MOLECULES + "SELECT p_type, ligand, CAST(row_number() OVER (PARTITION BY p_type ORDER BY MW, ligand) AS INTEGER) AS rank FROM molecules")
+def property_scores(spark, sf_dir):
+    d = molecules(spark, sf_dir)
+    s = evalstats.property_scores(d, "ligand", "MW").join(d.select("ligand", "p_type"), "ligand")
+    return evalstats.ranks_of(s, "score", ["p_type"], "ligand").select("p_type", "ligand", "rank")
+
+
+TARGETS = SCORED.rstrip() + ", pairs AS (SELECT 'chars' AS method, *, n_chars AS s FROM scored UNION ALL SELECT 'age', *, -doc_id FROM scored)\n"
+
+
+def _target_sql() -> str:
+    placed = "(SELECT *, row_number() OVER (PARTITION BY method, lang ORDER BY s DESC, doc_id) AS i, count(*) OVER (PARTITION BY method, lang) AS n, sum(quality) OVER (PARTITION BY method, lang) AS a, rank() OVER (PARTITION BY method, lang ORDER BY s) + (count(*) OVER (PARTITION BY method, lang, s) - 1) / 2::DOUBLE AS r FROM pairs)"
+    ef = ", ".join(f"round(CASE WHEN max(a) > 0 THEN (sum(CASE WHEN i <= greatest(1, ceil({f}::DOUBLE * n)) THEN quality ELSE 0 END) / max(greatest(1, ceil({f}::DOUBLE * n)))) / (max(a) / max(n)) ELSE 0 END, 4) AS {c}" for f, c in ((0.01, "ef1"), (0.05, "ef5")))
+    auc = "round(CASE WHEN max(a) > 0 AND max(a) < max(n) THEN (sum(r) FILTER (quality = 1) - max(a) * (max(a) + 1) / 2::DOUBLE) / (max(a)::DOUBLE * (max(n) - max(a))) END, 4) AS auc"
+    bedroc = "round(CASE WHEN max(a) > 0 AND max(a) < max(n) THEN greatest(0, least(1, 0.5::DOUBLE + 0.5::DOUBLE * (sum(exp(-20 * (i - 0.5::DOUBLE) / n)) FILTER (quality = 1) / max(a) - avg(exp(-20 * (i - 0.5::DOUBLE) / n))) / (sum(exp(-20 * (i - 0.5::DOUBLE) / n)) FILTER (i <= a) / max(a) - avg(exp(-20 * (i - 0.5::DOUBLE) / n))))) END, 4) AS bedroc"
+    return f"SELECT method, lang, {ef}, {auc}, {bedroc} FROM {placed} GROUP BY method, lang"
+
+
+@query(TARGETS + f"SELECT method, count(auc) AS n_targets, round(avg(ef1), 6) AS mean_ef1, round(avg(ef5), 6) AS mean_ef5, round(avg(auc), 6) AS mean_auc, round(avg(bedroc), 6) AS mean_bedroc FROM ({_target_sql()}) GROUP BY method")
+def benchmark_per_target(spark, sf_dir):
+    d = scored(spark, sf_dir)
+    both = d.withColumn("method", F.lit("chars")).withColumn("score", F.col("n_chars")).unionByName(d.withColumn("method", F.lit("age")).withColumn("score", -F.col("doc_id")))
+    return rounded(evalstats.per_target(both, ["method"], "lang", "doc_id", "quality"), "mean_ef1", "mean_ef5", "mean_auc", "mean_bedroc")
+
+
+@query(TARGETS + _target_sql())
+def benchmark_methods(spark, sf_dir):
+    d = scored(spark, sf_dir)
+    both = d.withColumn("method", F.lit("chars")).withColumn("score", F.col("n_chars")).unionByName(d.withColumn("method", F.lit("age")).withColumn("score", -F.col("doc_id")))
+    return evalstats.metrics(both, "score", "quality", ["method", "lang"], "doc_id")
+
+
+@query(SCORED + """, p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS i, count(*) OVER (PARTITION BY lang) AS m FROM scored), k AS (SELECT lang, count(*) AS kept, CAST(sum(quality) AS BIGINT) AS actives_kept FROM p WHERE i <= greatest(1, ceil(0.1::DOUBLE * m)) GROUP BY lang)
+SELECT lang, n, kept, actives, actives_kept, round(CASE WHEN actives > 0 THEN actives_kept / actives END, 6) AS recall FROM (SELECT lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS actives FROM scored GROUP BY lang) JOIN k USING (lang)""")
+def prefilter_recall(spark, sf_dir):
+    return rounded(simjoin.recall_of_prefilter(scored(spark, sf_dir), "n_chars", "quality", ["lang"], "doc_id", 0.1), "recall")
 
 
 @query(SCORED.rstrip() + " SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS position FROM documents")
@@ -409,7 +501,7 @@ def property_balance(spark, sf_dir):
 @query(POSTINGS + """, c AS (SELECT x.label, x.id AS a, y.id AS b, count(*) AS k FROM post x JOIN post y ON x.label = y.label AND x.bit = y.bit AND x.id < y.id GROUP BY ALL)
 SELECT c.label, a, b, round(k / (s.n + t.n - k), 6) AS tanimoto FROM c JOIN sizes s ON s.id = a JOIN sizes t ON t.id = b WHERE k / (s.n + t.n - k) >= 0.6""")
 def tanimoto_join(spark, sf_dir):
-    return rounded(simjoin.similar_pairs(fingerprints(spark, sf_dir), 0.6, keys=["label"]), "tanimoto")
+    return rounded(simjoin.similar_pairs(fingerprints(spark, sf_dir), 0.6, keys=["label"], n_bits=64), "tanimoto")
 
 
 ANALOGUES = POSTINGS + """, c AS (SELECT x.id AS query, y.id AS id, count(*) AS k FROM post x JOIN post y USING (bit) WHERE x.id % 100 = 0 AND x.id <> y.id GROUP BY ALL),
@@ -420,19 +512,31 @@ h AS (SELECT query, c.id, k / (s.n + t.n - k) AS s1, 2 * k / (s.n + t.n) AS s2,
 @query(ANALOGUES + "SELECT query, id, round(s1, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY s1 DESC, id) AS INTEGER) AS rank FROM h WHERE s1 >= 0.5")
 def find_analogues(spark, sf_dir):
     f = fingerprints(spark, sf_dir)
-    return rounded(simjoin.find_analogues(f.where("id % 100 = 0"), f, 0.5), "similarity")
+    return rounded(simjoin.find_analogues(f.where("id % 100 = 0"), f, 0.5, n_bits=64), "similarity")
 
 
 @query(ANALOGUES + "SELECT query, id, round(s1, 6) AS tanimoto, round(s2, 6) AS dice, round(s3, 6) AS tversky FROM h")
 def similarity_metrics(spark, sf_dir):
     f = fingerprints(spark, sf_dir)
-    q = f.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("bits").alias("qb"))
-    x, y = F.col("qb"), F.col("bits")
-    out = f.join(q, F.col("id") != F.col("query")).where(sim.common_bits(x, y) > 0).select("query", "id", sim.similarity(x, y).alias("tanimoto"), sim.similarity(x, y, "dice").alias("dice"), sim.similarity(x, y, "tversky", 0.5, 1.0).alias("tversky"))
+    c = simjoin.shared_counts(f.where("id % 100 = 0"), f).where("a <> b")
+    counts = F.col("common"), F.col("na"), F.col("nb")
+    out = c.select(F.col("a").alias("query"), F.col("b").alias("id"), sim.from_counts(*counts).alias("tanimoto"), sim.from_counts(*counts, "dice").alias("dice"), sim.from_counts(*counts, "tversky", 0.5, 1.0).alias("tversky"))
     return rounded(out, "tanimoto", "dice", "tversky")
 
 
-BEST = POSTINGS + """, c AS (SELECT y.id AS id, x.id AS a, count(*) AS k FROM post x JOIN post y USING (bit) WHERE x.id % 50 = 0 AND x.id <> y.id AND x.label <> y.label GROUP BY ALL),
+@query(POSTINGS + ", c AS (SELECT x.label, x.id AS a, y.id AS b, count(*) AS common FROM post x JOIN post y ON x.label = y.label AND x.bit = y.bit AND x.id < y.id GROUP BY ALL) SELECT c.label, a, b, common, round(common / (s.n + t.n - common), 6) AS similarity FROM c JOIN sizes s ON s.id = a JOIN sizes t ON t.id = b")
+def similarity_matrix(spark, sf_dir):
+    return rounded(simjoin.similarity_matrix(fingerprints(spark, sf_dir), ["label"]), "similarity")
+
+
+@query(POSTINGS + ", c AS (SELECT x.id AS x, y.id AS y, count(*) AS k FROM post x JOIN post y USING (bit) WHERE x.id // 3 % 20 = 0 AND x.id // 3 <> y.id // 3 GROUP BY ALL), s AS (SELECT x // 3 AS query, y // 3 AS id, k / (s.n + t.n - k) AS v FROM c JOIN sizes s ON s.id = x JOIN sizes t ON t.id = y) SELECT query, id, round(max(v), 6) AS similarity FROM s GROUP BY query, id HAVING max(v) >= 0.5")
+def best_over_conformers(spark, sf_dir):
+    """Three vectors in a row are the conformers of one molecule."""
+    f = fingerprints(spark, sf_dir).select(F.floor(F.col("id") / 3).alias("id"), F.pmod("id", F.lit(3)).alias("conformer"), "bits")
+    return rounded(simjoin.best_over_conformers(f.where("id % 20 = 0"), f, 0.5), "similarity")
+
+
+BEST = POSTINGS + """, c AS (SELECT y.id AS id, x.id AS a, count(*) AS k FROM post x JOIN post y USING (bit) WHERE x.id % 100 = 0 AND x.id <> y.id AND x.label <> y.label GROUP BY ALL),
 best AS (SELECT c.id, max(k / (s.n + t.n - k)) AS score FROM c JOIN sizes s ON s.id = a JOIN sizes t ON t.id = c.id GROUP BY c.id)
 """
 
@@ -440,7 +544,7 @@ best AS (SELECT c.id, max(k / (s.n + t.n - k)) AS score FROM c JOIN sizes s ON s
 @query(BEST + "SELECT vec_id AS id, label, round(coalesce(score, 0), 6) AS score FROM embeddings LEFT JOIN best ON id = vec_id")
 def fingerprint_scores(spark, sf_dir):
     f = fingerprints(spark, sf_dir)
-    return rounded(simjoin.best_reference_scores(f, f.where("id % 50 = 0")), "score")
+    return rounded(simjoin.best_reference_scores(f, f.where("id % 100 = 0")), "score")
 
 
 @query(RESULTS + "SELECT receptor, run FROM (SELECT receptor, run, row_number() OVER (PARTITION BY receptor ORDER BY second DESC, run) AS i, count(*) OVER (PARTITION BY receptor) AS n FROM results) WHERE i <= greatest(1, ceil(0.1::DOUBLE * n))")
@@ -455,12 +559,12 @@ def maxmin_pick(spark, sf_dir):
 
 @query()
 def sphere_exclusion(spark, sf_dir):
-    return simjoin.sphere_exclusion(fingerprints(spark, sf_dir), ["label"], 0.4)
+    return simjoin.sphere_exclusion(fingerprints(spark, sf_dir), ["label"], 0.4, n_bits=64)
 
 
 @query()
 def butina_cluster(spark, sf_dir):
-    return simjoin.butina(fingerprints(spark, sf_dir), ["label"], 0.4)
+    return simjoin.butina(fingerprints(spark, sf_dir), ["label"], 0.4, n_bits=64)
 
 
 # -- space -----------------------------------------------------------------------------------------------
@@ -506,12 +610,6 @@ def coulomb_energy(spark, sf_dir):
     return rounded(spatial.coulomb(p.where("atom % 10 = 0"), p.where("atom % 10 <> 0"), ["label"]), "coulomb", places=2)
 
 
-@query()
-def atom_sasa(spark, sf_dir):
-    p = points(spark, sf_dir).withColumn("radius", m.radius_of(F.element_at(F.array(*[F.lit(e) for e in "CNOS"]), (F.pmod("atom", F.lit(4)) + 1).cast("int"))))
-    return spatial.sasa(p.select("label", "atom", "x", "y", "z", "radius"), ["label"])
-
-
 @query("""SELECT CAST(id AS INTEGER) AS point, round(r * cos(2.399963229728653 * id), 9) AS px, round(r * sin(2.399963229728653 * id), 9) AS py, round(z, 9) AS pz FROM (SELECT id, z, sqrt(1 - z * z) AS r FROM (SELECT range AS id, 1 - 2 * (range + 0.5::DOUBLE) / 92 AS z FROM range(92)))""")
 def sphere_points(spark, sf_dir):
     return rounded(spatial.sphere_points(spark), "px", "py", "pz", places=9)
@@ -574,21 +672,11 @@ def dedupe_log(spark, sf_dir):
     return library.first_rows(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
-@query(RESULTS + "SELECT s_suppkey AS receptor, p_partkey AS ligand FROM supplier, part WHERE p_size < 5 AND (s_suppkey, p_partkey) NOT IN (SELECT receptor, ligand FROM results)")
+@query(RESULTS + "SELECT s_suppkey AS receptor, p_partkey AS ligand FROM supplier, part WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.receptor = s_suppkey AND r.ligand = p_partkey)")
 def pending_jobs(spark, sf_dir):
-    ligands = table(spark, sf_dir, "part").where("p_size < 5").select(F.col("p_partkey").alias("ligand"))
-    receptors = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("receptor"))
-    jobs = library.job_table(ligands, receptors, [0]).drop("seed")
-    return library.pending(jobs, results(spark, sf_dir), ["receptor", "ligand"]).select("receptor", "ligand")
-
-
-@query()
-def pending_jobs_all(spark, sf_dir):
-    """``pending_jobs`` over all ligands."""
     ligands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ligand"))
     receptors = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("receptor"))
-    jobs = library.job_table(ligands, receptors, [0]).drop("seed")
-    return library.pending(jobs, results(spark, sf_dir), ["receptor", "ligand"]).select("receptor", "ligand")
+    return library.pending_pairs(ligands, receptors, results(spark, sf_dir))
 
 
 @query("""SELECT vec_id, 'ATOM' AS record, CAST(vec_id % 100000 AS INTEGER) AS serial, 'C' AS name, 'LIG' AS res_name, 'A' AS chain, label AS res_id, round(CAST(embedding[1] AS DOUBLE) * 20, 3) AS x, round(CAST(embedding[2] AS DOUBLE) * 20, 3) AS y, round(CAST(embedding[3] AS DOUBLE) * 20, 3) AS z, round(CAST((vec_id % 5) - 2 AS DOUBLE), 3) AS charge, 'OA' AS ad_type FROM embeddings""")
@@ -646,7 +734,7 @@ def frequent_features(spark, sf_dir):
     return structure.frequent_features(_contacts(spark, sf_dir), "label", "kind")
 
 
-@query("""SELECT p_partkey, CASE WHEN occ >= 0.8 AND shift <= 1 THEN 'conserved' WHEN occluded THEN 'displaced' WHEN occ >= 0.8 THEN 'moved' WHEN occ > 0 THEN 'transient' ELSE 'absent' END AS class
+@query("""SELECT p_partkey, CASE WHEN occ >= 0.8 AND shift <= 1 THEN 'conserved' WHEN occluded THEN 'displaced' WHEN occ >= 0.8 THEN 'moved' WHEN occ >= 0.2 THEN 'transient' ELSE 'absent' END AS class
 FROM (SELECT p_partkey, (p_partkey % 11) / CAST(10 AS DOUBLE) AS occ, p_size % 3 = 0 AS occluded, p_size / CAST(20 AS DOUBLE) AS shift FROM part)""")
 def water_classification(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumns({"occupancy": F.pmod("p_partkey", F.lit(11)) / 10.0, "occluded": F.col("p_size") % 3 == 0, "shift": F.col("p_size") / 20.0})
@@ -692,7 +780,7 @@ def strongest_couplings(spark, sf_dir):
 @query()
 def match_decoys(spark, sf_dir):
     d = molecules(spark, sf_dir).select(F.col("ligand").alias("id"), "MW", "LogP", "HBD")
-    return structure.match_decoys(d.where("id % 50 = 0"), d.where("id % 50 <> 0"), {"MW": 25.0, "LogP": 0.5, "HBD": 1.0}, 5)
+    return structure.match_decoys(d.where("id % 100 = 0"), d.where("id % 100 <> 0"), {"MW": 25.0, "LogP": 0.5, "HBD": 1.0}, 5)
 
 
 @query()
