@@ -2,32 +2,37 @@
 
 Encoding finds, from left to right, the longest piece that starts at each position (Aho-Corasick), takes it if
 it is compatible with the piece before it, else tries that piece's shorter prefixes, and goes back one piece
-when none fits; a bit field keeps the positions from which no encoding goes on. Two adjacent pieces are
+when none fits; a field of flags keeps the positions from which no encoding goes on. Two adjacent pieces are
 compatible if merging the characters of both again, best score first, yields just these two.
 
 A text is cut where no piece can span: at white space marks, and between two characters that
 never stand side by side in any piece. The cuts change no result; they let words be encoded once and kept.
 
 Null and empty texts have no ids. Characters outside the vocabulary become byte pieces. Texts of any length
-are encoded whole. Rows with null ids, repeated rows and rows with other columns are encoded like any other.
+are encoded whole, in time that grows with their length. Rows with null ids, repeated rows and rows with other columns,
+whatever their names, are encoded like any other. What a Python worker keeps is bounded in bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import map_rows, texts
+from .common import texts
 
 MARK = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Words whose ids a task keeps; beyond it the table starts anew.
-WORDS_KEPT = 300_000
+#: Bytes of words and their ids in a generation of those that a Python worker keeps, and pairs whose compatibility it knows.
+BYTES_KEPT, PAIRS_KEPT = 32 << 20, 200_000
 
 
 class PieceModel:
@@ -49,12 +54,15 @@ class PieceModel:
         self.letters = frozenset("".join(self.ids))
         self.id_text = {p: str(i) for p, i in self.ids.items()}
         self.beside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._pairs: dict[str, dict[str, bool]] = defaultdict(dict)
+        self._known_pairs = 0
         #: pieces that merging their own characters yields; no other piece is ever the outcome
         self.whole = {p for p in self.ids if len(p) == 1 or len(self.merge(p)) == 1}
+        #: the next shorter piece that a piece begins with
+        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.whole), None) for p in self.whole}
         self.trie = ahocorasick.Automaton()
         for p in self.whole:
-            self.trie.add_word(p, (len(p), p))
+            self.trie.add_word(p, p)
         self.trie.make_automaton()
 
     # -- merging, for compatibility checks ---------------------------------------------------------------
@@ -74,53 +82,56 @@ class PieceModel:
         return parts
 
     def compatible(self, left: str, right: str) -> bool:
-        known = self._pairs.get((left, right))
+        known = self._pairs[left].get(right)
         if known is None:
-            if len(self._pairs) > 400_000:
+            if self._known_pairs > PAIRS_KEPT:
                 self._pairs.clear()
+                self._known_pairs = 0
             # no piece may even span the seam: then both stay
             known = (left[-1] + right[0]) not in self.beside or self.merge(left + right) == [left, right]
-            self._pairs[left, right] = known
+            self._pairs[left][right] = known
+            self._known_pairs += 1
         return known
 
     # -- encoding ----------------------------------------------------------------------------------------
 
     def backtrack(self, text: str) -> list[str]:
-        """The pieces of a text whose characters are all in the vocabulary."""
-        n = len(text)
-        starts: list[list[str]] = [[] for _ in range(n)]
-        for end, (size, p) in self.trie.iter(text):
-            starts[end - size + 1].append(p)  # ends rise, so the longest comes last
-        open_at = (1 << (n + 1)) - 1  # bit k: an encoding may still go on from k
+        """The pieces of a text whose characters are all in the vocabulary.
+
+        Longest matches are read from left to right; where another piece was taken, the reading starts anew behind it.
+        """
+        n, pairs, shorter, read = len(text), self._pairs, self.shorter, self.trie.iter_long
+        open_at = bytearray(b"\1" * (n + 1))  # whether an encoding may still go on from each position
         out: list[str] = []
-        left = [0] * (n + 1)  # how many prefixes are still to be tried at each position
-        left[0] = len(starts[0])
-        pos, last, pairs = 0, None, self._pairs
-        while pos < n:
-            here, t = starts[pos], left[pos]
-            while t:
-                t -= 1
-                p = here[t]
-                end = pos + len(p)
-                if open_at >> end & 1:
-                    if last is None:
-                        break
-                    fits = pairs.get((last, p))
-                    if fits if fits is not None else self.compatible(last, p):
-                        break
-            else:
+        pos, last = 0, None
+        matches = read(text)
+        p, own = next(matches)[1], True
+        while True:
+            end = pos + len(p)
+            fits = open_at[end]
+            if fits and last is not None:
+                fits = pairs[last].get(p)
+                if fits is None:
+                    fits = self.compatible(last, p)
+            if fits:
+                out.append(p)
+                if end == n:
+                    return out
+                pos, last = end, p
+                if not own:
+                    matches, own = read(text, pos), True
+                p = next(matches)[1]
+                continue
+            own = False
+            p = shorter[p]
+            while p is None:  # none fits here: one piece back
                 if not out:
                     raise ValueError(f"no encoding of {text!r}")
-                open_at &= ~(1 << pos)
-                pos -= len(out.pop())
+                open_at[pos] = 0
+                p = out.pop()
+                pos -= len(p)
                 last = out[-1] if out else None
-                continue
-            out.append(p)
-            left[pos] = t
-            pos, last = end, p
-            if pos < n:
-                left[pos] = len(starts[pos])
-        return out
+                p = shorter[p]
 
     def segment(self, text: str) -> list[int]:
         """Ids of a segment: marks then characters, cut wherever no piece spans."""
@@ -210,64 +221,108 @@ def _utf8(run: bytes) -> str:
     return "".join(out)
 
 
-class _Words(dict):
-    """Segment -> (its ids as text, their number, decoded text), found when first asked for."""
+class _Words:
+    """Segment -> (its ids as text, their number, decoded text), kept in two generations."""
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.parts: dict[str, tuple[str, int, str]] = {}
-
-    def __missing__(self, seg: str):
+        self.young: dict[str, tuple[str, int, str]] = {}
+        self.old: dict[str, tuple[str, int, str]] = {}
+        self.size = 0
+
+    def all(self, segments: list[str]) -> list[tuple[str, int, str]]:
+        """What each segment stands for."""
+        young = self.young
+        found = list(map(young.get, segments))
+        size = 0
+        for k, x in enumerate(found):
+            if x is None:
+                seg = segments[k]
+                x = self.old.get(seg) or self.segment(seg)
+                found[k] = young[seg] = x
+                size += len(seg) + len(x[0]) + len(x[2]) + 250
+        self.size += size
+        if self.size > BYTES_KEPT:
+            self.old, self.young, self.size = young, {}, 0
+        return found
+
+    def segment(self, seg: str) -> tuple[str, int, str]:
         model = self.model
         text = model.marked(seg)
-        tail = []
+        if model.letters.issuperset(text):
+            found = model.backtrack(text)
+            return ",".join([model.id_text[p] for p in found]), len(found), text.replace(MARK, " ")
         # end marks that no piece joins to what stands before them
-        while len(text) > 1 and text[-2:] not in model.beside and text[-1] != MARK:
-            tail.append(self.part(text[-1]))
-            text = text[:-1]
-        known = self.part(text)
-        if tail:
-            found = [known, *reversed(tail)]
-            known = (",".join([f[0] for f in found]), sum([f[1] for f in found]), "".join([f[2] for f in found]))
-        self[seg] = known
+        end = len(text)
+        while end > 1 and text[end - 2 : end] not in model.beside and text[end - 1] != MARK:
+            end -= 1
+        known = self.part(text[:end])
+        if end < len(text):
+            parts = [known, *map(self.part, text[end:])]
+            known = (",".join([f[0] for f in parts]), sum([f[1] for f in parts]), "".join([f[2] for f in parts]))
         return known
 
-    def part(self, text: str):
+    def part(self, text: str) -> tuple[str, int, str]:
         """The same of a part; parts do not depend on what stands beside them."""
-        known = self.parts.get(text)
-        if known is None:
-            model = self.model
-            if model.letters.issuperset(text):
-                found = [text] if text in model.whole else model.backtrack(text)
-                known = (",".join([model.id_text[p] for p in found]), len(found), text.replace(MARK, " "))
-            else:
-                ids = model.segment(text)
-                # decoded behind another word, so that the mark stays a space
-                known = (",".join(map(str, ids)), len(ids), model.decode([model.ids[MARK], *ids]))
-            if len(self.parts) > WORDS_KEPT:
-                self.parts.clear()
-            self.parts[text] = known
-        return known
+        model = self.model
+        if model.letters.issuperset(text):
+            found = [text] if text in model.whole else model.backtrack(text)
+            return ",".join([model.id_text[p] for p in found]), len(found), text.replace(MARK, " ")
+        ids = model.segment(text)
+        # decoded behind another word, so that the mark stays a space
+        return ",".join(map(str, ids)), len(ids), model.decode([model.ids[MARK], *ids])
+
+
+_words: dict[str, _Words] = {}
+
+
+def words_of(path: str) -> _Words:
+    """A model and the words that it has encoded, kept for all tasks of a Python worker."""
+    if path not in _words:
+        _words[path] = _Words(PieceModel(path))
+    return _words[path]
+
+
+def _plain(ts: pa.Array) -> np.ndarray:
+    """Texts whose segments are what stands between single spaces."""
+    odd = pc.or_(pc.match_substring(ts, "  "), pc.match_substring(ts, MARK))
+    odd = pc.or_(odd, pc.or_(pc.starts_with(ts, " "), pc.ends_with(ts, " ")))
+    return ~np.asarray(pc.or_(odd, pc.equal(ts, "")))
+
+
+def _encoded(words: _Words, ts: pa.Array) -> Iterator[tuple[str, int, str]]:
+    """Ids as text, their number, and the decoded text with a space in front, of each text in turn."""
+    plain = _plain(ts)
+    lists = pc.split_pattern(ts.filter(pa.array(plain)), " ")
+    coded = lists.flatten().dictionary_encode()
+    found = words.all(coded.dictionary.to_pylist())
+    table = np.empty((3, len(found)), object)
+    for k in range(3):
+        table[k] = [f[k] for f in found]
+    which, ends = coded.indices.to_numpy(), lists.offsets.to_numpy().tolist()
+    at = 0
+    for k, p in enumerate(plain.tolist()):
+        if p:
+            i = which[ends[at] : ends[at + 1]]
+            at += 1
+            yield ",".join(table[0][i]), sum(table[1][i]), "".join(table[2][i])
+        else:
+            own = words.all(words.model.segments(ts[k].as_py()))
+            yield ",".join([w[0] for w in own]), sum([w[1] for w in own]), "".join([w[2] for w in own])
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of each whole text; see the module for odd input."""
 
-    def factory():
-        model = PieceModel(model_path)
-        words = _Words(model)
-
-        def work(ids, ts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = words_of(model_path)
+        for b in batches:
             n, enc, dec = [], [], []
-            for t in ts:
-                found = [words[s] for s in model.segments(t)]
-                n.append(sum([w[1] for w in found]))
-                enc.append(hashlib.sha256(",".join([w[0] for w in found]).encode()).hexdigest())
-                dec.append(hashlib.sha256("".join([w[2] for w in found])[1:].encode("utf-8", "surrogatepass")).hexdigest())
-                if len(words) > WORDS_KEPT:
-                    words.clear()
-            return {"doc_id": pa.array(ids, pa.int64()), "n_tokens": n, "ids_sha256": enc, "decoded_sha256": dec}
-
-        return work
-
-    return map_rows(texts(docs), factory, SCHEMA)
+            for ids, number, text in _encoded(words, b.column(1)):
+                n.append(number)
+                enc.append(hashlib.sha256(ids.encode()).hexdigest())
+                dec.append(hashlib.sha256(text[1:].encode("utf-8", "surrogatepass")).hexdigest())
+            if n:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(enc), pa.array(dec)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return texts(docs).mapInArrow(run, SCHEMA)
