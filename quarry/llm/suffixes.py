@@ -12,8 +12,9 @@ from their anchors are, so equal strings stand in suffixes that sort side by sid
    ranges as the suffixes' bytes need.
 3. Each range is sorted by multikey quicksort over its tokens. Neighbours with 100 bytes in common are one group; inside
    it, equal units repeat as a whole, and the strings of the others are compared byte by byte.
-4. The first and the last group of a range may go on in the next one. Each distinct string of those is sent on once, by a
-   128-bit hash, and compared across all boundaries.
+4. The first and the last group of a range may go on in the next one. Where a group does, each of its ranges sends one row with its
+   distinct strings, by 128-bit hashes, and they are compared across all boundaries; a group of very many ranges is compared
+   in as many parts as it needs.
 
 Documents of equal bytes are removed whole; one of them stands for all in steps 2 to 4. Only step 4 trusts a hash,
 of 128 bits; the hashes of step 1 can only keep a unit that step 3 then finds to be alone.
@@ -39,15 +40,18 @@ from .hashing import between, prefix
 LENGTH, KMER = 200, 100
 WINDOW = LENGTH - KMER + 1  # hashes inside a string
 #: Bytes that are hashed together; places take the low 24 bits beside a hash, so twice as many are below 2**24.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 512 << 10
 #: Bytes of a token, tokens of a suffix, and tokens that splitters look at: those that reach over the anchor's bytes.
 TOKEN = 8
 TOKENS, LEADING = LENGTH // TOKEN, KMER // TOKEN + 1
 #: Bytes of text whose anchors one task gathers, bytes of suffixes in a range, and suffixes sampled for each range.
-ANCHOR_BYTES, RANGE_BYTES, SAMPLED = 64 << 20, 16 << 20, 64
+ANCHOR_BYTES, RANGE_BYTES, SAMPLED = 32 << 20, 3 << 20, 64
+#: Ranges of a group whose strings are compared together.
+TOGETHER = 16
 
 RECORD = "part int, stretch binary, left int, rid long, first int"
-FOUND = "rid long, spans array<int>, places array<int>, h0 array<long>, h1 array<long>"
+#: Repeated stretches of a row; or the strings of a group at a range's edge.
+FOUND = "rid long, spans array<int>, anchor binary, part int, rids array<long>, places array<int>, h0 array<long>, h1 array<long>"
 
 
 def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -259,7 +263,8 @@ def same_strings(raw: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def compare_range(stretch: list[bytes], left: np.ndarray, rid: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
-    """Sorts the suffixes of a range and compares neighbours: rows of ``FOUND``, those of the range's edges with their strings' hashes."""
+    """Sorts the suffixes of a range and compares neighbours: ``(rid, spans)`` of what repeats, and ``(anchor, rids, places, h0, h1)`` of the
+    distinct strings of the groups at its edges."""
     n = len(stretch)
     sizes = np.fromiter(map(len, stretch), np.int64, n)
     ends = np.cumsum(sizes)
@@ -280,7 +285,7 @@ def compare_range(stretch: list[bytes], left: np.ndarray, rid: np.ndarray, first
     different = np.bincount(of_row[one], minlength=len(members))  # kinds in each group
     whole = copies[kind] > 1
     for k in np.flatnonzero(whole).tolist():
-        yield int(rid[k]), [int(first[k]), int(first[k] + sizes[k])], [], [], []
+        yield int(rid[k]), [int(first[k]), int(first[k] + sizes[k])]
     # strings of the kinds that have company, or may have it in another range
     looked = one[(different[of_row[one]] > 1) | edge[one]]
     if not len(looked):
@@ -313,19 +318,74 @@ def compare_range(stretch: list[bytes], left: np.ndarray, rid: np.ndarray, first
     again = repeated | whole[looked][unit]
     sent = leader & edge[looked][unit]
     place = first[looked][unit] + at - starts[looked][unit]
-    other = prefix(data, 1) if sent.any() else None
     bounds = np.concatenate([[0], np.cumsum(count)]).tolist()
     for k, row in enumerate(looked.tolist()):
         a, b = bounds[k], bounds[k + 1]
         mine = place[a:b][again[a:b]]
-        spans: list[int] = []
         if len(mine) and not whole[row]:
             gap = np.flatnonzero(np.diff(mine) > 1)
-            spans = np.stack([mine[np.concatenate([[0], gap + 1])], mine[np.concatenate([gap, [len(mine) - 1]])] + LENGTH], 1).ravel().tolist()
-        out = np.flatnonzero(sent[a:b]) + a
-        if spans or len(out):
-            second = between(other, at[out], at[out] + LENGTH).view(np.int64).tolist() if len(out) else []
-            yield int(rid[row]), spans, place[out].tolist(), h[out].view(np.int64).tolist(), second
+            yield int(rid[row]), np.stack([mine[np.concatenate([[0], gap + 1])], mine[np.concatenate([gap, [len(mine) - 1]])] + LENGTH], 1).ravel().tolist()
+    if sent.any():
+        other = prefix(data, 1)
+        for g in {0, int(group[-1])}:
+            out = np.flatnonzero(sent & (of_row[looked][unit] == g))
+            if len(out):
+                row = looked[unit[out[0]]]
+                start = int(starts[row] + left[row])
+                anchor = hashlib.blake2b(raw[start : start + KMER], digest_size=16).digest()
+                yield anchor, rid[looked][unit[out]], place[out], h[out].view(np.int64), between(other, at[out], at[out] + LENGTH).view(np.int64)
+
+
+def _found(rows: list[tuple], part: int) -> pa.RecordBatch:
+    spans, edges = [r for r in rows if len(r) == 2], [r for r in rows if len(r) > 2]
+    none, nothing = [None] * len(spans), [None] * len(edges)
+    cols = [
+        pa.array([r[0] for r in spans] + nothing, pa.int64()), pa.array([r[1] for r in spans] + nothing, pa.list_(pa.int32())), pa.array(none + [r[0] for r in edges], pa.binary()), pa.array([part] * len(rows), pa.int32()),
+        *[pa.array(none + [r[k] for r in edges], pa.list_(t)) for k, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int64()), (4, pa.int64()))],
+    ]
+    return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in FOUND.split(", ")])
+
+
+def across_ranges(found: DataFrame) -> DataFrame:
+    """``(rid, spans)`` of strings that stand in several ranges of one group."""
+    edges = found.where("anchor is not null").select("anchor", "part", "rids", "places", "h0", "h1")
+    several = edges.groupBy("anchor").agg(F.count_distinct("part").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / TOGETHER).cast("int")).drop("n")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for anchor, parts, rids, places, h0, h1 in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(b.column(k) for k in range(2, 6)), strict=True):
+                rids, places, h0, h1 = (x.values.to_numpy() for x in (rids, places, h0, h1))
+                of = (h0 % parts).astype(np.int64)
+                for k in range(parts):
+                    at = of == k
+                    yield pa.RecordBatch.from_arrays([pa.array([anchor], pa.binary()), pa.array([k], pa.int32()), *[pa.array([x[at]], t) for x, t in ((rids, pa.list_(pa.int64())), (places, pa.list_(pa.int32())), (h0, pa.list_(pa.int64())), (h1, pa.list_(pa.int64())))]], ["anchor", "k", "rids", "places", "h0", "h1"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []
+
+        def ended():
+            rids, places, h0, h1 = (np.concatenate([x[k] for x in held]) for k in range(4))
+            by = np.lexsort((h1, h0))
+            same = (h0[by][1:] == h0[by][:-1]) & (h1[by][1:] == h1[by][:-1])
+            again = np.zeros(len(by), bool)
+            again[by[1:][same]] = again[by[:-1][same]] = True
+            for a in range(0, int(again.sum()), 50_000):
+                at = np.flatnonzero(again)[a : a + 50_000]
+                spans = np.stack([places[at], places[at] + LENGTH], 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(rids[at]), pa.array(list(spans), pa.list_(pa.int32()))], ["rid", "spans"])
+
+        for b in batches:
+            for anchor, k, *cols in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(b.column(j) for j in range(2, 6)), strict=True):
+                if (anchor, k) != name:
+                    if held:
+                        yield from ended()
+                    name, held = (anchor, k), []
+                held.append([c.values.to_numpy() for c in cols])
+        if held:
+            yield from ended()
+
+    parts = edges.join(several, "anchor").select("anchor", "parts", "rids", "places", "h0", "h1").mapInArrow(split, "anchor binary, k int, rids array<long>, places array<int>, h0 array<long>, h1 array<long>")
+    return parts.repartition(tasks_for(found.sparkSession), "anchor", "k").sortWithinPartitions("anchor", "k").mapInArrow(compare, "rid long, spans array<int>")
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
@@ -351,32 +411,24 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
             return
         got = pa.Table.from_batches(held)
         del held
+        part = got["part"][0].as_py()
         found: list[tuple] = []
         for x in compare_range(got["stretch"].to_pylist(), got["left"].to_numpy().astype(np.int64), got["rid"].to_numpy(), got["first"].to_numpy().astype(np.int64)):
             found.append(x)
             if len(found) == 20_000:
-                yield _found(found)
+                yield _found(found, part)
                 found = []
         if found:
-            yield _found(found)
+            yield _found(found, part)
 
     found, found_path = written(suffixes(joined, cuts).repartitionById(n, F.col("part")).mapInArrow(run, FOUND), "found")
-    sent = found.select("rid", F.explode(F.arrays_zip("places", "h0", "h1")).alias("s")).select("rid", "s.places", "s.h0", "s.h1")
-    across = sent.groupBy("h0", "h1").agg(F.count("*").alias("n")).where("n > 1").select("h0", "h1")
-    across = sent.join(across, ["h0", "h1"], "left_semi").select("rid", F.array(F.col("places"), F.col("places") + LENGTH).alias("spans"))
     whole = copies.select("rid", F.array(F.lit(0), F.col("size").cast("int")).alias("spans"))
-    spans = found.where(F.size("spans") > 0).select("rid", "spans").unionByName(across).unionByName(whole)
+    spans = found.where("rid is not null").select("rid", "spans").unionByName(across_ranges(found)).unionByName(whole)
     spans, _ = written(spans.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     drop_path(spark, seen_path, copies_path, flags_path, found_path)
     return spans
 
 
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True))
-    kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in FOUND.split(", ")])
-
-
 def merged(flat: list[int]) -> list[int]:
     """Spans in order, those that touch or overlap as one."""
     out: list[int] = []
