@@ -552,17 +552,29 @@ def prefilter(spark, sf_dir):
     return simjoin.keep_fraction(results(spark, sf_dir), "second", ["receptor"], "run", 0.1).select("receptor", "run")
 
 
-@query()
+SIMS = """WITH RECURSIVE comps AS (SELECT vec_id AS id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS bit FROM embeddings), post AS (SELECT id, label, bit FROM comps WHERE x > 0), sizes AS (SELECT id, count(*) AS n FROM post GROUP BY id),
+sims AS (SELECT x.label, x.id AS a, y.id AS b, count(*) / (any_value(s.n) + any_value(t.n) - count(*)) AS sim FROM post x JOIN post y ON x.label = y.label AND x.bit = y.bit JOIN sizes s ON s.id = x.id JOIN sizes t ON t.id = y.id GROUP BY x.label, x.id, y.id)
+"""
+
+
+@query(SIMS + """, w AS (SELECT label, [min(vec_id)] AS picks, 1 AS k FROM embeddings GROUP BY label UNION ALL
+SELECT w.label, list_append(picks, (SELECT min((c.near, c.id))[2] FROM (SELECT e.vec_id AS id, (SELECT max(s.sim) FROM sims s WHERE s.a = e.vec_id AND list_contains(w.picks, s.b)) AS near FROM embeddings e WHERE e.label = w.label AND NOT list_contains(w.picks, e.vec_id)) c)), k + 1 FROM w WHERE k < 10)
+SELECT label, unnest(picks) AS id, CAST(generate_subscripts(picks, 1) AS INTEGER) AS pick FROM (SELECT label, arg_max(picks, k) AS picks FROM w GROUP BY label)""")
 def maxmin_pick(spark, sf_dir):
     return simjoin.maxmin_pick(fingerprints(spark, sf_dir), ["label"], 10)
 
 
-@query()
+@query(SIMS + """, low AS (SELECT label, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, (SELECT list(b) FROM sims WHERE a = vec_id AND b < vec_id AND sim >= 0.4) AS lower FROM embeddings),
+w AS (SELECT label, 0::BIGINT AS k, []::BIGINT[] AS kept FROM (SELECT DISTINCT label FROM embeddings) UNION ALL SELECT w.label, w.k + 1, CASE WHEN lower IS NULL OR NOT list_has_any(lower, kept) THEN list_append(kept, l.id) ELSE kept END FROM w JOIN low l ON l.label = w.label AND l.k = w.k + 1)
+SELECT label, unnest(kept) AS id, CAST(generate_subscripts(kept, 1) AS INTEGER) AS pick FROM (SELECT label, arg_max(kept, k) AS kept FROM w GROUP BY label)""")
 def sphere_exclusion(spark, sf_dir):
     return simjoin.sphere_exclusion(fingerprints(spark, sf_dir), ["label"], 0.4, n_bits=64)
 
 
-@query()
+@query(SIMS + """, nb AS (SELECT label, vec_id AS id, list_distinct(list_append(coalesce((SELECT list(b) FROM sims WHERE a = vec_id AND sim >= 0.4), []::BIGINT[]), vec_id)) AS near FROM embeddings),
+w AS (SELECT label, 0 AS k, list(vec_id) AS free, NULL::BIGINT AS seed, []::BIGINT[] AS got FROM embeddings GROUP BY label UNION ALL
+SELECT x.label, x.k + 1, list_filter(x.free, lambda i: NOT list_contains(n.near, i)), x.s, list_intersect(n.near, x.free) FROM (SELECT w.label, w.k, w.free, (SELECT -max((len(list_intersect(c.near, w.free)), -c.id))[2] FROM nb c WHERE c.label = w.label AND list_contains(w.free, c.id)) AS s FROM w WHERE len(w.free) > 0) x JOIN nb n ON n.id = x.s)
+SELECT label, unnest(got) AS id, seed AS representative FROM w WHERE seed IS NOT NULL""")
 def butina_cluster(spark, sf_dir):
     return simjoin.butina(fingerprints(spark, sf_dir), ["label"], 0.4, n_bits=64)
 
@@ -752,12 +764,20 @@ def _posed(spark, sf_dir):
     return points(spark, sf_dir).select("label", F.col("atom").alias("id"), "x", "y", "z", F.col("charge").alias("energy"), F.pmod("atom", F.lit(7)).cast("int").alias("step"))
 
 
-@query()
+SITES = POINTS.replace("WITH points", "WITH RECURSIVE points") + ", near AS (SELECT a.label, a.atom AS i, b.atom AS j, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d, CAST(a.atom % 7 AS INTEGER) AS si, CAST(b.atom % 7 AS INTEGER) AS sj FROM points a JOIN points b ON a.label = b.label)\n"
+
+
+@query(SITES + """, edges AS (SELECT label, i, j FROM near WHERE d <= 2), reach AS (SELECT label, atom AS i, atom AS j FROM points UNION SELECT r.label, r.i, e.j FROM reach r JOIN edges e ON e.label = r.label AND e.i = r.j), comp AS (SELECT label, i AS id, min(j) AS c FROM reach GROUP BY label, i),
+own AS (SELECT c.label, c.c, c.id, p.charge AS e FROM comp c JOIN points p ON p.label = c.label AND p.atom = c.id), g AS (SELECT label, c, min((e, id)) AS best, count(*) AS n FROM own GROUP BY label, c), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY best[1], -n, best[2]) AS k FROM g)
+SELECT o.label, o.id, CAST(k AS INTEGER) AS cluster, best[2] AS representative FROM own o JOIN r ON r.label = o.label AND r.c = o.c""")
 def cluster_poses(spark, sf_dir):
     return structure.linkage_clusters(_posed(spark, sf_dir), ["label"], 2.0)
 
 
-@query()
+@query(SITES + """, o AS (SELECT label, atom, CAST(atom % 7 AS INTEGER) AS step, row_number() OVER (PARTITION BY label ORDER BY atom % 7, atom) AS k FROM points), low AS (SELECT o.label, o.atom, o.k, (SELECT list(j) FROM near n WHERE n.label = o.label AND n.i = o.atom AND d <= 1.5 AND (sj, j) < (si, i)) AS lower FROM o),
+w AS (SELECT label, 0::BIGINT AS k, []::BIGINT[] AS leaders FROM (SELECT DISTINCT label FROM points) UNION ALL SELECT w.label, w.k + 1, CASE WHEN lower IS NULL OR NOT list_has_any(lower, leaders) THEN list_append(leaders, l.atom) ELSE leaders END FROM w JOIN low l ON l.label = w.label AND l.k = w.k + 1),
+f AS (SELECT label, unnest(leaders) AS leader, generate_subscripts(leaders, 1) - 1 AS site FROM (SELECT label, arg_max(leaders, k) AS leaders FROM w GROUP BY label)), c AS (SELECT n.label, n.i, min((n.d, f.site))[2] AS site FROM near n JOIN f ON f.label = n.label AND f.leader = n.j WHERE n.d <= 1.5 AND (n.sj, n.j) <= (n.si, n.i) GROUP BY n.label, n.i)
+SELECT p.label, p.atom AS id, CAST(coalesce(own.site, c.site) AS INTEGER) AS site FROM points p LEFT JOIN f own ON own.label = p.label AND own.leader = p.atom LEFT JOIN c ON c.label = p.label AND c.i = p.atom""")
 def water_sites(spark, sf_dir):
     return structure.leader_sites(_posed(spark, sf_dir), ["label"], 1.5)
 

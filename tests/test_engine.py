@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import catalog
 from quarry import queries as Q
 from quarry.functions import filters as rules
 from quarry.functions import metrics as m
@@ -72,7 +73,7 @@ def test_ranks(spark):
 
 def test_global_positions_count_on(spark):
     df = spark.range(500).select((F.col("id") * 7 % 500).alias("v"), "id")
-    got = ranking.global_positions(df, [F.col("v")], parts=5).collect()
+    got = ranking.global_positions(df, [F.col("v")]).collect()
     assert all(r["position"] == r["v"] + 1 for r in got)
 
 
@@ -83,7 +84,7 @@ def test_evaluation(spark):
     got = {r["t"]: r for r in evalstats.metrics(df, "s", "y", ["t"], "i").collect()}
     assert (got["p"]["auc"], got["p"]["bedroc"], got["p"]["ef5"]) == (1.0, 1.0, 10.0)
     assert got["w"]["auc"] == 0.0 and got["w"]["ef1"] == 0.0
-    ci = evalstats.bootstrap_mean(df, "s", ["t"], "i").where("t = 'p'").first()
+    ci = evalstats.bootstrap_interval(df, "s", "y", ["t"], "i", evalstats.mean_statistic).where("t = 'p'").first()
     assert ci["low"] < 50.5 < ci["high"]
     d = {r["t"]: r for r in evalstats.paired_difference(df.withColumn("o", -F.col("s")), "s", "o", "y", ["t"], "i", samples=20).collect()}
     assert d["p"]["difference"] == pytest.approx(1.0) and d["w"]["difference"] == pytest.approx(-1.0)
@@ -168,10 +169,10 @@ def tables():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_equals_sql(spark, tables, name):
-    df = Q.QUERIES[name](spark, SF)
-    rel = tables.sql(Q.ORACLE_SQL[name])
+    df = catalog.QUERIES[name](spark, SF)
+    rel = tables.sql(catalog.ORACLE_SQL[name])
     cols = sorted(df.columns)
     assert cols == sorted(rel.columns)
 
@@ -182,9 +183,9 @@ def test_query_equals_sql(spark, tables, name):
     assert sorted(tuple(key(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(key(r[i]) for i in at) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_query_without_sql_has_rows(spark, name):
-    assert Q.QUERIES[name](spark, SF).count() > 0
+    assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
 def test_structures(spark):
