@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.plans.stages import shared_dir
 
+from .ranking import positions
 from .spatial import range_join
 
 #: Contact limits.
@@ -62,6 +63,23 @@ def frequent_features(rows: DataFrame, pose: str, feature: str, share: float = 0
     return g.join(F.broadcast(n)).where(F.col("poses") >= share * F.col("n")).select(feature, "poses")
 
 
+def busiest_residues(rows: DataFrame, keys: list[str], residue: str, limit: int = 6) -> DataFrame:
+    """The residues with most contacts other than clashes, at most ``limit``, as an ordered list."""
+    n = rows.where("kind <> 'clash'").groupBy(*keys, residue).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys).orderBy(F.col("n").desc(), residue)
+    return n.withColumn("i", F.row_number().over(w)).where(F.col("i") <= limit).groupBy(*keys).agg(F.array_sort(F.collect_list(residue)).alias("residues"))
+
+
+def observed_schema(rows: DataFrame, feature: list[str]) -> DataFrame:
+    """All features that occur, with their places in a fingerprint from 0."""
+    return positions(rows.select(*feature).distinct(), [], feature, "place").withColumn("place", F.col("place") - 1)
+
+
+def receptor_schema(atoms: DataFrame, residue: list[str], kinds: list[str]) -> DataFrame:
+    """Every residue with every kind of contact."""
+    return atoms.select(*residue).distinct().select(*residue, F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
+
+
 def water_class() -> Column:
     """Conserved, displaced, moved, transient (from a fifth of the conformations on) or absent, in this order, from ``occupancy``, ``occluded``
     and ``shift``."""

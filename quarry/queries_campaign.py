@@ -79,11 +79,11 @@ r AS (SELECT receptor, ligand, count(*) OVER w AS n, rank() OVER (PARTITION BY r
 s AS (SELECT receptor, ligand, CASE WHEN n > 1 THEN ((ra - 1) / (n - 1) + (rb - 1) / (n - 1)) / 2 ELSE 0 END AS c FROM r),
 i AS (SELECT receptor, ligand, mode, count(*) OVER (PARTITION BY receptor, ligand) AS n, rank() OVER (PARTITION BY receptor, ligand ORDER BY affinity) + (count(*) OVER (PARTITION BY receptor, ligand, affinity) - 1) / 2::DOUBLE AS ra, rank() OVER (PARTITION BY receptor, ligand ORDER BY second) + (count(*) OVER (PARTITION BY receptor, ligand, second) - 1) / 2::DOUBLE AS rb FROM p),
 j AS (SELECT receptor, ligand, min((CASE WHEN n > 1 THEN ((ra - 1) / (n - 1) + (rb - 1) / (n - 1)) / 2 ELSE 0 END, mode))[2] AS best FROM i GROUP BY receptor, ligand)
-SELECT receptor, ligand, round(c, 6) AS consensus, CAST(best AS INTEGER) AS best_mode, best = 1 AS docked_pose_agrees FROM s JOIN j USING (receptor, ligand)""")
+SELECT receptor, ligand, round(c, 9) AS consensus, CAST(best AS INTEGER) AS best_mode, best = 1 AS docked_pose_agrees FROM s JOIN j USING (receptor, ligand)""")
 def run_consensus(spark, sf_dir):
     d = ranking.ranked(ok_rows(spark, sf_dir), "run", ["receptor", "ligand"], [], out="mode")
     out = poses.ligand_consensus(d, ["affinity", "second"], ["receptor"], "ligand", "mode")
-    return rounded(out.select("receptor", "ligand", "consensus", "best_mode", "docked_pose_agrees"), "consensus")
+    return rounded(out.select("receptor", "ligand", "consensus", "best_mode", "docked_pose_agrees"), "consensus", places=9)
 
 
 RANKINGS = THREE + """, o AS (SELECT receptor, run, row_number() OVER (PARTITION BY receptor ORDER BY affinity, run) AS x, row_number() OVER (PARTITION BY receptor ORDER BY second, run) AS y FROM k)

@@ -90,3 +90,8 @@ def verify_members(found: DataFrame, manifest: DataFrame) -> DataFrame:
     j = found.join(m, "name", "full_outer")
     state = F.when(F.col("sha256").isNull(), "missing").when(F.col("mh").isNull(), "unlisted").when((F.col("sha256") != F.col("mh")) | (F.col("size") != F.col("ms")), "changed").otherwise("ok")
     return j.select("name", state.alias("state"))
+
+
+def with_coordinates(line: Column, x: Column, y: Column, z: Column) -> Column:
+    """A record with other coordinates in its columns 31 to 54; the rest stays."""
+    return F.concat(F.substring(line, 1, 30), F.format_string("%8.3f%8.3f%8.3f", x, y, z), F.substring(line, 55, 1000))

@@ -170,3 +170,19 @@ def test_rows_without_a_home_or_a_match(spark):
     cells = spark.createDataFrame([(1, "p", "pocket", 0.0, 0.0, 0.0)], "s int, label string, kind string, x double, y double, z double")
     assert receptors.classify_points(empty.withColumnRenamed("label", "s"), cells, ["s"]).count() == 0
     assert poses.displaced_waters(spark.createDataFrame([(1, 2, 0.0, 0.0, 0.0)], "s int, pose int, x double, y double, z double"), spark.createDataFrame([], "s int, site int, x double, y double, z double"), ["s", "pose"], ["s"]).first()["displaced"] == 0
+
+
+def test_planes_and_rotations(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.functions import geometry
+
+    rnd = np.random.default_rng(6)
+    xyz = rnd.normal(size=(9, 3)) * [3, 2, 0.2]
+    df = spark.createDataFrame([("a", *map(float, p)) for p in xyz] + [("flat", float(k), float(k * k), 1.0) for k in range(5)], "k string, x double, y double, z double")
+    got = {r["k"]: r["planarity"] for r in geometry.planarity(df, ["k"]).collect()}
+    assert got["a"] == pytest.approx(np.sqrt(np.linalg.eigvalsh(np.cov(xyz.T, bias=True))[0])) and got["flat"] == pytest.approx(0.0, abs=1e-6)
+    lit = lambda *v: [F.lit(float(x)) for x in v]
+    turned = geometry.rotated(lit(1, 0, 0), lit(0, 0, 0), lit(0, 0, 5), F.lit(90.0))
+    assert [round(x, 9) for x in spark.range(1).select(*turned).first()] == [0.0, 1.0, 0.0]
+    assert tuple(spark.range(1).select(*geometry.rotated(lit(1, 2, 3), lit(0, 0, 0), lit(0, 0, 0), F.lit(90.0))).first()) == (1.0, 2.0, 3.0)
