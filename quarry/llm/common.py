@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.plans.stages import drop_path, hadoop, new_path, release, shared_dir, tasks_for, written
 
-__all__ = ["drop_path", "hadoop", "map_rows", "new_path", "packed", "quoted", "release", "row_key", "shared_dir", "table", "tasks_for", "texts", "tune", "unpacked", "written"]
+__all__ = ["drop_path", "hadoop", "map_rows", "new_path", "packed", "quoted", "release", "row_key", "shared_dir", "table", "tasks_for", "texts", "trim", "trimmed", "tune", "unpacked", "written"]
 
 #: Rows of one Arrow batch; documents are long, so batches stay near a few MB.
 ARROW_ROWS = 512
@@ -52,6 +54,28 @@ def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
     return df.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in columns])
 
 
+def trim() -> None:
+    """Gives memory that a task no longer uses back to the system; Python workers live on for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, which trims the worker's memory once a task has ended."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
+
+
 def map_rows(df: DataFrame, fn: Callable[[list, list], dict], schema: str) -> DataFrame:
     """``fn(ids, texts) -> columns`` over Arrow batches of ``(doc_id, text)``.
 
@@ -64,4 +88,4 @@ def map_rows(df: DataFrame, fn: Callable[[list, list], dict], schema: str) -> Da
             if b.num_rows:
                 yield pa.RecordBatch.from_pydict(work(b.column(0).to_pylist(), b.column(1).to_pylist()))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)

@@ -64,8 +64,23 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return between(prefix(data), starts, ends), counts
 
 
+#: Characters that are hashed together.
+TOGETHER = 1 << 20
+
+
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """Each text's sorted distinct shingles of ``width`` words; with fewer words, all of them as one; without, none."""
+    out: list[np.ndarray] = []
+    a, size = 0, 0
+    for b, t in enumerate(texts):
+        size += len(t)
+        if size >= TOGETHER or b + 1 == len(texts):
+            out += _shingle_sets(texts[a : b + 1], width)
+            a, size = b + 1, 0
+    return out
+
+
+def _shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     words, counts = word_hashes(texts)
     out, at = [], 0
     for n in counts.tolist():

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, map_rows, packed, tasks_for, texts, unpacked, written
+from .common import drop_path, map_rows, packed, tasks_for, texts, trimmed, unpacked, written
 from .graph import components
 from .hashing import mix, shingle_sets
 
@@ -166,7 +166,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
             if sets:
                 yield pa.RecordBatch.from_pydict({"set": pa.array([identity(s) for s in sets], pa.binary()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    out = found.mapInArrow(own, "class long, shingles binary")
+    out = found.mapInArrow(trimmed(own), "class long, shingles binary")
     unnamed = classes.where("doc_id is null")
     if unnamed.limit(1).count():  # of rows without an id, any may hold a wanted set
         out = out.unionByName(rows.where("doc_id is null").select("text").mapInArrow(any_, "set binary, shingles binary").join(unnamed, "set").select("class", "shingles"))
@@ -202,7 +202,7 @@ def block_links(rows: DataFrame, compare: Callable[[list, list], np.ndarray]) ->
                 sides[side].append((cls, payload))
         yield from _forest(name, sides, compare)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(trimmed(run), "a long, b long")
 
 
 def _forest(name, sides: tuple[list, list], compare) -> Iterator[pa.RecordBatch]:

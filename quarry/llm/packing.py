@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, texts, written
+from .common import drop_path, texts, trimmed, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -174,7 +174,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
             sums = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(start.tolist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(sums, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return texts(docs).mapInArrow(run, PIECES)
+    return texts(docs).mapInArrow(trimmed(run), PIECES)
 
 
 class Packing:
@@ -353,7 +353,7 @@ def _epoch(states: DataFrame, epoch: int, capacity: int) -> DataFrame:
                 out = {k: r[k] for k in ("shard", "island", "items")} | {"population": [p.assignment(len(lengths)) for p in found], "n_bins": -n_bins, "square": square, "first": first, "least": least_bins(lengths, capacity)}
                 yield pa.RecordBatch.from_pylist([out], schema=STATE_ARROW)
 
-    return states.mapInArrow(run, STATE)
+    return states.mapInArrow(trimmed(run), STATE)
 
 
 _ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])

@@ -32,7 +32,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, quoted, texts, written
+from .common import drop_path, texts, trimmed, written
 
 ORDER = 5
 #: Characters that the lowest order allows for.
@@ -41,7 +41,7 @@ DISCOUNT = 0.75
 FIT_ROWS = 20_000
 THRESHOLD = 0.7
 #: Words, and their characters, that a task keeps: with their scores, or counted before they are added to the partial counts.
-WORDS_KEPT, CHARACTERS_KEPT = 100_000, 2 << 20
+WORDS_KEPT, CHARACTERS_KEPT = 40_000, 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 FEATURES = 4
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
@@ -78,7 +78,7 @@ SUMS = ["o0", "t0", "o2", "t2"]
 #: Whose class counts a score stands on: both folds, or the one that a document of the fit is not in.
 CHOICES = {"02": ("o0 + o2", "t0 + t2"), "0": ("o0", "t0"), "2": ("o2", "t2")}
 #: Distinct n-grams that a task holds before it sends its partial counts on.
-GRAMS_KEPT = 250_000
+GRAMS_KEPT = 150_000
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +211,7 @@ class Scorer:
         new = list({w for ws in split for w in ws if w not in known})
         while new:
             part, size = [], 0
-            while new and size < 1 << 18:
+            while new and size < 1 << 16:
                 part.append(new.pop())
                 size += len(part[-1])
             known.update(zip(part, self.scores.words(part).tolist(), strict=True))
@@ -230,7 +230,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def gram_counts(training: DataFrame) -> DataFrame:
     """``(gram, o0, t0, o2, t2)``: counts of each 5-gram over all training rows, by class and fold. \\x01 stands before a word."""
-    partial = training.select("text", "toxic", "fold").mapInArrow(_count_words, "gram string, " + ", ".join(f"{s} long" for s in SUMS))
+    partial = training.select("text", "toxic", "fold").mapInArrow(trimmed(_count_words), "gram string, " + ", ".join(f"{s} long" for s in SUMS))
     return partial.groupBy("gram").agg(*[F.sum(s).alias(s) for s in SUMS])
 
 
@@ -333,7 +333,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
                 if at:
                     yield pa.RecordBatch.from_pydict({"x": pa.array(other[f].batch([ts[k] for k in at]), pa.list_(pa.float64())), "y": pa.array([ys[k] for k in at], pa.int32())})
 
-    got = sample.mapInArrow(run, "x array<double>, y int").toArrow()
+    got = sample.mapInArrow(trimmed(run), "x array<double>, y int").toArrow()
     drop_path(docs.sparkSession, training_path)
     y = got["y"].to_numpy().astype(float)
     if len(y) == 0 or y.min() == y.max():
@@ -355,7 +355,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = model.scores(scorer, b.column(1).to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "held_out": b.column(2), "score": pa.array(s, pa.float64()), "predicted": pa.array([int(x >= THRESHOLD) for x in s], pa.int32())})
 
-    return rows.mapInArrow(run, SCORES)
+    return rows.mapInArrow(trimmed(run), SCORES)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,4 +371,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             s = model.scores(scorer, [t or "" for t in b.column(at).to_pylist()])
             yield b.filter(pa.array([x < THRESHOLD for x in s], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
