@@ -34,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, quoted, tasks_for, unpacked, written
+from .common import drop_path, quoted, tasks_for, trimmed, unpacked, written
 from .hashing import between, prefix
+from .pii import may_be, word_filter
 
 LENGTH, KMER = 200, 100
 WINDOW = LENGTH - KMER + 1  # hashes inside a string
@@ -144,8 +145,8 @@ def shared_anchors(rows: DataFrame, parts: int) -> DataFrame:
         shared = (n[of] > 1) | (state == 1)
         yield from got.select(["rid", "first"]).filter(pa.array(shared)).to_batches(max_chunksize=100_000)
 
-    dealt = rows.mapInArrow(units, "part int, hash long, rid long, first int, state byte").repartitionById(parts, F.col("part"))
-    return dealt.mapInArrow(again, "rid long, first int")
+    dealt = rows.mapInArrow(trimmed(units), "part int, hash long, rid long, first int, state byte").repartitionById(parts, F.col("part"))
+    return dealt.mapInArrow(trimmed(again), "rid long, first int")
 
 
 def tokens_of(raw: bytes, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -190,7 +191,7 @@ def suffixes(rows: DataFrame, cuts: np.ndarray | None = None) -> DataFrame:
                 bytes_ = pa.array([u.raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(part), bytes_, pa.array(u.left[mine].astype(np.int32)), pa.array(rid), pa.array(first)], ["part", "stretch", "left", "rid", "first"])
 
-    return rows.mapInArrow(run, RECORD)
+    return rows.mapInArrow(trimmed(run), RECORD)
 
 
 def splitters(rows: DataFrame, flagged: int, n: int) -> np.ndarray:
@@ -388,6 +389,13 @@ def across_ranges(found: DataFrame) -> DataFrame:
     return parts.repartition(tasks_for(found.sparkSession), "anchor", "k").sortWithinPartitions("anchor", "k").mapInArrow(compare, "rid long, spans array<int>")
 
 
+def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: false for those whose number is surely not among the wanted. A bitmap of fixed size says so; from some ten
+    million wanted rows on it is full and spares nothing."""
+    bitmap, _ = written(word_filter(wanted.select(F.xxhash64("rid").alias("term"))), "row-filter")
+    return rows.withColumn("bitmap", bitmap.scalar()).withColumn("maybe", may_be(F.xxhash64("rid"), F.col("bitmap"))).drop("bitmap")
+
+
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """``(rid, spans)`` of written rows ``(rid, text)``: pairs of byte offsets, start and end in turn, unordered, that cover all
     repeated strings of a row."""
@@ -402,7 +410,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     flags, flags_path = written(shared.groupBy("rid").agg(F.collect_list("first").alias("firsts")), "shared")
     flagged = flags.agg(F.sum(F.size("firsts"))).first()[0] or 0
     n = max(tasks_for(spark), -(-flagged * (LENGTH + KMER // 2) // RANGE_BYTES))
-    joined = rows.join(flags, "rid").select("rid", "text", "firsts")
+    joined = marked(rows, flags).where("maybe").join(flags, "rid").select("rid", "text", "firsts")
     cuts = splitters(joined, flagged, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,7 +429,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         if found:
             yield _found(found, part)
 
-    found, found_path = written(suffixes(joined, cuts).repartitionById(n, F.col("part")).mapInArrow(run, FOUND), "found")
+    found, found_path = written(suffixes(joined, cuts).repartitionById(n, F.col("part")).mapInArrow(trimmed(run), FOUND), "found")
     whole = copies.select("rid", F.array(F.lit(0), F.col("size").cast("int")).alias("spans"))
     spans = found.where("rid is not null").select("rid", "spans").unionByName(across_ranges(found)).unionByName(whole)
     spans, _ = written(spans.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
@@ -448,8 +456,11 @@ def numbered(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def with_spans(rows: DataFrame) -> DataFrame:
-    """Numbered rows with their spans, null where nothing repeats."""
-    return rows.join(repeated_spans(rows.select("rid", F.coalesce("text", F.lit("")).alias("text"))), "rid", "left")
+    """Numbered rows with their spans, null where nothing repeats. Only rows that may have spans meet them."""
+    spans = repeated_spans(rows.select("rid", F.coalesce("text", F.lit("")).alias("text")))
+    likely = marked(rows, spans)
+    met = likely.where("maybe").drop("maybe").join(spans, "rid", "left")
+    return met.unionByName(likely.where("not maybe").drop("maybe").withColumn("spans", F.lit(None).cast("array<int>")))
 
 
 def removed_bytes(docs: DataFrame) -> DataFrame:
