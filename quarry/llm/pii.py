@@ -300,7 +300,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", th
     found_, _ = written(spans.join(terms, "key", "full_outer"), "pii-marks")
     text = F.col(quoted(text_col)).cast("string")
     key = row_key(F.col(quoted(id_col)).cast("long"), F.coalesce(text, F.lit("")))
-    rows = packed(docs, key=key, text=text).join(found_, "key", "left")
+    rows = packed(docs, key=key).join(found_, "key", "left").withColumn("text", F.col("row").getField(text_col).cast("string"))
     typed = "array<struct<start:int,end:int,mark:string>>"
     none = F.array().cast(PLACES)
     plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("mark"))).cast(typed)
