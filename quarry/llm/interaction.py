@@ -124,8 +124,9 @@ def by_order(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def audited(rows: DataFrame) -> DataFrame:
-    """``(part, filter_order, step, COUNTS)`` from ``(part, fails, good, toxic)``; all orders and steps of each part."""
+def audited(rows: DataFrame, held: int = PARTS_HELD) -> DataFrame:
+    """``(part, filter_order, step, COUNTS)`` from ``(part, fails, good, toxic)``; all orders and steps of each part. A task passes its counts on
+    whenever it has ``held`` parts."""
     schema = "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +153,7 @@ def audited(rows: DataFrame) -> DataFrame:
             fails, good, toxic = (b.column(k).to_numpy() for k in (1, 2, 3))
             flat = np.bincount(((part << STEPS | fails) * 2 + good) * 2 + toxic, minlength=counts.size)
             counts += flat.reshape(counts.shape)
-            if len(of) >= PARTS_HELD:
+            if len(of) >= held:
                 yield from partial()
                 of, counts = {}, np.zeros((16, *counts.shape[1:]), np.int64)
         yield from partial()

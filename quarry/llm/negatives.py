@@ -25,6 +25,7 @@ an empty result. Scores are exact: products that may leave 2**53 are computed wi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -171,12 +172,12 @@ def before(digits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at[:upto], n[at[:upto]]
 
 
-def width_of_digit(width: int) -> int:
-    """Keys that share a digit, so that ``RADIX`` digits cover the range."""
-    return -(-width // RADIX)
+def width_of_digit(width: int, radix: int) -> int:
+    """Keys that share a digit, so that ``radix`` digits cover the range."""
+    return -(-width // radix)
 
 
-def histograms(rows: Block, anchors: Block, asked: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def histograms(rows: Block, anchors: Block, asked: dict[str, np.ndarray], radix: int) -> Iterator[pa.RecordBatch]:
     """``(anchor, request, digit, n)``: how many rows of this block have the next digit in each open request. Digit -1 counts rows before the range."""
     out: list[tuple[np.ndarray, ...]] = []
     for k, score, at in each_request(rows, anchors, asked):
@@ -185,13 +186,13 @@ def histograms(rows: Block, anchors: Block, asked: dict[str, np.ndarray]) -> Ite
         earlier = int((key < low).sum())
         inside = at[(key >= low) & (key - low < width)]
         if width > 1:
-            digits = (asked["high"][k] - score[inside] - low) // width_of_digit(width)
+            digits = (asked["high"][k] - score[inside] - low) // width_of_digit(width, radix)
         else:  # the score is settled: by id
             start, span = int(asked["id_at"][k]), int(asked["id_width"][k])
             ids = rows.ids[inside]
             earlier += int((ids < start).sum())
             ids = ids[(ids >= start) & (ids - start < span)]
-            digits = (ids - start) // width_of_digit(span)
+            digits = (ids - start) // width_of_digit(span, radix)
         found, n = before(digits.astype(np.int64), max(need - earlier, 0)) if len(digits) and need > earlier else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         if earlier:
             found, n = np.append(-1, found), np.append(earlier, n)
@@ -217,10 +218,10 @@ def gathered(rows: Block, anchors: Block, asked: dict[str, np.ndarray]) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["anchor", "request", "k", "score", "rid", "vec_id"])
 
 
-def refined(requests: DataFrame, counted: DataFrame) -> DataFrame:
+def refined(requests: DataFrame, counted: DataFrame, radix: int, few: int) -> DataFrame:
     """Requests after a round: each open range becomes that of the digit with the ``k``-th row, or stays whole if there are fewer rows."""
     n = counted.groupBy("anchor", "request", "digit").agg(F.sum("n").alias("n"))
-    digits = n.groupBy("anchor", "request").agg(F.sort_array(F.collect_list(F.struct("digit", "n"))).alias("digits"))  # RADIX + 1 at most
+    digits = n.groupBy("anchor", "request").agg(F.sort_array(F.collect_list(F.struct("digit", "n"))).alias("digits"))  # radix + 1 at most
     start = F.struct(F.lit(0).cast("long").alias("before"), F.lit(-2).alias("digit"), F.lit(0).cast("long").alias("n"))
 
     def step(s, d):
@@ -231,20 +232,20 @@ def refined(requests: DataFrame, counted: DataFrame) -> DataFrame:
     digit, held = F.col("at.digit"), F.col("at.n")
     found = F.col("at.before") + held >= F.col("k")  # else all rows qualify: the range stays
     by_score = F.col("key_width") > 1
-    key_step, id_step = (F.expr(f"({c} + {RADIX - 1}) div {RADIX}") for c in ("key_width", "id_width"))
+    key_step, id_step = (F.expr(f"({c} + {radix - 1}) div {radix}") for c in ("key_width", "id_width"))
     moves = found & (digit >= 0)
-    few = ~found | (held <= FEW) | (~by_score & (id_step == 1))
+    settled = ~found | (held <= few) | (~by_score & (id_step == 1))
     changed = {
         "key_at": F.when(moves & by_score, F.col("key_at") + digit * key_step).otherwise(F.col("key_at")),
         "key_width": F.when(moves & by_score, F.least(key_step, F.col("key_width") - digit * key_step)).otherwise(F.col("key_width")),
         "id_at": F.when(moves & ~by_score, F.col("id_at") + digit * id_step).otherwise(F.col("id_at")),
         "id_width": F.when(moves & ~by_score, F.least(id_step, F.col("id_width") - digit * id_step)).otherwise(F.col("id_width")),
-        "settled": few,
+        "settled": settled,
     }
     return met.select(*[changed.get(f, F.col(f)).alias(f) for f in FIELDS])
 
 
-def selected(blocks: Blocks, requests: DataFrame) -> DataFrame:
+def selected(blocks: Blocks, requests: DataFrame, radix: int = RADIX, few: int = FEW) -> DataFrame:
     """``(anchor, request, rank, rid, vec_id, score)``: the first ``k`` rows of each request ``(anchor, request, low, high, k, same)``."""
     spark = blocks.spark
     span = (blocks.last_id - blocks.first_id + 1) if blocks.first_id is not None else 1
@@ -256,7 +257,7 @@ def selected(blocks: Blocks, requests: DataFrame) -> DataFrame:
         if not open_.limit(1).count():
             break
         done.append(table.where("settled"))
-        table, path = written(refined(open_, blocks.pairs(open_, histograms, "anchor long, request int, digit int, n long")), "requests")
+        table, path = written(refined(open_, blocks.pairs(open_, partial(histograms, radix=radix), "anchor long, request int, digit int, n long"), radix, few), "requests")
         blocks.paths.append(path)
     for d in done:
         table = table.unionByName(d)
@@ -266,18 +267,18 @@ def selected(blocks: Blocks, requests: DataFrame) -> DataFrame:
     return got.withColumn("rank", rank).where("rank <= k").select("anchor", "request", "rank", "rid", "vec_id", "score")
 
 
-def hard_negatives(rows: DataFrame, label: Column, is_anchor: Column, positives: int = 5, negatives: int = 10, low_percent: int = 30, high_percent: int = 90, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def hard_negatives(rows: DataFrame, label: Column, is_anchor: Column, positives: int = 5, negatives: int = 10, low_percent: int = 30, high_percent: int = 90, id_col: str = "vec_id", vector_col: str = "embedding", radix: int = RADIX, few: int = FEW) -> DataFrame:
     """``(anchor_id, positive_id, rank, negative_id, positive_score, negative_score)``; ``is_anchor`` is a condition on ``vec_id`` and ``label``."""
     blocks = Blocks(quantised(rows, label, id_col, vector_col), is_anchor)
     anchors = blocks.anchors.select(F.col("rid").alias("anchor"))
     reach = F.lit(blocks.reach).cast("long")
-    nearest = selected(blocks, anchors.select("anchor", F.lit(0).alias("request"), (-reach).alias("low"), reach.alias("high"), F.lit(positives).alias("k"), F.lit(True).alias("same")))
+    nearest = selected(blocks, anchors.select("anchor", F.lit(0).alias("request"), (-reach).alias("low"), reach.alias("high"), F.lit(positives).alias("k"), F.lit(True).alias("same")), radix, few)
     nearest = blocks._kept(nearest, "positives")
     # bounds in whole numbers: the least score at or above the one share, the greatest at or below the other
     low = F.expr(f"-((-score * {low_percent} - pmod(-score * {low_percent}, 100)) div 100)")
     high = F.expr(f"(score * {high_percent} - pmod(score * {high_percent}, 100)) div 100")
     asked = nearest.select("anchor", F.col("rank").alias("request"), low.cast("long").alias("low"), high.cast("long").alias("high"), F.lit(negatives).alias("k"), F.lit(False).alias("same"))
-    found = selected(blocks, asked)
+    found = selected(blocks, asked, radix, few)
     pairs = nearest.select("anchor", F.col("rank").alias("request"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
     named = blocks.anchors.select(F.col("rid").alias("anchor"), F.col("vec_id").alias("anchor_id"))
     out = found.join(pairs, ["anchor", "request"]).join(named, "anchor")

@@ -292,9 +292,9 @@ def test_schemas_merge_or_are_refused(spark, tmp_path):
     a = spark.createDataFrame([(1, "a", "en")], "doc_id long, text string, lang string")
     store.append(a, F.lit(1))
     store.append(a.select("doc_id", "text").withColumn("n", F.lit(7)), F.lit(2))
-    assert sorted(map(tuple, store.read().select("doc_id", "text", "lang", "n").collect()), key=str) == [(1, "a", None, 7), (1, "a", "en", None)]
+    assert sorted(map(tuple, store.read().select("doc_id", "text", "lang", "n").collect()), key=str) == [(1, "a", "en", None), (1, "a", None, 7)]
     assert store.compact() == 3
-    assert sorted(map(tuple, store.read().select("doc_id", "text", "lang", "n").collect()), key=str) == [(1, "a", None, 7), (1, "a", "en", None)]
+    assert sorted(map(tuple, store.read().select("doc_id", "text", "lang", "n").collect()), key=str) == [(1, "a", "en", None), (1, "a", None, 7)]
     with pytest.raises(sharding.SchemaChange):
         store.append(a.withColumn("lang", F.lit(1)), F.lit(3))
     assert store.versions() == [3]

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import cover, interaction, negatives
+from quarry.llm import common, cover, interaction, negatives
 
 from .conftest import SCHEMA, prose, rows
 
@@ -62,13 +62,13 @@ def test_words_equal_the_plain_version(spark, parts):
 
 
 def test_words_of_long_texts(spark, monkeypatch):
-    """Stretches that are much shorter than the texts, words longer than a stretch, windows settled a few at a time."""
+    """Stretches that are much shorter than the texts, and words that are longer than a stretch."""
     rnd = random.Random(4)
     giant = "x" * 400
     a = prose(rnd, 500).split()
     b = [*a[100:300], giant, *a[290:480], giant, *prose(rnd, 30).split()]
     both = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join([*b[150:260], giant, giant])), (4, "y" * 3000), (5, " ".join(a[3:] + a[:200]))]
-    for name, value in (("BATCH_BYTES", 200), ("LONG_WORD", 150), ("TOGETHER", 64)):
+    for name, value in (("BATCH_BYTES", 200), ("LONG_WORD", 150)):
         monkeypatch.setattr(cover, name, value)
     for words in cover.stretches([t.encode() for _, t in both]):
         assert len(words.number) < 700
@@ -162,13 +162,14 @@ def test_filters_equal_the_plain_version(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, s, "clash") for i, t, s in docs], "doc_id long, text string, source string, part string").repartition(4)
     known = spark.createDataFrame([(i, q, None if t is None else int(t)) for i, q, t in labels], "doc_id long, quality int, toxic int")
     want = plain_audit(docs, [(i, q, None if t is None else int(t)) for i, q, t in labels])
-    for share, held in ((1000, 4096), (3, 2)):  # few copies are hot; a task passes its counts on every two parts
+    rows_, _ = common.written(interaction.failures(df), "failures")
+    for share, held in ((1000, 4096), (3, 1)):  # few copies are hot; a task passes its counts on after each batch
         monkeypatch.setattr(interaction, "HOT_SHARE", share)
-        monkeypatch.setattr(interaction, "PARTS_HELD", held)
-        got = interaction.filter_interactions(df, known).collect()
+        got = interaction.audited(interaction.with_labels(interaction.with_copies(rows_), known), held).collect()
         assert len(got) == len(want) == 600 * len({s or "" for _, _, s in docs})
         for r in got:
             assert list(r)[3:] == want[r["part"], r["filter_order"], r["step"]]
+    assert interaction.filter_interactions(df, known).count() == len(want)
 
 
 def test_filters_of_nothing(spark, nothing):
@@ -201,9 +202,9 @@ def plain_negatives(vectors, positives=5, negatives_=10):
     return sorted(out)
 
 
-def mined(spark, vectors):
+def mined(spark, vectors, **settings):
     df = spark.createDataFrame([(i, v, lab, "clash") for i, v, lab in vectors], "vec_id long, embedding array<double>, label int, rank string").repartition(3)
-    got = negatives.hard_negatives(df, F.col("label"), F.col("vec_id") % 100 == 0)
+    got = negatives.hard_negatives(df, F.col("label"), F.col("vec_id") % 100 == 0, **settings)
     return sorted(tuple(r) for r in got.collect())
 
 
@@ -218,15 +219,13 @@ def test_negatives_equal_the_plain_version(spark):
     assert mined(spark, vectors) == want
 
 
-def test_negatives_among_ties_of_ids(spark, monkeypatch):
+def test_negatives_among_ties_of_ids(spark):
     """More rows of one score than are gathered, so that the digits of ids decide; then one id that holds them all."""
-    monkeypatch.setattr(negatives, "FEW", 4)
-    monkeypatch.setattr(negatives, "RADIX", 4)
     near = [(100, [1.0, 0.0], 0), (200, [1.0, 0.0], 0), (300, [0.9, 0.1], 0)]
     many = near + [(7 * k + 1000003, [0.5, 0.25], 1) for k in range(120)]
-    assert mined(spark, many) == plain_negatives(many)
+    assert mined(spark, many, radix=64, few=4) == plain_negatives(many)
     same = near + [(77, [0.5, 0.25], 1) for _ in range(60)] + [(5, [0.5, 0.2], 1), (-3, [0.5, 0.25], 2)]
-    assert mined(spark, same) == plain_negatives(same)
+    assert mined(spark, same, radix=64, few=4) == plain_negatives(same)
 
 
 def test_negatives_of_large_components(spark):
