@@ -50,14 +50,16 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 def results(spark, sf_dir) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     status = F.when(F.col("l_returnflag") == "N", "ok").when(F.col("l_returnflag") == "A", "timeout").otherwise("failed")
+    # order and line number come more than once; with price and quantity they name a row
+    run = F.concat_ws("-", "l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("long"), F.col("l_quantity").cast("long"))
     return line.select(
-        F.col("l_suppkey").alias("receptor"), F.col("l_partkey").alias("ligand"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("run"), F.col("l_linenumber").alias("conformation"),
+        F.col("l_suppkey").alias("receptor"), F.col("l_partkey").alias("ligand"), run.alias("run"), F.col("l_linenumber").alias("conformation"),
         (-F.col("l_extendedprice") / 10000).alias("affinity"), (-F.col("l_quantity")).alias("second"), (-F.col("l_discount")).alias("third"), F.col("l_tax").alias("strain"), status.alias("status"),
     )
 
 
 RESULTS = """WITH results AS (
-  SELECT l_suppkey AS receptor, l_partkey AS ligand, l_orderkey * 10 + l_linenumber AS run, l_linenumber AS conformation,
+  SELECT l_suppkey AS receptor, l_partkey AS ligand, concat_ws('-', l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT), CAST(l_quantity AS BIGINT)) AS run, l_linenumber AS conformation,
     -l_extendedprice / CAST(10000 AS DOUBLE) AS affinity, -l_quantity AS second, -l_discount AS third, l_tax AS strain,
     CASE l_returnflag WHEN 'N' THEN 'ok' WHEN 'A' THEN 'timeout' ELSE 'failed' END AS status FROM lineitem)
 """
@@ -441,8 +443,8 @@ def stratified_difference(spark, sf_dir):
 
 @query("WITH base AS (SELECT vec_id, 0 AS b FROM embeddings) SELECT vec_id AS id, round(u, 9) AS score, CAST(row_number() OVER (ORDER BY u DESC, vec_id) AS INTEGER) AS rank FROM (" + uniform_sql("vec_id", "b") + ")")
 def random_scores(spark, sf_dir):
-    s = evalstats.random_scores(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), "id").withColumn("all", F.lit(0))
-    return rounded(evalstats.ranks_of(s, "score", ["all"], "id").select("id", "score", "rank"), "score", places=9)
+    s = evalstats.random_scores(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), "id")
+    return rounded(evalstats.ranks_of(s, "score", [], "id").select("id", "score", "rank"), "score", places=9)
 
 
 @query(MOLECULES + "SELECT p_type, ligand, CAST(row_number() OVER (PARTITION BY p_type ORDER BY MW, ligand) AS INTEGER) AS rank FROM molecules")

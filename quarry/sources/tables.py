@@ -87,8 +87,10 @@ def smiles_records(lines: DataFrame, text: str = "value", order: list[str] | Non
     given order; a line of one field has an empty name."""
     rows = lines.withColumn("__t", F.trim(text)).where((F.col("__t") != "") & ~F.col("__t").startswith("#"))
     parts = F.split("__t", r"[ \t]+", 2)
-    place = F.row_number().over(Window.orderBy(*(order or ["__t"]))) - 1
-    return rows.select(place.alias("position"), parts[0].alias("smiles"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("name"))
+    from quarry.operators.ranking import positions
+
+    numbered = positions(rows, [], order or ["__t"], "__n")
+    return numbered.select((F.col("__n") - 1).alias("position"), parts[0].alias("smiles"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("name"))
 
 
 def member_keys(rows: DataFrame, file: str, order: list[str]) -> DataFrame:
