@@ -202,28 +202,41 @@ def settled(t: dict[str, np.ndarray]) -> np.ndarray:
     return removed
 
 
+#: What windows travel as: one by one until they are settled; then as blocks of (row, start), one for each part of the rows.
+MOVED = "part int, h0 long, h1 long, doc long, no_id boolean, rid long, start int, rids array<long>, starts array<int>"
+BLOCK = "part int, rids array<long>, starts array<int>"
+
+
+def blocks(rid: np.ndarray, start: np.ndarray, parts: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """``(part, rids, starts)``: windows by the part of their row."""
+    part = rid % parts
+    by = np.argsort(part, kind="stable")
+    part = part[by]
+    new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    offsets = pa.array(np.append(new, len(by)).astype(np.int32))
+    return pa.array(part[new].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(rid[by])), pa.ListArray.from_arrays(offsets, pa.array(start[by].astype(np.int32)))
+
+
 def removed_windows(rows: DataFrame, parts: int, length: int) -> DataFrame:
     """``(rid, starts)`` of the windows that repeat an earlier one, from ``(rid, doc_id, text, anchors)``."""
-    found = "rid long, starts array<int>"
-
-    def batch(rid: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-        """Starts by row."""
-        by = np.lexsort([start, rid])
-        rid, start = rid[by], start[by]
-        new = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]]))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(rid)).astype(np.int32)), pa.array(start.astype(np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(rid[new]), lists], ["rid", "starts"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
+        names = [f.split()[0] for f in MOVED.split(", ")]
 
-        def sent() -> pa.RecordBatch:
+        def sent() -> Iterator[pa.RecordBatch]:
             t = {c: np.concatenate([x[c] for x in held]) for c in WINDOW}
             gone = settled(t)
-            # to the task of their identity; those that are removed already, or that only their own row can remove, to that of the row
-            part = np.where(gone | t["no_id"], t["rid"] % parts, t["h0"].view(np.int64) % parts).astype(np.int32)
-            columns = [t["h0"].view(np.int64), t["h1"].view(np.int64), t["doc"], t["no_id"], t["rid"], t["start"].astype(np.int32), gone]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (part, *columns)], ["part", *WINDOW, "gone"])
+            if gone.any():
+                part, rids, starts = blocks(t["rid"][gone], t["start"][gone], parts)
+                none = [pa.nulls(len(part), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([part, *none, rids, starts], names)
+            t = {c: x[~gone] for c, x in t.items()}
+            # to the task of their identity; those that only their own row can remove, to that of the row
+            part = np.where(t["no_id"], t["rid"] % parts, t["h0"].view(np.int64) % parts).astype(np.int32)
+            columns = [t["h0"].view(np.int64), t["h1"].view(np.int64), t["doc"], t["no_id"], t["rid"], t["start"].astype(np.int32)]
+            none = [pa.nulls(len(part), pa.list_(k)) for k in (pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in (part, *columns)], *none], names)
 
         n = 0
         for b in batches:
@@ -244,30 +257,43 @@ def removed_windows(rows: DataFrame, parts: int, length: int) -> DataFrame:
                 held.append({"h0": h0, "h1": h1, "doc": ids[k], "no_id": no_id[k], "rid": rids[k], "start": words.index[at]})
                 n += len(at)
                 if n >= TOGETHER:
-                    yield sent()
+                    yield from sent()
                     held, n = [], 0
         if held:
-            yield sent()
+            yield from sent()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for b in batches:
-            gone = b.column(7).to_numpy(zero_copy_only=False)
-            if gone.any():
-                yield batch(b.column(5).to_numpy()[gone], b.column(6).to_numpy()[gone])
-            held.append(b.filter(pa.array(~gone)))
-        if not held:
-            return
-        got = pa.Table.from_batches(held)
-        if not got.num_rows:
+            block = np.asarray(b.column(7).is_valid())
+            if block.any():
+                yield b.filter(pa.array(block)).select([0, 7, 8])
+            held.append(b.select(range(7)).filter(pa.array(~block)))
+        got = pa.Table.from_batches(held) if held else None
+        if not got:
             return
         t = {c: got[c].to_numpy() for c in WINDOW}
         gone = settled(t)
         if gone.any():
-            yield batch(t["rid"][gone], t["start"][gone])
+            yield pa.RecordBatch.from_arrays([*blocks(t["rid"][gone], t["start"][gone], parts)], [f.split()[0] for f in BLOCK.split(", ")])
+
+    def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            return
+        rid, start = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        by = np.lexsort([start, rid])
+        rid, start = rid[by], start[by]
+        new = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]]))
+        ends = np.append(new[1:], len(rid))
+        for a in range(0, len(new), 4096):
+            some, last = new[a : a + 4096], ends[a : a + 4096]
+            offsets = np.append(some, last[-1]) - some[0]
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(start[some[0] : last[-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(rid[some]), lists], ["rid", "starts"])
 
-    dealt = rows.mapInArrow(trimmed(windows), "part int, h0 long, h1 long, doc long, no_id boolean, rid long, start int, gone boolean").repartitionById(parts, F.col("part"))
-    return dealt.mapInArrow(trimmed(first), found)
+    settled_ = rows.mapInArrow(trimmed(windows), MOVED).repartitionById(parts, F.col("part")).mapInArrow(trimmed(first), BLOCK)
+    return settled_.repartitionById(parts, F.col("part")).mapInArrow(trimmed(by_row), "rid long, starts array<int>")
 
 
 def repeated_words(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -289,8 +315,7 @@ def repeated_words(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     likely = marked(standing, flags).where("maybe").join(flags, "rid").select("rid", "doc_id", "text", "anchors")
     starts = removed_windows(likely, parts, length).select("rid", F.lit(False).alias("whole"), "starts")
     whole = copies.select("rid", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("starts"))
-    out = starts.unionByName(whole).groupBy("rid").agg(F.max("whole").alias("whole"), F.flatten(F.collect_list("starts")).alias("starts"))
-    out, _ = written(out, "windows")
+    out, _ = written(starts.unionByName(whole), "windows")  # a row is in one of them at most
     drop_path(spark, seen_path, copies_path, flags_path)
     return out
 
