@@ -1,6 +1,6 @@
 """Suffix-array deduplication of byte strings that occur more than once.
 
-The array is sparse: every 200-byte string has an anchor, the place of the least 100-byte hash inside it, which depends on
+The array is sparse: every 200-byte string has an anchor, the place of the least 100-byte hash inside it, whose bytes depend on
 nothing but the string, and a suffix begins at each anchor. A unit is a suffix with the run of neighbouring strings that
 have its anchor, so a unit knows at most 100 bytes before the anchor and 200 from it on. Strings are equal only if the bytes
 from their anchors are, so equal strings stand in suffixes that sort side by side.
@@ -47,6 +47,8 @@ TOKEN = 8
 TOKENS, LEADING = LENGTH // TOKEN, KMER // TOKEN + 1
 #: Bytes of text whose anchors one task gathers, bytes of suffixes in a range, and suffixes sampled for each range.
 ANCHOR_BYTES, RANGE_BYTES, SAMPLED = 32 << 20, 3 << 20, 64
+#: Bytes of a stretch that is drawn as one, and suffixes that are drawn at most (some 110 bytes each, on the driver).
+SAMPLED_BYTES, MOST_SAMPLED = 4096, 1 << 20
 #: Ranges of a group whose strings are compared together.
 TOGETHER = 16
 
@@ -99,7 +101,8 @@ class Units:
         part = np.repeat(np.arange(len(group)), sizes)[: len(owner)]
         place = np.arange(len(owner))
         place = place[place <= ends[part] - LENGTH]  # strings that stay inside their text
-        part, owner = part[place], owner[place]
+        part = part[place]
+        owner, tied = self._kept(owner[place], part, place, kmers)
         new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])]))
         self.start = place[new]
         self.count = np.diff(np.append(new, len(place)))
@@ -109,6 +112,31 @@ class Units:
         anchor = owner[new]
         self.hash = kmers[anchor]
         self.left = anchor - self.start
+        self.tied = tied[new]
+
+    @staticmethod
+    def _kept(owner: np.ndarray, part: np.ndarray, place: np.ndarray, kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where equal 100 bytes come more than once in a string, the last of them is the anchor for as long as the strings hold it, so that runs
+        of one character or line have few units. Equal strings may then differ in their anchor's place, not in its bytes, and stand in
+        one unit: the second array says where that may be."""
+        value = kmers[owner]
+        new = np.ones(len(owner), bool)
+        new[1:] = (value[1:] != value[:-1]) | (part[1:] != part[:-1])
+        moved = np.zeros(len(owner), bool)
+        moved[1:] = ~new[1:] & (owner[1:] != owner[:-1])
+        tied = np.zeros(len(owner), bool)
+        starts, run = np.append(np.flatnonzero(new), len(owner)), np.cumsum(new) - 1
+        for r in np.unique(run[moved]).tolist():
+            a, b = starts[r], starts[r + 1]
+            first, last = place[a], place[b - 1]
+            tied[a:b] = True
+            again = first + np.flatnonzero(kmers[first : last + WINDOW] == value[a])
+            p = first
+            while p <= last:
+                held = again[np.searchsorted(again, p + WINDOW - 1, "right") - 1]
+                owner[a + p - first : a + min(held, last) - first + 1] = held
+                p = held + 1
+        return owner, tied
 
 
 def shared_anchors(rows: DataFrame, parts: int) -> DataFrame:
@@ -120,9 +148,10 @@ def shared_anchors(rows: DataFrame, parts: int) -> DataFrame:
             for group in stretches([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]):
                 u = Units(group)
                 _, once, of, n = np.unique(u.hash, return_index=True, return_inverse=True, return_counts=True)
-                known = n[of] > 1
+                shared = (n > 1) | (np.bincount(of, u.tied) > 0)
+                known = shared[of]
                 witness = np.zeros(len(known), bool)
-                witness[once[n > 1]] = True
+                witness[once[shared]] = True
                 hashes, rid, first = u.hash.view(np.int64), rids[u.number], u.first.astype(np.int32)
                 place = (rid * 31 + first) % parts  # those that are known to be shared go anywhere
                 part = np.where(known & ~witness, place, hashes % parts).astype(np.int32)
@@ -195,12 +224,24 @@ def suffixes(rows: DataFrame, cuts: np.ndarray | None = None) -> DataFrame:
 
 
 def splitters(rows: DataFrame, flagged: int, n: int) -> np.ndarray:
-    """``n - 1`` splitters from a sample of rows with some ``SAMPLED`` suffixes for each range."""
-    share = min(1.0, SAMPLED * n / max(flagged, 1))
-    sample = rows.where(F.pmod(F.xxhash64("rid"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    got = suffixes(sample).select(F.expr(f"substring(stretch, left + 1, {LEADING * TOKEN})").alias("lead"), "rid", "first").toArrow()
-    if not got.num_rows or n < 2:
-        return np.zeros(0, f"S{(LEADING + 2) * TOKEN}")
+    """``n - 1`` splitters from a sample of some ``SAMPLED`` suffixes for each range, ``MOST_SAMPLED`` in all.
+
+    What is drawn are stretches of ``SAMPLED_BYTES``, not rows, so that a long row gives its share. A draw that finds nothing is repeated with
+    a larger share.
+    """
+    none = np.zeros(0, f"S{(LEADING + 2) * TOKEN}")
+    if n < 2 or not flagged:
+        return none
+    share = min(1.0, min(SAMPLED * n, MOST_SAMPLED) / flagged)
+    while True:
+        drawn = F.filter("firsts", lambda x: F.pmod(F.xxhash64("rid", F.floor(x / SAMPLED_BYTES)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+        sample = rows.withColumn("firsts", drawn).where(F.size("firsts") > 0)
+        got = suffixes(sample).select(F.expr(f"substring(stretch, left + 1, {LEADING * TOKEN})").alias("lead"), "rid", "first").toArrow()
+        if got.num_rows or share == 1.0:
+            break
+        share = min(1.0, share * 8)
+    if not got.num_rows:
+        return none
     lead = got["lead"].to_pylist()
     ends = np.cumsum([len(x) for x in lead])
     table = np.sort(weights(b"".join(lead), ends - [len(x) for x in lead], ends, got["rid"].to_numpy(), got["first"].to_numpy()))
@@ -263,6 +304,12 @@ def same_strings(raw: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def tied(stretch: bytes, left: int) -> bool:
+    """Whether the anchor's bytes come twice in the unit; if not, its strings all differ."""
+    anchor = stretch[left : left + KMER]
+    return stretch.find(anchor) < left or stretch.find(anchor, left + 1) > 0
+
+
 def compare_range(stretch: list[bytes], left: np.ndarray, rid: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
     """Sorts the suffixes of a range and compares neighbours: ``(rid, spans)`` of what repeats, and ``(anchor, rids, places, h0, h1)`` of the
     distinct strings of the groups at its edges."""
@@ -287,8 +334,8 @@ def compare_range(stretch: list[bytes], left: np.ndarray, rid: np.ndarray, first
     whole = copies[kind] > 1
     for k in np.flatnonzero(whole).tolist():
         yield int(rid[k]), [int(first[k]), int(first[k] + sizes[k])]
-    # strings of the kinds that have company, or may have it in another range
-    looked = one[(different[of_row[one]] > 1) | edge[one]]
+    # strings of the kinds that have company, may have it in another range, or may repeat their own
+    looked = one[(different[of_row[one]] > 1) | edge[one] | np.fromiter((tied(stretch[k], int(left[k])) for k in one.tolist()), bool, len(one))]
     if not len(looked):
         return
     count = sizes[looked] - LENGTH + 1

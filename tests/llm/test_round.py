@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import common, cover, interaction, negatives
+from quarry.llm import common, cover, interaction, negatives, suffixes
 
 from .conftest import SCHEMA, prose, rows
+from .test_corpus import plain_removal
 
 # -- words -------------------------------------------------------------------------------------------------
 
@@ -238,3 +239,38 @@ def test_negatives_of_nothing(spark):
     assert mined(spark, []) == []
     assert mined(spark, [(100, [1.0], 0)]) == []
     assert mined(spark, [(1, [1.0], 0), (2, [1.0], 1)]) == []
+
+
+# -- suffixes: runs of one character, few long texts ---------------------------------------------------------
+
+
+def test_runs_have_few_units():
+    for t in (b"a" * 20000, b"=-" * 10000, b"0123456789abcdefghi\n" * 1000):
+        for group in suffixes.stretches([t]):
+            u = suffixes.Units(group)
+            assert int((u.count - 1 + suffixes.LENGTH).sum()) < 3 * len(t) and u.tied.all()
+            assert int(u.count.sum()) == len(t) - suffixes.LENGTH + 1
+
+
+def test_strings_that_repeat_inside_a_run(spark):
+    rnd = random.Random(2)
+    texts = ["a" * 250, "b" * 199 + "c", "xy" * 110, prose(rnd, 60) + "-" * 230 + prose(rnd, 20), prose(rnd, 50) + "-" * 201, "0123456789abcdefghi\n" * 12, "q" * 200 + prose(rnd, 40) + "q" * 200]
+    texts += ["r" * 120 + prose(rnd, 20) + "r" * 120, "s" * 330 + "t" * 330, "t" * 200]
+    got = suffixes.removed_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert sorted(tuple(r)[1:] for r in got) == plain_removal([t.encode() for t in texts])
+
+
+@pytest.mark.parametrize("giant", [False, True])
+def test_few_long_texts_fill_all_ranges(spark, giant):
+    """Splitters come from suffixes, so that few long rows, or one among many, are spread as well."""
+    rnd = random.Random(7)
+    passages_ = [prose(rnd, 60) for _ in range(60)]
+    long = [" ".join(rnd.choice(passages_) + prose(rnd, 3) for _ in range(60)) for _ in range(40)]
+    texts = [" ".join(long), *[p for p in passages_]] if giant else long
+    rows_ = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").repartition(4)
+    flags = suffixes.shared_anchors(rows_, 4).groupBy("rid").agg(F.collect_list("first").alias("firsts"))
+    joined = rows_.join(flags, "rid").select("rid", "text", "firsts").cache()
+    flagged, n = joined.agg(F.sum(F.size("firsts"))).first()[0], 19
+    cuts = suffixes.splitters(joined, flagged, n)
+    sizes = [r["count"] for r in suffixes.suffixes(joined, cuts).groupBy("part").count().collect()]
+    assert len(sizes) >= n - 2 and sum(sizes) == flagged and max(sizes) < 3 * flagged / n
