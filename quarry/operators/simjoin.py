@@ -192,13 +192,18 @@ def sphere_exclusion(sets: DataFrame, keys: list[str], cutoff: float = 0.6, n_bi
 
 
 def butina(sets: DataFrame, keys: list[str], cutoff: float = 0.65, n_bits: int = N_BITS) -> DataFrame:
-    """Clusters around the member with most free neighbours (ties: lowest id); all free neighbours join it.
+    """Clusters around the member with most free neighbours (ties: lowest id); all free neighbours join it."""
+    return around_most(sets.select(*keys, "id"), similar_pairs(sets, cutoff, keys=keys, n_bits=n_bits).select(*keys, "a", "b"), keys)
+
+
+def around_most(items: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, id, representative)`` of items ``(keys, id)`` and their neighbours ``(keys, a, b)``, each pair once: the free item with most free
+    neighbours (ties: lowest id, a number) takes them all.
 
     In each round every free member that comes before all others within two steps founds its cluster: no choice farther off
     changes its neighbours or theirs, so it is what going through the members one by one would choose.
     """
-    spark = sets.sparkSession
-    one = similar_pairs(sets, cutoff, keys=keys, n_bits=n_bits).select(*keys, "a", "b")
+    sets, spark = items, items.sparkSession
     loops = sets.select(*keys, F.col("id").alias("a"), F.col("id").alias("b"))
     edges, path = written(one.unionByName(one.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(loops), "neighbours")
     done, paths = None, []
