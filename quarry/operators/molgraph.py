@@ -7,12 +7,16 @@ many as the deepest molecule needs, whatever the number of molecules.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.components import components
 from quarry.plans.stages import drop_path, written
 
+from .poses import assignment
+
 
 class Rounds:
     """Tables that each round writes anew; the one before goes."""
@@ -254,3 +258,35 @@ def traced(paths: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
         open_ = rounds.keep("ways", open_.where("previous is null").unionByName(walked))
     rounds.end("ways")
     return open_.select(*keys, "source", "target", "nodes", "cost")
+
+
+def atom_permutation(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, atom, target)``: where each atom ``(keys, atom, name)`` of one table stands in another, by its name. Groups whose names repeat on a side,
+    or are not the same on both, have no rows."""
+    a = source.groupBy(*keys, "name").agg(F.count("*").alias("na"), F.min("atom").alias("atom"))
+    b = target.groupBy(*keys, "name").agg(F.count("*").alias("nb"), F.min("atom").alias("target"))
+    met = a.join(b, [*keys, "name"], "full")
+    fits = met.groupBy(*keys).agg(F.bool_and(F.coalesce((F.col("na") == 1) & (F.col("nb") == 1), F.lit(False))).alias("fits")).where("fits")
+    return met.join(fits.select(*keys), keys).select(*keys, "atom", "target")
+
+
+def symmetry_aware_rmsd(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, rmsd)`` of two poses ``(keys, atom, symmetry, ax, ay, az, bx, by, bz)`` in one frame, atoms matched inside their classes at the least cost.
+
+    Atoms alone in their class need no choice and stay in columns; only classes of two and more, which are as small as a molecule's
+    symmetry, are assigned, each by itself.
+    """
+    gap = sum(((F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in "xyz"), F.lit(0.0))
+    sizes = pairs.groupBy(*keys, "symmetry").agg(F.count("*").alias("n"))
+    rows = pairs.join(sizes, [*keys, "symmetry"])
+    alone = rows.where("n = 1").select(*keys, gap.alias("cost"))
+
+    def least(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[[f"{s}{c}" for c in "xyz"]].to_numpy() for s in "ab")
+        cost = ((a[:, None, :] - b[None, :, :]) ** 2).sum(-1)
+        return pdf[keys].head(1).assign(cost=float(cost[np.arange(len(cost)), assignment(cost)].sum()))
+
+    schema = ", ".join(f"{k} {dict(pairs.dtypes)[k]}" for k in keys) + ", cost double"
+    several = rows.where("n > 1").groupBy(*keys, "symmetry").applyInPandas(least, schema)
+    total = alone.unionByName(several).groupBy(*keys).agg(F.sum("cost").alias("cost"))
+    return total.join(sizes.groupBy(*keys).agg(F.sum("n").alias("n")), keys).select(*keys, F.sqrt(F.col("cost") / F.col("n")).alias("rmsd"))

@@ -127,3 +127,34 @@ def pathways(spark, sf_dir):
     e, s = distances(spark, sf_dir), sources(spark, sf_dir)
     found = molgraph.traced(molgraph.best_paths(e, s, KEYS), s.withColumn("target", F.lit(11).cast("long")), KEYS)
     return rounded(found.select("molecule", "source", "target", F.array_join("nodes", " ").alias("nodes"), "cost"), "cost")
+
+
+@query(MOL + CLASSES + """, sized AS (SELECT molecule, symmetry, count(*) AS n FROM classes GROUP BY ALL),
+costs AS MATERIALIZED (SELECT a.molecule, c.symmetry, c.atom AS a, d.atom AS b, (a.x - e.u) * (a.x - e.u) + (a.y - e.v) * (a.y - e.v) + (a.z - e.w) * (a.z - e.w) AS cost FROM atoms a JOIN classes c USING (molecule, atom) JOIN classes d ON d.molecule = c.molecule AND d.symmetry = c.symmetry
+  JOIN (SELECT vec_id // 12 AS molecule, vec_id % 12 AS atom, CAST(embedding[4] AS DOUBLE) * 20 AS u, CAST(embedding[5] AS DOUBLE) * 20 AS v, CAST(embedding[6] AS DOUBLE) * 20 AS w FROM embeddings) e ON e.molecule = d.molecule AND e.atom = d.atom),
+chosen AS (SELECT molecule, symmetry, -1::BIGINT AS a, []::BIGINT[] AS used, 0::DOUBLE AS cost FROM sized UNION ALL SELECT c.molecule, c.symmetry, c.a, list_append(used, c.b), h.cost + c.cost FROM chosen h JOIN costs c ON c.molecule = h.molecule AND c.symmetry = h.symmetry AND NOT list_contains(h.used, c.b)
+  AND c.a = (SELECT min(k.atom) FROM classes k WHERE k.molecule = h.molecule AND k.symmetry = h.symmetry AND k.atom > h.a)),
+least AS (SELECT molecule, symmetry, min(cost) AS cost FROM chosen JOIN sized USING (molecule, symmetry) WHERE len(used) = n GROUP BY ALL)
+SELECT molecule, round(sqrt(sum(cost) / sum(n)), 6) AS rmsd FROM least JOIN sized USING (molecule, symmetry) GROUP BY molecule""")
+def symmetry_aware_rmsd(spark, sf_dir):
+    """Two poses of each molecule, from six components of its vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    k = F.col("vec_id")
+    xyz = [(F.col("embedding")[n].cast("double") * 20).alias(c) for n, c in enumerate(("ax", "ay", "az", "bx", "by", "bz"))]
+    pairs = e.select(F.floor(k / 12).alias("molecule"), F.pmod(k, F.lit(12)).alias("atom"), *xyz)
+    classes = molgraph.symmetry_classes(atoms(spark, sf_dir), bonds(spark, sf_dir), KEYS)
+    return rounded(molgraph.symmetry_aware_rmsd(pairs.join(classes, [*KEYS, "atom"]), KEYS), "rmsd")
+
+
+@query("""WITH a AS (SELECT vec_id // 12 AS molecule, vec_id % 12 AS atom, 'A' || (vec_id * 7 % 12 + CASE WHEN vec_id // 12 % 5 = 0 AND vec_id % 12 = 3 THEN 1 ELSE 0 END) AS name FROM embeddings),
+b AS (SELECT vec_id // 12 AS molecule, vec_id % 12 AS atom, 'A' || (vec_id * 5 % CASE WHEN vec_id // 12 % 7 = 0 THEN 11 ELSE 12 END) AS name FROM embeddings),
+bad AS (SELECT molecule FROM (SELECT molecule, name, count(*) AS n FROM a GROUP BY ALL UNION ALL SELECT molecule, name, count(*) FROM b GROUP BY ALL) GROUP BY molecule, name HAVING count(*) <> 2 OR max(n) > 1)
+SELECT molecule, a.atom, b.atom AS target FROM a JOIN b USING (molecule, name) WHERE molecule NOT IN (SELECT molecule FROM bad)""")
+def atom_permutation(spark, sf_dir):
+    """Names in two orders; in some molecules a name repeats or is missing."""
+    k = F.col("vec_id")
+    e = table(spark, sf_dir, "embeddings").select(F.floor(k / 12).alias("molecule"), F.pmod(k, F.lit(12)).alias("atom"), "vec_id")
+    odd = ((F.pmod("molecule", F.lit(5)) == 0) & (F.col("atom") == 3)).cast("int")
+    a = e.select("molecule", "atom", F.concat(F.lit("A"), (F.pmod(k * 7, F.lit(12)) + odd).cast("string")).alias("name"))
+    b = e.select("molecule", "atom", F.concat(F.lit("A"), F.pmod(k * 5, F.when(F.pmod("molecule", F.lit(7)) == 0, 11).otherwise(12)).cast("string")).alias("name"))
+    return molgraph.atom_permutation(a, b, KEYS)
