@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries, queries_campaign, queries_files, queries_geometry, queries_lattice, queries_molgraph, queries_receptors, queries_shape  # noqa: F401
+from . import queries, queries_campaign, queries_files, queries_geometry, queries_jobs, queries_lattice, queries_molgraph, queries_receptors, queries_shape  # noqa: F401
 from .queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
