@@ -166,7 +166,7 @@ def sub_pockets(cells: DataFrame, keys: list[str], radius: float, core: int) ->
     centres = core_cells.join(first_come(core_cells, edges, own), [*own, "id"])
 
     def nearest(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy(*own, F.col("a_cell").alias("cell")).agg(F.min(F.struct("d2", F.col("b_id").alias("id"))).alias("m")).select(*own, "cell", F.col("m.id").alias("pocket"))
+        return pairs.groupBy(*own, F.col("a_cell").alias("cell")).agg(F.min(F.struct("d2", F.col("b_id").alias("id"))).alias("__m")).select(*own, "cell", F.col("__m.id").alias("pocket"))
 
     # a centre within twice the radius is nearer than any beyond; the other cells meet all centres of their system
     points = cells.select(*own, "cell", *index)

@@ -76,8 +76,8 @@ def spanning_trees(nodes: DataFrame, edges: DataFrame, roots: DataFrame, keys: l
     depth = 0
     while True:
         ahead = tree.where(F.col("depth") == depth).select(*keys, F.col("node").alias("atom")).join(ends, [*keys, "atom"])
-        found = ahead.join(tree.select(*keys, F.col("node").alias("other")), [*keys, "other"], "left_anti").groupBy(*keys, "other").agg(F.min(F.struct("atom", "via")).alias("m"))
-        new = found.select(*keys, F.col("other").alias("node"), F.col("m.atom").alias("parent"), F.col("m.via").alias("via"), F.lit(depth + 1).alias("depth"))
+        found = ahead.join(tree.select(*keys, F.col("node").alias("other")), [*keys, "other"], "left_anti").groupBy(*keys, "other").agg(F.min(F.struct("atom", "via")).alias("__m"))
+        new = found.select(*keys, F.col("other").alias("node"), F.col("__m.atom").alias("parent"), F.col("__m.via").alias("via"), F.lit(depth + 1).alias("depth"))
         new = rounds.keep("level", new)
         if not new.limit(1).count():
             break
@@ -96,7 +96,7 @@ def bridges(atoms: DataFrame, bonds: DataFrame, keys: list[str]) -> DataFrame:
     rounds = Rounds(atoms.sparkSession)
     pairs = rounds.keep("bonds", bonds.select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).where("i <> j").groupBy(*keys, "i", "j").agg(F.count("*").alias("n")))
     held = components(pairs.select(F.struct(*keys, F.col("i").alias("atom")).alias("a"), F.struct(*keys, F.col("j").alias("atom")).alias("b")))
-    roots = held.select(F.col("component").alias("r")).distinct().select(*[F.col(f"r.{k}").alias(k) for k in keys], F.col("r.atom").alias("node"))
+    roots = held.select(F.col("component").alias("__r")).distinct().select(*[F.col(f"__r.{k}").alias(k) for k in keys], F.col("__r.atom").alias("node"))
     nodes = atoms.select(*keys, F.col("atom").alias("node"))
     tree = spanning_trees(nodes, pairs.select(*keys, "i", "j", F.lit(0).alias("via")), roots, keys)
     up = tree.select(*keys, "node", "parent", "depth")
@@ -179,7 +179,7 @@ def torsion_trees(atoms: DataFrame, bonds: DataFrame, rotors: DataFrame, keys: l
     parts = at.groupBy(*keys, "part").agg(F.count("*").alias("n_atoms"), *[F.avg(c).alias(c) for c in "xyz"]).join(middle, keys)
     gap = sum(((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "xyz"), F.lit(0.0))
     parts = rounds.keep("sizes", parts.withColumn("gap", F.round(F.sqrt(gap), 9)))
-    roots = parts.groupBy(*keys).agg(F.min(F.struct((-F.col("n_atoms")).alias("n"), "gap", "part")).alias("m")).select(*keys, F.col("m.part").alias("node"))
+    roots = parts.groupBy(*keys).agg(F.min(F.struct((-F.col("n_atoms")).alias("n"), "gap", "part")).alias("__m")).select(*keys, F.col("__m.part").alias("node"))
     links = cut.join(at.select(*keys, F.col("atom").alias("i"), F.col("part").alias("p")), [*keys, "i"]).join(at.select(*keys, F.col("atom").alias("j"), F.col("part").alias("q")), [*keys, "j"]).where("p <> q")
     links = links.select(*keys, F.col("p").alias("a"), F.col("q").alias("b"), F.struct("i", "j", "p").alias("via"))
     nodes = parts.select(*keys, F.col("part").alias("node"))
@@ -229,12 +229,12 @@ def best_paths(edges: DataFrame, sources: DataFrame, keys: list[str], widest: bo
         ahead = front.select(*keys, "source", F.col("node").alias("atom"), "number").join(ends, [*keys, "atom"])
         number = F.greatest(F.col("number"), F.col("weight") * sign) if widest else F.col("number") + F.col("weight")
         offer = ahead.select(*keys, "source", F.col("other").alias("node"), number.alias("number"), F.col("atom").alias("previous")).where("node <> source")
-        offer = offer.groupBy(*keys, "source", "node").agg(F.min(F.struct("number", "previous")).alias("m"))
+        offer = offer.groupBy(*keys, "source", "node").agg(F.min(F.struct("number", "previous")).alias("__m"))
         mine = best.select(*keys, "source", "node", F.col("number").alias("was"), F.col("previous").alias("before"))
         met = offer.join(mine, [*keys, "source", "node"], "left")
-        better = F.col("was").isNull() | (F.col("m.number") < F.col("was"))
-        named = F.lit(not widest) & ~better & (F.col("m.number") == F.col("was")) & (F.col("m.previous") < F.col("before"))
-        changed = rounds.keep("changed", met.where(better | named).select(*keys, "source", "node", F.col("m.number").alias("number"), F.col("m.previous").alias("previous"), better.alias("better")))
+        better = F.col("was").isNull() | (F.col("__m.number") < F.col("was"))
+        named = F.lit(not widest) & ~better & (F.col("__m.number") == F.col("was")) & (F.col("__m.previous") < F.col("before"))
+        changed = rounds.keep("changed", met.where(better | named).select(*keys, "source", "node", F.col("__m.number").alias("number"), F.col("__m.previous").alias("previous"), better.alias("better")))
         if not changed.limit(1).count():
             break
         rest = best.join(changed.select(*keys, "source", "node"), [*keys, "source", "node"], "left_anti")

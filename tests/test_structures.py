@@ -36,7 +36,7 @@ def test_a_closed_shell_is_one_pocket(spark):
     assert found["n_points"] == len(inside) == found["volume"] and all(p["x"] ** 2 + p["y"] ** 2 + p["z"] ** 2 < 4.0**2 for p in inside)
     # all directions are walled and no neighbour is open: the score is that of the volume alone
     assert found["score"] == pytest.approx((found["volume"] / 100) ** (1 / 3))
-    burial = lattice.buriedness(pockets.points, atoms, ["structure"], ["structure", "pocket"], "cell", ray_length=9.0).first()["buriedness"]
+    burial = lattice.buriedness(pockets.points, atoms, ["structure"], ["structure", "pocket"], "cell", ray_length=14.0).first()["buriedness"]
     assert burial == 1.0
     assert len(lattice.lining(pockets.points, atoms, ["structure"], ["structure", "pocket"], 5.0).first()["lining"]) > 10
     # several centres share the cells of the one system among them
@@ -51,7 +51,7 @@ def test_walls_along_lines(spark):
     seen = lattice.walled_directions(cells, frame, ["s"], 2)
     got = {(lattice_index(r["cell"])): r["walled"] for r in seen.collect()}
     assert [got.get((10, 10, k)) for k in range(3, 13)] == [1, 1, None, 1, 1, 1, 1, None, 1, 1]
-    assert got[(9, 9, 4)] == 1 and got[(11, 11, 7)] == 1 and (10, 10, 2) not in got
+    assert got[(9, 9, 4)] == 1 and got[(11, 11, 6)] == 1 and (10, 10, 2) not in got
     assert sum(got.values()) == 2 * 26 * 2
 
 
@@ -60,7 +60,7 @@ def lattice_index(cell):
 
 
 def test_maps_follow_the_sum(spark):
-    """Between points of 0.375 the maps are off by less than 0.01 where no atoms overlap."""
+    """Between points of 0.375 the maps are off by less than 0.005 where no atoms overlap."""
     rnd = random.Random(3)
     receptor = spark.createDataFrame([(1, 9 * math.cos(k), 9 * math.sin(k), k - 4.0, 1.9, k % 2 == 0, k % 3 == 0, k % 3 == 1) for k in range(9)], "s int, x double, y double, z double, radius double, hydrophobic boolean, donor boolean, acceptor boolean")
     types = spark.createDataFrame([("C", 1.9, True, False, False), ("O", 1.7, False, True, True)], "type string, radius double, hydrophobic boolean, donor boolean, acceptor boolean")
@@ -69,7 +69,7 @@ def test_maps_follow_the_sum(spark):
     poses = spark.createDataFrame([(1, k, "CO"[k % 2], *[rnd.uniform(-3.5, 3.5) for _ in range(3)]) for k in range(40)], "s int, pose int, type string, x double, y double, z double")
     got = {r["pose"]: r["energy"] for r in lattice.map_energy(poses, maps, frame, ["s"], ["s", "pose"]).collect()}
     want = {r["pose"]: r["energy"] for r in lattice.direct_energy(poses, receptor, types, ["s"], ["s", "pose"]).collect()}
-    assert max(abs(got[k] - want[k]) for k in want) < 0.01 and max(abs(v) for v in want.values()) > 0.05
+    assert max(abs(got[k] - want[k]) for k in want) < 0.005 and max(abs(v) for v in want.values()) > 0.01
     far = spark.createDataFrame([(1, 0, "C", 6.5, 0.0, 0.0)], "s int, pose int, type string, x double, y double, z double")
     border = spark.createDataFrame([(1, 0, "C", 4.5, 0.0, 0.0)], "s int, pose int, type string, x double, y double, z double")
     a, b = (lattice.map_energy(p, maps, frame, ["s"], ["s", "pose"], slope=10.0).first()["energy"] for p in (far, border))
@@ -211,7 +211,7 @@ def test_mol2_and_odd_trees(spark):
     assert got[1]["error"] == "no atoms"
     rows = [(1, ""), (2, "ROOT\nENDROOT\nTORSDOF 0"), (3, "MODEL 1\nATOM      1  C   LIG A   1       1.000   2.000   3.000\nMODEL 2"), (4, "ENDBRANCH 1 2\nBRANCH 1 2\nATOM")]
     df = spark.createDataFrame(rows, "m int, text string")
-    assert {r["m"]: r["error"] for r in trees.ligand_checks(df).collect()} == {1: "no root atoms", 2: "no root atoms", 3: "no TORSDOF", 4: "no root atoms"}
+    assert {r["m"]: r["error"] for r in trees.ligand_checks(df).collect()} == {1: "no root atoms", 2: "no root atoms", 3: "no TORSDOF", 4: "branch closed out of order"}
     assert {r["m"]: r["error"] for r in trees.receptor_checks(df).collect()} == {1: "no atoms", 2: "no atoms", 3: "several models", 4: ""}
 
 
