@@ -300,7 +300,11 @@ def sanitise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", th
     found_, _ = written(spans.join(terms, "key", "full_outer"), "pii-marks")
     text = F.col(quoted(text_col)).cast("string")
     key = row_key(F.col(quoted(id_col)).cast("long"), F.coalesce(text, F.lit("")))
-    rows = packed(docs, key=key).join(found_, "key", "left").withColumn("text", F.col("row").getField(text_col).cast("string"))
+    # texts move only if they may have marks
+    filter_, _ = written(word_filter(found_.select(F.xxhash64("key").alias("term"))), "pii-marked")
+    likely = packed(docs, key=key).withColumn("bitmap", filter_.scalar()).withColumn("maybe", may_be(F.xxhash64("key"), F.col("bitmap"))).drop("bitmap")
+    bare = likely.where("not maybe").drop("maybe")
+    rows = likely.where("maybe").drop("maybe").join(found_, "key", "left").withColumn("text", F.col("row").getField(text_col).cast("string"))
     typed = "array<struct<start:int,end:int,mark:string>>"
     none = F.array().cast(PLACES)
     plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("mark"))).cast(typed)
@@ -309,4 +313,4 @@ def sanitise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", th
     cuts = F.array_sort(F.concat(F.coalesce(plain, F.array().cast(typed)), F.when(F.col("terms").isNull(), F.array().cast(typed)).otherwise(general)))
     marked = F.col("spans").isNotNull() | F.col("terms").isNotNull()
     cleaned = F.when(marked & F.col("text").isNotNull(), let(F.struct(cuts.alias("c"), F.col("text").alias("t")), lambda x: replaced(x["t"], x["c"]))).otherwise(F.col("text"))
-    return unpacked(rows, docs.columns, **{text_col: cleaned})
+    return unpacked(rows, docs.columns, **{text_col: cleaned}).unionByName(unpacked(bare, docs.columns, **{text_col: F.col("row").getField(text_col).cast("string")}))
