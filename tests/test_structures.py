@@ -127,17 +127,17 @@ MOLECULE = ("CCCCCCCCCCON", [(k, (k + 1) % 6, 4) for k in range(6)] + [(0, 6, 1)
 
 
 def test_classes_bridges_and_reasons(spark):
-    atoms, bonds = graph(spark, *MOLECULE)
-    classes = {r["atom"]: r["symmetry"] for r in molgraph.symmetry_classes(atoms, bonds, ["m"]).collect()}
+    elements, edges = MOLECULE
+    rows = [(m, k, e) for m in (1, 3) for k, e in enumerate(elements)] + [(2, k, "C") for k in range(6)]
+    bonds = [(m, *b) for m in (1, 3) for b in edges] + [(2, *b, 1) for b in ((0, 1), (0, 2), (0, 3), (0, 4), (4, 5))]  # the second has a tert-butyl
+    atoms, bonds = spark.createDataFrame(rows, "m int, atom int, element string"), spark.createDataFrame(bonds, "m int, i int, j int, order int")
+    classes = {r["atom"]: r["symmetry"] for r in molgraph.symmetry_classes(atoms, bonds, ["m"]).where("m = 1").collect()}
     assert classes[1] == classes[5] == 1 and classes[2] == classes[4] == 2 and len(set(classes.values())) == 10
-    assert {(r["i"], r["j"]) for r in molgraph.bridges(atoms, bonds, ["m"]).collect()} == {(0, 6), (3, 7), (7, 8), (8, 9), (9, 10), (9, 11)}
-    reasons = {(r["i"], r["j"]): r["reason"] for r in molgraph.rotation_reasons(atoms, bonds, ["m"]).collect()}
-    assert reasons[0, 1] == "aromatic" and reasons[0, 6] == "terminal" and reasons[3, 7] == reasons[7, 8] == reasons[8, 9] == "rotatable" and reasons[9, 10] == "bond-order" and reasons[9, 11] == "amide"
-    locked = spark.createDataFrame([(1, 8, 7)], "m int, i int, j int")
-    assert {(r["i"], r["j"]): r["reason"] for r in molgraph.rotation_reasons(atoms, bonds, ["m"], locked).collect()}[7, 8] == "locked"
-    # tert-butyl: three equivalent neighbours
-    atoms, bonds = graph(spark, "CCCCCC", [(0, 1, 1), (0, 2, 1), (0, 3, 1), (0, 4, 1), (4, 5, 1)])
-    assert {(r["i"], r["j"]): r["reason"] for r in molgraph.rotation_reasons(atoms, bonds, ["m"]).collect()}[0, 4] == "symmetric"
+    locked = spark.createDataFrame([(3, 8, 7)], "m int, i int, j int")
+    got = {(r["m"], r["i"], r["j"]): r["reason"] for r in molgraph.rotation_reasons(atoms, bonds, ["m"], locked).collect()}
+    want = {(0, 1): "aromatic", (0, 6): "terminal", (3, 7): "rotatable", (7, 8): "rotatable", (8, 9): "rotatable", (9, 10): "bond-order", (9, 11): "amide"}
+    assert {b: got[1, *b] for b in want} == want and got[3, 7, 8] == "locked" and got[3, 3, 7] == "rotatable"
+    assert got[2, 0, 4] == "symmetric" and got[2, 0, 1] == "terminal"
 
 
 def test_bridges_of_random_graphs(spark):
@@ -164,7 +164,7 @@ def test_bridges_of_random_graphs(spark):
 
 def test_torsion_tree_of_a_molecule(spark):
     atoms, bonds = graph(spark, *MOLECULE)
-    rotors = molgraph.rotation_reasons(atoms, bonds, ["m"]).where("reason = 'rotatable'")
+    rotors = spark.createDataFrame([(1, 3, 7), (1, 7, 8), (1, 9, 8)], "m int, i int, j int")
     tree, parts = molgraph.torsion_trees(atoms, bonds, rotors, ["m"])
     got = {r["part"]: tuple(r)[2:] for r in tree.collect()}
     assert got == {0: (7, None, None, None, 0), 7: (1, 0, 3, 7, 1), 8: (1, 7, 7, 8, 2), 9: (3, 8, 8, 9, 3)}
