@@ -41,7 +41,7 @@ def test_a_closed_shell_is_one_pocket(spark):
     assert burial == 1.0
     assert len(lattice.lining(pockets.points, atoms, ["structure"], ["structure", "pocket"], 5.0).first()["lining"]) > 10
     # several centres share the cells of the one system among them
-    cut = lattice.find_pockets(atoms, ["structure"], ray_length=9.0, pocket_radius=3.0, min_volume=1.0)
+    cut = lattice.find_pockets(atoms, ["structure"], ray_length=9.0, pocket_radius=3.0, min_volume=1.0, max_pockets=100)
     assert cut.found.agg(F.sum("n_points")).first()[0] == found["n_points"] and cut.found.count() > 1
 
 
