@@ -230,7 +230,7 @@ def property_scores(library: DataFrame, item: str, by: str) -> DataFrame:
 
 def ranks_of(df: DataFrame, score: str, keys: list[str], item: str) -> DataFrame:
     """Each item's rank in its ranking, however large that is."""
-    found = ranking.positions(df.select(*keys, item, score), keys, [F.col(score).desc_nulls_last(), item], "rank")
+    found = positions(df.select(*keys, item, score), keys, [F.col(score).desc_nulls_last(), item], "rank")
     return found.withColumn("rank", F.col("rank").cast("int"))
 
 

@@ -91,6 +91,12 @@ def test_evaluation(spark):
     assert evalstats.minimum_detectable_difference(1.0) == pytest.approx(2.8016, abs=1e-3)
 
 
+def test_ranks_of_a_ranking(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 3.0), ("a", 3, 3.0), ("a", 4, None), ("b", 5, 1.0)], "k string, i int, s double")
+    assert {r["i"]: r["rank"] for r in evalstats.ranks_of(df, "s", ["k"], "i").collect()} == {2: 1, 3: 2, 1: 3, 4: 4, 5: 1}
+    assert {r["i"]: r["rank"] for r in evalstats.ranks_of(df, "s", [], "i").collect()} == {2: 1, 3: 2, 1: 3, 5: 4, 4: 5}
+
+
 def test_picks(spark):
     sets = spark.createDataFrame([(1, "x", [1, 2, 3]), (2, "x", [1, 2, 3]), (3, "x", [9]), (4, "x", [1, 2, 4])], "id int, label string, bits array<int>")
     assert [r["id"] for r in simjoin.maxmin_pick(sets, ["label"], 3).orderBy("pick").collect()] == [1, 3, 4]
