@@ -9,7 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.plans.stages import drop_path, written
+
 PROBE, POINTS = 1.4, 92
+#: Areas: edge of the cells that give two atoms each, atoms and covers of a block, rows of a call, neighbours tried first.
+FINE, CHUNK, BLOCK, PACK, NEAREST = 0.75, 500, 50_000, 20_000, 24
 
 
 def _cell(c: str, size: float) -> Column:
@@ -72,36 +76,115 @@ def sasa(atoms: DataFrame, keys: list[str], probe: float = PROBE, points: int =
     """Solvent-accessible area of each atom ``(keys, atom, x, y, z, radius)``: the share of its sphere's points that no
     other atom of the group covers, nor any of ``others`` (a partner's atoms). ``most`` is the greatest radius.
 
-    Neighbours come from one radius join; the points of an atom are tried against its neighbours only.
+    The points are tried against a few atoms of each small cell first, which bounds what an atom meets however many lie
+    there; what these leave is tried against all atoms. No pairs of atoms are written or shuffled.
     """
-    reach = 2 * (most + probe)
     atoms = atoms.select(*keys, "atom", "x", "y", "z", "radius")
-    covers_ = atoms.withColumn("own", F.lit(True))
+    covers = atoms.withColumn("own", F.lit(True))
     if others is not None:
-        covers_ = covers_.unionByName(others.select(*keys, "atom", "x", "y", "z", "radius").withColumn("own", F.lit(False)))
-    near = range_join(atoms, covers_, reach, keys, inclusive=False).where("not b_own or a_atom <> b_atom")
-    around = near.groupBy(*keys, "a_atom").agg(F.collect_list(F.struct("b_x", "b_y", "b_z", "b_radius")).alias("near"))
-    rows = atoms.join(around.withColumnRenamed("a_atom", "atom"), [*keys, "atom"], "left")
-    sphere = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(p, ("x", "y", "z"), strict=True)]) for p in _sphere(points)])
+        covers = covers.unionByName(others.select(*keys, "atom", "x", "y", "z", "radius").withColumn("own", F.lit(False)))
+    every = F.array(*[F.lit(k) for k in range(points)])
+    left, path = written(_uncovered(atoms.withColumn("free", every), _few_per_cell(covers, keys), keys, probe, points, most), "uncovered")
+    empty = F.size("free") == 0
+    last = _uncovered(left.where(~empty), covers, keys, probe, points, most)
     radius = F.col("radius") + probe
+    share = F.size("free") / float(points)
+    # a file of its own: the first trial's goes
+    out, _ = written(left.where(empty).unionByName(last).select(*keys, "atom", (share * 4 * math.pi * radius * radius).alias("sasa")), "areas")
+    drop_path(atoms.sparkSession, path)
+    return out
+
 
-    def free(p: Column) -> Column:
-        x, y, z = (F.col(c) + radius * p[c] for c in "xyz")
+def _few_per_cell(covers: DataFrame, keys: list[str], size: float = FINE) -> DataFrame:
+    """At most two atoms of each small cell: that with the greatest radius and that with the least."""
+    row = F.struct("radius", "own", "atom", "x", "y", "z")
+    cells = covers.groupBy(*keys, *[_cell(c, size).alias(f"c{c}") for c in "xyz"]).agg(F.array_distinct(F.array(F.max(row), F.min(row))).alias("few"))
+    return cells.select(*keys, F.explode("few").alias("r")).select(*keys, "r.*")
 
-        def covers(n):
-            d2 = (x - n["b_x"]) * (x - n["b_x"]) + (y - n["b_y"]) * (y - n["b_y"]) + (z - n["b_z"]) * (z - n["b_z"])
-            return d2 < (n["b_radius"] + probe) * (n["b_radius"] + probe)
-        return ~F.exists(F.coalesce(F.col("near"), F.array().cast("array<struct<b_x:double,b_y:double,b_z:double,b_radius:double>>")), covers)
 
-    share = F.size(F.filter(sphere, free)) / float(points)
-    return rows.select(*keys, "atom", (share * 4 * math.pi * radius * radius).alias("sasa"))
+def _uncovered(rows: DataFrame, covers: DataFrame, keys: list[str], probe: float, points: int, most: float) -> DataFrame:
+    """Atoms ``(keys, atom, x, y, z, radius, free)`` with those of their points ``free`` that none of ``covers`` covers.
+
+    Atoms meet the covers of their cell and those around it in blocks of bounded numbers of both; several small ones
+    go through one call.
+    """
+    size = 2 * (most + probe)
+    at = [f"c{c}" for c in "xyz"]
+    rows = rows.withColumns({f"c{c}": _cell(c, size) for c in "xyz"})
+    near = covers.withColumns({f"c{c}": _cell(c, size) for c in "xyz"})
+    counts = near.groupBy(*keys, *at).agg(F.count("*").alias("m"))
+    for c in at:
+        near = near.withColumn(c, F.explode(F.array(*[F.col(c) + k for k in (-1, 0, 1)])))
+        counts = counts.withColumn(c, F.explode(F.array(*[F.col(c) + k for k in (-1, 0, 1)])))
+    counts = counts.groupBy(*keys, *at).agg(F.sum("m").alias("m"))
+    cells = rows.groupBy(*keys, *at).agg(F.count("*").alias("n")).join(counts, [*keys, *at], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    sized = {"chunks": F.ceil(F.col("n") / float(CHUNK)).cast("int"), "blocks": F.greatest(F.lit(1), F.ceil(F.col("m") / float(BLOCK))).cast("int")}
+    cells, _ = written(cells.withColumns(sized).withColumn("cell", F.monotonically_increasing_id()), "cells")
+    packs = 1 + int((cells.agg(F.sum(F.col("m") * F.col("chunks") + F.col("n") * F.col("blocks"))).first()[0] or 0) // PACK)
+    unit = ["cell", "chunk", "block"]
+    pack = F.pmod(F.xxhash64(*unit), F.lit(packs)).alias("pack")
+    on = F.lit(True)
+    for c in (*keys, *at):
+        on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}"))
+    mine = rows.alias("r").join(cells.alias("k"), on).select("r.*", "cell", F.pmod(F.xxhash64("r.atom"), F.col("chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).drop(*at)
+    met = near.join(cells.drop("n", "m"), [*keys, *at]).select("own", "atom", "x", "y", "z", "radius", F.col("cell").alias("cell"), F.pmod(F.xxhash64("own", "atom"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    names = [*keys, "atom", "x", "y", "z", "radius", "free"]
+    sphere = _sphere(points)
+
+    def tried(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values(unit, kind="stable"), b.sort_values(unit, kind="stable")
+        place = {u: (i, j) for u, i, j in _spans(b[unit])}
+        p, r = a[["x", "y", "z"]].to_numpy(float), a["radius"].to_numpy(float)
+        q, s, own, ids, mine_ids = b[["x", "y", "z"]].to_numpy(float), b["radius"].to_numpy(float), b["own"].to_numpy(bool), b["atom"].to_numpy(), a["atom"].to_numpy()
+        free = [np.asarray(f, dtype=int) for f in a["free"]]
+        for u, i, j in _spans(a[unit]):
+            lo, hi = place.get(u, (0, 0))
+            for k in range(i, j):
+                other = ~(own[lo:hi] & (ids[lo:hi] == mine_ids[k]))
+                free[k] = _still_free(sphere, free[k], p[k], r[k] + probe, q[lo:hi][other], s[lo:hi][other] + probe)
+        return a[names[:-1]].assign(free=pd.Series([f.tolist() for f in free], index=a.index, dtype=object))
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
+    found = mine.withColumn("pack", pack).groupBy("pack").cogroup(met.withColumn("pack", pack).groupBy("pack")).applyInPandas(tried, schema)
+    one = found.groupBy(*keys, "atom").agg(*[F.first(c).alias(c) for c in ("x", "y", "z", "radius")], F.collect_list("free").alias("all"))
+    return one.withColumn("free", F.aggregate("all", F.col("all")[0], F.array_intersect)).select(*names)
+
+
+def _spans(units: pd.DataFrame) -> list[tuple]:
+    """Runs of equal rows: ``(row, first, end)``."""
+    first = np.flatnonzero(~units.duplicated().to_numpy()).tolist()
+    return [(tuple(u), i, j) for u, i, j in zip(units.to_numpy()[first].tolist(), first, [*first[1:], len(units)][: len(first)], strict=True)]
+
+
+def _still_free(sphere: np.ndarray, free: np.ndarray, at: np.ndarray, radius: float, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Which of an atom's points no sphere covers: the nearest are tried first, on what is left the others."""
+    gap = centres - at
+    d2 = (gap * gap).sum(1)
+    reach = np.flatnonzero(d2 < (radii + radius) ** 2 * (1 + 1e-9))
+    if len(reach) > NEAREST:
+        part = np.argpartition(d2[reach], NEAREST)
+        reach = reach[part]
+    step = NEAREST
+    k = 0
+    while k < len(reach) and len(free):
+        chosen = reach[k : k + step]
+        v = gap[chosen][:, None, :] - radius * sphere[free][None, :, :]
+        v *= v
+        d = v[:, :, 0] + v[:, :, 1] + v[:, :, 2]
+        free = free[~(d < (radii[chosen] ** 2)[:, None]).any(0)]
+        k, step = k + step, 1024
+    return free
 
 
 def _sphere(count: int) -> np.ndarray:
-    k = np.arange(count)
-    z = 1 - 2 * (k + 0.5) / count
-    r, a = np.sqrt(1 - z * z), math.pi * (3 - math.sqrt(5)) * k
-    return np.stack([r * np.cos(a), r * np.sin(a), z], 1)
+    turn = math.pi * (3 - math.sqrt(5))
+    out = []
+    for k in range(count):
+        z = 1 - 2 * (k + 0.5) / count
+        r = math.sqrt(1 - z * z)
+        out.append((r * math.cos(turn * k), r * math.sin(turn * k), z))
+    return np.array(out)
 
 
 def rmsd(a: DataFrame, b: DataFrame, keys: list[str], index: str) -> DataFrame:

@@ -24,6 +24,30 @@ def test_area_of_every_atom(spark, many_points):
     assert area[2098] < area[2094]  # of one element; the last atom covers a part
 
 
+def test_areas_meet_no_pairs_of_atoms(spark, monkeypatch):
+    """A dense structure: points are tried against a few atoms of each cell, then against all, in blocks of any size."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quarry.operators import spatial
+
+    monkeypatch.setattr(spatial, "range_join", lambda *a, **k: pytest.fail("pairs of atoms"))
+    at = np.random.default_rng(3).normal(0, 2.5, (400, 3))
+    rows = [("s", k, *map(float, p), 1.2 if k % 3 else 1.8) for k, p in enumerate(at)]
+    atoms = spark.createDataFrame(rows, "k string, atom int, x double, y double, z double, radius double")
+    one, two = atoms.where("atom % 4 = 0"), atoms.where("atom % 4 <> 0")
+    sphere, r, want = spatial._sphere(92), np.array([x[5] for x in rows]) + 1.4, {}
+    for k in range(0, 400, 4):
+        d2 = ((at[k] + r[k] * sphere)[:, None, :] - np.delete(at, k, 0)[None]) ** 2
+        want[k] = float((d2.sum(2) >= np.delete(r, k) ** 2).all(1).mean() * 4 * np.pi * r[k] ** 2)
+    for name, v in (("CHUNK", 40), ("BLOCK", 110), ("PACK", 5000)):
+        monkeypatch.setattr(spatial, name, v)
+    got = {x["atom"]: x["sasa"] for x in spatial.sasa(one, ["k"], others=two).collect()}
+    assert got == pytest.approx(want)
+    lone = spark.createDataFrame([(None, 1, 0.0, 0.0, 0.0, 1.7), ("a", 2, None, 0.0, 0.0, 1.7)], atoms.schema)
+    assert lone.count() == spatial.sasa(lone, ["k"]).where(F.col("sasa") > 0).count()
+
+
 def test_networks_have_all_nodes(spark):
     table = Q.table(spark, SF, "embeddings")
     structures = [r["label"] for r in table.select("label").distinct().collect()]
