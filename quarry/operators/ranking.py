@@ -93,8 +93,8 @@ def kendall_tau(df: DataFrame, a: str, b: str, keys: list[str], item: str) -> Da
 
 
 def corrected_ranking(df: DataFrame, affinity: str, strain: str, keys: list[str], item: str) -> DataFrame:
-    """Ranks by affinity, and by affinity plus strain where the strain is known."""
-    corrected = F.col(affinity) + F.coalesce(finite(strain), F.lit(0.0))
+    """Ranks by affinity, and by affinity plus strain where the strain is known; sums are equal to nine places."""
+    corrected = F.round(F.col(affinity) + F.coalesce(finite(strain), F.lit(0.0)), 9)
     out = df.withColumn("corrected", corrected)
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(affinity, item))).withColumn("corrected_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("corrected", item)))
 

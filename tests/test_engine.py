@@ -97,6 +97,13 @@ def test_ranks_of_a_ranking(spark):
     assert {r["i"]: r["rank"] for r in evalstats.ranks_of(df, "s", [], "i").collect()} == {2: 1, 3: 2, 1: 3, 5: 4, 4: 5}
 
 
+def test_corrected_sums_that_are_equal_are_ties(spark):
+    df = spark.createDataFrame([("r", "a", -0.1, 0.4), ("r", "b", 0.1, 0.2), ("r", "c", 0.3, float("nan"))], "k string, run string, affinity double, strain double")
+    got = {r["run"]: (r["rank"], r["corrected_rank"]) for r in ranking.corrected_ranking(df, "affinity", "strain", ["k"], "run").collect()}
+    assert -0.1 + 0.4 > 0.3 or 0.1 + 0.2 > 0.3
+    assert got == {"a": (1, 1), "b": (2, 2), "c": (3, 3)}
+
+
 def test_picks(spark):
     sets = spark.createDataFrame([(1, "x", [1, 2, 3]), (2, "x", [1, 2, 3]), (3, "x", [9]), (4, "x", [1, 2, 4])], "id int, label string, bits array<int>")
     assert [r["id"] for r in simjoin.maxmin_pick(sets, ["label"], 3).orderBy("pick").collect()] == [1, 3, 4]
