@@ -48,6 +48,34 @@ def test_areas_meet_no_pairs_of_atoms(spark, monkeypatch):
     assert lone.count() == spatial.sasa(lone, ["k"]).where(F.col("sasa") > 0).count()
 
 
+def test_pairs_of_sets_meet_once(spark):
+    """No posting of a set meets a partner on each bit, and no pair is counted in a shuffle."""
+    import random
+
+    from quarry.operators import simjoin
+
+    draw = random.Random(5)
+    own = {(k % 2, k): {b for b in range(0, 130, 3) if draw.random() < 0.4} for k in range(60)} | {(0, 60): set()}
+    sets = spark.createDataFrame([(k, i, sorted(b)) for (k, i), b in own.items()], "k int, id int, bits array<int>")
+    found = simjoin.similarity_matrix(sets, ["k"], n_bits=130)
+    want = {(i, j): len(x & y) for (k, i), x in own.items() for (q, j), y in own.items() if k == q and i < j and x & y}
+    assert {(r["a"], r["b"]): r["common"] for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "ShuffledHashJoin" in plan
+    low = sets.withColumn("bits", spark_filter("bits", 64))
+    pairs = {(r["a"], r["b"]) for r in simjoin.similar_pairs(low, 0.3, keys=["k"], n_bits=64).collect()}
+    cut = {k: {b for b in v if b < 64} for k, v in own.items()}
+    assert pairs == {(i, j) for (k, i), x in cut.items() for (q, j), y in cut.items() if k == q and i < j and x & y and len(x & y) / len(x | y) >= 0.3}
+    best = {r["id"]: r["score"] for r in simjoin.best_reference_scores(sets.withColumnRenamed("k", "label"), sets.withColumnRenamed("k", "label").where("id < 4"), n_bits=130).collect()}
+    assert best == pytest.approx({i: max([len(x & y) / len(x | y) for (q, j), y in own.items() if j < 4 and q != k and x & y], default=0.0) for (k, i), x in own.items()})
+
+
+def spark_filter(column, below):
+    from pyspark.sql import functions as F
+
+    return F.filter(column, lambda b: b < below)
+
+
 def test_networks_have_all_nodes(spark):
     table = Q.table(spark, SF, "embeddings")
     structures = [r["label"] for r in table.select("label").distinct().collect()]
