@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import geometry
 from quarry.functions import similarity as sim
-from quarry.operators import spatial, structure
+from quarry.operators import simjoin, spatial, structure
 from quarry.sources import records
 
 from .queries import ATOMS, POINTS, _contacts, points, query, rounded, table
@@ -119,7 +119,9 @@ def contact_similarity(spark, sf_dir):
     """Contact fingerprints of all pairs of a structure's ligand atoms that have contacts."""
     rows = _contacts(spark, sf_dir)
     v = rows.groupBy("label", "a").agg(F.array(*[F.count_if(F.col("kind") == k) for k in ("clash", "hbond", "hydrophobic", "salt")]).alias("c"))
-    p = v.select("label", "a", F.col("c").alias("cx")).join(v.select("label", F.col("a").alias("b"), F.col("c").alias("cy")), "label").where("a < b")
+    x = simjoin.in_parts(v.select("label", "a", F.col("c").alias("cx")), ["label"], "a", "part_x", "part_y")
+    y = simjoin.in_parts(v.select("label", F.col("a").alias("b"), F.col("c").alias("cy")), ["label"], "b", "part_y", "part_x")
+    p = x.join(y.hint("shuffle_hash"), ["label", "part_x", "part_y"]).where("a < b")
     return rounded(p.select("a", "b", *[sim.contact_similarity(F.col("cx"), F.col("cy"), k).alias(k) for k in ("tanimoto", "dice", "cosine")]), "tanimoto", "dice", "cosine")
 
 

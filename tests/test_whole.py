@@ -70,6 +70,12 @@ def test_pairs_of_sets_meet_once(spark):
     assert best == pytest.approx({i: max([len(x & y) / len(x | y) for (q, j), y in own.items() if j < 4 and q != k and x & y], default=0.0) for (k, i), x in own.items()})
 
 
+def test_contact_pairs_are_dealt(spark):
+    """A structure's pairs go through many tasks."""
+    plan = catalog.QUERIES["contact_similarity"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "part_x" in plan and "part_y" in plan and "ShuffledHashJoin" in plan
+
+
 def spark_filter(column, below):
     from pyspark.sql import functions as F
 
