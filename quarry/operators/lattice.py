@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import metrics as m
 from quarry.plans.components import components
-from quarry.plans.stages import drop_path, written
+from quarry.plans.stages import drop_path, shuffled, written
 
 from .spatial import free_volume, range_join
 
@@ -112,17 +112,17 @@ def open_neighbours(seeds: DataFrame, blocked: DataFrame, frame: DataFrame, keys
     near = seeds.select(*keys, "cell", F.explode(F.array(*[F.col("cell") + step_of(d) for d in DIRECTIONS])).alias("next"))
     near = inside(near, frame, keys, "next")
     known = blocked.select(*keys, F.col("cell").alias("next")).unionByName(seeds.select(*keys, F.col("cell").alias("next")))
-    found = near.join(known, [*keys, "next"], "left_anti").groupBy(*keys, "cell").agg(F.count("*").alias("open"))
-    return seeds.select(*keys, "cell").join(found, [*keys, "cell"], "left").withColumn("open", F.coalesce("open", F.lit(0)))
+    found = near.join(shuffled(known), [*keys, "next"], "left_anti").groupBy(*keys, "cell").agg(F.count("*").alias("open"))
+    return seeds.select(*keys, "cell").join(shuffled(found), [*keys, "cell"], "left").withColumn("open", F.coalesce("open", F.lit(0)))
 
 
 def systems(seeds: DataFrame, keys: list[str]) -> DataFrame:
     """``seeds`` with ``system``, the first cell of its 26-connected component."""
     ahead = seeds.select(*keys, "cell", F.explode(F.array(*[F.col("cell") + step_of(d) for d in AXES])).alias("next"))
-    links = ahead.join(seeds.select(*keys, F.col("cell").alias("next")), [*keys, "next"])
+    links = ahead.join(shuffled(seeds.select(*keys, F.col("cell").alias("next"))), [*keys, "next"])
     found = components(links.select(F.struct(*keys, "cell").alias("a"), F.struct(*keys, F.col("next").alias("cell")).alias("b")))
     at = found.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.cell").alias("cell"), F.col("component.cell").alias("system"))
-    return seeds.join(at, [*keys, "cell"], "left").withColumn("system", F.coalesce("system", "cell"))
+    return seeds.join(shuffled(at), [*keys, "cell"], "left").withColumn("system", F.coalesce("system", "cell"))
 
 
 def first_come(items: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,12 +135,12 @@ def first_come(items: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
     open_, path = written(items.select(*keys, "id"), "open")
     kept, paths = items.select(*keys, "id").limit(0), [edges_path]
     while open_.limit(1).count():
-        held = edges.join(open_.withColumnRenamed("id", "a"), [*keys, "a"], "left_semi").select(*keys, F.col("b").alias("id")).distinct()
-        now, now_path = written(open_.join(held, [*keys, "id"], "left_anti"), "kept")
+        held = edges.join(shuffled(open_.withColumnRenamed("id", "a")), [*keys, "a"], "left_semi").select(*keys, F.col("b").alias("id")).distinct()
+        now, now_path = written(open_.join(shuffled(held), [*keys, "id"], "left_anti"), "kept")
         paths.append(now_path)
         kept = kept.unionByName(now)
-        gone = now.unionByName(edges.join(now.withColumnRenamed("id", "a"), [*keys, "a"]).select(*keys, F.col("b").alias("id"))).distinct()
-        open_, new = written(open_.join(gone, [*keys, "id"], "left_anti"), "open")
+        gone = now.unionByName(edges.join(shuffled(now.withColumnRenamed("id", "a")), [*keys, "a"]).select(*keys, F.col("b").alias("id"))).distinct()
+        open_, new = written(open_.join(shuffled(gone), [*keys, "id"], "left_anti"), "open")
         drop_path(spark, path)
         path = new
     out, _ = written(kept, "first-come")
@@ -171,11 +171,11 @@ def sub_pockets(cells: DataFrame, keys: list[str], radius: float, core: int) ->
     # a centre within twice the radius is nearer than any beyond; the other cells meet all centres of their system
     points = cells.select(*own, "cell", *index)
     near, near_path = written(nearest(range_join(points, centres, 2 * radius, own)), "near")
-    rest = points.join(near, [*own, "cell"], "left_anti")
+    rest = points.join(shuffled(near), [*own, "cell"], "left_anti")
     a = rest.select(*own, *[F.col(c).alias(f"a_{c}") for c in ("cell", "x", "y", "z")])
     b = centres.select(*own, *[F.col(c).alias(f"b_{c}") for c in ("id", "x", "y", "z")])
     far = a.join(b, own).withColumn("d2", sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in "xyz"), F.lit(0.0)))
-    return cells.join(near.unionByName(nearest(far)), [*own, "cell"])
+    return cells.join(shuffled(near.unionByName(nearest(far))), [*own, "cell"])
 
 
 @dataclass
@@ -203,7 +203,7 @@ def find_pockets(atoms: DataFrame, keys: list[str], spacing: float = 1.0, probe:
     walled = walled_directions(blocked, frame, keys, max(1, round(ray_length / spacing)))
     seeds, seeds_path = written(walled.where(F.col("walled") / F.lit(26.0) >= buried), "seeds")
     opened = open_neighbours(seeds, blocked, frame, keys)
-    cells = systems(seeds, keys).join(opened, [*keys, "cell"]).join(frame.select(*keys, "ox", "oy", "oz"), keys)
+    cells = systems(seeds, keys).join(shuffled(opened), [*keys, "cell"]).join(frame.select(*keys, "ox", "oy", "oz"), keys)
     place = {c: F.col(f"o{c}") + index_of(F.col("cell"), c) * spacing for c in "xyz"}
     cells, cells_path = written(cells.withColumns(place).drop("ox", "oy", "oz"), "cavities")
     grouped, _ = written(sub_pockets(cells, keys, pocket_radius / spacing, int(26 * core_depth + 1e-9)), "pocket-cells")
@@ -239,7 +239,7 @@ def buriedness(points: DataFrame, atoms: DataFrame, keys: list[str], group: list
         hits = hits.bitwiseOR(F.when((along > 0) & (along <= ray_length) & (across < F.col("b_radius") + probe), 1 << k).otherwise(0))
     own = [c for c in group if c not in keys]
     masks = near.groupBy(*keys, *[F.col(f"a_{c}").alias(c) for c in own], F.col(f"a_{point}").alias(point)).agg(F.bit_or(hits).alias("mask"))
-    met = taken.select(*group, point).join(masks, [*group, point], "left")
+    met = taken.select(*group, point).join(shuffled(masks), [*group, point], "left")
     return met.groupBy(*group).agg(F.avg(F.coalesce(F.bit_count("mask"), F.lit(0)) / 26.0).alias("buriedness"))
 
 

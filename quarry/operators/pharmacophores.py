@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.plans.stages import drop_path, written
+from quarry.plans.stages import drop_path, shuffled, written
 
 from .simjoin import around_most
 from .spatial import range_join
@@ -35,7 +35,7 @@ def build_model(features: DataFrame, radius: float = RADIUS, threshold: float =
     near = range_join(points, points, radius, ["family"]).where("a_id < b_id").select("family", F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     clusters = around_most(points.select("family", "id"), near, ["family"])
     n = features.select(F.count_distinct("molecule").alias("members"))  # one row
-    sums = points.join(clusters, ["family", "id"]).groupBy("family", "representative").agg(*[F.avg(c).alias(c) for c in "xyz"], F.count_distinct("molecule").alias("support"))
+    sums = points.join(shuffled(clusters), ["family", "id"]).groupBy("family", "representative").agg(*[F.avg(c).alias(c) for c in "xyz"], F.count_distinct("molecule").alias("support"))
     held = sums.crossJoin(F.broadcast(n)).where(F.col("support") >= threshold * F.col("members"))
     number = F.row_number().over(Window.orderBy(F.desc("support"), "family", "representative")) - 1
     # as many rows as families can support within the threshold
@@ -55,7 +55,7 @@ def _pairs(features: DataFrame, keys: list[str], own: str) -> DataFrame:
     """Ordered pairs of different features of a molecule or a model: ``(keys, p, q, fp, fq, d)``."""
     p = features.select(*keys, F.col(own).alias("p"), F.col("family").alias("fp"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
     q = features.select(*keys, F.col(own).alias("q"), F.col("family").alias("fq"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
-    met = p.join(q, keys) if keys else p.crossJoin(F.broadcast(q))
+    met = p.join(shuffled(q), keys) if keys else p.crossJoin(F.broadcast(q))
     gap = sum(((F.col(f"p{c}") - F.col(f"q{c}")) * (F.col(f"p{c}") - F.col(f"q{c}")) for c in "xyz"), F.lit(0.0))
     return met.where("p <> q").select(*keys, "p", "q", "fp", "fq", F.sqrt(gap).alias("d"))
 
@@ -99,7 +99,7 @@ def best_triangles(features: DataFrame, model: DataFrame, first: float = 2.0, fl
     while True:
         last = bound > longest
         size = F.lit(bound)
-        x = mine.join(open_, "molecule").withColumn("bin", F.floor(F.col("d") / size))
+        x = mine.join(shuffled(open_), "molecule").withColumn("bin", F.floor(F.col("d") / size))
         y = its.withColumn("bin", F.explode(F.array(*[F.floor(F.col("e") / size) + n for n in (-1, 0, 1)])))
         hits = x.join(F.broadcast(y), ["fp", "fq", "bin"]).where(F.abs(F.col("d") - F.col("e")) <= size).select("molecule", "i", "j", "p", "q", "d", "e", "fp", "fq")
         hits, hits_path = written(hits, "hits")
@@ -107,7 +107,7 @@ def best_triangles(features: DataFrame, model: DataFrame, first: float = 2.0, fl
         ij = hits.select("molecule", "i", "j", F.col("p").alias("a"), F.col("q").alias("b"), F.col("d").alias("d12"), F.col("e").alias("e12"), F.col("fp").alias("f1"), F.col("fq").alias("f2"))
         ik = hits.select("molecule", "i", F.col("j").alias("k"), F.col("p").alias("a"), F.col("q").alias("c"), F.col("d").alias("d13"), F.col("e").alias("e13"), F.col("fq").alias("f3"))
         jk = hits.select("molecule", F.col("i").alias("j"), F.col("j").alias("k"), F.col("p").alias("b"), F.col("q").alias("c"), F.col("d").alias("d23"), F.col("e").alias("e23"))
-        met = ij.join(ik, ["molecule", "i", "a"]).where("j < k and f1 <> f3 and f2 <> f3").join(jk, ["molecule", "j", "k", "b", "c"])
+        met = ij.join(shuffled(ik), ["molecule", "i", "a"]).where("j < k and f1 <> f3 and f2 <> f3").join(shuffled(jk), ["molecule", "j", "k", "b", "c"])
         d, e = ([F.col(f"{n}{s}") for s in ("12", "13", "23")] for n in "de")
         met = met.where((squared_area(d) > flat) & (squared_area(e) > flat)).withColumn("rmsd", F.round(triangle_rmsd(d, e), 6))
         best = met.groupBy("molecule").agg(F.min(F.struct("rmsd", "i", "j", "k", "a", "b", "c")).alias("m")).select("molecule", "m.*")
@@ -116,7 +116,7 @@ def best_triangles(features: DataFrame, model: DataFrame, first: float = 2.0, fl
         done = best if done is None else done.unionByName(best)
         if last:
             break
-        open_, new = written(open_.join(best.select("molecule"), "molecule", "left_anti"), "open")
+        open_, new = written(open_.join(shuffled(best.select("molecule")), "molecule", "left_anti"), "open")
         drop_path(spark, path)
         path = new
         if not open_.limit(1).count():
@@ -152,7 +152,7 @@ def superpositions(best: DataFrame, features: DataFrame, model: DataFrame) -> Da
     """
     rows = best
     for n, c in zip("abc", "ijk", strict=True):
-        rows = rows.join(features.select("molecule", F.col("feature").alias(n), F.array("x", "y", "z").alias(f"m{n}")), ["molecule", n])
+        rows = rows.join(shuffled(features.select("molecule", F.col("feature").alias(n), F.array("x", "y", "z").alias(f"m{n}"))), ["molecule", n])
         rows = rows.join(F.broadcast(model.select(F.col("number").alias(c), F.array("x", "y", "z").alias(f"t{n}"))), c)
     for s in "mt":
         p, q, r = ([F.col(f"{s}{n}")[k] for k in range(3)] for n in "abc")
@@ -175,7 +175,7 @@ def superpositions(best: DataFrame, features: DataFrame, model: DataFrame) -> Da
 
 def moved(points: DataFrame, placed: DataFrame) -> DataFrame:
     """Points ``(molecule, .., x, y, z)`` after the superposition of their molecule."""
-    rows = points.join(placed.select("molecule", "r", "from", "to"), "molecule")
+    rows = points.join(shuffled(placed.select("molecule", "r", "from", "to")), "molecule")
     gap = [F.col(c) - F.col("from")[k] for k, c in enumerate("xyz")]
     return rows.select(*[c for c in points.columns if c not in "xyz"], *[(_dot([F.col("r")[k][y] for y in range(3)], gap) + F.col("to")[k]).alias(c) for k, c in enumerate("xyz")])
 
@@ -209,7 +209,7 @@ def outside(atoms: DataFrame, envelope: DataFrame, tolerance: float = SHAPE_TOLE
     rows = atoms.select("molecule", "atom", "x", "y", "z")
     near = range_join(rows, envelope.select("x", "y", "z"), tolerance).select(F.col("a_molecule").alias("molecule"), F.col("a_atom").alias("atom")).distinct()
     held = near.withColumn("near", F.lit(1))
-    return rows.join(held, ["molecule", "atom"], "left").groupBy("molecule").agg(F.count("*").alias("n_heavy"), F.count_if(F.col("near").isNull()).alias("n_outside"))
+    return rows.join(shuffled(held), ["molecule", "atom"], "left").groupBy("molecule").agg(F.count("*").alias("n_heavy"), F.count_if(F.col("near").isNull()).alias("n_outside"))
 
 
 def screen(features: DataFrame, atoms: DataFrame, model: DataFrame, envelope: DataFrame | None = None, tolerance: float = TOLERANCE, miss_penalty: float = MISS_PENALTY, shape_tolerance: float = SHAPE_TOLERANCE, min_coverage: float = MIN_COVERAGE, align: bool = True) -> DataFrame:
@@ -224,9 +224,9 @@ def screen(features: DataFrame, atoms: DataFrame, model: DataFrame, envelope: Da
     if align:
         placed, _ = written(superpositions(best_triangles(features, model), features, model), "placed")
         features, atoms = moved(features, placed), moved(atoms, placed)
-    rows = every.join(matched(features, model, tolerance, miss_penalty), "molecule", "left").withColumn("placed", F.col("fit").isNotNull())
+    rows = every.join(shuffled(matched(features, model, tolerance, miss_penalty)), "molecule", "left").withColumn("placed", F.col("fit").isNotNull())
     if envelope is not None:
-        rows = rows.join(outside(atoms, envelope, shape_tolerance), "molecule", "left")
+        rows = rows.join(shuffled(outside(atoms, envelope, shape_tolerance)), "molecule", "left")
         inside = (F.col("n_heavy") - F.col("n_outside")) / F.col("n_heavy") >= min_coverage
         rows = rows.withColumn("shape", F.coalesce(inside, F.lit(False)))
     else:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.plans.stages import drop_path, written
+from quarry.plans.stages import drop_path, shuffled, written
 
 PROBE, POINTS = 1.4, 92
 #: Areas: edge of the cells that give two atoms each, atoms and covers of a block, rows of a call, neighbours tried first.
@@ -27,7 +27,8 @@ def squared(a: str = "a_", b: str = "b_") -> Column:
 def range_join(left: DataFrame, right: DataFrame, radius: float, keys: list[str] | None = None, inclusive: bool = True) -> DataFrame:
     """Pairs within the radius; columns of the sides begin with ``a_`` and ``b_``, ``d2`` is the squared distance.
 
-    Each left point looks into the 27 cells around it; dense cells spread by AQE's handling of skewed joins.
+    Each left point looks into the 27 cells around it; dense cells spread by AQE's handling of skewed joins. Neither side goes
+    through the driver.
     """
     keys = keys or []
     x = left.select(*keys, *[F.col(c).alias(f"a_{c}") for c in left.columns if c not in keys])
@@ -37,7 +38,7 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, keys: list[str]
         y = y.withColumn(f"c{c}", _cell(f"b_{c}", radius))
     d2 = squared()
     near = d2 <= radius * radius if inclusive else d2 < radius * radius
-    return x.join(y, [*keys, "cx", "cy", "cz"]).where(near).withColumn("d2", d2).drop("cx", "cy", "cz")
+    return x.join(shuffled(y), [*keys, "cx", "cy", "cz"]).where(near).withColumn("d2", d2).drop("cx", "cy", "cz")
 
 
 def nearest_within(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, keys: list[str] | None = None) -> DataFrame:

@@ -145,3 +145,22 @@ def test_positions_are_whole_and_distinct(spark, tmp_path, parts):
         assert tuple(got) == (300_000, 1, 300_000)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("name", ["build_model", "detect_pockets"])
+def test_tables_of_rounds_stay_off_the_driver(spark, monkeypatch, name):
+    """Joins that are made in each round broadcast nothing that grows."""
+    from quarry.operators import lattice, pharmacophores, simjoin
+    from quarry.plans import components, stages
+
+    plans, write = [], stages.written
+
+    def noted(df, *a, **b):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *a, **b)
+
+    for module in (lattice, pharmacophores, simjoin, components):
+        monkeypatch.setattr(module, "written", noted)
+    Q.QUERIES[name](spark, SF)
+    grown = [p for p in plans if "neighbours" in p or "moves" in p or "links" in p]
+    assert grown and not any("BroadcastHashJoin" in p for p in grown)
