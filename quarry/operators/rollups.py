@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.plans.stages import tasks_for
+
 from .ranking import finite, positions, ranked
 
+#: Parts into which the members of a core are dealt, so that no group of pairs is one task.
+DEALS = 4
+
 
 def status_counts(results: DataFrame, keys: list[str]) -> DataFrame:
     return results.groupBy(*keys).agg(
@@ -114,14 +119,17 @@ def scaffold_coverage(selection: DataFrame, library: DataFrame, key: str) -> Dat
 def matched_pairs(molecules: DataFrame, core: list[str], groups: list[str], item: str, value: str, noise: float = 1.0) -> DataFrame:
     """Pairs of one core that differ in exactly one of the groups: joined on the core and all other groups.
 
-    Members of one core and other groups are joined to the members with another value of the open group.
+    Members of one core and other groups are joined to the members with another value of the open group. There are many more pairs than
+    members, so tasks are set by number: by size, Spark would join them in a few.
     """
-    out = None
+    out, n = None, tasks_for(molecules.sparkSession)
     for g in groups:
         same = core + [x for x in groups if x != g]
         a = molecules.select(*same, F.col(item).alias("a"), F.col(g).alias("from"), F.col(value).alias("va"))
         b = molecules.select(*same, F.col(item).alias("b"), F.col(g).alias("to"), F.col(value).alias("vb"))
-        pairs = a.join(b, same).where((F.col("a") < F.col("b")) & (F.col("from") != F.col("to")))
+        a = a.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(DEALS))).repartition(n, *same, "part")
+        b = b.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long")))).repartition(n, *same, "part")
+        pairs = a.join(b.hint("shuffle_hash"), [*same, "part"]).where((F.col("a") < F.col("b")) & (F.col("from") != F.col("to")))
         rows = pairs.select(F.lit(g).alias("label"), "a", "b", "from", "to", (F.col("vb") - F.col("va")).alias("delta"))
         out = rows if out is None else out.unionByName(rows)
     return out.withColumn("significant", F.abs("delta") >= noise)
