@@ -1,20 +1,25 @@
 """Evaluation of rankings: enrichment, ROC area, BEDROC, bootstraps and detectable differences.
 
 Everything is per group of ``keys``. Scores order descending, ties by the item. Places are counted over ranges
-(``ranking.positions``), so that four groups are not four tasks. The bootstraps are grouped by (keys, resample): draws are
-arithmetic on the item's number, so results do not depend on partitions, and each resample is a declarative aggregate
-over weighted rows; no group of all scores is gathered.
+(``ranking.positions``), so that four groups are not four tasks. Draws of the bootstraps are arithmetic on the item's number, so
+results do not depend on partitions. A resampled ROC area is counted over sorted ranges, all resamples of a row at once; other
+statistics are declarative aggregates over weighted rows by (keys, resample). No group of all scores is gathered.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.plans.stages import tasks_for, written
+
 from .ranking import positions, running_total
 
 EF_FRACTIONS = (0.01, 0.05)
@@ -118,19 +123,122 @@ def uniform(item: Column, b: Column, seed: int) -> Column:
     return (x + 0.5) / float(PRIME)
 
 
-def resampled(df: DataFrame, keys: list[str], item: str, samples: int, seed: int) -> DataFrame:
+def _shares(most: int = 12) -> list[float]:
+    """Above which numbers in (0, 1) a row is drawn once, twice and so on."""
+    cut, total, out = math.exp(-1), 0.0, []
+    for k in range(most):
+        total += cut
+        out.append(total)
+        cut /= k + 1
+    return out
+
+
+@dataclass
+class Resamples:
     """Poisson bootstrap: each row enters resample ``b`` a Poisson(1) number of times, drawn by its number and the resample's.
 
-    Needs no index of rows and no gathered group; weights stay on the rows, so nothing is copied. The chance of more than
-    eleven draws is below 1e-9 and left out.
+    Needs no index of rows and no gathered group; draws are made where they are used. The chance of more than eleven draws is below
+    1e-9 and left out.
     """
-    cut, total, draws = math.exp(-1), 0.0, F.lit(0)
-    for k in range(12):
-        total += cut
-        draws = draws + F.when(F.col("__u") > total, 1).otherwise(0)
-        cut /= k + 1
-    rows = df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    return rows.withColumn("__u", uniform(F.col(item).cast("long"), F.col("b"), seed)).withColumn("w", draws).drop("__u").where("w > 0")
+
+    df: DataFrame
+    item: str
+    samples: int
+    seed: int
+
+    def rows(self) -> DataFrame:
+        """Each row once for each resample that it enters, with ``b`` and its weight ``w``."""
+        draws = sum((F.when(F.col("__u") > total, 1).otherwise(0) for total in _shares()), F.lit(0))
+        rows = self.df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(self.samples))))
+        return rows.withColumn("__u", uniform(F.col(self.item).cast("long"), F.col("b"), self.seed)).withColumn("w", draws).drop("__u").where("w > 0")
+
+    def of(self, statistic: Statistic, score: str, label: str, keys: list[str]) -> DataFrame:
+        """``(keys, b, value)``."""
+        if statistic is auc_statistic:
+            return resampled_auc(self, score, label, keys)
+        return statistic(self.rows(), score, label, [*keys, "b"])
+
+
+def resampled(df: DataFrame, keys: list[str], item: str, samples: int, seed: int) -> Resamples:
+    return Resamples(df, item, samples, seed)
+
+
+def draws(items: np.ndarray, samples: int, seed: int) -> np.ndarray:
+    """Weights of rows (by number) in all resamples: what ``Resamples.rows`` draws."""
+    x = np.mod(np.mod(items, PRIME)[:, None] * 1000003 + np.arange(1, samples + 1)[None, :] * 104729 + seed, PRIME)
+    for step in (48271, 69621, 16807):
+        x = np.mod(x * x + x * step + 1, PRIME)
+    return np.searchsorted(_shares(), (x + 0.5) / float(PRIME)).astype(np.float64)
+
+
+#: Rows whose draws for all resamples are made at once.
+DRAWN_ROWS = 256
+
+
+def resampled_auc(drawn: Resamples, score: str, label: str, keys: list[str]) -> DataFrame:
+    """``(keys, b, value)``: ROC areas of all resamples, null where a class is missing. Rows are sorted by range once; each range gives
+    a row of counts for each of its groups, so neither draws nor weights are ever shuffled."""
+    samples, seed, width = drawn.samples, drawn.seed, len(keys)
+    rows = drawn.df.where(F.col(drawn.item).isNotNull()).select(*keys, F.col(score).alias("__v"), F.col(label).cast("long").alias("__y"), F.col(drawn.item).cast("long").alias("__item"))
+    dealt = rows.repartitionByRange(tasks_for(rows.sparkSession), *keys, "__v").sortWithinPartitions(*keys, "__v").withColumn("__p", F.spark_partition_id())
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "__p int, p array<double>, q array<double>, u array<double>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = at = last = None  # counts of the group so far; its keys; the value that may go on, with its counts
+
+        def close() -> None:
+            if last is not None:
+                held[2] += last[1] * (held[1] + last[2] / 2.0)
+                held[0] += last[1]
+                held[1] += last[2]
+
+        def row(part: int) -> pa.RecordBatch:
+            own = [pa.array([k], t) for k, t in zip(at, types, strict=True)]
+            return pa.RecordBatch.from_arrays([*own, pa.array([part], pa.int32()), *(pa.array([x], pa.list_(pa.float64())) for x in held)], names=[*keys, "__p", "p", "q", "u"])
+
+        part, types = 0, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            types, names = [batch.column(k).type for k in range(width)], list(zip(*(batch.column(k).to_pylist() for k in range(width)), strict=True)) or [()] * batch.num_rows
+            value, known = batch.column(width).fill_null(0).to_numpy(zero_copy_only=False), batch.column(width).is_valid().to_numpy(zero_copy_only=False)
+            y, item = batch.column(width + 1).fill_null(-1).to_numpy(zero_copy_only=False), batch.column(width + 2).to_numpy(zero_copy_only=False)
+            part = batch.column(width + 3)[0].as_py()
+            same = (known[1:] == known[:-1]) & ((value[1:] == value[:-1]) | ((value[1:] != value[1:]) & (value[:-1] != value[:-1])))
+            ends = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            for low, high in zip(ends[:-1], ends[1:], strict=True):
+                if at != names[low]:
+                    close()
+                    if at is not None:
+                        yield row(part)
+                    at, held, last = names[low], np.zeros((3, samples)), None
+                for k in range(low, high, DRAWN_ROWS):
+                    e = min(high, k + DRAWN_ROWS)
+                    w = draws(item[k:e], samples, seed)
+                    starts = np.concatenate([[0], np.flatnonzero(~same[k : e - 1]) + 1])
+                    p, q = (np.add.reduceat(w * (y[k:e] == c)[:, None], starts, axis=0) for c in (1, 0))
+                    first = (bool(known[k]), value[k])
+                    if last is not None and (last[0] == first or (last[0][0] == first[0] and last[0][1] != last[0][1] and first[1] != first[1])):
+                        p[0] += last[1]
+                        q[0] += last[2]
+                    else:
+                        close()
+                    before = np.cumsum(q[:-1], axis=0)
+                    upto = held[1] + np.concatenate([np.zeros((1, samples)), before])[:-1] if len(p) > 1 else np.zeros((0, samples))
+                    held[2] += (p[:-1] * (upto + q[:-1] / 2.0)).sum(0)
+                    held[0] += p[:-1].sum(0)
+                    held[1] += q[:-1].sum(0)
+                    last = (bool(known[e - 1]), value[e - 1]), p[-1], q[-1]
+        if at is not None:
+            close()
+            yield row(part)
+
+    found, _ = written(dealt.mapInArrow(run, schema), "areas")
+    each = found.select(*keys, "__p", F.posexplode(F.arrays_zip("p", "q", "u")).alias("b", "c")).select(*keys, "__p", (F.col("b") + 1).alias("b"), "c.*")
+    before = F.coalesce(F.sum("q").over(Window.partitionBy(*keys, "b").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    g = each.withColumn("u", F.col("u") + F.col("p") * before).groupBy(*keys, "b").agg(*[F.sum(c).alias(c) for c in "puq"])
+    return g.select(*keys, "b", F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u") / (F.col("p") * F.col("q"))).alias("value"))
 
 
 def percentile(values: str, share: float, upper: bool) -> Column:
@@ -177,7 +285,7 @@ def hit_statistic(threshold: float) -> Statistic:
 def bootstrap_interval(df: DataFrame, score: str, label: str, keys: list[str], item: str, statistic: Statistic = auc_statistic, samples: int = BOOTSTRAP_SAMPLES, level: float = 0.95, seed: int = SEED) -> DataFrame:
     """Percentile interval of any statistic of weighted rows."""
     drawn = resampled(df, keys, item, samples, seed)
-    return interval(statistic(drawn, score, label, [*keys, "b"]), "value", keys, level)
+    return interval(drawn.of(statistic, score, label, keys), "value", keys, level)
 
 
 def paired_difference(df: DataFrame, a: str, b: str, label: str, keys: list[str], item: str, samples: int = BOOTSTRAP_SAMPLES, level: float = 0.95, seed: int = SEED, statistic: Statistic = auc_statistic) -> DataFrame:
@@ -186,8 +294,8 @@ def paired_difference(df: DataFrame, a: str, b: str, label: str, keys: list[str]
     drawn = resampled(df, keys, item, samples, seed)
     whole = df.withColumn("w", F.lit(1))
     seen = statistic(whole, a, label, keys).withColumnRenamed("value", "x").join(statistic(whole, b, label, keys).withColumnRenamed("value", "y"), keys)
-    x = statistic(drawn, a, label, [*keys, "b"]).withColumnRenamed("value", "x")
-    y = statistic(drawn, b, label, [*keys, "b"]).withColumnRenamed("value", "y")
+    x = drawn.of(statistic, a, label, keys).withColumnRenamed("value", "x")
+    y = drawn.of(statistic, b, label, keys).withColumnRenamed("value", "y")
     g = interval(x.join(y, [*keys, "b"]).withColumn("d", F.col("x") - F.col("y")), "d", keys, level)
     counts = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("n_actives"))
     factor = minimum_detectable_difference(1.0, level=level)
@@ -200,13 +308,12 @@ def stratified_difference(df: DataFrame, a: str, b: str, label: str, strata: lis
     drawn = resampled(df, strata, item, samples, seed)
     whole = df.withColumn("w", F.lit(1))
 
-    def mean(rows: DataFrame, keys: list[str]) -> DataFrame:
-        both = auc_statistic(rows, a, label, [*strata, *keys]).withColumnRenamed("value", "x").join(auc_statistic(rows, b, label, [*strata, *keys]).withColumnRenamed("value", "y"), [*strata, *keys])
-        both = both.where("x is not null and y is not null")
+    def mean(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
+        both = x.withColumnRenamed("value", "x").join(y.withColumnRenamed("value", "y"), [*strata, *keys]).where("x is not null and y is not null")
         return both.groupBy(*keys).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("strata"))
 
-    seen = mean(whole, []).select(F.lit(1).alias("one"), F.col("x").alias("auc_a"), F.col("y").alias("auc_b"), (F.col("x") - F.col("y")).alias("difference"), F.col("strata").alias("n_strata"))
-    g = interval(mean(drawn, ["b"]).withColumn("d", F.col("x") - F.col("y")).withColumn("one", F.lit(1)), "d", ["one"], level)
+    seen = mean(auc_statistic(whole, a, label, strata), auc_statistic(whole, b, label, strata), []).select(F.lit(1).alias("one"), F.col("x").alias("auc_a"), F.col("y").alias("auc_b"), (F.col("x") - F.col("y")).alias("difference"), F.col("strata").alias("n_strata"))
+    g = interval(mean(drawn.of(auc_statistic, a, label, strata), drawn.of(auc_statistic, b, label, strata), ["b"]).withColumn("d", F.col("x") - F.col("y")).withColumn("one", F.lit(1)), "d", ["one"], level)
     factor = minimum_detectable_difference(1.0, level=level)
     return seen.join(g, "one").select("auc_a", "auc_b", "difference", "low", "high", "se", (F.col("se") * factor).alias("mdd"), ((F.col("low") > 0) | (F.col("high") < 0)).alias("resolvable"), "samples", "n_strata")
 
