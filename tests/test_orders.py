@@ -241,3 +241,24 @@ def test_poses_are_pruned_in_batches(spark, monkeypatch):
         want[g, i] = all(far(j) for k, j in at if k == g and j < i and want[g, j])
     df = spark.createDataFrame(rows, "g string, id long, atom int, x double, y double, z double")
     assert {(r["g"], r["id"]): r["kept"] for r in poses.greedy_by_distance(df, ["g"], 0.9).collect()} == want and not all(want.values())
+
+
+@pytest.mark.parametrize("least", [0, 100_000])
+def test_equal_decoys_are_taken_in_order(spark, monkeypatch, least):
+    """Many equal actives and decoys, gone through in rounds and in one task; no pair is made of actives that are full."""
+    monkeypatch.setattr(structure, "LEAST_PAIRS", least)
+    a, b = [(i, float(i % 2)) for i in range(6)], [(100 + i, (i % 5) / 4) for i in range(30)]
+    used, count, want = set(), {}, set()
+    for d, i, j in sorted((abs(x - y), i, j) for i, x in a for j, y in b if abs(x - y) <= 1):
+        if j not in used and count.get(i, 0) < 3:
+            used.add(j)
+            count[i] = count.get(i, 0) + 1
+            want.add((i, j, d))
+    monkeypatch.setattr(structure, "FIRST_BAND", 4)
+    got = structure.match_decoys(spark.createDataFrame(a, "id long, w double"), spark.createDataFrame(b, "id long, w double"), {"w": 1.0}, 3)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_matched_pairs_are_dealt(spark):
+    """Pairs are made in as many tasks as the session shuffles, whatever the size of the molecules."""
+    assert "REPARTITION_BY_NUM" in catalog.QUERIES["matched_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
