@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans.stages import drop_path, hadoop, new_path, release, shared_dir, tasks_for, written
+from quarry.plans.stages import drop_path, hadoop, new_path, release, shared_dir, shuffled, tasks_for, written
 
-__all__ = ["drop_path", "hadoop", "map_rows", "new_path", "packed", "quoted", "release", "row_key", "shared_dir", "table", "tasks_for", "texts", "trim", "trimmed", "tune", "unpacked", "written"]
+__all__ = ["drop_path", "hadoop", "map_rows", "new_path", "packed", "quoted", "release", "row_key", "shared_dir", "shuffled", "table", "tasks_for", "texts", "trim", "trimmed", "tune", "unpacked", "written"]
 
 #: Rows of one Arrow batch; documents are long, so batches stay near a few MB.
 ARROW_ROWS = 512

@@ -7,7 +7,8 @@ member and the bucket's least one, then of all pairs that those links have not j
 threshold join classes to a cluster, so a chain of loosely similar texts joins nothing. Pairs of a cluster are
 compared on the full sets. Both comparisons go block by block: a pair of blocks holds a bounded number of classes and sends on
 the links of a spanning forest, so no link between bucket mates is lost, no group is gathered and no group's pairs
-are emitted. Components follow the links that the full sets confirm.
+are emitted. Components follow the links that the full sets confirm. Joins are shuffled: Spark broadcasts by a compressed size, which
+classes with their bands and signatures exceed many times once the driver holds them.
 
 There are as many bands as leave a pair at the threshold without a common bucket with a probability below 1e-7; the
 estimate rejects such a pair only beyond five standard deviations. Sets are told apart by 128-bit hashes of their 64-bit
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, map_rows, packed, tasks_for, texts, trimmed, unpacked, written
+from .common import drop_path, map_rows, packed, shuffled, tasks_for, texts, trimmed, unpacked, written
 from .graph import components
 from .hashing import mix, shingle_sets
 
@@ -149,7 +150,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """``(class, shingles)`` of the wanted ``(class, doc_id, set)``."""
     rows = texts(docs)
     named = classes.where("doc_id is not null")
-    found = possible(rows.where("doc_id is not null"), named).join(named, "doc_id").select("class", "set", "text")
+    found = possible(rows.where("doc_id is not null"), named).join(shuffled(named), "doc_id").select("class", "set", "text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,7 +170,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     out = found.mapInArrow(trimmed(own), "class long, shingles binary")
     unnamed = classes.where("doc_id is null")
     if unnamed.limit(1).count():  # of rows without an id, any may hold a wanted set
-        out = out.unionByName(rows.where("doc_id is null").select("text").mapInArrow(any_, "set binary, shingles binary").join(unnamed, "set").select("class", "shingles"))
+        out = out.unionByName(rows.where("doc_id is null").select("text").mapInArrow(any_, "set binary, shingles binary").join(shuffled(unnamed), "set").select("class", "shingles"))
     return out
 
 
@@ -186,7 +187,7 @@ def block_links(rows: DataFrame, compare: Callable[[list, list], np.ndarray]) ->
     size = F.octet_length("payload").cast("long")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int")
     counts = rows.groupBy("cluster").agg(blocks.alias("n"), F.count("*").alias("members")).where("members > 1").drop("members")
-    own = rows.join(counts, "cluster").withColumn("p", F.pmod(F.xxhash64("class"), F.col("n")).cast("int"))
+    own = rows.join(shuffled(counts), "cluster").withColumn("p", F.pmod(F.xxhash64("class"), F.col("n")).cast("int"))
     keep = ["class", "payload"]
     left = own.select("cluster", F.col("p").alias("i"), F.explode(F.sequence(F.col("p"), F.col("n") - 1)).alias("j"), F.lit(0).alias("side"), *keep)
     right = own.where("p > 0").select("cluster", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), F.col("p").alias("j"), F.lit(1).alias("side"), *keep)
@@ -308,16 +309,16 @@ def likely_links(heads: DataFrame, least: int) -> DataFrame:
     spark = heads.sparkSession
     buckets = heads.select(F.explode("bands").alias("band"), "class")
     centres = buckets.groupBy("band").agg(F.min("class").alias("centre"), F.max("class").alias("other")).where("centre < other").select("band", "centre")
-    shared, shared_path = written(buckets.join(centres, "band"), "buckets")
+    shared, shared_path = written(buckets.join(shuffled(centres), "band"), "buckets")
     signed = heads.select("class", "signature")
     mates = shared.where("class <> centre").select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
-    mates = mates.join(signed.withColumnsRenamed({"class": "b", "signature": "sb"}), "b").join(signed.withColumnsRenamed({"class": "a", "signature": "sa"}), "a")
+    mates = mates.join(shuffled(signed.withColumnsRenamed({"class": "b", "signature": "sb"})), "b").join(shuffled(signed.withColumnsRenamed({"class": "a", "signature": "sa"})), "a")
     star, _ = written(mates.select("a", "b", "sa", "sb").mapInArrow(lambda batches: likely(batches, least), "a long, b long"), "star")
     joined = components(star).withColumnsRenamed({"node": "class", "component": "piece"})
-    shared = shared.select("band", "class").join(joined, "class", "left").withColumn("piece", F.coalesce("piece", "class"))
+    shared = shared.select("band", "class").join(shuffled(joined), "class", "left").withColumn("piece", F.coalesce("piece", "class"))
     apart = shared.groupBy("band").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).where("low < high").select("band")
     payload = F.concat("signature", F.unhex(F.lpad(F.hex("piece"), 16, "0")))
-    rows = shared.join(apart, "band").join(signed, "class").select(F.col("band").alias("cluster"), "class", payload.alias("payload"))
+    rows = shared.join(shuffled(apart), "band").join(shuffled(signed), "class").select(F.col("band").alias("cluster"), "class", payload.alias("payload"))
     cross, _ = written(block_links(rows, alike_signatures(least)), "cross")
     drop_path(spark, shared_path)
     return star.unionByName(cross)
@@ -330,8 +331,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     heads = sketch.where("set is not null").groupBy("set").agg(F.min_by(F.struct("bands", "signature"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("h"), F.min("doc_id").alias("doc_id"))
     heads, heads_path = written(heads.select(F.monotonically_increasing_id().alias("class"), "set", "doc_id", "h.bands", "h.signature"), "classes")
     clusters, _ = written(components(likely_links(heads, least_agreeing(threshold))).withColumnsRenamed({"node": "class", "component": "cluster"}), "clusters")
-    wanted = heads.join(clusters, "class", "left_semi").select("class", "doc_id", "set")
-    sized, sized_path = written(clusters.join(full_sets(docs, wanted, width), "class").select("cluster", "class", F.col("shingles").alias("payload")), "sets")
+    wanted = heads.join(shuffled(clusters), "class", "left_semi").select("class", "doc_id", "set")
+    sized, sized_path = written(clusters.join(shuffled(full_sets(docs, wanted, width)), "class").select("cluster", "class", F.col("shingles").alias("payload")), "sets")
     links, _ = written(block_links(sized, alike_sets(percent)), "links")
     drop_path(docs.sparkSession, sized_path)
     return _result(sketch, heads, components(links))
@@ -339,11 +340,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def _result(sketch: DataFrame, heads: DataFrame, groups: DataFrame) -> DataFrame:
     """Documents with the least id of their component."""
-    at = heads.select("class", "set", "doc_id").join(groups.withColumnsRenamed({"node": "class"}), "class", "left")
+    at = heads.select("class", "set", "doc_id").join(shuffled(groups.withColumnsRenamed({"node": "class"})), "class", "left")
     at = at.withColumn("component", F.coalesce("component", "class"))
     least = at.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_set = at.select("set", "component").join(least, "component").select("set", "component_id")
-    out = sketch.select("doc_id", "n_shingles", "set").join(by_set, "set", "left")
+    by_set = at.select("set", "component").join(shuffled(least), "component").select("set", "component_id")
+    out = sketch.select("doc_id", "n_shingles", "set").join(shuffled(by_set), "set", "left")
     component = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -356,7 +357,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     found, _ = written(near_duplicates(docs, width, percent).select("doc_id", "kept"), "kept")
     stay = found.where("kept").select("doc_id").distinct()
     rows = packed(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
-    rows = rows.alias("d").join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
+    rows = rows.alias("d").join(shuffled(stay.alias("s")), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
     if found.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count():
         rows = rows.dropDuplicates(["doc_id", "text"])
     return unpacked(rows, docs.columns)

@@ -178,3 +178,21 @@ def test_terms_are_generalised_or_removed(spark):
     assert got[300].startswith("<NAME>") and "<EMAIL>" in got[300] and "<ACRONYM>" in got[300] and got[310] == "<NAME> <ACRONYM> <WORD>"
     gone = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, removal=0.8).collect()}
     assert gone[310].strip() == "" and gone[5] == rows[5][1]
+
+
+def test_near_duplicates_broadcast_nothing_that_grows(spark, docs, monkeypatch):
+    """What Spark's limit of a broadcast is held against is compressed; the classes are many times larger in the driver."""
+    from quarry.llm import neardup
+
+    plans, write = [], neardup.written
+
+    def noted(df, *a, **b):
+        out = write(df, *a, **b)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(neardup, "written", noted)
+    found = neardup.one_of_each(docs)
+    found.collect()
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 5 and not any("BroadcastHashJoin" in p for p in plans)
