@@ -262,3 +262,36 @@ def test_equal_decoys_are_taken_in_order(spark, monkeypatch, least):
 def test_matched_pairs_are_dealt(spark):
     """Pairs are made in as many tasks as the session shuffles, whatever the size of the molecules."""
     assert "REPARTITION_BY_NUM" in catalog.QUERIES["matched_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("apart", [0.0, 500.0])
+def test_modes_of_a_large_network_need_no_whole_hessian(monkeypatch, apart):
+    """Also where two parts hang together in nothing, so that twelve modes have no stiffness."""
+    rnd = np.random.default_rng(8)
+    xyz = rnd.normal(size=(560, 3)) * 6
+    xyz[280:, 0] += apart
+    values, vectors = structure._network(xyz, 13.0)
+    monkeypatch.setattr(structure, "_network", None)
+    got, moved = structure._softest(xyz, 13.0, 10)
+    assert got == pytest.approx(values[:10], rel=1e-9)
+    assert np.abs((moved**2).sum(1) - (vectors[:, :10] ** 2).sum(1)).max() < 1e-6
+
+
+def test_strongest_couplings_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(structure, "NODES", 7)
+    rnd = np.random.default_rng(9)
+    rows = [(k, 2 * i, *map(float, rnd.normal(size=3) * 4)) for k in "st" for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, id long, x double, y double, z double")
+    every = structure.cross_correlation(df, ["k"])
+    assert every.count() == 2 * 40 * 39 // 2 and every.where("i >= j").count() == 0
+    want = structure.strongest_couplings(every, ["k"], 5, 3)
+    few = structure.cross_correlation(df, ["k"], top=5, apart=3)
+    assert few.count() < every.count()
+    got = structure.strongest_couplings(few, ["k"], 5, 3)
+    assert sorted(map(tuple, got.select("k", "rank", "i", "j").collect())) == sorted(map(tuple, want.select("k", "rank", "i", "j").collect()))
+    xyz = {k: np.array([r[2:] for r in rows if r[0] == k]) for k in "st"}
+    for r in want.collect():
+        values, vectors = structure._network(xyz[r["k"]], 13.0)
+        c = sum(np.outer(a, a).reshape(40, 3, 40, 3).trace(axis1=1, axis2=3) / v for a, v in zip(vectors.T[:10], values[:10], strict=True))
+        i, j = r["i"] // 2, r["j"] // 2
+        assert r["c"] == pytest.approx(c[i, j] / np.sqrt(c[i, i] * c[j, j]))
