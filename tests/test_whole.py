@@ -124,6 +124,22 @@ def test_pending_jobs_have_all_ligands(spark):
     assert got == sorted(plain("SELECT s_suppkey, p_partkey FROM supplier, part WHERE (s_suppkey, p_partkey) NOT IN (SELECT l_suppkey, l_partkey FROM lineitem)"))
 
 
+def test_pending_jobs_fill_little_disk(spark, tmp_path):
+    """Runs of receptors repeat in the files of the product: a small part of a byte a pair, where receptors in full lists took more than one."""
+    from quarry.operators import library
+
+    ligands, receptors = spark.range(1000).toDF("ligand"), spark.range(3000).toDF("receptor")
+    done = spark.range(40_000).selectExpr("id % 1000 AS ligand", "id * 7 % 3000 AS receptor").union(spark.sql("VALUES (CAST(NULL AS LONG), 1L), (1L, NULL)"))
+    library.pending_pairs(ligands, receptors, done).write.parquet(str(tmp_path / "left"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW found AS SELECT * FROM '{tmp_path}/left/*.parquet'")
+    done = "SELECT DISTINCT range % 1000 AS ligand, range * 7 % 3000 AS receptor FROM range(40000)"
+    n, distinct = con.sql("SELECT count(*), count(DISTINCT ligand * 3000 + receptor) FROM found").fetchall()[0]
+    assert n == distinct == 3_000_000 - con.sql(f"SELECT count(*) FROM ({done})").fetchall()[0][0]
+    assert con.sql(f"SELECT count(*) FROM found SEMI JOIN ({done}) USING (ligand, receptor)").fetchall()[0][0] == 0
+    assert sum(f.stat().st_size for f in (tmp_path / "left").glob("*.parquet")) < n / 2
+
+
 @pytest.mark.parametrize("parts", ["3", "8"])
 def test_positions_are_whole_and_distinct(spark, tmp_path, parts):
     """Borders sampled anew by each plan would number rows twice, or not at all."""
