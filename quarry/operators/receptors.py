@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reach import within
 from .spatial import range_join, squared
 
 #: Names that results depend on.
@@ -227,10 +228,4 @@ def perceived_bonds(atoms: DataFrame, keys: list[str], factor: float = 1.1, most
 
 def bonded_within(bonds: DataFrame, keys: list[str], steps: int = 3) -> DataFrame:
     """``(keys, i, j, steps)`` with i < j: pairs that so few bonds connect, and the fewest."""
-    one = bonds.select(*keys, "i", "j").unionByName(bonds.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
-    found = one.withColumn("steps", F.lit(1))
-    reach = found
-    for k in range(2, steps + 1):
-        reach = reach.select(*keys, "i", F.col("j").alias("m")).join(one.withColumnRenamed("i", "m"), [*keys, "m"]).select(*keys, "i", "j").where("i <> j").distinct().withColumn("steps", F.lit(k))
-        found = found.unionByName(reach)
-    return found.where("i < j").groupBy(*keys, "i", "j").agg(F.min("steps").alias("steps"))
+    return within(bonds, keys, steps)

@@ -180,3 +180,25 @@ def test_tables_of_rounds_stay_off_the_driver(spark, monkeypatch, name):
     Q.QUERIES[name](spark, SF)
     grown = [p for p in plans if "neighbours" in p or "moves" in p or "links" in p]
     assert grown and not any("BroadcastHashJoin" in p for p in grown)
+
+
+def test_pairs_of_dense_structures_take_no_paths(spark):
+    """Paths of dense structures never become rows; pairs are whole across blocks, and the fewest bonds count."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from quarry.operators import reach, receptors
+
+    n = 2 * reach.BLOCK + 100
+    chain = spark.range(n).selectExpr("'chain' AS s", "id AS i", "id + 1 AS j")
+    ring = spark.range(4).selectExpr("'ring' AS s", "least(id, (id + 1) % 4) AS i", "greatest(id, (id + 1) % 4) AS j")
+    clique = spark.range(300 * 300).selectExpr("'clique' AS s", "id div 300 AS i", "id % 300 AS j").where("i < j")
+    found = receptors.bonded_within(chain.union(ring).union(clique), ["s"])
+    assert not re.search("(?<!Object)HashAggregate", found._jdf.queryExecution().executedPlan().toString())
+    found = found.cache()
+    counts = {(r["s"], r["steps"]): r["n"] for r in found.groupBy("s", "steps").agg(F.count("*").alias("n")).collect()}
+    assert counts == {("chain", 1): n, ("chain", 2): n - 1, ("chain", 3): n - 2, ("ring", 1): 4, ("ring", 2): 2, ("clique", 1): 300 * 299 // 2}
+    assert found.where("s = 'chain' and j - i <> steps or i >= j").count() == 0
+    assert found.distinct().count() == sum(counts.values())
+    assert {r["steps"] for r in receptors.bonded_within(ring, ["s"], 1).collect()} == {1}
