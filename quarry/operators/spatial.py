@@ -119,7 +119,8 @@ def _uncovered(rows: DataFrame, covers: DataFrame, keys: list[str], probe: float
         counts = counts.withColumn(c, F.explode(F.array(*[F.col(c) + k for k in (-1, 0, 1)])))
     counts = counts.groupBy(*keys, *at).agg(F.sum("m").alias("m"))
     cells = rows.groupBy(*keys, *at).agg(F.count("*").alias("n")).join(counts, [*keys, *at], "left").withColumn("m", F.coalesce("m", F.lit(0)))
-    sized = {"chunks": F.ceil(F.col("n") / float(CHUNK)).cast("int"), "blocks": F.greatest(F.lit(1), F.ceil(F.col("m") / float(BLOCK))).cast("int")}
+    # long, as the parts that hashes choose: both sides deal by a hash of these, and that of an int is another
+    sized = {"chunks": F.ceil(F.col("n") / float(CHUNK)).cast("long"), "blocks": F.greatest(F.lit(1), F.ceil(F.col("m") / float(BLOCK))).cast("long")}
     cells, _ = written(cells.withColumns(sized).withColumn("cell", F.monotonically_increasing_id()), "cells")
     packs = 1 + int((cells.agg(F.sum(F.col("m") * F.col("chunks") + F.col("n") * F.col("blocks"))).first()[0] or 0) // PACK)
     unit = ["cell", "chunk", "block"]
@@ -127,8 +128,8 @@ def _uncovered(rows: DataFrame, covers: DataFrame, keys: list[str], probe: float
     on = F.lit(True)
     for c in (*keys, *at):
         on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}"))
-    mine = rows.alias("r").join(cells.alias("k"), on).select("r.*", "cell", F.pmod(F.xxhash64("r.atom"), F.col("chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).drop(*at)
-    met = near.join(cells.drop("n", "m"), [*keys, *at]).select("own", "atom", "x", "y", "z", "radius", F.col("cell").alias("cell"), F.pmod(F.xxhash64("own", "atom"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    mine = rows.alias("r").join(cells.alias("k"), on).select("r.*", "cell", F.pmod(F.xxhash64("r.atom"), F.col("chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).drop(*at)
+    met = near.join(cells.drop("n", "m"), [*keys, *at]).select("own", "atom", "x", "y", "z", "radius", F.col("cell").alias("cell"), F.pmod(F.xxhash64("own", "atom"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     names = [*keys, "atom", "x", "y", "z", "radius", "free"]
     sphere = _sphere(points)
 

@@ -48,6 +48,19 @@ def test_areas_meet_no_pairs_of_atoms(spark, monkeypatch):
     assert lone.count() == spatial.sasa(lone, ["k"]).where(F.col("sasa") > 0).count()
 
 
+def test_areas_meet_what_covers_them_in_every_pack(spark, monkeypatch):
+    """Atoms and what covers them are dealt alike however many packs there are: the free, the bound and the residues' areas equal their SQL."""
+    from quarry.operators import spatial
+
+    monkeypatch.setattr(spatial, "PACK", 20)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF}/embeddings.parquet')")
+    for name in ("atom_sasa", "burial_free", "buried_contact_per_pose", "complex_desolvation", "interface_area"):
+        want = con.execute(catalog.ORACLE_SQL[name])
+        columns = [c[0] for c in want.description]
+        assert sorted(map(tuple, catalog.QUERIES[name](spark, SF).select(columns).collect())) == sorted(want.fetchall()), name
+
+
 def test_pairs_of_sets_meet_once(spark):
     """No posting of a set meets a partner on each bit, and no pair is counted in a shuffle."""
     import random
