@@ -7,6 +7,7 @@ a cavity are found in rounds over written tables. Structures are keys like any o
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -219,17 +220,15 @@ def find_pockets(atoms: DataFrame, keys: list[str], spacing: float = 1.0, probe:
     return Pockets(ranked.select(*keys, F.col("number").alias("pocket"), "cx", "cy", "cz", "volume", "score", "n_points"), points.select(*keys, F.col("number").alias("pocket"), "cell", "x", "y", "z"))
 
 
-def buriedness(points: DataFrame, atoms: DataFrame, keys: list[str], group: list[str], point: str, probe: float = 1.4, ray_length: float = 5.0, sample: int = 64, most: float = 2.2) -> DataFrame:
-    """``(group, buriedness)``: the mean share of the 26 directions in which a ray from a point comes within an atom's inflated radius.
+def buriedness(points: DataFrame, atoms: DataFrame, keys: list[str], group: list[str], point: str, probe: float = 1.4, ray_length: float = 5.0, most: float = 2.2) -> DataFrame:
+    """``(group, buriedness)``: the mean share of the 26 directions in which a ray from a point comes within an atom's inflated radius, over
+    all points.
 
-    An atom walls a direction if it lies ahead, no farther along the ray than its length. Of a group with more than ``sample`` points every
-    ``n // sample``-th is taken, by ``point``. ``keys`` (part of ``group``) say which atoms count; ``most`` is the greatest radius.
+    An atom walls a direction if it lies ahead, no farther along the ray than its length. ``keys`` (part of ``group``) say which atoms count;
+    ``most`` is the greatest radius.
     """
-    w = Window.partitionBy(*group)
-    every = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / sample))
-    place = F.row_number().over(w.orderBy(point)) - 1
-    taken = points.withColumn("nth", F.when(F.count("*").over(w) > sample, F.pmod(place, every)).otherwise(0)).where("nth = 0").drop("nth")
-    near = range_join(taken.select(*group, point, "x", "y", "z"), atoms.select(*keys, "x", "y", "z", "radius"), ray_length + most + probe, keys)
+    reach = math.hypot(ray_length, most + probe) * (1 + 1e-9)  # no atom farther off meets a ray
+    near = range_join(points.select(*group, point, "x", "y", "z"), atoms.select(*keys, "x", "y", "z", "radius"), reach, keys)
     gap = [F.col(f"b_{c}") - F.col(f"a_{c}") for c in "xyz"]
     hits = F.lit(0)
     for k, d in enumerate(DIRECTIONS):
@@ -239,7 +238,7 @@ def buriedness(points: DataFrame, atoms: DataFrame, keys: list[str], group: list
         hits = hits.bitwiseOR(F.when((along > 0) & (along <= ray_length) & (across < F.col("b_radius") + probe), 1 << k).otherwise(0))
     own = [c for c in group if c not in keys]
     masks = near.groupBy(*keys, *[F.col(f"a_{c}").alias(c) for c in own], F.col(f"a_{point}").alias(point)).agg(F.bit_or(hits).alias("mask"))
-    met = taken.select(*group, point).join(shuffled(masks), [*group, point], "left")
+    met = points.select(*group, point).join(shuffled(masks), [*group, point], "left")
     return met.groupBy(*group).agg(F.avg(F.coalesce(F.bit_count("mask"), F.lit(0)) / 26.0).alias("buriedness"))
 
 

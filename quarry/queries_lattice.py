@@ -68,12 +68,11 @@ def find_pockets(spark, sf_dir):
 
 @query(CAVITIES + """, lined AS (SELECT label, pocket, list(trim(res_name || res_id || ' ' || chain) ORDER BY chain, res_id, res_name) AS lining FROM (SELECT DISTINCT s.label, s.pocket, chain, res_id, res_name FROM spots s JOIN atoms a ON a.label = s.label
   AND (s.x - a.x) * (s.x - a.x) + (s.y - a.y) * (s.y - a.y) + (s.z - a.z) * (s.z - a.z) <= 25) GROUP BY ALL),
-sampled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, pocket ORDER BY cell) - 1 AS p, count(*) OVER (PARTITION BY label, pocket) AS m FROM spots) WHERE m <= 64 OR p % greatest(1, m // 64) = 0),
 unit AS (SELECT dx, dy, dz, dx / sqrt(dx * dx + dy * dy + dz * dz) AS ux, dy / sqrt(dx * dx + dy * dy + dz * dz) AS uy, dz / sqrt(dx * dx + dy * dy + dz * dz) AS uz FROM dirs),
-pairs AS (SELECT s.label, s.pocket, s.cell, a.x - s.x AS gx, a.y - s.y AS gy, a.z - s.z AS gz, radius FROM sampled s JOIN atoms a ON a.label = s.label),
+pairs AS (SELECT s.label, s.pocket, s.cell, a.x - s.x AS gx, a.y - s.y AS gy, a.z - s.z AS gz, radius FROM spots s JOIN atoms a ON a.label = s.label),
 rays AS (SELECT *, gx * ux + gy * uy + gz * uz AS along FROM pairs, unit WHERE gx * gx + gy * gy + gz * gz <= 75),
 hits AS (SELECT DISTINCT label, pocket, cell, dx, dy, dz FROM rays WHERE along > 0 AND along <= 5 AND sqrt(greatest(gx * gx + gy * gy + gz * gz - along * along, 0)) < radius + 1.4::DOUBLE),
-burial AS (SELECT s.label, s.pocket, avg(coalesce(h, 0) / 26::DOUBLE) AS buriedness FROM sampled s LEFT JOIN (SELECT label, pocket, cell, count(*) AS h FROM hits GROUP BY ALL) USING (label, pocket, cell) GROUP BY s.label, s.pocket),
+burial AS (SELECT s.label, s.pocket, avg(coalesce(h, 0) / 26::DOUBLE) AS buriedness FROM spots s LEFT JOIN (SELECT label, pocket, cell, count(*) AS h FROM hits GROUP BY ALL) USING (label, pocket, cell) GROUP BY s.label, s.pocket),
 grid AS (SELECT label, pocket, cx + a.g AS x, cy + b.g AS y, cz + c.g AS z FROM found, range(-6, 7) a(g), range(-6, 7) b(g), range(-6, 7) c(g) WHERE a.g * a.g + b.g * b.g + c.g * c.g <= 36),
 local AS (SELECT label, pocket, count(*)::DOUBLE AS free_volume FROM grid g WHERE NOT EXISTS (SELECT 1 FROM atoms a WHERE a.label = g.label AND (g.x - a.x) * (g.x - a.x) + (g.y - a.y) * (g.y - a.y) + (g.z - a.z) * (g.z - a.z) <= (radius + 1.4::DOUBLE) * (radius + 1.4::DOUBLE)) GROUP BY ALL)
 SELECT label, pocket, n_points, array_to_string(coalesce(lining, []), ',') AS lining, round(buriedness, 6) AS buriedness, coalesce(free_volume, 0) AS free_volume FROM found LEFT JOIN lined USING (label, pocket) LEFT JOIN burial USING (label, pocket) LEFT JOIN local USING (label, pocket)""")

@@ -45,6 +45,13 @@ def test_a_closed_shell_is_one_pocket(spark):
     assert cut.found.agg(F.sum("n_points")).first()[0] == found["n_points"] and cut.found.count() > 1
 
 
+def test_burial_counts_every_point(spark):
+    """A pocket of 200 points far from each other; an atom beside each third one walls the nine directions towards it."""
+    points = spark.range(200).selectExpr("'s' AS s", "0 AS pocket", "id AS cell", "id * 100.0D AS x", "0.0D AS y", "0.0D AS z")
+    atoms = points.where("cell % 3 = 1").selectExpr("s", "x + 2.0D AS x", "y", "z", "1.5D AS radius")
+    assert lattice.buriedness(points, atoms, ["s"], ["s", "pocket"], "cell").first()["buriedness"] == pytest.approx(9 * 67 / 26 / 200)
+
+
 def test_walls_along_lines(spark):
     """Two blocked cells five apart on a line: four free cells between them see one or both within two steps."""
     frame = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 20, 20, 20)], "s int, ox double, oy double, oz double, nx int, ny int, nz int")
