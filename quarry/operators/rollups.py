@@ -11,6 +11,8 @@ from .ranking import finite, positions, ranked
 
 #: Parts into which the members of a core are dealt, so that no group of pairs is one task.
 DEALS = 4
+#: Members of a tile and of a run where pairs of one core are made; runs in multiples of eight, as files pack numbers.
+TILE, RUN = 256, 16
 
 
 def status_counts(results: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,19 +121,27 @@ def scaffold_coverage(selection: DataFrame, library: DataFrame, key: str) -> Dat
 def matched_pairs(molecules: DataFrame, core: list[str], groups: list[str], item: str, value: str, noise: float = 1.0) -> DataFrame:
     """Pairs of one core that differ in exactly one of the groups: joined on the core and all other groups.
 
-    Members of one core and other groups are joined to the members with another value of the open group. There are many more pairs than
-    members, so tasks are set by number: by size, Spark would join them in a few.
+    There are many more pairs than members, so tasks are set by number (by size, Spark would join in a few), and pairs are made in an order
+    in which a file holds them in little: tiles of members with one value of the open group meet short runs of those with another, all pairs
+    of a tile and a run after each other. So a run is repeated for each member of the tile, and both are in the order of their values.
     """
     out, n = None, tasks_for(molecules.sparkSession)
     for g in groups:
         same = core + [x for x in groups if x != g]
-        a = molecules.select(*same, F.col(item).alias("a"), F.col(g).alias("from"), F.col(value).alias("va"))
-        b = molecules.select(*same, F.col(item).alias("b"), F.col(g).alias("to"), F.col(value).alias("vb"))
-        a = a.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(DEALS))).repartition(n, *same, "part")
-        b = b.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long")))).repartition(n, *same, "part")
-        pairs = a.join(b.hint("shuffle_hash"), [*same, "part"]).where((F.col("a") < F.col("b")) & (F.col("from") != F.col("to")))
-        rows = pairs.select(F.lit(g).alias("label"), "a", "b", "from", "to", (F.col("vb") - F.col("va")).alias("delta"))
-        out = rows if out is None else out.unionByName(rows)
+        rows = molecules.select(*same, F.col(g).alias("of"), F.struct(F.col(value).alias("v"), F.col(item).alias("id")).alias("m"))
+        rows = rows.withColumn("at", F.row_number().over(Window.partitionBy(*same, "of").orderBy("m.id")) - 1)
+
+        def cut(size: int) -> DataFrame:
+            members = F.sort_array(F.collect_list("m"))
+            return rows.groupBy(*same, "of", F.floor(F.col("at") / size).alias("cut")).agg(members.alias("ms"), F.min("m.id").alias("low"), F.max("m.id").alias("high"))
+
+        a = cut(TILE).select(*same, F.col("of").alias("from"), F.col("ms").alias("as"), "low", F.pmod(F.xxhash64("of", "cut"), F.lit(DEALS)).alias("part"))
+        b = cut(RUN).select(*same, F.col("of").alias("to"), F.col("ms").alias("bs"), "high", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))).alias("part"))
+        a, b = a.repartition(n, *same, "part"), b.repartition(n, *same, "part")
+        met = a.join(b.hint("shuffle_hash"), [*same, "part"]).where((F.col("from") != F.col("to")) & (F.col("low") < F.col("high")))
+        pairs = met.select("from", "to", "bs", F.explode("as").alias("a")).select("from", "to", "a", F.explode("bs").alias("b")).where("a.id < b.id")
+        found = pairs.select(F.lit(g).alias("label"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), "from", "to", (F.col("b.v") - F.col("a.v")).alias("delta"))
+        out = found if out is None else out.unionByName(found)
     return out.withColumn("significant", F.abs("delta") >= noise)
 
 

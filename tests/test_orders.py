@@ -5,11 +5,11 @@ import random
 
 import numpy as np
 import pytest
-
+from pyspark.sql import functions as F
 
 from quarry import catalog
 from quarry import queries as Q
-from quarry.operators import poses, pockets, receptors, structure
+from quarry.operators import poses, pockets, receptors, rollups, structure
 from quarry.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -264,6 +264,25 @@ def test_matched_pairs_are_dealt(spark):
     assert "REPARTITION_BY_NUM" in catalog.QUERIES["matched_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_matched_pairs_repeat_in_their_file(spark, tmp_path):
+    """The result grows with the square of the members, its file does not: a run of partners is written once, not for each member."""
+    rows = spark.range(1600).selectExpr("'t' AS core", "CAST(id % 2 AS string) AS x", "'y' AS y", "xxhash64(id) AS id", "CAST(id % 7 AS double) AS v")
+    found = rollups.matched_pairs(rows, ["core"], ["x", "y"], "id", "v")
+    found.coalesce(1).write.parquet(f"{tmp_path}/pairs")
+    got = spark.read.parquet(f"{tmp_path}/pairs")
+    want = rows.alias("a").join(rows.alias("b"), F.expr("a.x <> b.x AND a.id < b.id")).selectExpr("'x' AS label", "a.id AS a", "b.id AS b", "a.x AS from", "b.x AS to", "b.v - a.v AS delta", "abs(b.v - a.v) >= 1 AS significant")
+    assert got.count() == 800 * 800 and got.exceptAll(want).count() == 0
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 640_000
+
+
+def test_rounding_in_binary_gives_the_same_numbers(spark):
+    odd = [0.0, -0.0, None, float("nan"), float("inf"), -1e-9, 5e-7, -5e-7, 1.0000005, 2.5e-6, 1234567.1234565, 1e12 + 0.1234565, -0.0125, 0.1 + 0.2]
+    df = spark.createDataFrame([(x,) for x in odd], "v double").union(spark.range(20000).selectExpr("(xxhash64(id) % 20000000) / 2.0E7 * (id % 50) AS v"))
+    both = df.select(F.round("v", 6).alias("want"), "v")
+    got = Q.rounded_often(both, "v").where("NOT (want <=> v)")
+    assert got.count() == 0 and Q.rounded_often(both, "v").where("CAST(v AS string) = '-0.0'").count() == 0
+
+
 @pytest.mark.parametrize("apart", [0.0, 500.0])
 def test_modes_of_a_large_network_need_no_whole_hessian(monkeypatch, apart):
     """Also where two parts hang together in nothing, so that twelve modes have no stiffness."""
